@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, packing, quality_rules, sharding, url_filter
+from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_url_filters": url_filter.op8_url_filters,
+    "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
