@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, sharding, url_filter
+from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_sharding": sharding.op4_sharding,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op6_suffix_array_dedup": suffix_dedup.op6_suffix_array_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_url_filters": url_filter.op8_url_filters,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
 }
 

@@ -1,10 +1,65 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all but the last
+return the columns of ``documents``, with ``n_chars`` brought up to date where the text changes.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairnlake.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
+from cairnlake.llm.shared import checkpoint, read
+
+#: Ids that are broadcast, at most; more are joined by a shuffle.
+SMALL_IDS = 500_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and the trees keep."""
+    model = quality_rules.train(docs, read(spark, sf_dir, "labels"))
+    return quality_rules.keep_good(docs, model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated chunks of lines; one that has nothing visible left goes."""
+    left = line_dedup.dedup_lines(docs).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^ \t\n\r]"))
+    return left.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of alike ones."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    ids = checkpoint(decontaminate.find(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and the sequence and place of each."""
+    parts = checkpoint(packing.pieces(docs, packing.tokenizer_path()))
+    return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminated),
+    ("best_fit_packing", packed),
+]
+
+#: SQL has no way to fit trees, draw MinHashes or tokenize.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, in order."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
