@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words and marks that the rules name.
 NAME_FILLERS = (
@@ -31,7 +32,7 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), _FROM, _TO), "[̀-ͯ]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_exact(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition (NFKD) without combining marks, for any script; Arrow batches."""
     import unicodedata
@@ -156,7 +157,7 @@ def csv_cell(value: Column) -> Column:
 def hmac_sha256(key: bytes):
     """A pandas UDF of keyed identifiers in url-safe base 64; plain hashes would be open to guessing."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def sign(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import base64
         import hashlib
