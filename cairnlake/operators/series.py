@@ -55,15 +55,15 @@ def running_share(df: DataFrame, keys: Sequence[str], order: str, available: Col
 def season_matches(target: DataFrame, past: DataFrame, key: str, day: str, past_day: str, window: int = 21) -> DataFrame:
     """Past rows of the same key, of earlier years, within so many days of the target's day of the year.
 
-    The day of the year is cut into slots as wide as the window, and a target looks into three of them, so
-    the join is on equal keys and slots, also around the turn of the year.
+    The year is cut into slots as wide as the window, the last one shorter.  A target looks into all that its
+    window touches, so the join is on equal keys and slots, also around the turn of the year.
     """
-    slots = -(-366 // window)
-    slot = lambda c: F.floor((F.dayofyear(c) - 1) / window).cast("int")
-    last = slots - 1  # the last slot is shorter, so the one before it is near the first too
-    near = F.array_distinct(F.flatten(F.array(*(F.when(slot(day) + d < 0, F.array(F.lit(last), F.lit(last - 1))).when(slot(day) + d > last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(slot(day) + d)) for d in (-1, 0, 1)))))
+    slot = lambda day0: F.floor(day0 / window).cast("int")
+    shortest = 366 - (-(-366 // window) - 1) * window
+    steps = [*range(-window, window, min(shortest, window)), window]
+    near = F.array_distinct(F.array(*(slot(F.pmod(F.dayofyear(day) - 1 + d, F.lit(366))) for d in steps)))
     left = target.withColumn("__slot", F.explode(near))
-    right = past.withColumn("__slot", slot(past_day))
+    right = past.withColumn("__slot", slot(F.dayofyear(past_day) - 1))
     gap = F.abs(F.dayofyear(day) - F.dayofyear(past_day))
     joined = left.join(right, [key, "__slot"]).withColumn("distance", F.least(gap, F.lit(366) - gap))
     return joined.where((F.col("distance") <= window) & (F.year(day) > F.year(past_day))).drop("__slot")

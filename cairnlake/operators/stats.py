@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rules import ascii_words
+
 
 def effective_size(weight: Column) -> Column:
     """Aggregate: (sum of weights) squared over the sum of squared weights; 0 without weight."""
@@ -54,8 +56,8 @@ def theme_summary(df: DataFrame, key: str, text: str, ts: str, themes: Sequence[
     held = df.where(F.trim(F.col(text)) != "")
     counted = held.groupBy(key).agg(
         F.count("*").alias("__n"),
-        *(F.count_if(F.col(text).rlike(p)).alias(f"__c{i}") for i, (_, p) in enumerate(themes)),
-        *(F.max(F.when(F.col(text).rlike(p), F.col(ts))).alias(f"__t{i}") for i, (_, p) in enumerate(themes)),
+        *(F.count_if(F.col(text).rlike(ascii_words(p))).alias(f"__c{i}") for i, (_, p) in enumerate(themes)),
+        *(F.max(F.when(F.col(text).rlike(ascii_words(p)), F.col(ts))).alias(f"__t{i}") for i, (_, p) in enumerate(themes)),
     )
     rows = F.array(*(F.struct(F.lit(phrase).alias("phrase"), F.col(f"__c{i}").alias("count"), F.col(f"__t{i}").alias("newest"), F.lit(i).alias("place")) for i, (phrase, _) in enumerate(themes)))
     least = F.greatest(F.lit(2), F.ceil(F.col("__n") * share))

@@ -1 +1,98 @@
-"""Queries."""
+"""Points: boxes, radius and nearest joins, clusters, suppression, zones.
+
+Customers and suppliers get coordinates from their keys.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators import spatial
+from ..sources.feeds import table
+from .registry import query
+
+_LAT, _LON = "14 + CAST({k} * 7919 % 7000 AS DOUBLE) / 100", "-180 + CAST({k} * 104729 % 12800 AS DOUBLE) / 100"
+
+
+def _sql(name: str, key: str, alias: str, prefix: str = "") -> str:
+    return f"{alias} AS (SELECT {key} AS {prefix}id, {_LAT.format(k=key)} AS {prefix}lat, {_LON.format(k=key)} AS {prefix}lon FROM {name})"
+
+
+_DISTANCE = (
+    "2 * 6371008.8 * atan2(sqrt(sin(radians(r_lat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(r_lat)) * sin(radians(r_lon - lon) / 2) ** 2), "
+    "sqrt(1 - (sin(radians(r_lat - lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(r_lat)) * sin(radians(r_lon - lon) / 2) ** 2)))"
+)
+_BOTH = f"WITH {_sql('customer', 'c_custkey', 'c')}, {_sql('supplier', 's_suppkey', 's', 'r_')}, d AS (SELECT c.id, r_id, {_DISTANCE} AS m FROM c CROSS JOIN s)"
+
+
+def points(spark: SparkSession, sf_dir: str, name: str, key: str, prefix: str = "") -> DataFrame:
+    return table(spark, sf_dir, name).select(F.col(key).alias(f"{prefix}id"), F.expr(_LAT.format(k=key)).alias(f"{prefix}lat"), F.expr(_LON.format(k=key)).alias(f"{prefix}lon"))
+
+
+@query(f"WITH {_sql('customer', 'c_custkey', 'c')} SELECT id, lat, lon FROM c WHERE lon BETWEEN -140 AND -90 AND lat BETWEEN 20 AND 60 AND NOT (lat = 0 AND lon = 0)")
+def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = points(spark, sf_dir, "customer", "c_custkey")
+    return df.where(geo.in_box(F.col("lon"), F.col("lat"), -140, 20, -90, 60) & geo.valid_point(F.col("lon"), F.col("lat")))
+
+
+@query(f"{_BOTH} SELECT id, r_id, round(m, 2) AS distance_m FROM d WHERE m <= 150000")
+def radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spatial.radius_join(points(spark, sf_dir, "customer", "c_custkey"), points(spark, sf_dir, "supplier", "s_suppkey", "r_"), 150_000)
+    return pairs.select("id", "r_id", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query(f"{_BOTH} SELECT id, r_id, CAST(k AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, r_id) AS k FROM d WHERE m <= 600000) WHERE k <= 3")
+def nearest_in_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spatial.nearest_in_radius(points(spark, sf_dir, "customer", "c_custkey"), points(spark, sf_dir, "supplier", "s_suppkey", "r_"), "id", "r_id", 600_000, 3)
+    return found.select("id", "r_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{_BOTH} SELECT id, r_id, round(m, 2) AS distance_m FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, r_id) = 1")
+def knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest supplier of each customer, whatever the distance."""
+    found = spatial.nearest(points(spark, sf_dir, "customer", "c_custkey"), points(spark, sf_dir, "supplier", "s_suppkey", "r_"), "id", "r_id", 300_000)
+    return found.select("id", "r_id", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query(f"""
+WITH {_sql('customer', 'c_custkey', 'c')}, g AS (SELECT *, CAST(floor((lon + 180) / 1.40625) AS BIGINT) AS cx, CAST(floor((lat + 90) / 1.40625) AS BIGINT) AS cy FROM c), n AS (SELECT cx, cy, count(*) AS n, avg(lat) AS a, avg(lon) AS o FROM g GROUP BY 1, 2)
+SELECT 'cluster' AS kind, NULL::BIGINT AS id, cx, cy, n, round(a, 6) AS lat, round(o, 6) AS lon FROM n WHERE n >= 4 UNION ALL SELECT 'point', id, cx, cy, 1, round(lat, 6), round(lon, 6) FROM g JOIN n USING (cx, cy) WHERE n < 4
+""")
+def grid_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of zoom 5: from four points on one cluster, below that the points."""
+    out = spatial.grid_clusters(points(spark, sf_dir, "customer", "c_custkey"), "id", geo.cluster_degrees(5))
+    return out.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
+
+
+@query(f"""
+WITH {_sql('customer', 'c_custkey', 'c')}, g AS (SELECT *, CAST(floor(lon / 0.5) AS BIGINT) AS cx, CAST(floor(lat / 0.5) AS BIGINT) AS cy FROM c)
+SELECT cx, cy, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, array_to_string(list_slice(list(CAST(id AS VARCHAR) ORDER BY id), 1, 5), ',') AS top FROM g GROUP BY 1, 2 HAVING count(*) >= 3
+""")
+def half_degree_cells_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = points(spark, sf_dir, "customer", "c_custkey").select("*", geo.cell(F.col("lon"), 0.5).alias("cx"), geo.cell(F.col("lat"), 0.5).alias("cy"))
+    top = F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("id")), 1, 5), lambda x: x.cast("string")), ",")
+    return df.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"), top.alias("top")).where("n >= 3")
+
+
+@query()
+def greedy_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by balance, kept if no kept one of their nation is within 900 km."""
+    df = points(spark, sf_dir, "customer", "c_custkey").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_acctbal"), "id")
+    return spatial.suppress(df, "c_nationkey", "c_acctbal", "id", 900_000).select("id")
+
+
+@query("""
+WITH p AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings WHERE len(embedding) = 64),
+z AS (SELECT vec_id, label, CAST(v AS DOUBLE) AS v, sqrt((i % 8 - 3.5) ** 2 + (i // 8 - 3.5) ** 2) AS d FROM p)
+SELECT label, round(avg(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE d < 2), 6) AS positive_inner, round(avg(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE d >= 2 AND d < 4), 6) AS positive_middle,
+round(avg(CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE d >= 4 AND d < 9), 6) AS positive_outer, round(median(v), 6) AS middle FROM z GROUP BY 1
+""")
+def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 8 by 8 rasters: shares by ring around the middle, and the median."""
+    pixels = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    d = F.sqrt(F.pow(F.col("i") % 8 - 3.5, 2) + F.pow(F.floor(F.col("i") / 8) - 3.5, 2))
+    rings = spatial.ring_fractions(pixels.withColumn("d", d).withColumn("positive", F.col("v") > 0), ["label"], "d", ["positive"], [("inner", 0, 2), ("middle", 2, 4), ("outer", 4, 9)])
+    middle = pixels.groupBy("label").agg(F.round(F.median("v"), 6).alias("middle"))
+    return rings.select("label", *(F.round(c, 6).alias(c) for c in ("positive_inner", "positive_middle", "positive_outer"))).join(middle, "label")

@@ -1 +1,128 @@
-"""Queries."""
+"""Names, urls, html and free text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import entity, rules, stats
+from ..sources.feeds import table
+from .registry import query
+
+
+def _java_to_re2(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: (length(w) > 1 OR regexp_matches(w, '^[0-9]+$')) AND w NOT IN ('a', 'and', 'at', 'by', 'camp', 'of', 'park', 'the', 'rv'))) AS t FROM part WHERE p_partkey <= 200),
+j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS n, len(b.t) AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
+SELECT a, b, round(CASE WHEN i = 0 THEN 0 ELSE least(1, 0.85 * i / least(n, m) + 0.15 * i / (n + m - i)) END, 6) AS similarity FROM j
+""")
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token similarity of part names within a brand, over the first two hundred keys as the compared set."""
+    p = table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", "p_brand", text.name_tokens(F.col("p_name")).alias("t"))
+    a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", F.col("t").alias("s")), p.select(F.col("p_partkey").alias("b"), "p_brand", "t")
+    return a.join(b, "p_brand").where("a < b").select("a", "b", F.round(text.token_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
+
+
+_TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_brand, p_size, {_TRIGRAMS} AS t FROM part),
+j AS (SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS n, len(b.t) AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size <= 10 AND b.p_size > 40)
+SELECT a_key, b_key, round(i / (n + m - i)::DOUBLE, 6) AS similarity FROM j WHERE i / (n + m - i)::DOUBLE >= 0.5
+""")
+def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    pairs = entity.trigram_pairs(part.where("p_size <= 10"), part.where("p_size > 40"), "p_partkey", "p_partkey", "p_name", "p_name", 0.5, "p_brand")
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(r"""
+WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?', ['h', 'p', 'q']) AS u FROM pages)
+SELECT page_id, regexp_replace(lower(u.h), '^www\.', '') AS domain, regexp_replace(lower(u.h), '^www\.', '') || lower(regexp_replace(u.p, '/+$', '')) ||
+ CASE WHEN len(list_filter(string_split(substr(u.q, 2), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))) > 0
+ THEN '?' || lower(array_to_string(list_sort(list_filter(string_split(substr(u.q, 2), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))), '&')) ELSE '' END AS identity FROM u
+""")
+def url_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.website_domain(F.col("url")).alias("domain"), text.website_identity(F.col("url")).alias("identity"))
+
+
+@query(r"""
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}'), lambda x: lower(x)))), ' ') AS emails,
+array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)https?://[^\s<>"'']+'), lambda x: regexp_replace(x, '[),.;\]}]+$', '')))), ' ') AS urls FROM documents WHERE text IS NOT NULL
+""")
+def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.array_join(text.emails(F.col("text")), " ").alias("emails"), F.array_join(text.urls(F.col("text")), " ").alias("urls"))
+
+
+@query(r"""
+SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '(?i)&nbsp;|&#160;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&quot;', '"', 'g'), '&#39;', ''''), '\s+', ' ', 'g')) AS body FROM pages
+""")
+def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("body"))
+
+
+_THEMES = (("First", r"(?i)\b(the|die|la)\b"), ("Second", r"(?i)\b(of|und|et)\b"), ("Third", r"(?i)\b(in|ist|que)\b"), ("Fourth", r"(?i)\b(was|nicht|pour)\b"))
+
+
+@query(f"""
+WITH d AS (SELECT source, doc_id, text FROM documents WHERE trim(text) <> ''), n AS (SELECT source, count(*) AS n FROM d GROUP BY 1),
+m AS ({" UNION ALL ".join(f"SELECT source, '{p}' AS phrase, {i} AS place, count(*) AS c, max(doc_id) AS newest FROM d WHERE regexp_matches(text, '{r}') GROUP BY 1" for i, (p, r) in enumerate(_THEMES))})
+SELECT source, phrase, c AS count, CAST(k AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c DESC, newest DESC, place) AS k FROM m JOIN n USING (source) WHERE n >= 2 AND c >= greatest(2, ceil(n * 0.25))) WHERE k <= 3
+""")
+def theme_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats.theme_summary(table(spark, sf_dir, "documents"), "source", "text", "doc_id", _THEMES)
+    return out.select("source", "phrase", "count", F.col("rank").cast("long").alias("rank"))
+
+
+@query(rf"""
+SELECT p_partkey, CASE WHEN regexp_matches(p_name, '{_java_to_re2(rules.CONFERENCE)}') THEN 'conference_or_retreat_centre' WHEN p_size < 5 THEN 'low_source_confidence'
+ WHEN p_type <> 'ECONOMY' THEN 'alternate_category_only' ELSE 'kept' END AS reason FROM part
+""")
+def rule_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered rule list: the first that holds gives the reason."""
+    c = F.col
+    reason = rules.first_of((c("p_name").rlike(rules.CONFERENCE), "conference_or_retreat_centre"), (c("p_size") < 5, "low_source_confidence"), (c("p_type") != "ECONOMY", "alternate_category_only"), otherwise="kept")
+    return table(spark, sf_dir, "part").select("p_partkey", reason.alias("reason"))
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, regexp_matches(t, '{_java_to_re2(rules.SPAM_URL)}') AS has_url, CAST(len(list_filter([{", ".join(f"'{p}'" for p in rules.SPAM_PHRASES)}], lambda p: contains(t, p))) AS BIGINT) AS phrases FROM d
+""")
+def spam_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", rules.spam_reasons(F.col("text")).alias("r"))
+    phrases = F.size(F.filter("r", lambda x: F.startswith(x, F.lit("restricted:")))).cast("long")
+    return found.select("doc_id", F.array_contains("r", "contains-url").alias("has_url"), phrases.alias("phrases"))
+
+
+@query()
+def simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose fingerprint is within 16 bits of one of the 100 before them by the same role."""
+    from pyspark.sql import Window
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", rules.fingerprint("text").alias("f")).where("f IS NOT NULL")
+    w = Window.partitionBy("role", F.col("conv_id") % 50).orderBy("conv_id", "turn").rowsBetween(-100, -1)
+    near = turns.withColumn("before", F.collect_list("f").over(w)).where(F.exists("before", lambda b: rules.hamming(F.col("f"), b) <= 16))
+    return near.select("conv_id", "turn", "f")
+
+
+@query(r"""
+SELECT c_custkey, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g'), ' ', '-', 'g') AS slug, CASE WHEN length(regexp_replace(c_name, '\D', '', 'g')) >= 7 THEN right(regexp_replace(c_name, '\D', '', 'g'), 10) END AS phone FROM customer
+""")
+def slug_and_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.slug(F.col("c_name")).alias("slug"), text.phone(F.col("c_name")).alias("phone"))
+
+
+@query("""
+SELECT n_nationkey, n_name, CASE WHEN n_name ILIKE 'u%' THEN 0 ELSE 1 END AS starts FROM nation WHERE n_name ILIKE '%u%' ORDER BY starts, n_name LIMIT 8
+""")
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a search text: those that begin with it first."""
+    starts = F.when(F.col("n_name").ilike("u%"), 0).otherwise(1)
+    return table(spark, sf_dir, "nation").where(F.col("n_name").ilike("%u%")).select("n_nationkey", "n_name", starts.alias("starts")).orderBy("starts", "n_name").limit(8)
