@@ -1 +1,33 @@
-"""Queries."""
+"""Arrival-time policies over events, as batch queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.feeds import table
+from ..streaming import policies
+from .registry import query
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_type, event_id, ts, k, ts AS last, true AS ok FROM e WHERE k = 1 UNION ALL
+ SELECT e.user_id, e.event_type, e.event_id, e.ts, e.k, CASE WHEN e.ts - r.last > INTERVAL 24 HOUR THEN e.ts ELSE r.last END, e.ts - r.last > INTERVAL 24 HOUR FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.k = r.k + 1)
+SELECT user_id, event_type, event_id FROM r WHERE ok
+""")
+def dedup_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events more than 24 hours after the last accepted one of their user and type."""
+    return policies.accepted_batch(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", ["event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("""
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS before FROM events
+""")
+def rate_limit_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policies.rate_counts(table(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", "before")
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policies.daily_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts")
