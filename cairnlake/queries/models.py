@@ -52,25 +52,25 @@ def days(df: DataFrame) -> DataFrame:
 
 @query(f"""
 WITH x AS (SELECT p_partkey, p_size, {_P} AS p, {_HABITAT} AS habitat, {_WEATHER} AS weather FROM part), s AS (SELECT *, {_CLAMP.format(x='habitat * 0.44 + weather * 0.56')} AS score FROM x)
-SELECT p_partkey, round(habitat, 6) AS habitat, round(weather, 6) AS weather, round(score, 6) AS score, CASE WHEN score < 0.3 THEN 'Low' WHEN score < 0.55 THEN 'Moderate' WHEN score < 0.75 THEN 'High' ELSE 'Very high' END AS level,
- round({_CLAMP.format(x='(p * 0.65 + 0.35) * (1 - least(p_size % 9, 7) * 0.045)')}, 6) AS confidence FROM s
+SELECT p_partkey, round(habitat, 9) AS habitat, round(weather, 9) AS weather, round(score, 9) AS score, CASE WHEN score < 0.3 THEN 'Low' WHEN score < 0.55 THEN 'Moderate' WHEN score < 0.75 THEN 'High' ELSE 'Very high' END AS level,
+ round({_CLAMP.format(x='(p * 0.65 + 0.35) * (1 - least(p_size % 9, 7) * 0.045)')}, 9) AS confidence FROM s
 """)
 def daily_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = profiles(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size")), "p_partkey")
     out = daily.score_daily(days(rows))
-    return out.select("p_partkey", *(F.round(c, 6).alias(c) for c in ("habitat", "weather", "score", "confidence")), "level")
+    return out.select("p_partkey", *(F.round(c, 9).alias(c) for c in ("habitat", "weather", "score", "confidence")), "level")
 
 
 @query(f"""
 WITH x AS (SELECT p_partkey, p_size, {_P} AS p, {_HABITAT} * 0.5 + {_CLAMP.format(x=_S)} * 0.35 + {_CLAMP.format(x=f'({_S} * 800 - 80) / 570')} * 0.15 AS base FROM part)
-SELECT p_partkey, round({_CLAMP.format(x=f"(base + (p_size % 5 - 2) * 0.035 * least(1, p_size / 50.0::DOUBLE) + tanh((p_size % 60 - 30) / 45.0::DOUBLE) * 0.12) * {_CLAMP.format(x='(p_size * 0.6 - 4) / 10')}")}, 6) AS score,
- round({_CLAMP.format(x='(p * 0.7 + 0.3) * 0.78 * (1 - least(p_size % 8, 6) * 0.055)')}, 6) AS confidence FROM x
+SELECT p_partkey, round({_CLAMP.format(x=f"(base + (p_size % 5 - 2) * 0.035 * least(1, p_size / 50.0::DOUBLE) + tanh((p_size % 60 - 30) / 45.0::DOUBLE) * 0.12) * {_CLAMP.format(x='(p_size * 0.6 - 4) / 10')}")}, 9) AS score,
+ round({_CLAMP.format(x='(p * 0.7 + 0.3) * 0.78 * (1 - least(p_size % 8, 9) * 0.055)')}, 9) AS confidence FROM x
 """)
 def monthly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("size")
     rows = profiles(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size")), "p_partkey")
     rows = rows.select("*", (n / F.lit(50.0)).alias("seasonality"), (n % 5 - 2).cast("double").alias("temperatureAnomalyC"), (n % 60 - 30).cast("double").alias("precipitationAnomalyMm"), (n * 0.6).alias("temperatureMeanC"), (n % 8).cast("int").alias("monthOffset"))
-    return daily.score_monthly(rows).select("p_partkey", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+    return daily.score_monthly(rows).select("p_partkey", F.round("score", 9).alias("score"), F.round("confidence", 9).alias("confidence"))
 
 
 _EVENT_DAYS = "d AS (SELECT user_id, CAST(ts AS DATE) AS day, round(sum(value) / 10, 6) AS rain, round(avg(value) / 4, 6) AS temp FROM events GROUP BY 1, 2)"
