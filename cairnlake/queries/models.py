@@ -11,11 +11,11 @@ from ..sources.feeds import table
 from .registry import query
 
 # A profile for each part: shares from its size (1 to 50) and price.
-_S, _P = "(p_size / 50.0::DOUBLE)", "((p_retailprice - 900) / 1200)"
+_S, _P = "(p_size / 50.0::DOUBLE)", "((p_retailprice - 900) / 1201)"
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, p = F.col("p_size") / F.lit(50.0), (F.col("p_retailprice") - 900) / 1200
+    s, p = F.col("p_size") / F.lit(50.0), (F.col("p_retailprice") - 900) / 1201
     ring = F.struct(s.alias("within250m"), p.alias("from250mTo1km"), (s * p).alias("from1kmTo5km"), (s * p).alias("from1kmTo3km"))
     names = ("wetlandCoverage", "marshCoverage", "seasonalWaterCoverage", "forestCoverage")
     some = ("smallWaterBodyDensity", "stagnantWaterPotential", "lakeShorelineProximity", "slowRiverProximity", "vegetationCoverage", "floodplainExposure")
@@ -64,7 +64,7 @@ def daily_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH x AS (SELECT p_partkey, p_size, {_P} AS p, {_HABITAT} * 0.5 + {_CLAMP.format(x=_S)} * 0.35 + {_CLAMP.format(x=f'({_S} * 800 - 80) / 570')} * 0.15 AS base FROM part)
 SELECT p_partkey, round({_CLAMP.format(x=f"(base + (p_size % 5 - 2) * 0.035 * least(1, p_size / 50.0::DOUBLE) + tanh((p_size % 60 - 30) / 45.0::DOUBLE) * 0.12) * {_CLAMP.format(x='(p_size * 0.6 - 4) / 10')}")}, 9) AS score,
- round({_CLAMP.format(x='(p * 0.7 + 0.3) * 0.78 * (1 - least(p_size % 8, 9) * 0.055)')}, 9) AS confidence FROM x
+ round({_CLAMP.format(x='(p * 0.7 + 0.3) * 0.78 * (1 - least(p_size % 8, 6) * 0.055)')}, 9) AS confidence FROM x
 """)
 def monthly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("size")
