@@ -244,20 +244,20 @@ def join(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
 
     in_band = texts.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
     buckets = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    ties = join_unique(in_band, buckets, "bucket", "n", "node")
+    ties = join_unique(in_band, buckets, "bucket", "n", "node", store=True)
     units = checkpoint(components(ties.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))))
 
     members = texts.join(units, "node")
     chunk_count = F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n_grams") / CHUNK_GRAMS)).alias("chunks")
     sizes = members.groupBy("component").agg(chunk_count, F.count("*").alias("n"))
-    placed = checkpoint(join_unique(members, sizes, "component", "n", "node"))
+    placed = checkpoint(join_unique(members, sizes, "component", "n", "node", store=True))
     most = bands if MOST_CHUNKS is None else MOST_CHUNKS
     whole = placed.where(F.col("chunks") <= most).select("node", "copies", "bands", F.col("component").alias("unit"), F.lit(-1).alias("band"), "chunks")
     # Units of more chunks than there are bands are cheaper bucket by bucket.
     vast = placed.where(F.col("chunks") > most)
     in_bucket = vast.select("node", "copies", "bands", "n_grams", F.posexplode("bands").alias("band", "hash")).withColumn("unit", F.xxhash64("band", "hash"))
     per_bucket = in_bucket.groupBy("unit").agg(chunk_count, F.count("*").alias("n")).where("n > 1")
-    split = join_unique(in_bucket, per_bucket, "unit", "n", "node").select("node", "copies", "bands", "unit", "band", "chunks")
+    split = join_unique(in_bucket, per_bucket, "unit", "n", "node", store=True).select("node", "copies", "bands", "unit", "band", "chunks")
     tasks = whole.unionByName(split).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumnRenamed("node", "doc_id")
 
     wanted = docs.join(tasks.hint("shuffle_hash"), "doc_id").withColumnRenamed("doc_id", "node")
@@ -273,7 +273,7 @@ def join(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
         same.join(counts, "node", "left").join(classes, "node", "left")
         .select("digest", "copies", "n_rows", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    worded = join_unique(signed.where("n_grams > 0").select("doc_id", "digest"), info, "digest", "n_rows", "doc_id")
+    worded = join_unique(signed.where("n_grams > 0").select("doc_id", "digest"), info, "digest", "n_rows", "doc_id", store=True)
     out = worded.select("doc_id", "class_id", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), "n_texts", F.col("copies").alias("n_copies"))
     alone = signed.where("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(alone)

@@ -25,6 +25,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of an Arrow batch that a Python worker gets, at most, unless the session already asks for less.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the memory of Python workers and of their buffers low for long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "64m", "67108864"):  # the default
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -33,15 +44,16 @@ def partitions(spark: SparkSession) -> int:
 HOT_SHARE = 1000
 
 
-def join_unique(rows: DataFrame, one: DataFrame, key: str, counts: str, spread: str, how: str = "inner") -> DataFrame:
+def join_unique(rows: DataFrame, one: DataFrame, key: str, counts: str, spread: str, how: str = "inner", store: bool = False) -> DataFrame:
     """Join rows with a table that has one row for each key, where a few keys may have a large part of the rows.
 
     ``counts`` is a column of ``one`` with the number of rows that its key has.  Keys with more than a
     thousandth of all counted rows number under a thousand, whatever the input's size: these names are
     broadcast, their rows are dealt over salts by the column ``spread``, and their row of ``one`` is repeated
-    for each salt.
+    for each salt.  ``one`` is read three times; store: from a checkpoint, which keeps plans small.
     """
     salts = partitions(rows.sparkSession)
+    one = checkpoint(one) if store else one
     total = one.agg(F.sum(counts).alias("__total"))
     marked = one.crossJoin(F.broadcast(total)).withColumn("__hot", F.col(counts) * HOT_SHARE > F.col("__total")).drop("__total")
     hot = marked.where("__hot").select(F.col(key).alias("__key"))
