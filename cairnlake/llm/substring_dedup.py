@@ -70,33 +70,32 @@ def _in_order(n, least, j):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, marks = batch.column("id").to_numpy(), batch.column("found")
+        ids = batch.column("id").to_numpy()
+        owner, place, marks, mark_off = wn.places(batch.column("found"), ids)
         for lo, hi, buf, off in ts.scan(batch.column("text")):
             raw, sq_off = squeeze(buf, off)
             start, end, word_off = ts.words(raw, sq_off)
-            counts, removed, digests = np.diff(word_off), [], []
-            text = raw.tobytes()
-            for d in range(hi - lo):
-                gone = np.zeros(counts[d] + 1, np.int64)
-                for x in marks[lo + d].as_py() or ():
-                    if x["id"] == ids[lo + d]:
-                        hit = x["start"] + np.flatnonzero(np.array(x["marks"], np.int64) < x["id"])
-                        np.add.at(gone, hit, 1)
-                        np.add.at(gone, hit + WIDTH, -1)
-                lost = np.cumsum(gone[:-1]) > 0
-                removed.append(int(lost.sum()))
-                if removed[-1]:
-                    s, e = start[word_off[d] : word_off[d + 1]], end[word_off[d] : word_off[d + 1]]
-                    left = b" ".join(text[a:z] for a, z in zip(s[~lost].tolist(), e[~lost].tolist(), strict=True))
-                elif counts[d]:
-                    left = text[start[word_off[d]] : end[word_off[d + 1] - 1]]
-                else:
-                    left = b""
-                digests.append((hashlib.sha256(left).hexdigest(), left))
+            a, z = np.searchsorted(owner, [lo, hi])
+            size = np.diff(mark_off[a : z + 1])
+            doc = np.repeat(owner[a:z], size)
+            hit = np.flatnonzero(marks[mark_off[a] : mark_off[z]] < ids[doc])
+            first = (word_off[owner[a:z] - lo] + place[a:z]).repeat(size)[hit] + ts.ragged(np.zeros(z - a, np.int64), size)[hit]
+            gone = np.bincount(first, minlength=len(start) + 1) - np.bincount(first + WIDTH, minlength=len(start) + 1)
+            lost = np.cumsum(gone[: len(start)]) > 0
+            removed = ts.per_document(lost, word_off)
+            # Kept words with one space behind each; the last space of a text goes.
+            flags = np.zeros(len(raw) + 1, np.int64)
+            flags[start[lost]] = 1
+            flags[end[lost]] -= 1
+            keep = np.cumsum(flags[:-1]) == 0
+            behind = end[lost][end[lost] < len(raw)]
+            keep[behind[raw[behind] == 32]] = False
+            text, text_off = raw[keep].tobytes(), np.r_[0, np.cumsum(keep)][sq_off].tolist()
+            left = [text[s:e].rstrip(b" ") for s, e in zip(text_off[:-1], text_off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([None if i == wn.NO_ID else i for i in ids[lo:hi].tolist()], pa.int64()), pa.array(counts), pa.array(removed, pa.int64()),
-                    pa.array([x for x, _ in digests]), pa.array([x.decode("utf-8", "replace") for _, x in digests]),
+                    wn.doc_ids(ids[lo:hi]), pa.array(np.diff(word_off)), pa.array(removed),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()), pa.array(left, pa.binary()).cast(pa.string()),
                 ],
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )

@@ -67,29 +67,27 @@ def _spans(n, least, j):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, marks = batch.column("id").to_numpy(), batch.column("found")
+        ids = batch.column("id").to_numpy()
+        owner, place, marks, mark_off = wn.places(batch.column("found"), ids)
         for lo, hi, buf, off in ts.scan(batch.column("text")):
-            removed, spans, digests, gaps = [], [], [], []
-            for d in range(hi - lo):
-                own = buf[off[d] : off[d + 1]]
-                found = [x for x in marks[lo + d].as_py() or () if x["id"] == ids[lo + d]]
-                if not found:
-                    removed.append(0), spans.append(0), gaps.append([])
-                    digests.append(hashlib.sha256(own.tobytes()).hexdigest())
-                    continue
-                gone = np.zeros(len(own) + 1, np.int64)
-                for x in found:
-                    ends = x["start"] + np.array(x["marks"], np.int64).reshape(-1, 2)
-                    np.add.at(gone, ends[:, 0], 1)
-                    np.add.at(gone, ends[:, 1] + WIDTH - 1, -1)
-                lost = np.cumsum(gone[:-1]) > 0
-                change = np.flatnonzero(np.diff(np.r_[False, lost, False].astype(np.int8)))
-                removed.append(int(lost.sum())), spans.append(len(change) // 2), gaps.append(change.tolist())
-                digests.append(hashlib.sha256(own[~lost].tobytes()).hexdigest())
+            a, z = np.searchsorted(owner, [lo, hi])
+            base = (off[owner[a:z] - lo] + place[a:z]).repeat(np.diff(mark_off[a : z + 1]))
+            ends = (base + marks[mark_off[a] : mark_off[z]]).reshape(-1, 2)
+            gone = np.bincount(ends[:, 0], minlength=len(buf) + 1) - np.bincount(ends[:, 1] + WIDTH - 1, minlength=len(buf) + 1)
+            lost = np.cumsum(gone[: len(buf)]) > 0
+            removed = ts.per_document(lost, off)
+            edge = np.zeros(len(buf) + 1, bool)
+            edge[off] = True
+            begins = np.flatnonzero(lost & np.r_[True, ~lost[:-1] | edge[1:-1]]) if len(buf) else np.zeros(0, np.int64)
+            stops = np.flatnonzero(lost & np.r_[~lost[1:] | edge[1:-1], True]) + 1 if len(buf) else begins
+            per = np.searchsorted(begins, off)
+            flat = np.stack([begins, stops], 1) - np.repeat(off[:-1], np.diff(per))[:, None]
+            text, text_off = buf[~lost].tobytes(), np.r_[0, np.cumsum(~lost)][off].tolist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([None if i == wn.NO_ID else i for i in ids[lo:hi].tolist()], pa.int64()), pa.array(np.diff(off)), pa.array(removed, pa.int64()),
-                    pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(gaps, pa.list_(pa.int64())),
+                    wn.doc_ids(ids[lo:hi]), pa.array(np.diff(off)), pa.array(removed), pa.array(np.diff(per)),
+                    pa.array([hashlib.sha256(text[s:e]).hexdigest() for s, e in zip(text_off[:-1], text_off[1:], strict=True)], pa.string()),
+                    ts.lists(flat.ravel(), 2 * per, pa.int64()),
                 ],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
             )

@@ -4,14 +4,16 @@ A text is a sequence of symbols (bytes or words).  The least fingerprint among t
 its minimiser, so equal windows have equal minimisers wherever they stand.  Consecutive windows with the same
 minimiser form a run, which travels as one packed string.
 
-1. Minimisers are counted.  One that was seen once can't belong to a repeated window, so its runs never travel.
-2. Runs with a repeated minimiser are packed and equal strings are counted as one, before and after a shuffle.
-3. The different strings of a minimiser meet in its bucket, where an operator's own sorter marks windows.
-   Minimisers with very many occurrences have no bucket: their strings are taken apart into single windows,
-   and equal windows are combined before and after a shuffle.
-4. The marks go back to the strings' places, and from there to the documents.
-
-The texts are shuffled once, by row; the runs of rows that have none never leave their task.
+1. Minimisers are shuffled by value and counted in sorted order.  One that was seen once can't belong to a
+   repeated window, so its runs never travel.  A value that many texts of one batch have is not shuffled by
+   value but spread, with one row that tells its number; so no task gets all rows of a frequent value.
+2. Runs with a repeated minimiser are packed and sent to its bucket, where an operator's own sorter marks
+   windows.
+3. Minimisers with very many occurrences have no bucket: equal strings are counted as one, before and after a
+   shuffle, the different ones are taken apart into single windows, equal windows are combined in the same way,
+   and the marks go back to the strings and from there to their places.
+
+The texts are shuffled once, by row.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .shared import checkpoint, join_unique
+from .shared import checkpoint, join_unique, small_batches
 
 #: Stands for a null doc_id, and sorts before any other.
 NO_ID = -(1 << 63)
@@ -86,38 +89,124 @@ def runs(least: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(ends) - start + 1
 
 
+#: A value that so many texts of one batch have is spread instead of sent to its place.
+CROWD = 8
+PLAIN, SPREAD, SUMMARY = 0, 1, 2
+
+
+def _values(kind: Kind, within: bool, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, minimiser and n of the minimisers of some texts; n counts places where places in one text count, or is 1."""
+    _, symbols, sym_off, _, _ = kind.symbols(buf, off)
+    grams, least, valid = minimisers(kind, symbols, sym_off)
+    if within:
+        # A k-gram is a minimiser if it equals the greatest of the minima of the windows around it.
+        w = kind.width - kind.gram + 1
+        held = np.zeros(len(least) + 2 * (w - 1), np.uint64)
+        held[w - 1 : w - 1 + len(least)] = np.where(valid, least, np.uint64(0))
+        at = np.flatnonzero(grams == ~sliding_min(~held, w)) if len(least) else np.zeros(0, np.int64)
+        value = grams[at]
+    else:
+        at, _ = runs(least, valid)
+        value = least[at]
+    doc = np.searchsorted(sym_off, at, "right") - 1
+    order = np.lexsort((value, doc))
+    value, doc = value[order], doc[order]
+    new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]) if len(value) else np.zeros(0, np.int64)
+    n = np.minimum(np.diff(np.r_[new, len(value)]), 2) if within else np.ones(len(new), np.int64)
+    return doc[new], value[new], n
+
+
+SEEN = "place long, rid long, value long, n long, kind int"
+
+
 def _count(kind: Kind, within: bool):
-    """(rid, value, n): the minimisers of each row; n counts places where within a row counts, or is 1."""
+    """The minimisers of each row, and where to send them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for lo, _, buf, off in ts.scan(batch.column("text")):
-                _, symbols, sym_off, _, _ = kind.symbols(buf, off)
-                grams, least, valid = minimisers(kind, symbols, sym_off)
-                if within:
-                    # A k-gram is a minimiser if it equals the greatest of the minima of the windows around it.
-                    w = kind.width - kind.gram + 1
-                    held = np.zeros(len(least) + 2 * (w - 1), np.uint64)
-                    held[w - 1 : w - 1 + len(least)] = np.where(valid, least, np.uint64(0))
-                    at = np.flatnonzero(grams == ~sliding_min(~held, w)) if len(least) else np.zeros(0, np.int64)
-                    value = grams[at]
-                else:
-                    at, _ = runs(least, valid)
-                    value = least[at]
-                doc = np.searchsorted(sym_off, at, "right") - 1
-                order = np.lexsort((value, doc))
-                value, doc = value[order], doc[order]
-                new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]) if len(value) else np.zeros(0, np.int64)
-                n = np.diff(np.r_[new, len(value)]) if within else np.ones(len(new), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[lo + doc[new]]), pa.array(value[new].view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["rid", "value", "n"]
-                )
+            got = [(lo + doc, value, n) for lo, _, buf, off in ts.scan(batch.column("text")) for doc, value, n in [_values(kind, within, buf, off)]]
+            if not got:
+                continue
+            doc, value, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.argsort(value, kind="stable")
+            doc, value, n = doc[order], value[order], n[order]
+            new = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[new, len(value)])
+            crowded = np.repeat(size >= CROWD, size)
+            many = new[size >= CROWD]
+            total = np.add.reduceat(n, new)[size >= CROWD] if len(new) else new
+            rows = rid[doc]
+            place = np.where(crowded, ts.mix(value + rows.view(np.uint64)), value)
+            columns = (
+                np.concatenate([place, value[many]]).view(np.int64), np.concatenate([rows, np.zeros(len(many), np.int64)]),
+                np.concatenate([value, value[many]]).view(np.int64), np.concatenate([n, total]),
+                np.concatenate([np.where(crowded, SPREAD, PLAIN), np.full(len(many), SUMMARY)]).astype(np.int32),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "rid", "value", "n", "kind"])
 
     return run
 
 
-PIECES = "id long, rid long, start long, bucket long, hot boolean, packed binary"
+REPEATED = "rid long, value long, n long, kind int"
+
+
+def _repeated(most: int):
+    """From rows sorted by place: those whose value has a sum of n over 1; n becomes that sum, or most + 1 if it is more.
+
+    A value's rows are held back only until its sum is over ``most``, so memory is bounded for any value.
+    """
+
+    def out(rid, value, n, kind) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (rid, value, n)] + [pa.array(np.asarray(kind, np.int32))], ["rid", "value", "n", "kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # rid, value, n, kind of the last place's rows so far
+        for batch in batches:
+            place, *rest = (batch.column(c).to_numpy() for c in ("place", "rid", "value", "n", "kind"))
+            rows = np.stack([place, *(x.astype(np.int64) for x in rest)], 1)
+            spread = rows[:, 4] == SPREAD
+            if spread.any():
+                yield out(rows[spread, 1], rows[spread, 2], rows[spread, 3], rows[spread, 4])
+                rows = rows[~spread]
+            if held:
+                rows = np.concatenate([*held, rows])
+                held = []
+            if not len(rows):
+                continue
+            new = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
+            total = np.add.reduceat(rows[:, 3], new)
+            size = np.diff(np.r_[new, len(rows)])
+            # The last place may go on in the next batch.
+            if total[-1] <= most:
+                held = [rows[new[-1] :]]
+                rows, total, size = rows[: new[-1]], total[:-1], size[:-1]
+            else:
+                # It is over the bound: a single row with the sum stands for it from here on.
+                last = rows[-1:].copy()
+                last[0, 1], last[0, 3], last[0, 4] = 0, total[-1], HELD
+                held = [last]
+            yield from told(rows, total, size, most)
+        if held:
+            rows = np.concatenate(held)
+            yield from told(rows, np.array([rows[:, 3].sum()]), np.array([len(rows)]), most)
+
+    def told(rows: np.ndarray, total: np.ndarray, size: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+        if not len(rows):
+            return
+        n = np.repeat(np.minimum(total, most + 1), size)
+        good = (n > 1) & (rows[:, 4] != HELD)
+        yield out(rows[good, 1], rows[good, 2], n[good], rows[good, 4])
+
+    return run
+
+
+#: A row of this kind only carries a sum from one batch to the next.
+HELD = 3
+
+
+PIECES = "id long, rid long, start long, bucket long, packed binary"
+PLACES = "rid long, id long, start long, marks array<long>"
 
 
 def _pack(kind: Kind):
@@ -126,35 +215,41 @@ def _pack(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rid = batch.column("id").to_numpy(), batch.column("rid").to_numpy()
-            cold_of, hot_of = batch.column("cold"), batch.column("hot")
+            wanted, wanted_off = flat(batch.column("wanted"))
             for lo, hi, buf, off in ts.scan(batch.column("text")):
                 raw, symbols, sym_off, sym_start, sym_end = kind.symbols(buf, off)
                 _, least, valid = minimisers(kind, symbols, sym_off)
                 start, length = runs(least, valid)
                 doc = np.searchsorted(sym_off, start, "right") - 1
                 value = least[start]
-                take, hot = np.zeros(len(start), bool), np.zeros(len(start), bool)
-                where = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for d in range(hi - lo):
-                    own = slice(where[d], where[d + 1])
-                    for column, flag in ((cold_of, take), (hot_of, hot)):
-                        wanted = np.sort(column[lo + d].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                        if len(wanted):
-                            flag[own] = wanted[np.minimum(np.searchsorted(wanted, value[own]), len(wanted) - 1)] == value[own]
-                at = np.flatnonzero(take | hot)
+                of = np.repeat(np.arange(hi - lo), np.diff(wanted_off[lo : hi + 1]))
+                keys = np.sort(_in_text(wanted[wanted_off[lo] : wanted_off[hi]].view(np.uint64), of))
+                mine = _in_text(value, doc)
+                at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, mine), len(keys) - 1)] == mine) if len(keys) else np.zeros(0, np.int64)
                 first = sym_start[start[at]]
                 last = sym_end[start[at] + length[at] + kind.width - 2]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[lo + doc[at]]), pa.array(rid[lo + doc[at]]), pa.array(start[at] - sym_off[doc[at]]),
-                        pa.array(value[at].view(np.int64)), pa.array(hot[at]), ts.strings(raw, first, last - first),
+                        pa.array(value[at].view(np.int64)), ts.strings(raw, first, last - first),
                     ],
-                    ["id", "rid", "start", "bucket", "hot", "packed"],
+                    ["id", "rid", "start", "bucket", "packed"],
                 )
 
     return run
 
 
+def _in_text(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return ts.mix(value + doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists of longs, and the rows' offsets in them; a null is an empty list."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(size)]
+
+
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return ts.utf8(column.cast(pa.large_binary()).view(pa.large_string()))
@@ -163,9 +258,23 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _sort_buckets(sorter: Sorter):
     def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        buf, off = _binary(table["packed"])
-        marks, at = sorter(buf, off, *(table[c].to_numpy() for c in ("bucket", "n", "least")))
-        return pa.RecordBatch.from_arrays([table["sid"].combine_chunks(), table["n"].combine_chunks(), ts.lists(marks, at, pa.int64())], ["sid", "n", "marks"])
+        # Equal strings of a bucket are one string with a count and a least doc_id.
+        strings = table["packed"].combine_chunks().dictionary_encode()
+        bucket, ids = table["bucket"].to_numpy(), table["id"].to_numpy()
+        code = strings.indices.to_numpy()
+        order = np.lexsort((ids, code, bucket))
+        new = np.flatnonzero(np.r_[True, (bucket[order][1:] != bucket[order][:-1]) | (code[order][1:] != code[order][:-1])])
+        n = np.diff(np.r_[new, len(order)])
+        buf, off = _binary(strings.dictionary.take(pa.array(code[order[new]])))
+        marks, at = sorter(buf, off, bucket[order[new]], n, ids[order[new]])
+        which = np.empty(len(order), np.int64)
+        which[order] = np.repeat(np.arange(len(new)), n)
+        size = np.diff(at)[which]
+        some = np.flatnonzero(size)
+        values = marks[ts.ragged(at[which[some]], size[some])]
+        return pa.RecordBatch.from_arrays(
+            [*(table[c].combine_chunks().take(pa.array(some)) for c in ("rid", "id", "start")), ts.lists(values, np.r_[0, np.cumsum(size[some])], pa.int64())], ["rid", "id", "start", "marks"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -223,24 +332,47 @@ def occurrences(documents: DataFrame, kind: Kind, sorter: Sorter, hot_mark, with
     hot_mark: from n and least of a single window and j to its mark, or null; they are collected in order.
     within: whether places in one document count as repeated.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("id", F.xxhash64("id", "text").alias("rid"), "text")
-    seen = docs.select("rid", "text").mapInArrow(_count(kind, within), "rid long, value long, n int")
-    repeated = seen.groupBy("value").agg(F.sum("n").alias("n")).where("n > 1")
-    wanted = join_unique(seen.select("rid", "value"), repeated, "value", "n", "rid")
+    seen = docs.select("rid", "text").mapInArrow(_count(kind, within), SEEN)
+    told = checkpoint(seen.repartition("place").sortWithinPartitions("place").mapInArrow(_repeated(kind.most), REPEATED))
+    spread = join_unique(told.where(F.col("kind") == SPREAD).select("rid", "value"), told.where(F.col("kind") == SUMMARY).groupBy("value").agg(F.max("n").alias("n")), "value", "n", "rid")
+    wanted = told.where(F.col("kind") == PLAIN).select("rid", "value", "n").unionByName(spread.select("rid", "value", "n"))
     is_hot = F.col("n") > kind.most
     wanted = checkpoint(
         wanted.groupBy("rid").agg(F.collect_set(F.when(~is_hot, F.col("value"))).alias("cold"), F.collect_set(F.when(is_hot, F.col("value"))).alias("hot"))
     )
-    pieces = docs.join(wanted.hint("shuffle_hash"), "rid").select("id", "rid", "text", "cold", "hot").mapInArrow(_pack(kind), PIECES)
+
+    def pieces(which: str) -> DataFrame:
+        named = wanted.where(F.size(which) > 0).select("rid", F.col(which).alias("wanted"))
+        return docs.join(named.hint("shuffle_hash"), "rid").select("id", "rid", "text", "wanted").mapInArrow(_pack(kind), PIECES)
+
+    cold = pieces("cold").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(sorter), PLACES)
+    if wanted.where(F.size("hot") > 0).isEmpty():
+        return docs, cold
     sid = F.unhex(F.md5("packed")).alias("sid")
-    strings = pieces.groupBy("bucket", "hot", "packed").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    cold = strings.where("NOT hot").select("bucket", sid, "packed", "n", "least")
-    cold = cold.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(sorter), "sid binary, n long, marks array<long>")
-    single = strings.where("hot").select(sid, "packed", "n", "least").mapInArrow(_windows(kind), "sid binary, n long, least long, j long, window binary")
+    strings = pieces("hot").groupBy("packed").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    single = strings.select(sid, "packed", "n", "least").mapInArrow(_windows(kind), "sid binary, n long, least long, j long, window binary")
     same = single.groupBy("window").agg(F.sum("n").alias("w_n"), F.min("least").alias("w_least"), F.count("*").alias("w_rows"))
     marked = join_unique(single.select("sid", "n", "j", "window"), same, "window", "w_rows", "sid")
-    marked = marked.groupBy("sid").agg(F.max("n").alias("n"), hot_mark(F.col("w_n"), F.col("w_least"), F.col("j")).alias("marks"))
-    marks = cold.unionByName(marked).where(F.size("marks") > 0)
-    places = pieces.select("rid", "id", "start", sid)
-    return docs, join_unique(places, marks, "sid", "n", "rid").select("rid", "id", "start", "marks")
+    marks = marked.groupBy("sid").agg(F.max("n").alias("n"), hot_mark(F.col("w_n"), F.col("w_least"), F.col("j")).alias("marks")).where(F.size("marks") > 0)
+    places = pieces("hot").select("rid", "id", "start", sid)
+    return docs, cold.unionByName(join_unique(places, marks, "sid", "n", "rid").select("rid", "id", "start", "marks"))
+
+
+def places(found: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A column of lists of (id, start, marks) as row, start, flat marks and their offsets, by row; an entry of
+    another id, whose row's hash happens to be the same, is left out."""
+    found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+    size = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    entries = pc.list_flatten(found)
+    row = np.repeat(np.arange(len(size)), size)
+    own = np.flatnonzero(entries.field("id").to_numpy() == ids[row])
+    entries = entries.take(pa.array(own))
+    marks, off = flat(entries.field("marks"))
+    return row[own], entries.field("start").to_numpy(), marks, off
+
+
+def doc_ids(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NO_ID)
