@@ -2,7 +2,7 @@
 
 Shallow: multikey quicksort with eight bytes as one character.  Every step sorts all groups that are not yet
 told apart by their next character and splits them.  Deep: suffixes that still agree after the shallow depth
-have a long common prefix; each such group gets a blind trie, a tree that stores only branching places.  A
+have a long common prefix; each such group, if it isn't too large, gets a blind trie, a tree that stores only branching places.  A
 suffix goes down the trie by the characters at those places alone, is compared once with the leaf it reaches,
 and is put in where the two part.  The tries of all groups grow side by side, one suffix of each at a time.
 """
@@ -13,6 +13,8 @@ import numpy as np
 
 CHARACTER = 8
 SHALLOW = 4
+#: Suffixes in a trie, at most.
+TRIE = 16
 
 
 def characters(buf: np.ndarray) -> np.ndarray:
@@ -88,29 +90,47 @@ class _Tries:
 
 
 def classes(buf: np.ndarray, pos: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
-    """A number for each suffix, the same for suffixes of one group that agree in their first width bytes."""
+    """A number for each suffix, the same for suffixes of one group that agree in their first width bytes.
+
+    Groups that the shallow sort leaves go to tries if they have up to ``TRIE`` suffixes; larger ones are split
+    by further characters first.
+    """
     depth = width // CHARACTER
     chars = characters(buf)
     out = np.arange(len(pos))
     live = np.arange(len(pos))
     key, part = group.view(np.uint64) if group.dtype == np.int64 else group, np.zeros(len(pos), np.int64)
-    for level in range(-1, min(SHALLOW, depth)):
+    deep, deep_part, made = [], [], 0
+    for level in range(-1, depth):
+        if not len(live):
+            break
         if level >= 0:
             key = chars[pos[live] + level * CHARACTER].astype(np.uint64)
         order = np.lexsort((key, part)) if level >= 0 else np.argsort(key, kind="stable")
         live, key, part = live[order], key[order], part[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])] if len(live) else np.zeros(0, bool)
-        more = ~(new & np.r_[new[1:], True]) if len(live) else new
+        new = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+        begins = np.flatnonzero(new)
+        size = np.diff(np.r_[begins, len(live)])
+        per = np.repeat(size, size)
         part = np.cumsum(new)
+        more = per > 1
+        if level >= SHALLOW - 1:
+            ready = more & (per <= TRIE)
+            deep.append(live[ready]), deep_part.append(part[ready] + made)
+            made += len(begins) + 1
+            more &= per > TRIE
         live, part = live[more], part[more]
-        if not len(live):
-            return out
+    if len(live):  # large groups that agree to the full width
+        begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        out[live] = np.repeat(live[begins], np.diff(np.r_[begins, len(live)]))
+    live, part = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (deep, deep_part))
+    if not len(live):
+        return out
     begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     size = np.diff(np.r_[begins, len(live)])
     by_size = np.argsort(-size, kind="stable")
     begins, size = begins[by_size], size[by_size]
-    base = pos[live] + SHALLOW * CHARACTER
-    tries = _Tries(chars, base, max(0, depth - SHALLOW), begins)
+    tries = _Tries(chars, pos[live] + SHALLOW * CHARACTER, max(0, depth - SHALLOW), begins)
     same = np.arange(len(live))
     for turn in range(1, int(size[0])):
         many = int(np.searchsorted(-size, -turn, "left"))  # tries with a suffix left
