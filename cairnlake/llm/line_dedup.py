@@ -88,7 +88,7 @@ def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, least: int = LEAST
     kept = F.filter(numbers, lambda j: ~F.array_contains("removed", j))
     text = F.when(gone, F.array_join(F.transform(kept, lambda j: _chunk(j)[0]), "\n")).otherwise(F.col("text"))
     lost = F.aggregate("removed", F.lit(0), lambda total, j: total + _chunk(j)[1])
-    out = cut.select(
+    columns = (
         *(F.col(c) for c in documents.columns if c != "text"),
         text.alias("text"),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
@@ -96,7 +96,9 @@ def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, least: int = LEAST
         F.when(gone, F.size("removed")).otherwise(0).cast("long").alias("removed_chunks"),
         F.when(gone, lost).otherwise(0).cast("long").alias("removed_lines"),
     )
-    return out
+    # As rows of a generator, so that a filter on the new text isn't pushed below it, where Catalyst would write
+    # out the whole expression, and with it all hashes of the document, for each line.
+    return cut.select(F.inline(F.array(F.struct(*columns))))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
