@@ -23,7 +23,7 @@ def seasonality(day: Column, latitude: Column) -> Column:
 
 def hours_between(start: Column, end: Column, fallback: float = 12.0) -> Column:
     seconds = F.unix_timestamp(end) - F.unix_timestamp(start)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(24.0), seconds / 3600.0)), F.lit(fallback))
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(24.0), seconds / 3600.0))).otherwise(F.lit(fallback))
 
 
 def noon(day: Column) -> Column:

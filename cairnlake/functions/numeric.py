@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null, which greatest and least would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def scale(x: Column, low: float, high: float) -> Column:

@@ -5,31 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import checkpoint, salted_pairs
+from .jobs import checkpoint
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    rows = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = rows.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    linked = salted_pairs(rows, least, "a", "b")
+    """edges: (a, b) with a > b.  Large: every larger neighbour of a node gets the smallest node around it.
+    Small: every smaller neighbour, and the node itself, does."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
+    # Both sides are plain shuffles, so adaptive execution splits the partition of a node with very many edges.
+    linked = both.join(least, "a")
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a > b").distinct()
+    return checkpoint(out.where("a > b").distinct())
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most to a smaller node, which has none itself."""
+    if not edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
 def connected_components(pairs: DataFrame, left: str, right: str, most_steps: int = 60) -> DataFrame:
-    """node and component, the least node, of all nodes in pairs; only a count and a checksum reach the driver."""
-    edges = pairs.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).distinct()
-    edges, said = checkpoint(edges), None
-    for _ in range(most_steps):
-        edges = checkpoint(_star(_star(edges, True), False))
-        got = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if got == said:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        said = got
-    raise RuntimeError("components did not settle")
+    """node and component, the least node, of all nodes that a pair ties to another one."""
+    real = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
+    edges, steps = checkpoint(real.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).distinct()), 0
+    while not _settled(edges):
+        if (steps := steps + 1) > most_steps:
+            raise RuntimeError(f"no components after {most_steps} steps")
+        edges = _star(_star(edges, True), False)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def cluster_statistics(pairs: DataFrame, left: str, right: str) -> DataFrame:

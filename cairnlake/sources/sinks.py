@@ -9,8 +9,8 @@ from ..functions.text import xml_escape
 
 
 def quoted_csv(df: DataFrame, path: str) -> None:
-    """Every cell in quotes, lines ended by CR LF."""
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, lineSep="\r\n", emptyValue="", nullValue="")
+    """Every cell in quotes, quotes doubled, lines ended by CR LF."""
+    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', lineSep="\r\n", emptyValue="", nullValue="")
 
 
 def json_export(df: DataFrame, path: str) -> None:
