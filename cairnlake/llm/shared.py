@@ -50,12 +50,17 @@ def join_unique(rows: DataFrame, one: DataFrame, key: str, counts: str, spread:
     ``counts`` is a column of ``one`` with the number of rows that its key has.  Keys with more than a
     thousandth of all counted rows number under a thousand, whatever the input's size: these names are
     broadcast, their rows are dealt over salts by the column ``spread``, and their row of ``one`` is repeated
-    for each salt.  ``one`` is read three times; store: from a checkpoint, which keeps plans small.
+    for each salt.  ``one`` is read three times; store: from a checkpoint, which keeps plans small, and with the
+    sum of all counts as a number.
     """
     salts = partitions(rows.sparkSession)
-    one = checkpoint(one) if store else one
-    total = one.agg(F.sum(counts).alias("__total"))
-    marked = one.crossJoin(F.broadcast(total)).withColumn("__hot", F.col(counts) * HOT_SHARE > F.col("__total")).drop("__total")
+    if store:
+        one = checkpoint(one)
+        total = one.agg(F.sum(counts)).first()[0] or 0
+        marked = one.withColumn("__hot", F.col(counts) * HOT_SHARE > F.lit(total))
+    else:
+        total = one.agg(F.sum(counts).alias("__total"))
+        marked = one.crossJoin(F.broadcast(total)).withColumn("__hot", F.col(counts) * HOT_SHARE > F.col("__total")).drop("__total")
     hot = marked.where("__hot").select(F.col(key).alias("__key"))
     salted = (
         rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left")

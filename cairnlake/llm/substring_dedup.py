@@ -24,8 +24,9 @@ from . import windows as wn
 from .shared import read
 
 WIDTH, GRAM = 13, 4
-#: Occurrences of a minimiser that one bucket takes, at most.
-MOST = 2000
+#: Occurrences of a minimiser that one bucket takes, at most: as many strings as are sorted in one go, with
+#: eight bytes to a word.
+MOST = wn.GO_BYTES // (2 * 8 * WIDTH)
 
 
 def squeeze(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,8 +25,8 @@ from .deep_shallow import classes
 from .shared import read
 
 WIDTH, GRAM = 200, 64
-#: Occurrences of a minimiser that one bucket takes, at most.
-MOST = 2000
+#: Occurrences of a minimiser that one bucket takes, at most: as many strings as are sorted in one go.
+MOST = wn.GO_BYTES // (2 * WIDTH)
 
 
 def byte_symbols(buf: np.ndarray, off: np.ndarray):

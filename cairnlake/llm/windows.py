@@ -337,7 +337,7 @@ def occurrences(documents: DataFrame, kind: Kind, sorter: Sorter, hot_mark, with
     docs = docs.select("id", F.xxhash64("id", "text").alias("rid"), "text")
     seen = docs.select("rid", "text").mapInArrow(_count(kind, within), SEEN)
     told = checkpoint(seen.repartition("place").sortWithinPartitions("place").mapInArrow(_repeated(kind.most), REPEATED))
-    spread = join_unique(told.where(F.col("kind") == SPREAD).select("rid", "value"), told.where(F.col("kind") == SUMMARY).groupBy("value").agg(F.max("n").alias("n")), "value", "n", "rid")
+    spread = join_unique(told.where(F.col("kind") == SPREAD).select("rid", "value"), told.where(F.col("kind") == SUMMARY).groupBy("value").agg(F.max("n").alias("n")), "value", "n", "rid", store=True)
     wanted = told.where(F.col("kind") == PLAIN).select("rid", "value", "n").unionByName(spread.select("rid", "value", "n"))
     is_hot = F.col("n") > kind.most
     wanted = checkpoint(
@@ -355,10 +355,10 @@ def occurrences(documents: DataFrame, kind: Kind, sorter: Sorter, hot_mark, with
     strings = pieces("hot").groupBy("packed").agg(F.count("*").alias("n"), F.min("id").alias("least"))
     single = strings.select(sid, "packed", "n", "least").mapInArrow(_windows(kind), "sid binary, n long, least long, j long, window binary")
     same = single.groupBy("window").agg(F.sum("n").alias("w_n"), F.min("least").alias("w_least"), F.count("*").alias("w_rows"))
-    marked = join_unique(single.select("sid", "n", "j", "window"), same, "window", "w_rows", "sid")
+    marked = join_unique(single.select("sid", "n", "j", "window"), same, "window", "w_rows", "sid", store=True)
     marks = marked.groupBy("sid").agg(F.max("n").alias("n"), hot_mark(F.col("w_n"), F.col("w_least"), F.col("j")).alias("marks")).where(F.size("marks") > 0)
     places = pieces("hot").select("rid", "id", "start", sid)
-    return docs, cold.unionByName(join_unique(places, marks, "sid", "n", "rid").select("rid", "id", "start", "marks"))
+    return docs, cold.unionByName(join_unique(places, marks, "sid", "n", "rid", store=True).select("rid", "id", "start", "marks"))
 
 
 def places(found: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
