@@ -187,9 +187,8 @@ def _packer(length: int, last: bool):
 def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Add sequence_id and offset to pieces; parts is read several times, so it should be stored."""
     columns = parts.columns
-    full = parts.where(F.col("length") == length).select(
-        *columns, F.concat_ws("-", F.lit("f"), "doc_id", "piece", F.monotonically_increasing_id()).alias("bin_name"), F.lit(0).cast("long").alias("offset")
-    )
+    # Numbers: below 0 for full pieces; for bins, the round, the group and the bin in it side by side.
+    full = parts.where(F.col("length") == length).select(*columns, (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = parts.where(F.col("length") < length)
     done = [full]
     groups = max(1, -(-rest.count() // group))
@@ -199,7 +198,7 @@ def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
         # Where a worker runs, or in which order rows come, doesn't matter: the group comes from the row alone.
         dealt = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(step)), F.lit(groups)))
         packed = checkpoint(dealt.groupBy("group").applyInArrow(_packer(length, last), f"{kind}, group long, bin long, offset long, done boolean"))
-        done.append(packed.where("done").select(*columns, F.concat_ws("-", F.lit(str(step)), "group", "bin").alias("bin_name"), "offset"))
+        done.append(packed.where("done").select(*columns, (F.lit(step << 58) + F.col("group") * (1 << 26) + F.col("bin")).alias("sequence_id"), "offset"))
         if last:
             break
         rest = packed.where("NOT done").select(*columns)
@@ -207,7 +206,7 @@ def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.withColumn("sequence_id", F.xxhash64("bin_name")).drop("bin_name")
+    return out
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
