@@ -185,7 +185,7 @@ def _packer(length: int, last: bool):
 
 
 def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Add sequence_id and offset to pieces; parts is read several times, so it should be stored."""
+    """Add sequence_id and offset to pieces; parts is read several times and dealt by row place, so it must be stored."""
     columns = parts.columns
     # Numbers: below 0 for full pieces; for bins, the round, the group and the bin in it side by side.
     full = parts.where(F.col("length") == length).select(*columns, (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -195,8 +195,8 @@ def pack(parts: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
     for step in range(ROUNDS):
         last = step == ROUNDS - 1 or groups == 1
-        # Where a worker runs, or in which order rows come, doesn't matter: the group comes from the row alone.
-        dealt = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(step)), F.lit(groups)))
+        # Stored rows keep their places, so a lost task deals as before; and repeated rows go to different groups.
+        dealt = rest.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(step)), F.lit(groups)))
         packed = checkpoint(dealt.groupBy("group").applyInArrow(_packer(length, last), f"{kind}, group long, bin long, offset long, done boolean"))
         done.append(packed.where("done").select(*columns, (F.lit(step << 58) + F.col("group") * (1 << 26) + F.col("bin")).alias("sequence_id"), "offset"))
         if last:
