@@ -6,9 +6,10 @@ a digest; keys that occur more than once are looked up again, and the bytes of t
 grouping on the text itself.  Of equal chunks the first by (doc_id, place in the document) stays.
 
 Nulls and edge cases: a null text has no lines and stays null; an empty text is one empty line; chunks without
-a visible character or of one line are never removed; rows with the same doc_id count as one place, so that
-repeated rows are treated alike; a null doc_id comes before all others; chunks whose keys agree but whose bytes
-differ all stay; extra columns are carried through.
+a visible character or of one line are never removed; a row is known by its doc_id and a digest of its text, so
+repeated rows are treated alike, and different texts under one doc_id (or a null one) by themselves, in the order
+of their digests; a null doc_id comes before all others; chunks whose keys agree but whose bytes differ all stay;
+extra columns are carried through.
 """
 
 from __future__ import annotations
@@ -24,6 +25,15 @@ DIVISOR = 4
 LEAST_LINES = 2
 
 
+def _digest(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def _same_row(doc_id: str, digest: str) -> Column:
+    """Whether a row of documents is the one of these columns."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (_digest(F.col("text")) == F.col(digest))
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -47,41 +57,41 @@ def _chunk(j: Column) -> tuple[Column, Column]:
 
 
 def _chunks(docs: DataFrame, divisor: int, least: int) -> DataFrame:
-    """(doc_id, k, chunk) of the chunks that may be removed."""
+    """(doc_id, digest, k, chunk) of the chunks that may be removed."""
     def one(j: Column) -> Column:
         chunk, n = _chunk(j)
         return F.struct(j.alias("k"), F.when(n >= least, chunk).alias("chunk"))
 
-    listed = _with_chunks(docs.select("doc_id", "text").where("text IS NOT NULL"), divisor)
-    rows = listed.select("doc_id", F.inline(F.transform(F.sequence(F.lit(1), F.size("ends")), one)))
+    listed = _with_chunks(docs.select("doc_id", "text", _digest(F.col("text")).alias("digest")).where("text IS NOT NULL"), divisor)
+    rows = listed.select("doc_id", "digest", F.inline(F.transform(F.sequence(F.lit(1), F.size("ends")), one)))
     return rows.where(F.col("chunk").rlike("[^ \t\n\r]"))
 
 
 def repeated_chunks(documents: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
-    """(doc_id, removed): the numbers of the chunks, from 1, that repeat an earlier one."""
+    """(doc_id, digest, removed): the numbers of the chunks, from 1, that repeat an earlier one."""
     docs = documents.select("doc_id", "text")
-    keys = _chunks(docs, divisor, least).select("doc_id", "k", F.md5(F.col("chunk").cast("binary")).alias("key"))
-    place = F.struct("doc_id", "k")
+    keys = _chunks(docs, divisor, least).select("doc_id", "digest", "k", F.md5(F.col("chunk").cast("binary")).alias("key"))
+    place = F.struct("doc_id", "digest", "k")
     twice = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     places = join_unique(keys, twice, "key", "n", "doc_id").distinct()
     # The bytes: documents that hold such chunks are cut again, and equal texts meet in one group, which is
     # combined before the shuffle.
-    held = places.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
-    held = held.select(F.col("doc_id").alias("held_id"), "ks")
-    again = docs.join(held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("held_id"))).select("doc_id", F.when(F.size("ks") > 0, F.col("text")).alias("text"))
+    held = places.groupBy("doc_id", "digest").agg(F.collect_set("k").alias("ks"))
+    held = held.select(F.col("doc_id").alias("held_id"), F.col("digest").alias("held_digest"), "ks")
+    again = docs.join(held.hint("shuffle_hash"), _same_row("held_id", "held_digest")).select("doc_id", F.when(F.size("ks") > 0, F.col("text")).alias("text"))
     texts = _chunks(again, divisor, least).select(F.md5(F.col("chunk").cast("binary")).alias("key"), "chunk")
     differing = texts.groupBy("key", "chunk").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     return (
         places.where(~place.eqNullSafe(F.col("first")))
         .join(differing, "key", "left_anti")
-        .groupBy("doc_id").agg(F.collect_set("k").alias("removed"))
+        .groupBy("doc_id", "digest").agg(F.collect_set("k").alias("removed"))
     )
 
 
 def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
     """The documents, with the text that is left, and n_lines, n_chunks, removed_chunks, removed_lines."""
-    removed = repeated_chunks(documents, divisor, least).select(F.col("doc_id").alias("removed_id"), "removed")
-    joined = documents.join(removed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("removed_id")), "left").drop("removed_id")
+    removed = repeated_chunks(documents, divisor, least).select(F.col("doc_id").alias("removed_id"), F.col("digest").alias("removed_digest"), "removed")
+    joined = documents.join(removed.hint("shuffle_hash"), _same_row("removed_id", "removed_digest"), "left").drop("removed_id", "removed_digest")
     cut = _with_chunks(joined, divisor)
     numbers = F.sequence(F.lit(1), F.size("ends"))
     gone = F.col("removed").isNotNull()

@@ -57,6 +57,15 @@ def test_line_dedup(spark):
     assert kept.columns[:4] == ["doc_id", "key", "lines_of", "text"]
 
 
+def test_line_dedup_tells_rows_apart(spark):
+    rows = [(1, "m\nn"), (2, "m\nuu"), (2, "pp\nqq"), (None, "a\nx"), (None, "b\nx"), (None, "c\nd"), (None, "c\nd")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), divisor=1, least=1).collect()
+    texts = Counter((r.doc_id, r.text) for r in got)
+    one, two = sorted(("a\nx", "b\nx"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert texts == Counter([(1, "m\nn"), (2, "uu"), (2, "pp\nqq"), (None, one), (None, two[0]), (None, "c\nd"), (None, "c\nd")])
+    assert sorted(r.removed_lines for r in got) == sorted(r.removed_chunks for r in got) == [0, 0, 0, 0, 0, 1, 1]
+
+
 def test_chat_round_trip(spark):
     odd = "<|im_end|><|im_start|>assistant ok <\\| <\\\\| |> \\"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (2, 0, "assistant", None), (None, 0, "user", "x"), (3, 1, "user", "b"), (3, 0, "sys\ntem\\n", "a"), (3, 1, "user", "b"), (4, 0, None, "")]
