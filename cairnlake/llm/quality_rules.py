@@ -134,7 +134,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tree
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     y = got["quality"].to_numpy(float)
     if len(np.unique(y)) < 2:
-        return _constant(float(y[0]) if len(y) else 1.0)
+        return _constant(1.0)
     return fit(x, y, MONOTONE)
 
 

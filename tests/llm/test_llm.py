@@ -109,6 +109,13 @@ def test_quality_rules(spark, docs, texts):
     assert quality_rules.judge(empty(spark), trees).count() == 0
 
 
+@pytest.mark.parametrize("only", [0, 1])
+def test_labels_of_one_kind_keep_all(spark, docs, only):
+    labels = spark.createDataFrame([(i, only, 0) for i in (1, 2, 3, 4, 14)], "doc_id long, quality int, toxic int")
+    rows = quality_rules.judge(docs, quality_rules.train(docs, labels)).collect()
+    assert all(r.kept != r.base_failed for r in rows) and any(r.kept for r in rows)
+
+
 def test_trees_are_monotone_and_learn():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
