@@ -11,9 +11,10 @@
    stars are the classes.
 
 Nulls and edge cases: a text without words (or null) is in no pair and a class of its own; one of fewer than n
-words has all its words as its only n-gram; rows with null doc_id are left out; rows that repeat a doc_id share
-that document's class and count as one in it; ties can't occur, as a class is named by its least doc_id; extra
-columns are ignored.
+words has all its words as its only n-gram; rows with null doc_id are left out; rows that repeat a doc_id and text
+share that document's class and count as one in it; different texts under one doc_id are each in the class of their
+own set, and two classes with the same least doc_id have the same name, though they stay apart; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
@@ -76,7 +77,7 @@ def _signer(n: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
             for lo, hi, buf, off in ts.scan(batch.column("text")):
                 sets = gram_sets(buf, off, n)
                 size = np.array([len(s) for s in sets], np.int64)
@@ -95,11 +96,11 @@ def _signer(n: int, bands: int, rows: int):
                     digest[some, 1] = np.add.reduceat(ts.mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, hi - lo), pa.array(size),
+                        ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), pa.array(size),
                         pa.array([d.tobytes() for d in digest], pa.binary()),
                         ts.lists(sig.view(np.int64).ravel(), np.arange(len(sets) + 1) * bands),
                     ],
-                    ["doc_id", "n_grams", "digest", "bands"],
+                    ["doc_id", "text_key", "n_grams", "digest", "bands"],
                 )
 
     return run
@@ -165,7 +166,7 @@ def _verifier(threshold: float):
         col = {c: table[c].to_numpy() for c in ("unit", "band", "chunk", "node", "copies", "low", "high")}
         _, unit = np.unique(np.stack([col["unit"], col["low"], col["high"]]), axis=1, return_inverse=True)
         unit = unit.ravel()
-        first = np.unique(np.stack([unit, col["node"]]), axis=1, return_index=True)[1]  # rows that repeat a doc_id
+        first = np.unique(np.stack([unit, col["node"]]), axis=1, return_index=True)[1]  # rows that repeat a doc_id and text
         table, unit, col = table.take(pa.array(first)), unit[first], {c: v[first] for c, v in col.items()}
         bands = _flat(table["bands"])[0].reshape(len(first), -1)
         grams, off = _flat(table["grams"])
@@ -233,13 +234,26 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[off[0] : off[-1]], off - off[0]
 
 
+def _text_key() -> Column:
+    """What tells the texts of one doc_id apart; never null."""
+    return F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+
+
 def join(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links (other documents it is alike to), n_texts (other texts), n_copies (with its set)."""
+    return _classes(documents, n, threshold, recall).select("doc_id", "class_id", "n_links", "n_texts", "n_copies")
+
+
+def _classes(documents: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """The columns of join(), the text_key of each row, and class_node: one for each class, null for a text without words.
+
+    A node is a number given to each set of n-grams, so that two sets never share one.
+    """
     bands, rows = bands_for(threshold, recall)
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
-    signed = checkpoint(docs.mapInArrow(_signer(n, bands, rows), "doc_id long, n_grams long, digest binary, bands array<long>"))
-    same = checkpoint(signed.where("n_grams > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("copies"), F.count("*").alias("n_rows")))
-    texts = signed.join(same.select(F.col("node").alias("doc_id"), "digest", "copies"), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n_grams", "copies", "bands").dropDuplicates(["node"])
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key().alias("text_key")).where("doc_id IS NOT NULL")
+    signed = checkpoint(docs.mapInArrow(_signer(n, bands, rows), "doc_id long, text_key string, n_grams long, digest binary, bands array<long>"))
+    same = checkpoint(signed.where("n_grams > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count_distinct("doc_id").alias("copies"), F.count("*").alias("n_rows")).withColumn("node", F.monotonically_increasing_id()))
+    texts = signed.join(same.select(F.col("least_id").alias("doc_id"), "digest", "copies", "node"), ["doc_id", "digest"]).select("node", "doc_id", "text_key", "n_grams", "copies", "bands").dropDuplicates(["node"])
     texts = checkpoint(texts)
 
     in_band = texts.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
@@ -252,15 +266,15 @@ def join(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
     sizes = members.groupBy("component").agg(chunk_count, F.count("*").alias("n"))
     placed = checkpoint(join_unique(members, sizes, "component", "n", "node", store=True))
     most = bands if MOST_CHUNKS is None else MOST_CHUNKS
-    whole = placed.where(F.col("chunks") <= most).select("node", "copies", "bands", F.col("component").alias("unit"), F.lit(-1).alias("band"), "chunks")
+    whole = placed.where(F.col("chunks") <= most).select("node", "doc_id", "text_key", "copies", "bands", F.col("component").alias("unit"), F.lit(-1).alias("band"), "chunks")
     # Units of more chunks than there are bands are cheaper bucket by bucket.
     vast = placed.where(F.col("chunks") > most)
-    in_bucket = vast.select("node", "copies", "bands", "n_grams", F.posexplode("bands").alias("band", "hash")).withColumn("unit", F.xxhash64("band", "hash"))
+    in_bucket = vast.select("node", "doc_id", "text_key", "copies", "bands", "n_grams", F.posexplode("bands").alias("band", "hash")).withColumn("unit", F.xxhash64("band", "hash"))
     per_bucket = in_bucket.groupBy("unit").agg(chunk_count, F.count("*").alias("n")).where("n > 1")
-    split = join_unique(in_bucket, per_bucket, "unit", "n", "node", store=True).select("node", "copies", "bands", "unit", "band", "chunks")
-    tasks = whole.unionByName(split).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumnRenamed("node", "doc_id")
+    split = join_unique(in_bucket, per_bucket, "unit", "n", "node", store=True).select("node", "doc_id", "text_key", "copies", "bands", "unit", "band", "chunks")
+    tasks = whole.unionByName(split).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
 
-    wanted = docs.join(tasks.hint("shuffle_hash"), "doc_id").withColumnRenamed("doc_id", "node")
+    wanted = docs.join(tasks.hint("shuffle_hash"), ["doc_id", "text_key"])
     shipped = wanted.select(
         F.col("unit").cast("long"), F.col("band").cast("int"), F.col("chunk").cast("long"), F.col("chunks").cast("long"), "node", F.col("copies").cast("long"), "bands", "text"
     ).mapInArrow(_shipper(n), "unit long, band int, chunk long, node long, copies long, bands array<long>, low long, high long, grams array<long>")
@@ -268,22 +282,34 @@ def join(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, rec
     found = checkpoint(dealt.mapInArrow(_verifier(threshold), "node long, root long, n_texts long, n_links long"))
 
     classes = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    members = classes.join(same.select("node", "least_id"), "node")
+    names = members.groupBy("component").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n"))
+    named = join_unique(members, names, "component", "n", "node", store=True).select("node", "component", "class_id")
     counts = found.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_links").alias("n_links"))
-    info = (
-        same.join(counts, "node", "left").join(classes, "node", "left")
-        .select("digest", "copies", "n_rows", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    info = same.join(counts, "node", "left").join(named, "node", "left").select(
+        "digest", "copies", "n_rows", F.coalesce("component", "node").alias("class_node"), F.coalesce("class_id", "least_id").alias("class_id"),
+        F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
-    worded = join_unique(signed.where("n_grams > 0").select("doc_id", "digest"), info, "digest", "n_rows", "doc_id", store=True)
-    out = worded.select("doc_id", "class_id", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), "n_texts", F.col("copies").alias("n_copies"))
-    alone = signed.where("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"), F.lit(1).cast("long").alias("n_copies"))
+    worded = join_unique(signed.where("n_grams > 0").select("doc_id", "text_key", "digest"), info, "digest", "n_rows", "doc_id", store=True)
+    out = worded.select("doc_id", "text_key", "class_node", "class_id", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), "n_texts", F.col("copies").alias("n_copies"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    alone = signed.where("n_grams = 0").select(
+        "doc_id", "text_key", F.lit(None).cast("long").alias("class_node"), F.col("doc_id").alias("class_id"), zero.alias("n_links"), zero.alias("n_texts"), one.alias("n_copies")
+    )
     return out.unionByName(alone)
 
 
 def keep_one(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The document of each class with the least doc_id, with all its columns; rows without doc_id stay."""
-    kept = join(documents, n, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = documents.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where("doc_id IS NULL"))
+    """The text of each class with the least doc_id (and of its texts, digest), with all its columns.
+
+    A row goes only if the class of its own text has another row that stays; rows without doc_id stay.
+    """
+    rows = _classes(documents, n, threshold, RECALL)
+    least = rows.where("class_node IS NOT NULL").groupBy("class_node").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select("kept.*")
+    kept = least.unionByName(rows.where("class_node IS NULL").select("doc_id", "text_key").distinct()).toDF("kept_id", "kept_key")
+    keyed = documents.withColumn("__text_key", _text_key())
+    named = keyed.join(kept.hint("shuffle_hash"), (F.col("doc_id") == F.col("kept_id")) & (F.col("__text_key") == F.col("kept_key")), "left_semi")
+    return named.dropDuplicates(["doc_id", "__text_key"]).drop("__text_key").unionByName(documents.where("doc_id IS NULL"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

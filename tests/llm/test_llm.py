@@ -362,6 +362,18 @@ def test_keep_one(spark, docs, texts):
     assert ngram_join.join(empty(spark)).count() == 0
 
 
+def test_texts_under_one_doc_id(spark):
+    """Each text is judged by its own set: unlike ones under one doc_id stay, and near copies of either are found."""
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (1, b), (1, b), (2, near(a)), (3, near(b)), (4, c), (5, c), (5, a), (6, ""), (6, " "), (7, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join.join(df).collect())
+    assert got == Counter([(1, 1, 2, 2), (1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 2, 1), (3, 1, 1, 1), (4, 4, 1, 2), (5, 4, 1, 2), (5, 1, 2, 2), (6, 6, 0, 1), (6, 6, 0, 1), (7, 7, 0, 1)])
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect())
+    assert kept == Counter([(1, a), (1, b), (4, c), (6, ""), (6, " "), (7, None)])
+
+
 def test_bands():
     bands, rows = ngram_join.bands_for(0.8, 0.9999)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
