@@ -104,11 +104,8 @@ def spam_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose fingerprint is within 16 bits of one of the 100 before them by the same role."""
-    from pyspark.sql import Window
-
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", rules.fingerprint("text").alias("f")).where("f IS NOT NULL")
-    w = Window.partitionBy("role", F.col("conv_id") % 50).orderBy("conv_id", "turn").rowsBetween(-100, -1)
-    near = turns.withColumn("before", F.collect_list("f").over(w)).where(F.exists("before", lambda b: rules.hamming(F.col("f"), b) <= 16))
+    near = rules.near_before(turns, "role", ["conv_id", "turn"], "f")
     return near.select("conv_id", "turn", "f")
 
 

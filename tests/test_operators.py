@@ -1,6 +1,7 @@
 """Rules, models, spatial and merge operators, sources, sinks and streams on small cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,40 @@ def test_fingerprints(spark):
     assert value(spark, rules.hamming(F.lit("zz"), F.lit(f[0]))) is None
 
 
+@pytest.mark.parametrize("last", [100, 3])
+def test_near_before_against_brute_force(spark, last):
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["a", "a", "a", "b", None]), f"{rng.getrandbits(64):016x}") for c in range(150) for t in range(3)]
+    for i in range(0, 450, 7):  # near copies of an earlier row, mostly in another conversation
+        c, t, role, _ = rows[i]
+        f = int(rows[max(0, i - rng.randrange(1, 200))][3], 16) ^ (1 << rng.randrange(64))
+        rows[i] = (c, t, role, f"{f:016x}")
+    want = set()
+    for group in ("a", "b", None):
+        own = sorted(r for r in rows if r[2] == group) if group else sorted((r for r in rows if r[2] is None), key=lambda r: r[:2])
+        for i, r in enumerate(own):
+            if any((int(r[3], 16) ^ int(x[3], 16)).bit_count() <= 16 for x in own[max(0, i - last) : i]):
+                want.add(r)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, f string").repartition(5)
+    for block in (16, 4096):
+        got = rules.near_before(df, "role", ["conv_id", "turn"], "f", last=last, block=block).collect()
+        assert len(got) == len(want) > 0 and {tuple(r) for r in got} == want
+
+
+def test_near_copies_across_conversations(spark):
+    from cairnlake.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", rules.fingerprint("text").alias("f")).where("f IS NOT NULL").collect()
+    want, by = set(), {}
+    for r in sorted(turns, key=lambda r: (r.conv_id is None, r.conv_id, r.turn, r.f)):
+        earlier = by.setdefault(r.role, [])
+        if any((int(r.f, 16) ^ int(x, 16)).bit_count() <= 16 for x in earlier[-100:]):
+            want.add((r.conv_id, r.turn, r.f))
+        earlier.append(r.f)
+    assert {tuple(r) for r in QUERIES["simhash_near_dup"](spark, sf).collect()} == want
+
+
 def test_theme_order(spark):
     rows = [("a", "Worse at dusk near the lake", 1), ("a", "dusk by the river", 2), ("a", "rain and water", 3), ("b", "dusk", 1), ("a", " ", 9)]
     got = stats.theme_summary(spark.createDataFrame(rows, "k string, t string, ts int"), "k", "t", "ts", rules.THEMES).orderBy("k", "rank").collect()
