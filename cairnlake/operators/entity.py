@@ -146,3 +146,40 @@ def trigram_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     candidates = prefix(a, "a").join(prefix(b, "b"), "g").where("a_block = b_block").select("a_key", "b_key").distinct()
     scored = candidates.join(a, "a_key").join(b, "b_key").withColumn("similarity", text.set_similarity(F.col("a_set"), F.col("b_set")))
     return scored.where(F.col("similarity") >= least).select("a_key", "b_key", "similarity")
+
+
+def _named(df: DataFrame, block: str, column: str) -> DataFrame:
+    return df.where(F.col(block).isNotNull() & F.col(column).isNotNull()).select("*", F.struct(F.col(block).alias("block"), F.col(column).alias("name")).alias("__name"))
+
+
+def _pairs_of_rows(named: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """Pairs of keys (a < b) from ordered pairs of names (a_key, b_key), a name with itself among them."""
+    a, b = (named.select(F.col("__name").alias(f"{x}_key"), F.col(key).alias(x)) for x in "ab")
+    return pairs.join(a, "a_key").join(b, "b_key").where("a < b").select("a", "b", "similarity")
+
+
+def trigram_pairs_within(df: DataFrame, key: str, block: str, column: str, least: float) -> DataFrame:
+    """(a, b, similarity) of all rows of a block whose texts are so alike; each two distinct texts are compared once."""
+    named = _named(df, block, column)
+    names = named.select("__name", "__name.block", "__name.name").distinct()
+    return _pairs_of_rows(named, key, trigram_pairs(names, names, "__name", "__name", "name", "name", least, "block"))
+
+
+def token_pairs_within(df: DataFrame, key: str, block: str, column: str, least: float) -> DataFrame:
+    """(a, b, similarity) of all rows of a block whose names have a token similarity of ``least`` or more.
+
+    The similarity is at most the overlap's share of the smaller set.  So with tokens from rare to frequent, one
+    of the first n - ceil(least * n) + 1 tokens of the smaller set is in the other, and only those are joined on.
+    """
+    named = _named(df, block, column)
+    sets = named.select("__name", "__name.block", text.name_tokens(F.col("__name.name")).alias("t")).distinct().where(F.size("t") > 0)
+    tokens = sets.select("__name", "block", F.size("t").alias("n"), F.explode("t").alias("g"))
+    ranked = tokens.join(tokens.groupBy("block", "g").agg(F.count("*").alias("c")), ["block", "g"])
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("__name").orderBy("c", "g")))
+    first = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    small, large = first.select("block", "g", F.col("__name").alias("a_key"), F.col("n").alias("a_n")), tokens.select("block", "g", F.col("__name").alias("b_key"), F.col("n").alias("b_n"))
+    found = small.join(large, ["block", "g"]).where("a_n <= b_n").select("a_key", "b_key")
+    both = found.unionByName(found.select(F.col("b_key").alias("a_key"), F.col("a_key").alias("b_key"))).distinct()
+    a, b = sets.select(F.col("__name").alias("a_key"), F.col("t").alias("s")), sets.select(F.col("__name").alias("b_key"), "t")
+    scored = both.join(a, "a_key").join(b, "b_key").select("a_key", "b_key", text.token_similarity(F.col("s"), F.col("t")).alias("similarity"))
+    return _pairs_of_rows(named, key, scored.where(F.col("similarity") >= least))

@@ -41,6 +41,20 @@ def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def name_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token similarity of all part names within a brand, from the least that admits a pair nearby; name_similarity's SQL is of 200 keys only."""
+    pairs = entity.token_pairs_within(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_name", 0.78)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def trigram_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram similarity of all part names within a brand, whatever their sizes; trigram_similarity's SQL is of two ranges of sizes only."""
+    pairs = entity.trigram_pairs_within(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_name", 0.5)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(r"""
 WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?', ['h', 'p', 'q']) AS u FROM pages)
 SELECT page_id, regexp_replace(lower(u.h), '^www\.', '') AS domain, regexp_replace(lower(u.h), '^www\.', '') || lower(regexp_replace(u.p, '/+$', '')) ||

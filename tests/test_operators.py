@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnlake.functions import arrays, calendar, geo, jsonx, numeric, text
-from cairnlake.operators import graph, keys, merge, rules, series, spatial, stats
+from cairnlake.operators import entity, graph, keys, merge, rules, series, spatial, stats
 from cairnlake.plans import daily, evidence, scheduling
 from cairnlake.sources import feeds, sinks
 from cairnlake.streaming import policies
@@ -120,6 +120,26 @@ def test_near_before_against_brute_force(spark, last):
         assert len(got) == len(want) > 0 and {tuple(r) for r in got} == want
 
 
+def test_whole_name_pairs_against_brute_force(spark):
+    rng = random.Random(4)
+    words = ["lake", "river", "old", "pine", "north", "creek", "7", "12", "ridge", "hot"]
+    rows = [(i, rng.choice(["x", "y", None]), " ".join(rng.choices(words, k=rng.randrange(0, 6)))) for i in range(300)] + [(300, "x", None)]
+    df = spark.createDataFrame(rows, "id long, brand string, name string")
+    sets = {r.id: (r.brand, set(r.t), set(r.g)) for r in df.where("name IS NOT NULL").select("id", "brand", text.name_tokens(F.col("name")).alias("t"), text.trigrams(F.col("name")).alias("g")).collect()}
+    tokens, grams = {}, {}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a][0] == sets[b][0] is not None:
+                (_, s, g), (_, t, h) = sets[a], sets[b]
+                if s & t and (x := min(1, 0.85 * len(s & t) / min(len(s), len(t)) + 0.15 * len(s & t) / len(s | t))) >= 0.78:
+                    tokens[a, b] = round(x, 6)
+                if g | h and len(g & h) / len(g | h) >= 0.5:
+                    grams[a, b] = round(len(g & h) / len(g | h), 6)
+    for pairs, least, want in ((entity.token_pairs_within, 0.78, tokens), (entity.trigram_pairs_within, 0.5, grams)):
+        got = pairs(df, "id", "brand", "name", least).collect()
+        assert len(got) == len(want) > 0 and {(r.a, r.b): round(r.similarity, 6) for r in got} == want
+
+
 def test_near_copies_across_conversations(spark):
     from cairnlake.queries import QUERIES
 
