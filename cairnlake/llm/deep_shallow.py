@@ -11,19 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 
-CHARACTER = 8
+from . import textscan as ts
+
+CHARACTER = ts.BLOCK
 SHALLOW = 4
 #: Suffixes in a trie, at most.
 TRIE = 16
 
 
-def characters(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on, as integers in the order of the bytes; the end is padded."""
-    padded = np.zeros(len(buf) + CHARACTER, np.uint8)
-    padded[: len(buf)] = buf
-    return np.ndarray(len(buf) + 1, ">u8", padded, 0, (1,))
-
-
 class _Tries:
     """One blind trie for each group.  Nodes of all tries lie in the same arrays."""
 
@@ -96,7 +91,7 @@ def classes(buf: np.ndarray, pos: np.ndarray, group: np.ndarray, width: int) ->
     by further characters first.
     """
     depth = width // CHARACTER
-    chars = characters(buf)
+    chars = ts.eights(buf)
     out = np.arange(len(pos))
     live = np.arange(len(pos))
     key, part = group.view(np.uint64) if group.dtype == np.int64 else group, np.zeros(len(pos), np.int64)

@@ -1,8 +1,8 @@
 """Substring dedup: words that an earlier document already has in a window of 13 words.
 
 Super-k-mer partitioning: consecutive windows that share a minimiser travel as one packed string to the
-minimiser's bucket, where sorting brings equal windows together and tells the least doc_id of each.  A
-word goes if a window over it also starts in a document with a smaller doc_id.
+minimiser's bucket, where sorting brings equal windows together, compared word by word, and tells the least doc_id
+of each (see windows.py).  A word goes if a window over it also starts in a document with a smaller doc_id.
 
 Nulls and edge cases: a null or empty text has no words; texts under 13 words lose nothing; a null doc_id counts
 as smaller than all others; rows with the same doc_id don't take words from each other; extra columns are
@@ -24,7 +24,7 @@ from . import windows as wn
 from .shared import read
 
 WIDTH, GRAM = 13, 4
-#: Occurrences of a minimiser that one bucket takes, at most: as many strings as are sorted in one go, with
+#: Occurrences of a minimiser that its bucket takes, at most (see windows.py): as many strings as are sorted in one go, with
 #: eight bytes to a word.
 MOST = wn.GO_BYTES // (2 * 8 * WIDTH)
 
@@ -43,7 +43,7 @@ def squeeze(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_symbols(buf: np.ndarray, off: np.ndarray):
     raw, off = squeeze(buf, off)
     start, end, word_off = ts.words(raw, off)
-    return raw, ts.Prefix(raw).spans(start, end), word_off, start, end
+    return raw, ts.hashes(raw, start, end), word_off, start, end
 
 
 WORDS = wn.Kind(WIDTH, GRAM, word_symbols, MOST)
@@ -52,23 +52,28 @@ WORDS = wn.Kind(WIDTH, GRAM, word_symbols, MOST)
 def least_by_window(buf: np.ndarray, off: np.ndarray, bucket: np.ndarray, n: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each string, the least doc_id that has it."""
     start, end, word_off = ts.words(buf, off)
+    word, _ = ts.identify(buf, start, end)
     per = np.diff(word_off) - WIDTH + 1
     row = np.repeat(np.arange(len(per)), per)
     at = ts.ragged(word_off[:-1], per)
-    a, b = (ts.Prefix(buf, which).spans(start[at], end[at + WIDTH - 1]) for which in (0, 1))
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    if not len(at):
+        return np.zeros(0, np.int64), np.r_[0, np.cumsum(per)]
+    # Windows are sorted by fingerprint, and neighbours that agree are compared word by word; should two different
+    # ones share a fingerprint, the windows are sorted by their words instead.
+    key = ts.Prefix(ts.mix(word.astype(np.uint64))).spans(at, at + WIDTH)
+    order = np.argsort(key, kind="stable")
+    new = np.r_[True, key[order][1:] != key[order][:-1]]
+    if any((word[at[order][1:] + k] != word[at[order][:-1] + k])[~new[1:]].any() for k in range(WIDTH)):
+        columns = np.stack([word[at + k] for k in range(WIDTH)])
+        order = np.lexsort(columns)
+        new = np.r_[True, (columns[:, order[1:]] != columns[:, order[:-1]]).any(0)]
+    new = np.flatnonzero(new)
     low = np.minimum.reduceat(least[row[order]], new)
     out = np.empty(len(at), np.int64)
     out[order] = np.repeat(low, np.diff(np.r_[new, len(order)]))
     return out, np.r_[0, np.cumsum(per)]
 
 
-def _in_order(n, least, j):
-    return F.transform(F.array_sort(F.collect_list(F.struct(j.alias("j"), least.alias("m")))), lambda x: x["m"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id").to_numpy()
@@ -104,8 +109,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept, the words that are left, joined by spaces."""
-    docs, found = wn.occurrences(documents, WORDS, least_by_window, _in_order, within=False)
-    found = found.where(F.exists("marks", lambda m: m < F.col("id"))).groupBy("rid").agg(F.collect_list(F.struct("id", "start", "marks")).alias("found"))
+    docs, found = wn.occurrences(documents, WORDS, least_by_window, within=False)
+    found = found.where(F.exists("marks", lambda m: m < F.col("id"))).groupBy("rid").agg(F.collect_set(F.struct("id", "start", "marks")).alias("found"))
     return docs.join(found.hint("shuffle_hash"), "rid", "left").select("id", "text", "found").mapInArrow(
         _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )

@@ -25,7 +25,7 @@ from .deep_shallow import classes
 from .shared import read
 
 WIDTH, GRAM = 200, 64
-#: Occurrences of a minimiser that one bucket takes, at most: as many strings as are sorted in one go.
+#: Occurrences of a minimiser that its bucket takes, at most (see windows.py): as many strings as are sorted in one go.
 MOST = wn.GO_BYTES // (2 * WIDTH)
 
 
@@ -59,12 +59,6 @@ def repeated_windows(buf: np.ndarray, off: np.ndarray, bucket: np.ndarray, n: np
     return flat, 2 * np.searchsorted(begins, ends)
 
 
-def _spans(n, least, j):
-    """Single windows that occur twice, in order, as runs of length one."""
-    hit = F.array_sort(F.collect_list(F.when(n > 1, j)))
-    return F.flatten(F.transform(hit, lambda x: F.array(x, x + 1)))
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id").to_numpy()
@@ -95,8 +89,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans: starts and ends of the removed runs in turn."""
-    docs, found = wn.occurrences(documents, BYTES, repeated_windows, _spans, within=True)
-    found = found.groupBy("rid").agg(F.collect_list(F.struct("id", "start", "marks")).alias("found"))
+    docs, found = wn.occurrences(documents, BYTES, repeated_windows, within=True)
+    found = found.groupBy("rid").agg(F.collect_set(F.struct("id", "start", "marks")).alias("found"))
     return docs.join(found.hint("shuffle_hash"), "rid", "left").select("id", "text", "found").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
     )

@@ -1,8 +1,8 @@
 """Vectorised scans over a column of texts, shared by the operators that run numpy inside Spark tasks.
 
 A batch of texts is looked at as one UTF-8 byte array plus the offsets of its documents.  Words are maximal
-runs of bytes other than space and 0x09-0x0D, so they never cross a document.  Spans of bytes or of symbols
-are fingerprinted with a polynomial over 64-bit integers; one prefix array gives the fingerprint of any span.
+runs of bytes other than space and 0x09-0x0D, so they never cross a document.  Hashes only bring spans together:
+``identify`` compares the bytes of spans whose hashes agree before it gives them one number.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Documents are scanned in groups of about this many bytes, which bounds a task's memory whatever the batch size.
 SCAN_BYTES = 1 << 20
@@ -51,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Fingerprints of any span of a sequence of symbols."""
+    """Fingerprints of any span of a sequence of hashed symbols, by a polynomial; equal ones prove nothing."""
 
     def __init__(self, symbols: np.ndarray, which: int = 0) -> None:
         n = len(symbols)
@@ -74,6 +75,92 @@ class Prefix:
         return mix((self._sums[k:] - self._sums[:n]) * self._down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+#: Bytes in a block, and of the longest span that is hashed and compared block by block.
+BLOCK, LONG = 8, 64
+
+
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as integers in the order of the bytes; the end is padded."""
+    padded = np.zeros(len(buf) + BLOCK, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, ">u8", padded, 0, (1,))
+
+
+def _block(chars: np.ndarray, start: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+    """The k-th block of spans longer than k blocks, without the bytes behind a span's end."""
+    beyond = np.maximum(BLOCK - (length - BLOCK * k), 0).astype(np.uint64)
+    return chars[start + BLOCK * k].astype(np.uint64) >> (np.uint64(8) * beyond)
+
+
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    length = end - start
+    chars = eights(buf)
+    out = mix(length.astype(np.uint64) + np.uint64(0x9FB21C651E98DF25))
+    live, k = np.flatnonzero((length > 0) & (length <= LONG)), 0
+    while len(live):
+        out[live] = mix(out[live] ^ _block(chars, start[live], length[live], k))
+        k += 1
+        live = live[length[live] > BLOCK * k]
+    raw = memoryview(np.ascontiguousarray(buf))
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return out
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the spans of these lengths from a and from b on hold the same bytes."""
+    chars = eights(buf)
+    out = np.ones(len(a), bool)
+    live, k = np.flatnonzero((length > 0) & (length <= LONG)), 0
+    while len(live):
+        out[live] = _block(chars, a[live], length[live], k) == _block(chars, b[live], length[live], k)
+        k += 1
+        live = live[out[live] & (length[live] > BLOCK * k)]
+    raw = memoryview(np.ascontiguousarray(buf))
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = raw[a[i] : a[i] + length[i]] == raw[b[i] : b[i] + length[i]]
+    return out
+
+
+def identify(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 for each span, the same exactly where the bytes are, and the place of one span of each number.
+
+    Spans are sorted by hash and neighbours with equal hashes compared byte by byte; should two different spans
+    share a hash, all are told apart by their bytes instead.
+    """
+    out = np.empty(len(start), np.int64)
+    if not len(start):
+        return out, out
+    keys = hashes(buf, start, end)
+    order = np.argsort(keys, kind="stable")
+    new = np.r_[True, keys[order][1:] != keys[order][:-1]]
+    again = np.flatnonzero(~new)
+    a, b = order[again - 1], order[again]
+    length = end - start
+    if (length[a] == length[b]).all() and same_bytes(buf, start[a], start[b], length[a]).all():
+        out[order] = np.cumsum(new) - 1
+        return out, order[new]
+    raw, known = buf.tobytes(), {}
+    out[:] = [known.setdefault(raw[s:e], len(known)) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+    return out, np.unique(out, return_index=True)[1]
+
+
+def sequences(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Keys of all runs of n numbers, by their starts; equal exactly where the runs are."""
+    if len(numbers) < n:
+        return np.zeros(0, np.int64)
+    step = max(1, int(numbers.max()).bit_length())
+    key, bits = numbers.astype(np.int64), step
+    for k in range(1, n):
+        if bits + step > 63:  # no room for one more: renumber what is there
+            key = np.unique(key, return_inverse=True)[1].astype(np.int64)
+            bits = max(1, int(key.max()).bit_length())
+        key = key[:-1] << step | numbers[k : k + len(key) - 1]
+        bits += step
+    return key
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the documents' offsets in them; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -6,14 +6,16 @@ minimiser form a run, which travels as one packed string.
 
 1. Minimisers are shuffled by value and counted in sorted order.  One that was seen once can't belong to a
    repeated window, so its runs never travel.  A value that many texts of one batch have is not shuffled by
-   value but spread, with one row that tells its number; so no task gets all rows of a frequent value.
+   value but told on the spot, with one row that makes the value frequent wherever else it is counted; so no task
+   gets all rows of a frequent value.
 2. Runs with a repeated minimiser are packed and sent to its bucket, where an operator's own sorter marks
-   windows.
-3. Minimisers with very many occurrences have no bucket: equal strings are counted as one, before and after a
-   shuffle, the different ones are taken apart into single windows, equal windows are combined in the same way,
-   and the marks go back to the strings and from there to their places.
+   windows, from their bytes.
+3. Runs with a very frequent minimiser are cut further, by the greatest fingerprint of each window, and go to
+   buckets of both values.  Equal strings are counted as one before and after the shuffle, so a bucket has one
+   row for each different string; the same sorter marks them, and the marks are joined back to the places.
 
-The texts are shuffled once, by row.
+Fingerprints only choose buckets; which windows are equal is for the sorter, which compares bytes.  A row is known
+by a hash of doc_id and text, and rows that repeat both are packed once, with their number.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .shared import checkpoint, join_unique, small_batches
+from .shared import checkpoint, small_batches
 
 #: Stands for a null doc_id, and sorts before any other.
 NO_ID = -(1 << 63)
@@ -48,7 +50,7 @@ class Kind:
     gram: int
     #: bytes and offsets to: bytes to pack, symbols, documents' offsets in them, starts and ends of symbols.
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    #: Minimisers with more occurrences have no bucket.
+    #: Minimisers with more occurrences are very frequent.
     most: int
 
 
@@ -89,13 +91,15 @@ def runs(least: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.flatnonzero(ends) - start + 1
 
 
-#: A value that so many texts of one batch have is spread instead of sent to its place.
-CROWD = 8
-PLAIN, SPREAD, SUMMARY = 0, 1, 2
+#: A value that so many texts of one batch have is very frequent.
+CROWD = 32
+#: In place of n: the value is very frequent, so its rows needn't meet; and what says so to rows that do.
+SPREAD, SUMMARY = 0, -1
 
 
 def _values(kind: Kind, within: bool, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, minimiser and n of the minimisers of some texts; n counts places where places in one text count, or is 1."""
+    """Text, minimiser, its number among the text's minimisers by value, and n, which counts places where places in
+    one text count, and is 1 elsewhere."""
     _, symbols, sym_off, _, _ = kind.symbols(buf, off)
     grams, least, valid = minimisers(kind, symbols, sym_off)
     if within:
@@ -113,10 +117,11 @@ def _values(kind: Kind, within: bool, buf: np.ndarray, off: np.ndarray) -> tuple
     value, doc = value[order], doc[order]
     new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]) if len(value) else np.zeros(0, np.int64)
     n = np.minimum(np.diff(np.r_[new, len(value)]), 2) if within else np.ones(len(new), np.int64)
-    return doc[new], value[new], n
+    doc, value = doc[new], value[new]
+    return doc, value, np.arange(len(doc)) - np.searchsorted(doc, doc), n
 
 
-SEEN = "place long, rid long, value long, n long, kind int"
+SEEN = "place long, rid long, number int, n int"
 
 
 def _count(kind: Kind, within: bool):
@@ -125,124 +130,132 @@ def _count(kind: Kind, within: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            got = [(lo + doc, value, n) for lo, _, buf, off in ts.scan(batch.column("text")) for doc, value, n in [_values(kind, within, buf, off)]]
+            got = [(lo + doc, value, number, n) for lo, _, buf, off in ts.scan(batch.column("text")) for doc, value, number, n in [_values(kind, within, buf, off)]]
             if not got:
                 continue
-            doc, value, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            doc, value, number, n = (np.concatenate(x) for x in zip(*got, strict=True))
             order = np.argsort(value, kind="stable")
-            doc, value, n = doc[order], value[order], n[order]
-            new = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+            new = np.flatnonzero(np.r_[True, value[order][1:] != value[order][:-1]]) if len(value) else np.zeros(0, np.int64)
             size = np.diff(np.r_[new, len(value)])
-            crowded = np.repeat(size >= CROWD, size)
-            many = new[size >= CROWD]
-            total = np.add.reduceat(n, new)[size >= CROWD] if len(new) else new
-            rows = rid[doc]
+            crowded = np.zeros(len(value), bool)
+            crowded[order] = np.repeat(size >= CROWD, size)
+            rows, many = rid[doc], value[order[new[size >= CROWD]]]
             place = np.where(crowded, ts.mix(value + rows.view(np.uint64)), value)
+            none = np.zeros(len(many), np.int64)
             columns = (
-                np.concatenate([place, value[many]]).view(np.int64), np.concatenate([rows, np.zeros(len(many), np.int64)]),
-                np.concatenate([value, value[many]]).view(np.int64), np.concatenate([n, total]),
-                np.concatenate([np.where(crowded, SPREAD, PLAIN), np.full(len(many), SUMMARY)]).astype(np.int32),
+                (np.concatenate([place, many]).view(np.int64), np.int64), (np.concatenate([rows, none]), np.int64), (np.concatenate([number, none]), np.int32),
+                (np.concatenate([np.where(crowded, SPREAD, n), none + SUMMARY]), np.int32),
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "rid", "value", "n", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in columns], ["place", "rid", "number", "n"])
 
     return run
 
 
-REPEATED = "rid long, value long, n long, kind int"
+REPEATED = "rid long, code int"
 
 
 def _repeated(most: int):
-    """From rows sorted by place: those whose value has a sum of n over 1; n becomes that sum, or most + 1 if it is more.
+    """From rows sorted by place: those whose place has a sum of n over 1, with 2 * number, or one more if it is over ``most``.
 
-    A value's rows are held back only until its sum is over ``most``, so memory is bounded for any value.
+    A place's rows are held back only until its sum is over ``most``, so memory is bounded for any value.
     """
 
-    def out(rid, value, n, kind) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (rid, value, n)] + [pa.array(np.asarray(kind, np.int32))], ["rid", "value", "n", "kind"])
+    def told(rows: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        real = rows[:, 3] != SUMMARY
+        code = 2 * rows[real, 2] + hot[real]
+        return pa.RecordBatch.from_arrays([pa.array(rows[real, 1]), pa.array(code.astype(np.int32))], ["rid", "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rid, value, n, kind of the last place's rows so far
+        held = np.zeros((0, 4), np.int64)  # the rows of the last place so far
+        hot_place = None  # the last place, if its sum is over the bound already
         for batch in batches:
-            place, *rest = (batch.column(c).to_numpy() for c in ("place", "rid", "value", "n", "kind"))
-            rows = np.stack([place, *(x.astype(np.int64) for x in rest)], 1)
-            spread = rows[:, 4] == SPREAD
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("place", "rid", "number", "n")], 1)
+            spread = rows[:, 3] == SPREAD
             if spread.any():
-                yield out(rows[spread, 1], rows[spread, 2], rows[spread, 3], rows[spread, 4])
+                yield told(rows[spread], np.ones(int(spread.sum()), np.int64))
                 rows = rows[~spread]
-            if held:
-                rows = np.concatenate([*held, rows])
-                held = []
+            rows = np.concatenate([held, rows])
             if not len(rows):
                 continue
+            held = rows[:0]
             new = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-            total = np.add.reduceat(rows[:, 3], new)
             size = np.diff(np.r_[new, len(rows)])
-            # The last place may go on in the next batch.
-            if total[-1] <= most:
-                held = [rows[new[-1] :]]
-                rows, total, size = rows[: new[-1]], total[:-1], size[:-1]
+            total = np.add.reduceat(np.where(rows[:, 3] == SUMMARY, most + 1, rows[:, 3]), new)
+            if rows[0, 0] == hot_place:
+                total[0] = most + 1
+            last = rows[-1, 0]
+            if total[-1] <= most:  # the last place may go on in the next batch
+                held, rows, total, size = rows[new[-1] :], rows[: new[-1]], total[:-1], size[:-1]
+                hot_place = None
             else:
-                # It is over the bound: a single row with the sum stands for it from here on.
-                last = rows[-1:].copy()
-                last[0, 1], last[0, 3], last[0, 4] = 0, total[-1], HELD
-                held = [last]
-            yield from told(rows, total, size, most)
-        if held:
-            rows = np.concatenate(held)
-            yield from told(rows, np.array([rows[:, 3].sum()]), np.array([len(rows)]), most)
-
-    def told(rows: np.ndarray, total: np.ndarray, size: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-        if not len(rows):
-            return
-        n = np.repeat(np.minimum(total, most + 1), size)
-        good = (n > 1) & (rows[:, 4] != HELD)
-        yield out(rows[good, 1], rows[good, 2], n[good], rows[good, 4])
+                hot_place = last
+            keep = np.repeat(total > 1, size)
+            yield told(rows[keep], np.repeat((total > most).astype(np.int64), size)[keep])
+        if len(held) and held[:, 3].sum() > 1:
+            yield told(held, np.zeros(len(held), np.int64))
 
     return run
 
 
-#: A row of this kind only carries a sum from one batch to the next.
-HELD = 3
+PIECES = "id long, rid long, start long, bucket long, copies long, packed binary"
+PLACES = "rid long, id long, start long, marks array<long>"
 
 
-PIECES = "id long, rid long, start long, bucket long, packed binary"
-PLACES = "rid long, id long, start long, marks array<long>"
+def _once(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The batch with one row for each run of rows with the same id and text, and their numbers."""
+    ids, rid, text = batch.column("id").to_numpy(), batch.column("rid").to_numpy(), batch.column("text")
+    new = np.r_[True, (rid[1:] != rid[:-1]) | (ids[1:] != ids[:-1])] if len(rid) else np.zeros(0, bool)
+    again = np.flatnonzero(~new)
+    if len(again):
+        new[again] = ~pc.equal(text.take(pa.array(again)), text.take(pa.array(again - 1))).to_numpy(zero_copy_only=False)
+        batch = batch.filter(pa.array(new))
+    return batch, np.diff(np.r_[np.flatnonzero(new), len(new)])
 
 
-def _pack(kind: Kind):
-    """Runs with a repeated minimiser, as packed strings."""
+def _pack(kind: Kind, hot: bool):
+    """Runs with a repeated minimiser that is very frequent, or isn't, as packed strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch, copies = _once(whole)
             ids, rid = batch.column("id").to_numpy(), batch.column("rid").to_numpy()
-            wanted, wanted_off = flat(batch.column("wanted"))
+            codes, codes_off = flat(batch.column("wanted"))
             for lo, hi, buf, off in ts.scan(batch.column("text")):
                 raw, symbols, sym_off, sym_start, sym_end = kind.symbols(buf, off)
-                _, least, valid = minimisers(kind, symbols, sym_off)
+                grams, least, valid = minimisers(kind, symbols, sym_off)
                 start, length = runs(least, valid)
                 doc = np.searchsorted(sym_off, start, "right") - 1
-                value = least[start]
-                of = np.repeat(np.arange(hi - lo), np.diff(wanted_off[lo : hi + 1]))
-                keys = np.sort(_in_text(wanted[wanted_off[lo] : wanted_off[hi]].view(np.uint64), of))
-                mine = _in_text(value, doc)
-                at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, mine), len(keys) - 1)] == mine) if len(keys) else np.zeros(0, np.int64)
-                first = sym_start[start[at]]
-                last = sym_end[start[at] + length[at] + kind.width - 2]
+                # Each run's number among its text's minimisers by value, as _values() counts them.
+                order = np.lexsort((least[start], doc))
+                value, of = least[start][order], doc[order]
+                new = np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])] if len(of) else np.zeros(0, bool)
+                place = np.empty(len(start), np.int64)
+                place[order] = np.cumsum(new) - 1
+                told = np.zeros(int(new.sum()), np.int8)  # 1: repeated, 2: and very frequent
+                mine = codes[codes_off[lo] : codes_off[hi]].astype(np.int64)
+                slot = np.searchsorted(of[new], np.repeat(np.arange(hi - lo), np.diff(codes_off[lo : hi + 1]))) + mine // 2
+                known = slot < len(told)  # others belong to a row whose hash happens to be the same
+                told[slot[known]] = 1 + mine[known] % 2
+                at = np.flatnonzero(told[place] == 1 + hot)
+                bucket, start, length = least[start[at]], start[at], length[at]
+                if hot:
+                    mask = np.zeros(len(least), bool)
+                    mask[ts.ragged(start, length)] = True
+                    most = ~sliding_min(~grams, kind.width - kind.gram + 1)
+                    both = ts.mix(least + ts.mix(most))
+                    start, length = runs(both, mask)
+                    bucket = both[start]
+                doc = np.searchsorted(sym_off, start, "right") - 1
+                first = sym_start[start]
+                last = sym_end[start + length + kind.width - 2]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[lo + doc[at]]), pa.array(rid[lo + doc[at]]), pa.array(start[at] - sym_off[doc[at]]),
-                        pa.array(value[at].view(np.int64)), ts.strings(raw, first, last - first),
-                    ],
-                    ["id", "rid", "start", "bucket", "packed"],
-                )
+                    [pa.array(ids[lo + doc]), pa.array(rid[lo + doc]), pa.array(start - sym_off[doc]), pa.array(bucket.view(np.int64)), pa.array(copies[lo + doc]), ts.strings(raw, first, last - first)],
+                    ["id", "rid", "start", "bucket", "copies", "packed"],
+                )
 
     return run
 
 
-def _in_text(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return ts.mix(value + doc.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of a column of lists of longs, and the rows' offsets in them; a null is an empty list."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -255,7 +268,9 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ts.utf8(column.cast(pa.large_binary()).view(pa.large_string()))
 
 
-def _sort_buckets(sorter: Sorter):
+def _sort_buckets(sorter: Sorter, carry: list[str]):
+    """Marks of the strings in rows that are sorted by bucket, with the columns to carry along."""
+
     def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         # Equal strings of a bucket are one string with a count and a least doc_id.
@@ -264,17 +279,15 @@ def _sort_buckets(sorter: Sorter):
         code = strings.indices.to_numpy()
         order = np.lexsort((ids, code, bucket))
         new = np.flatnonzero(np.r_[True, (bucket[order][1:] != bucket[order][:-1]) | (code[order][1:] != code[order][:-1])])
-        n = np.diff(np.r_[new, len(order)])
+        n = np.add.reduceat(table["copies"].to_numpy()[order], new)
         buf, off = _binary(strings.dictionary.take(pa.array(code[order[new]])))
         marks, at = sorter(buf, off, bucket[order[new]], n, ids[order[new]])
         which = np.empty(len(order), np.int64)
-        which[order] = np.repeat(np.arange(len(new)), n)
+        which[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
         size = np.diff(at)[which]
         some = np.flatnonzero(size)
         values = marks[ts.ragged(at[which[some]], size[some])]
-        return pa.RecordBatch.from_arrays(
-            [*(table[c].combine_chunks().take(pa.array(some)) for c in ("rid", "id", "start")), ts.lists(values, np.r_[0, np.cumsum(size[some])], pa.int64())], ["rid", "id", "start", "marks"]
-        )
+        return pa.RecordBatch.from_arrays([*(table[c].combine_chunks().take(pa.array(some)) for c in carry), ts.lists(values, np.r_[0, np.cumsum(size[some])], pa.int64())], [*carry, "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -304,61 +317,33 @@ def _sort_buckets(sorter: Sorter):
     return run
 
 
-def _windows(kind: Kind):
-    """(sid, n, least, j, window): the single windows of strings, as digests of their bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf_all, off_all = _binary(batch.column("packed"))
-            for lo, hi in ts.groups(off_all):
-                buf, off = buf_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo]
-                raw, _, sym_off, start, end = kind.symbols(buf, off)
-                per = np.maximum(np.diff(sym_off) - kind.width + 1, 0)
-                row = np.repeat(np.arange(hi - lo), per)
-                at = ts.ragged(sym_off[:-1], per)
-                s, e = start[at], end[at + kind.width - 1]
-                digest = np.stack([ts.Prefix(raw, which).spans(s, e) for which in (0, 1)], 1)
-                data = pa.Array.from_buffers(pa.binary(16), len(row), [None, pa.py_buffer(np.ascontiguousarray(digest))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(pa.array(lo + row)) for c in ("sid", "n", "least")), pa.array(at - sym_off[row]), data], ["sid", "n", "least", "j", "window"]
-                )
-
-    return run
-
-
-def occurrences(documents: DataFrame, kind: Kind, sorter: Sorter, hot_mark, within: bool) -> tuple[DataFrame, DataFrame]:
+def occurrences(documents: DataFrame, kind: Kind, sorter: Sorter, within: bool) -> tuple[DataFrame, DataFrame]:
     """The documents as rows (id, rid, text), and (rid, id, start, marks) of each run of theirs with marks.
 
-    hot_mark: from n and least of a single window and j to its mark, or null; they are collected in order.
     within: whether places in one document count as repeated.
     """
     small_batches(documents.sparkSession)
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("id", F.xxhash64("id", "text").alias("rid"), "text")
     seen = docs.select("rid", "text").mapInArrow(_count(kind, within), SEEN)
-    told = checkpoint(seen.repartition("place").sortWithinPartitions("place").mapInArrow(_repeated(kind.most), REPEATED))
-    spread = join_unique(told.where(F.col("kind") == SPREAD).select("rid", "value"), told.where(F.col("kind") == SUMMARY).groupBy("value").agg(F.max("n").alias("n")), "value", "n", "rid", store=True)
-    wanted = told.where(F.col("kind") == PLAIN).select("rid", "value", "n").unionByName(spread.select("rid", "value", "n"))
-    is_hot = F.col("n") > kind.most
-    wanted = checkpoint(
-        wanted.groupBy("rid").agg(F.collect_set(F.when(~is_hot, F.col("value"))).alias("cold"), F.collect_set(F.when(is_hot, F.col("value"))).alias("hot"))
-    )
-
-    def pieces(which: str) -> DataFrame:
-        named = wanted.where(F.size(which) > 0).select("rid", F.col(which).alias("wanted"))
-        return docs.join(named.hint("shuffle_hash"), "rid").select("id", "rid", "text", "wanted").mapInArrow(_pack(kind), PIECES)
-
-    cold = pieces("cold").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(sorter), PLACES)
-    if wanted.where(F.size("hot") > 0).isEmpty():
+    told = seen.repartition("place").sortWithinPartitions("place").mapInArrow(_repeated(kind.most), REPEATED)
+    wanted = checkpoint(told.groupBy("rid").agg(F.collect_set("code").alias("wanted"), F.max(F.col("code") % 2).alias("hot"), F.min(F.col("code") % 2).alias("cold")))
+
+    def pieces(hot: bool) -> DataFrame:
+        named = wanted.where("hot = 1" if hot else "cold = 0").select("rid", "wanted")
+        rows = docs.join(named.hint("merge"), "rid").select("id", "rid", "text", "wanted").sortWithinPartitions("rid")
+        return rows.mapInArrow(_pack(kind, hot), PIECES)
+
+    by_bucket = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
+    cold = by_bucket(pieces(False)).mapInArrow(_sort_buckets(sorter, ["rid", "id", "start"]), PLACES)
+    if wanted.where("hot = 1").isEmpty():
         return docs, cold
-    sid = F.unhex(F.md5("packed")).alias("sid")
-    strings = pieces("hot").groupBy("packed").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    single = strings.select(sid, "packed", "n", "least").mapInArrow(_windows(kind), "sid binary, n long, least long, j long, window binary")
-    same = single.groupBy("window").agg(F.sum("n").alias("w_n"), F.min("least").alias("w_least"), F.count("*").alias("w_rows"))
-    marked = join_unique(single.select("sid", "n", "j", "window"), same, "window", "w_rows", "sid", store=True)
-    marks = marked.groupBy("sid").agg(F.max("n").alias("n"), hot_mark(F.col("w_n"), F.col("w_least"), F.col("j")).alias("marks")).where(F.size("marks") > 0)
-    places = pieces("hot").select("rid", "id", "start", sid)
-    return docs, cold.unionByName(join_unique(places, marks, "sid", "n", "rid", store=True).select("rid", "id", "start", "marks"))
+    strings = pieces(True).groupBy("bucket", "packed").agg(F.sum("copies").alias("copies"), F.min("id").alias("id"))
+    marks = by_bucket(strings).mapInArrow(_sort_buckets(sorter, ["bucket", "packed"]), "bucket long, packed binary, marks array<long>")
+    # Adaptive execution splits the places of a string that very many texts have: both sides are plain shuffles.
+    sid = F.sha2("packed", 256).alias("sid")
+    found = pieces(True).select("rid", "id", "start", "bucket", sid).join(marks.select("bucket", sid, "marks").hint("merge"), ["bucket", "sid"])
+    return docs, cold.unionByName(found.select("rid", "id", "start", "marks"))
 
 
 def places(found: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

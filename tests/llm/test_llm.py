@@ -230,13 +230,40 @@ def test_repeated_streams_hold_little():
     """A value whose rows go over many batches, with a sum over the bound, is told as a whole."""
     import pyarrow as pa
 
-    def batch(places):
-        n = len(places)
-        return pa.RecordBatch.from_arrays([pa.array(places), pa.array(range(n)), pa.array(places), pa.array([1] * n), pa.array([0] * n, pa.int32())], ["place", "rid", "value", "n", "kind"])
-
-    got = pa.Table.from_batches(windows._repeated(5)([batch([1, 2, 2, 3]), batch([3] * 4), batch([3] * 4), batch([3, 4, 5]), batch([5])])).to_pydict()
-    assert Counter(got["value"]) == {2: 2, 3: 10, 5: 2}
-    assert {v: n for v, n in zip(got["value"], got["n"], strict=True)} == {2: 2, 3: 6, 5: 2}
+    def batch(places, n=1):
+        return pa.RecordBatch.from_arrays([pa.array(places), pa.array(places), pa.array(range(len(places)), pa.int32()), pa.array([n] * len(places), pa.int32())], ["place", "rid", "number", "n"])
+
+    told = [batch([1, 2, 2, 3]), batch([3] * 4), batch([3] * 4), batch([3, 4, 5]), batch([5]), batch([6, 7]), batch([7], windows.SUMMARY), batch([7]), batch([8], windows.SPREAD)]
+    got = pa.Table.from_batches(windows._repeated(5)(told)).to_pydict()
+    assert Counter((r, c % 2) for r, c in zip(got["rid"], got["code"], strict=True)) == {(2, 0): 2, (3, 1): 10, (5, 0): 2, (7, 1): 2, (8, 1): 1}
+
+
+def alike_sums(n):
+    """Two different words that agree under any polynomial hash modulo 2**64."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    one = "".join("ac"[b] for b in bits[:n])
+    return one, one.translate(str.maketrans("ac", "ca"))
+
+
+def test_windows_are_compared_by_their_bytes(spark):
+    x, y = alike_sums(2048)
+    head = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{head} {y}")], DOCS)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(df).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+@pytest.mark.parametrize("crowd", [32, 10_000])
+def test_repeated_rows_stay_linear(spark, monkeypatch, crowd):
+    """Rows that repeat doc_id and text are packed once for a batch; as one group of r rows they would be r * r pieces."""
+    monkeypatch.setattr(windows, "CROWD", crowd)
+    text, other = prose(21, 250), prose(22, 250)
+    df = spark.createDataFrame([(1, text)] * 3000 + [(2, other), (3, text)], DOCS)
+    got = Counter((r.doc_id, r.n_removed) for r in suffix_dedup.find_repeats(df).collect())
+    assert got == {(1, len(text)): 3000, (2, 0): 1, (3, len(text)): 1}
+    got = Counter((r.doc_id, r.n_removed) for r in substring_dedup.dedup(df).collect())
+    assert got == {(1, 0): 3000, (2, 0): 1, (3, 250): 1}
 
 
 def test_packing(spark, docs, texts):
