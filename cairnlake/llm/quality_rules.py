@@ -6,7 +6,8 @@ at every run), flattened into node arrays and applied in the same pass.
 
 Nulls and edge cases: a null text has no words and fails the base rules; documents with null doc_id are kept as
 rows; repeated rows get equal verdicts; labels with null quality, null doc_id or without a document are left
-out; without labels of both kinds every document that passes the base rules is kept; extra columns are ignored.
+out; a labelled doc_id over several texts is fitted on one of them; without labels of both kinds every document that
+passes the base rules is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,8 +51,6 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray],
     n_words = np.diff(word_off)
     lead = (buf & 0xC0) != 0x80
     solid = ~ts.SPACE[buf]
-    prefix = ts.Prefix(buf)
-    word = prefix.spans(start, end)
     doc_of = np.repeat(np.arange(docs), n_words)
 
     newline = np.flatnonzero(buf == 10)
@@ -60,18 +59,20 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray],
     held = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end = line_start[held], line_end[held]
     line_doc = np.searchsorted(off, line_start, "right") - 1
-    key = prefix.spans(line_start, line_end)
+    key, _ = ts.identify(buf, line_start, line_end)
     order = np.lexsort((key, line_doc))
     again = (key[order][1:] == key[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
     n_dup = np.bincount(line_doc[order][1:][again], minlength=docs)
 
-    salted = word + doc_of.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-    distinct = _repeats(ts.mix(salted))[1]
+    # Numbers of each document's own words, so that windows of them never agree across documents.
+    number, _ = ts.identify(buf, start, end)
+    _, first, word = np.unique(doc_of << 40 | number, return_index=True, return_inverse=True)
+    distinct = np.zeros(len(word), bool)
+    distinct[first] = True
     covered = np.zeros(len(word) + 3, bool)
     if len(word) >= 3:
         at = np.flatnonzero(doc_of[2:] == doc_of[:-2])
-        w = salted[at] * np.uint64(0xC2B2AE3D27D4EB4F) + ts.mix(word[at + 1]) * np.uint64(3) + ts.mix(word[at + 2] + np.uint64(7)) * np.uint64(5)
-        twice = at[_repeats(ts.mix(w))[0]]
+        twice = at[_repeated(ts.sequences(word, 3)[at])]
         for k in range(3):
             covered[twice + k] = True
     n_repeat = ts.per_document(covered[: len(word)], word_off)
@@ -99,22 +100,23 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray],
     return count, x
 
 
-def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a key occurs at least twice, and one place of each key."""
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Whether a key occurs at least twice."""
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
-    twice, first = np.zeros(len(keys), bool), np.ones(len(keys), bool)
+    twice = np.zeros(len(keys), bool)
     twice[order[1:][same]] = twice[order[:-1][same]] = True
-    first[order[1:][same]] = False
-    return twice, first
+    return twice
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text, quality = batch.column("text"), batch.column("quality")
+        ids, text, quality = batch.column("doc_id").cast(pa.int64()), batch.column("text"), batch.column("quality")
         for lo, hi, buf, off in ts.scan(text):
             count, x = statistics(buf, off)
-            yield pa.RecordBatch.from_arrays([pa.array(_base_failed(count)), pa.array(list(x), pa.list_(pa.float64())), quality.slice(lo, hi - lo)], ["failed", "x", "quality"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(lo, hi - lo), pa.array(_base_failed(count)), pa.array(list(x), pa.list_(pa.float64())), quality.slice(lo, hi - lo)], ["doc_id", "failed", "x", "quality"]
+            )
 
 
 def _base_failed(count: dict[str, np.ndarray]) -> np.ndarray:
@@ -128,9 +130,11 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tree
         .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    # The ids are at most `sample` rows, so broadcasting them is bounded whatever the corpus.
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    got = rows.mapInArrow(_features, "failed boolean, x array<double>, quality int").where("NOT failed").toPandas()
+    # The ids are at most `sample` rows, so broadcasting them is bounded whatever the corpus; a doc_id that stands
+    # over several rows is fitted on one of them, so the rows that come to the driver are bounded too.
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    seen = rows.mapInArrow(_features, "doc_id long, failed boolean, x array<double>, quality int").where("NOT failed")
+    got = seen.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("quality").alias("quality")).orderBy("doc_id").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     y = got["quality"].to_numpy(float)
     if len(np.unique(y)) < 2:

@@ -22,6 +22,15 @@ def prose(seed, n):
     return " ".join(f"w{i}" for i in rng.integers(0, 3000, n))
 
 
+def alike_sums(n):
+    """Two different words that agree under any polynomial hash modulo 2**64."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    one = "".join("ac"[b] for b in bits[:n])
+    return one, one.translate(str.maketrans("ac", "ca"))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     """Exact and near copies, shared passages, empty, null, short and periodic texts, a repeated row, clashing columns."""
@@ -109,6 +118,17 @@ def test_quality_rules(spark, docs, texts):
     assert quality_rules.judge(empty(spark), trees).count() == 0
 
 
+def test_statistics_compare_bytes():
+    import pyarrow as pa
+
+    from cairnlake.llm import textscan as ts
+
+    x, y = alike_sums(2048)
+    texts = [f"{x}\n{y}", f"{x} a b {y} a b {x} a b", "", "a b c\na b c\n \n a b c", "\n\n", "ab " * 30_000, f"{x}\n{x}"]
+    count, _ = quality_rules.statistics(*ts.utf8(pa.array(texts)))
+    assert list(zip(*(v.tolist() for v in count.values()), strict=True)) == [brute_statistics(t) for t in texts]
+
+
 @pytest.mark.parametrize("only", [0, 1])
 def test_labels_of_one_kind_keep_all(spark, docs, only):
     labels = spark.createDataFrame([(i, only, 0) for i in (1, 2, 3, 4, 14)], "doc_id long, quality int, toxic int")
@@ -238,15 +258,6 @@ def test_repeated_streams_hold_little():
     assert Counter((r, c % 2) for r, c in zip(got["rid"], got["code"], strict=True)) == {(2, 0): 2, (3, 1): 10, (5, 0): 2, (7, 1): 2, (8, 1): 1}
 
 
-def alike_sums(n):
-    """Two different words that agree under any polynomial hash modulo 2**64."""
-    bits = [0]
-    while len(bits) < n:
-        bits += [1 - b for b in bits]
-    one = "".join("ac"[b] for b in bits[:n])
-    return one, one.translate(str.maketrans("ac", "ca"))
-
-
 def test_windows_are_compared_by_their_bytes(spark):
     x, y = alike_sums(2048)
     head = " ".join(f"w{i}" for i in range(12))
