@@ -6,6 +6,9 @@ pieces, and each group is packed apart, longest piece first: a piece goes where
 counts of open bins per residual gap becomes smallest.  What a group leaves in poorly filled bins is gathered
 over ever fewer groups and packed again, so that the loss doesn't grow with the number of groups.
 
+Within a group a piece opens a new bin only where no open bin has room for it; among the bins with room the rule
+decides.
+
 Nulls and edge cases: a null or empty text is one separator; repeated rows are packed as often as they occur
 (equal doc_ids are fine); a null doc_id is carried through; extra columns are ignored; no rows give no rows.
 """
@@ -31,8 +34,8 @@ GROUP = 4096
 LOOSE = 1 / 128
 #: Groups that are merged for the next round, and rounds.
 MERGE, ROUNDS = 16, 3
-#: Word parts that a Python worker remembers the ids of, at most (some 40 bytes each).
-REMEMBER = 1_500_000
+#: Word parts that a Python worker remembers the ids of, at most, with their text (some 150 bytes each).
+REMEMBER = 300_000
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".,;:!?*#$%&()")] = True
@@ -56,7 +59,7 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self._keys = np.zeros(0, np.uint64)  # sorted; _begin and _size by the same order, into _pool
+        self._known: dict[bytes, int] = {}  # a part's place in _begin and _size, which point into _pool
         self._begin, self._size, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
@@ -81,22 +84,21 @@ class WordTokenizer:
         start, end, part_off = self.parts(buf, off)
         if b"<|" not in buf.tobytes():  # special tokens are told apart by case
             buf = buf | _CAPITAL[buf]
-        keys, first, inverse = np.unique(ts.Prefix(buf).spans(start, end), return_index=True, return_inverse=True)
-        if len(self._keys) > REMEMBER:
+        number, first = ts.identify(buf, start, end)
+        if len(self._known) > REMEMBER:
             self._forget()
-        at = np.searchsorted(self._keys, keys)
-        new = np.flatnonzero(self._keys[np.minimum(at, len(self._keys) - 1)] != keys if len(self._keys) else np.ones(len(keys), bool))
-        if len(new):
-            raw = buf.tobytes()
-            text = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            ids = [got.ids for got in self._tokenizer.encode_batch(text, add_special_tokens=False)]
+        raw = buf.tobytes()
+        parts = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        new = [part for part in parts if part not in self._known]
+        if new:
+            ids = [got.ids for got in self._tokenizer.encode_batch([part.decode("utf-8", "replace") for part in new], add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for part in ids for i in part), np.uint32, int(size.sum()))
-            begin = len(self._pool) + np.cumsum(size) - size
-            self._pool = np.concatenate([self._pool, flat])
-            self._keys, self._begin, self._size = (np.insert(a, at[new], b) for a, b in ((self._keys, keys[new]), (self._begin, begin), (self._size, size)))
-            at = np.searchsorted(self._keys, keys)
-        size, begin = self._size[at][inverse], self._begin[at][inverse]
+            self._known.update(zip(new, range(len(self._size), len(self._size) + len(new)), strict=True))
+            self._begin = np.concatenate([self._begin, len(self._pool) + np.cumsum(size) - size])
+            self._size, self._pool = np.concatenate([self._size, size]), np.concatenate([self._pool, flat])
+        at = np.fromiter((self._known[part] for part in parts), np.int64, len(parts))[number] if parts else number
+        size, begin = self._size[at], self._begin[at]
         ids = self._pool[ts.ragged(begin, size)]
         ends = np.zeros(len(start) + 1, np.int64)
         np.cumsum(size, out=ends[1:])

@@ -310,7 +310,7 @@ def test_word_parts_are_the_tokenizers(spark):
     from cairnlake.llm import textscan as ts
 
     path = packing.tokenizer_path()
-    texts = ["It's Ok... don't; É!à.b <|endoftext|> <|ENDOFTEXT|> x", "a,b.c!?d ÀÉ.É ×. ÷.x é́.", "", "x….y 12.5% (a)b", "İ.I ß. naïve.Café:"]
+    texts = ["It's Ok... don't; É!à.b <|endoftext|> <|ENDOFTEXT|> x", "a,b.c!?d ÀÉ.É ×. ÷.x é́.", "", "x….y 12.5% (a)b", "İ.I ß. naïve.Café:", *(" ".join(alike_sums(64)) for _ in range(2)), *alike_sums(2048)]
     import pyarrow as pa
 
     buf, off = ts.utf8(pa.array(texts))
