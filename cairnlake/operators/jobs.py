@@ -1,44 +1,18 @@
-"""What jobs over large tables share: checkpoints, checked broadcasts, and joins with very frequent keys."""
+"""What jobs over large tables share."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Rows that small() broadcasts, at most.
-SMALL_ROWS = 200_000
-#: A key with more than one row in so many is salted; so there are fewer of these keys than that.
-HOT_SHARE = 1000
-
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Cut the lineage in the folder named by spark.checkpoint.dir; a temporary one only in a local session that names none."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast if the table has so few rows; only for tables that are cheap to count."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than one row in ``share``: fewer than ``share`` rows, so it may be broadcast."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("__n") * share > F.col("__total")).select(key)
-
-
-def salted_pairs(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 32) -> DataFrame:
-    """Inner join on key; rows of hot keys of the left side are dealt over salts, those of the right repeated."""
-    hot = hot_keys(left.select(key), key).select(F.col(key).alias("__hot"))
-    marked = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    dealt = marked.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("__hot")
-    repeats = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    copied = right.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(repeats)).drop("__hot")
-    return dealt.join(copied, [key, "__salt"]).drop("__salt")
