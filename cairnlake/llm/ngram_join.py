@@ -1,24 +1,27 @@
 """N-gram Jaccard join: pairs of documents whose sets of word n-grams are alike, by MinHash banding.
 
-1. Every whole text becomes a set of n-grams, a digest of that set, and band hashes.  Band and row counts are
-   chosen for a target recall at the threshold.  Equal sets are one text from here on, with a count of copies.
+1. Every whole text becomes a set of hashed n-grams and, of that, band hashes.  Band and row counts are chosen for a
+   target recall at the threshold.  Texts with the same words (by a SHA-256 of them) are one from here on, with a
+   count of copies.
 2. Band hashes are shuffled; a bucket with several texts ties each to its least one.  The connected components
-   of these ties are the units in which candidates are looked for: each text's set travels once to its unit.
+   of these ties are the units in which candidates are looked for: each text's words travel once to its unit.
 3. A large unit is cut into chunks, and every pair of chunks is a task of its own; a unit of very many chunks
    is replaced by its buckets, each of them cut in the same way.  Inside a task, texts that share a band are
-   compared on their full sets.  A pair is counted where it first shares a band, so exactly once.
+   compared on their full sets of n-grams, which are told apart by their bytes, not by hashes.  A pair is counted
+   where it first shares a band, so exactly once.
 4. Only counts of links and a spanning star of each group leave a task, never the pairs.  Components of the
    stars are the classes.
 
 Nulls and edge cases: a text without words (or null) is in no pair and a class of its own; one of fewer than n
-words has all its words as its only n-gram; rows with null doc_id are left out; rows that repeat a doc_id and text
-share that document's class and count as one in it; different texts under one doc_id are each in the class of their
-own set, and two classes with the same least doc_id have the same name, though they stay apart; extra columns are
-ignored.
+words has all its words as its only n-gram; rows with null doc_id are left out of join(), and are texts like others,
+behind all with a doc_id, for keep_one(); rows that repeat a doc_id and text share that document's class and count as
+one in it; different texts under one doc_id are each in the class of their own words, and two classes with the same
+least doc_id have the same name, though they stay apart; extra columns are carried along by keep_one().
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -27,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnlake.operators.graph import connected_components
+
 from . import textscan as ts
-from .components import components
 from .shared import checkpoint, join_unique, read
 
 WORDS = 5
@@ -37,9 +41,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
 #: Texts and n-grams in a chunk, about; a task holds two chunks.
-CHUNK_TEXTS, CHUNK_GRAMS = 1024, 2_000_000
+CHUNK_TEXTS, CHUNK_GRAMS = 1024, 1_000_000
 #: Units are compared together until there are so many texts or bytes.
-GO, GO_BYTES = 2048, 32 << 20
+GO, GO_BYTES = 2048, 12 << 20
 #: Units of more chunks than this are compared bucket by bucket; None: as many as there are bands.
 MOST_CHUNKS: int | None = None
 
@@ -57,10 +61,9 @@ def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple
     return best
 
 
-def gram_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
-    """The sorted set of n-gram fingerprints of each document."""
-    start, end, word_off = ts.words(buf, off)
-    symbols = ts.Prefix(ts.Prefix(buf).spans(start, end), 1)
+def gram_sets(buf: np.ndarray, start: np.ndarray, end: np.ndarray, word_off: np.ndarray, n: int) -> list[np.ndarray]:
+    """The set of hashed n-grams of each document."""
+    symbols = ts.Prefix(ts.hashes(buf, start, end))
     grams = symbols.grams(n)
     out = []
     for lo, hi in zip(word_off[:-1].tolist(), word_off[1:].tolist(), strict=True):
@@ -71,6 +74,29 @@ def gram_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def exact_sets(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the n-grams of each text, each once, and the texts' offsets in them; equal exactly where the words are.
+
+    A text of fewer words has one n-gram, which no other text has, as no two texts have the same words.
+    """
+    start, end, word_off = ts.words(buf, off)
+    grams = ts.sequences(ts.identify(buf, start, end)[0], n)
+    per = np.maximum(np.diff(word_off) - n + 1, 0)
+    short = np.flatnonzero(per == 0)
+    row = np.concatenate([np.repeat(np.arange(len(per)), per), short])
+    _, number = np.unique(grams[ts.ragged(word_off[:-1], per)], return_inverse=True)
+    both = np.unique(row << 40 | np.concatenate([number, len(number) + np.arange(len(short))]))
+    return both & (1 << 40) - 1, np.searchsorted(both >> 40, np.arange(len(per) + 1))
+
+
+def _spans(start: np.ndarray, end: np.ndarray, word_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each document's words, and the one behind them."""
+    some = np.diff(word_off) > 0
+    first, last = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+    first[some], last[some] = start[word_off[:-1][some]], end[word_off[1:][some] - 1]
+    return first, last
+
+
 def _signer(n: int, bands: int, rows: int):
     rng = np.random.default_rng(5)
     factors = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,11 +105,14 @@ def _signer(n: int, bands: int, rows: int):
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("text_key")
             for lo, hi, buf, off in ts.scan(batch.column("text")):
-                sets = gram_sets(buf, off, n)
+                raw, raw_off = ts.squeeze(buf, off)
+                start, end, word_off = ts.words(raw, raw_off)
+                sets = gram_sets(raw, start, end, word_off, n)
                 size = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(size)
                 sig = np.zeros((len(sets), bands), np.uint64)
-                digest = np.zeros((len(sets), 2), np.uint64)
+                plain = memoryview(np.ascontiguousarray(raw))
+                digest = [hashlib.sha256(plain[s:e]).digest() for s, e in zip(*(x.tolist() for x in _spans(start, end, word_off)), strict=True)]
                 if len(some):
                     flat = np.concatenate([sets[i] for i in some])
                     at = np.cumsum(size[some]) - size[some]
@@ -92,12 +121,10 @@ def _signer(n: int, bands: int, rows: int):
                         for r in range(rows):
                             key = ts.mix(key + np.minimum.reduceat(flat * factors[b * rows + r], at))
                         sig[some, b] = key
-                    digest[some, 0] = np.add.reduceat(ts.mix(flat), at)
-                    digest[some, 1] = np.add.reduceat(ts.mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), pa.array(size),
-                        pa.array([d.tobytes() for d in digest], pa.binary()),
+                        pa.array(digest, pa.binary()),
                         ts.lists(sig.view(np.int64).ravel(), np.arange(len(sets) + 1) * bands),
                     ],
                     ["doc_id", "text_key", "n_grams", "digest", "bands"],
@@ -106,35 +133,26 @@ def _signer(n: int, bands: int, rows: int):
     return run
 
 
-def _shipper(n: int):
-    """Sets of the texts, once for each pair of chunks that they are in."""
+SHIPPED = ["unit", "band", "chunk", "node", "copies", "bands", "low", "high", "words"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunks = batch.column("chunks").to_numpy()
-            names = ["unit", "band", "chunk", "node", "copies", "bands"]
-            for lo, hi, buf, off in ts.scan(batch.column("text")):
-                sets = gram_sets(buf, off, n)
-                k = chunks[lo:hi]
-                row = np.repeat(np.arange(hi - lo), k)
-                other = np.concatenate([np.arange(x) for x in k]) if len(k) else np.zeros(0, np.int64)
-                own = batch.column("chunk").to_numpy()[lo:hi][row]
-                for part in np.array_split(np.arange(len(row)), max(1, len(row) * int(np.mean([len(s) for s in sets])) // 500_000)):
-                    if not len(part):
-                        continue
-                    r = row[part]
-                    taken = [sets[i] for i in r]
-                    ends = np.cumsum([0, *map(len, taken)])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(batch.column(c).take(pa.array(lo + r)) for c in names),
-                            pa.array(np.minimum(own[part], other[part])), pa.array(np.maximum(own[part], other[part])),
-                            ts.lists(np.concatenate(taken).view(np.int64), ends),
-                        ],
-                        [*names, "low", "high", "grams"],
-                    )
 
-    return run
+def _shipper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the texts, joined by spaces, once for each pair of chunks that they are in."""
+    for whole in batches:
+        keys = np.stack([whole.column(c).to_numpy() for c in ("unit", "band", "node")], 1)
+        batch = whole.take(pa.array(np.sort(np.unique(keys, axis=0, return_index=True)[1])))  # without rows that repeat a doc_id and text
+        for lo, hi, buf, off in ts.scan(batch.column("text")):
+            raw, raw_off = ts.squeeze(buf, off)
+            first, last = _spans(*ts.words(raw, raw_off))
+            k = batch.column("chunks").to_numpy()[lo:hi]
+            row = np.repeat(np.arange(hi - lo), k)
+            other = ts.ragged(np.zeros(hi - lo, np.int64), k)
+            own = batch.column("chunk").to_numpy()[lo:hi][row]
+            for part in np.array_split(np.arange(len(row)), max(1, int((last - first)[row].sum()) >> 22)):
+                r = row[part]
+                low, high = np.minimum(own[part], other[part]), np.maximum(own[part], other[part])
+                columns = [*(batch.column(c).take(pa.array(lo + r)) for c in SHIPPED[:6]), pa.array(low), pa.array(high), ts.strings(raw, first[r], last[r] - first[r])]
+                yield pa.RecordBatch.from_arrays(columns, SHIPPED)
 
 
 def _pairs(band_keys: np.ndarray, unit: np.ndarray, only: np.ndarray, chunk: np.ndarray, cross: np.ndarray):
@@ -160,7 +178,7 @@ def _pairs(band_keys: np.ndarray, unit: np.ndarray, only: np.ndarray, chunk: np.
             step += 1
 
 
-def _verifier(threshold: float):
+def _verifier(n: int, threshold: float):
     def compare(units: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(units).combine_chunks()
         col = {c: table[c].to_numpy() for c in ("unit", "band", "chunk", "node", "copies", "low", "high")}
@@ -169,7 +187,7 @@ def _verifier(threshold: float):
         first = np.unique(np.stack([unit, col["node"]]), axis=1, return_index=True)[1]  # rows that repeat a doc_id and text
         table, unit, col = table.take(pa.array(first)), unit[first], {c: v[first] for c, v in col.items()}
         bands = _flat(table["bands"])[0].reshape(len(first), -1)
-        grams, off = _flat(table["grams"])
+        ids, off = exact_sets(*ts.utf8(table["words"].combine_chunks().cast(pa.large_binary()).view(pa.large_string())), n)
         size = np.diff(off)
         found = [(i, j) for i, j in _pairs(bands, unit, col["band"], col["chunk"], col["low"] != col["high"])]
         i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
@@ -177,16 +195,15 @@ def _verifier(threshold: float):
         i, j = i[near], j[near]
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
-        _, ids = np.unique(grams, return_inverse=True)
-        flag = np.zeros(len(ids) + 1, bool)
+        flag = np.zeros(len(ids) + len(first) + 1, bool)
         shared = np.zeros(len(i), np.int64)
         cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(0, np.int64)
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             own = ids[off[i[a]] : off[i[a] + 1]]
             flag[own] = True
             other = j[a:z]
-            n = size[other]
-            shared[a:z] = np.add.reduceat(flag[ids[ts.ragged(off[other], n)]].astype(np.int64), np.cumsum(n) - n)
+            many = size[other]
+            shared[a:z] = np.add.reduceat(flag[ids[ts.ragged(off[other], many)]].astype(np.int64), np.cumsum(many) - many)
             flag[own] = False
         good = shared >= threshold * (size[i] + size[j] - shared) - 1e-9
         i, j = i[good], j[good]
@@ -240,14 +257,14 @@ def _text_key() -> Column:
 
 
 def join(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links (other documents it is alike to), n_texts (other texts), n_copies (with its set)."""
+    """doc_id, class_id, n_links (other documents it is alike to), n_texts (other texts), n_copies (with its words)."""
     return _classes(documents, n, threshold, recall).select("doc_id", "class_id", "n_links", "n_texts", "n_copies")
 
 
 def _classes(documents: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
     """The columns of join(), the text_key of each row, and class_node: one for each class, null for a text without words.
 
-    A node is a number given to each set of n-grams, so that two sets never share one.
+    A node is a number given to each sequence of words, so that two never share one.
     """
     bands, rows = bands_for(threshold, recall)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key().alias("text_key")).where("doc_id IS NOT NULL")
@@ -259,7 +276,7 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float) -> D
     in_band = texts.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
     buckets = in_band.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     ties = join_unique(in_band, buckets, "bucket", "n", "node", store=True)
-    units = checkpoint(components(ties.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    units = checkpoint(connected_components(ties.where("node > least"), "node", "least"))
 
     members = texts.join(units, "node")
     chunk_count = F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n_grams") / CHUNK_GRAMS)).alias("chunks")
@@ -277,11 +294,11 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float) -> D
     wanted = docs.join(tasks.hint("shuffle_hash"), ["doc_id", "text_key"])
     shipped = wanted.select(
         F.col("unit").cast("long"), F.col("band").cast("int"), F.col("chunk").cast("long"), F.col("chunks").cast("long"), "node", F.col("copies").cast("long"), "bands", "text"
-    ).mapInArrow(_shipper(n), "unit long, band int, chunk long, node long, copies long, bands array<long>, low long, high long, grams array<long>")
+    ).mapInArrow(_shipper, "unit long, band int, chunk long, node long, copies long, bands array<long>, low long, high long, words binary")
     dealt = shipped.repartition("unit", "low", "high").sortWithinPartitions("unit", "low", "high")
-    found = checkpoint(dealt.mapInArrow(_verifier(threshold), "node long, root long, n_texts long, n_links long"))
+    found = checkpoint(dealt.mapInArrow(_verifier(n, threshold), "node long, root long, n_texts long, n_links long"))
 
-    classes = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = connected_components(found, "node", "root")
     members = classes.join(same.select("node", "least_id"), "node")
     names = members.groupBy("component").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n"))
     named = join_unique(members, names, "component", "n", "node", store=True).select("node", "component", "class_id")
@@ -299,17 +316,22 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float) -> D
     return out.unionByName(alone)
 
 
+#: Stands for a null doc_id in keep_one(), behind any other.
+NO_ID = (1 << 63) - 1
+
+
 def keep_one(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The text of each class with the least doc_id (and of its texts, digest), with all its columns.
 
-    A row goes only if the class of its own text has another row that stays; rows without doc_id stay.
+    A row goes only if the class of its own text has another row that stays.
     """
-    rows = _classes(documents, n, threshold, RECALL)
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = _classes(documents.select(own_id.alias("doc_id"), "text"), n, threshold, RECALL)
     least = rows.where("class_node IS NOT NULL").groupBy("class_node").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select("kept.*")
-    kept = least.unionByName(rows.where("class_node IS NULL").select("doc_id", "text_key").distinct()).toDF("kept_id", "kept_key")
-    keyed = documents.withColumn("__text_key", _text_key())
-    named = keyed.join(kept.hint("shuffle_hash"), (F.col("doc_id") == F.col("kept_id")) & (F.col("__text_key") == F.col("kept_key")), "left_semi")
-    return named.dropDuplicates(["doc_id", "__text_key"]).drop("__text_key").unionByName(documents.where("doc_id IS NULL"))
+    kept = least.unionByName(rows.where("class_node IS NULL").select("doc_id", "text_key").distinct()).toDF("__kept_id", "__kept_key")
+    keyed = documents.withColumn("__own_id", own_id).withColumn("__text_key", _text_key())
+    named = keyed.join(kept.hint("shuffle_hash"), (F.col("__own_id") == F.col("__kept_id")) & (F.col("__text_key") == F.col("__kept_key")), "left_semi")
+    return named.dropDuplicates(["__own_id", "__text_key"]).drop("__own_id", "__text_key")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent, as in a local test, a temporary folder is set instead.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+from cairnlake.operators.jobs import checkpoint
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -29,19 +29,8 @@ WIDTH, GRAM = 13, 4
 MOST = wn.GO_BYTES // (2 * 8 * WIDTH)
 
 
-def squeeze(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts with one space for each run of white space, and their offsets."""
-    space = ts.SPACE[buf]
-    keep = ~space
-    keep[1:] |= ~space[:-1]
-    first = off[:-1][np.diff(off) > 0]
-    keep[first] = ~space[first]
-    out = np.where(space[keep], np.uint8(32), buf[keep])
-    return out, np.r_[0, np.cumsum(keep)][off]
-
-
 def word_symbols(buf: np.ndarray, off: np.ndarray):
-    raw, off = squeeze(buf, off)
+    raw, off = ts.squeeze(buf, off)
     start, end, word_off = ts.words(raw, off)
     return raw, ts.hashes(raw, start, end), word_off, start, end
 
@@ -79,7 +68,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("id").to_numpy()
         owner, place, marks, mark_off = wn.places(batch.column("found"), ids)
         for lo, hi, buf, off in ts.scan(batch.column("text")):
-            raw, sq_off = squeeze(buf, off)
+            raw, sq_off = ts.squeeze(buf, off)
             start, end, word_off = ts.words(raw, sq_off)
             a, z = np.searchsorted(owner, [lo, hi])
             size = np.diff(mark_off[a : z + 1])

@@ -208,6 +208,17 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, np.flatnonzero(solid & after) + 1, np.searchsorted(start, off)
 
 
+def squeeze(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with one space for each run of white space, and their offsets."""
+    space = SPACE[buf]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    first = off[:-1][np.diff(off) > 0]
+    keep[first] = ~space[first]
+    out = np.where(space[keep], np.uint8(32), buf[keep])
+    return out, np.r_[0, np.cumsum(keep)][off]
+
+
 def per_document(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The sum of an array over each document."""
     sums = np.zeros(len(flags) + 1, np.int64)

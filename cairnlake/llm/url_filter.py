@@ -6,9 +6,12 @@ components.  If a page or alias of the group is allowed by a rule, that takes pr
 blocked, the rest of the group is blocked; a group that no rule fits is allowed.  A target that is no
 page itself still counts as an alias, with its own rule.
 
+Urls name one page if they agree in host, path and query after dot segments are taken out; groups are found over
+these names themselves, not over hashes of them.
+
 Nulls and edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
-allowed; null html has no links; relative targets are resolved against the page's host; repeated urls are
-aliases of each other; ties between rules can't occur, as a host and path have one rule (the last one given
+allowed; null html has no links; relative targets are resolved against the page's url as RFC 3986 says, and targets
+of schemes without ``://`` are none; repeated urls are aliases of each other; ties between rules can't occur, as a host and path have one rule (the last one given
 counts); extra columns are ignored.
 """
 
@@ -17,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from cairnlake.operators.graph import connected_components
+
+
 from .shared import checkpoint, read
 
 RULES = (
@@ -46,9 +51,20 @@ def _query_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its segments . and .., and with / where it is empty."""
+    def step(kept: Column, part: Column) -> Column:
+        return F.when(part == ".", kept).when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    clean = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    clean = F.when(path.rlike(r"/\.\.?$"), F.when(F.endswith(clean, F.lit("/")), clean).otherwise(F.concat(clean, F.lit("/")))).otherwise(clean)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), clean).otherwise(F.when(path == "", "/").otherwise(path))
+
+
 def node_of(url: Column) -> Column:
     """What tells two urls apart: host, path and query, but neither scheme nor fragment."""
-    return F.concat(host_of(url), path_of(url), _query_of(url))
+    return F.concat(host_of(url), without_dots(path_of(url)), _query_of(url))
 
 
 def _rule_table(spark: SparkSession, rules) -> DataFrame:
@@ -95,7 +111,7 @@ def with_rules(urls: DataFrame, rules, keep: list[str]) -> DataFrame:
     return match(urls, rules, keep)
 
 
-_ATTR = r"""\b%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_ATTR = r"""[\s"'/]%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -110,17 +126,20 @@ def links(pages: DataFrame) -> DataFrame:
     told = pages.where("url IS NOT NULL AND (html ILIKE '%canonical%' OR html ILIKE '%refresh%')").select("url", F.explode(tags).alias("tag"))
     rel, equiv = F.lower(_attribute(F.col("tag"), "rel")), F.lower(_attribute(F.col("tag"), "http-equiv"))
     moved = F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]+)", 1)
-    target = F.trim(F.replace(F.when(rel == "canonical", _attribute(F.col("tag"), "href")).when(equiv == "refresh", moved), F.lit("&amp;"), F.lit("&")))
+    target = F.trim(F.replace(F.when(rel.rlike(r"(^|\s)canonical(\s|$)"), _attribute(F.col("tag"), "href")).when(equiv == "refresh", moved), F.lit("&amp;"), F.lit("&")))
     found = told.select("url", target.alias("target")).where("target <> ''")
     scheme, host = F.regexp_extract("url", r"(?s)^(.*?)://", 1), F.regexp_extract("url", _PARTS, 1)
     folder = F.regexp_extract(path_of(F.col("url")), r"(?s)^(.*/)", 1)
+    target, own = F.col("target"), F.concat(scheme, F.lit("://"), host)
     full = (
-        F.when(F.col("target").contains("://"), F.col("target"))
-        .when(F.startswith("target", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("target")))
-        .when(F.startswith("target", F.lit("/")), F.concat(scheme, F.lit("://"), host, F.col("target")))
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.when(folder == "", "/").otherwise(folder), F.col("target")))
+        F.when(target.rlike(r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(target.contains("://"), target))
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(own, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(own, path_of(F.col("url")), target))
+        .when(F.startswith(target, F.lit("#")), F.lit(None))
+        .otherwise(F.concat(own, F.when(folder == "", "/").otherwise(folder), target))
     )
-    return found.where("url LIKE '%://%'").select("url", full.alias("target"))
+    return found.where("url LIKE '%://%'").select("url", full.alias("target")).where("target IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -137,8 +156,8 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     if told.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
     ends = told.select(F.col("url").alias("end")).unionByName(told.select(F.col("target").alias("end"))).distinct()
-    key = lambda c: F.xxhash64(node_of(F.col(c)))
-    groups = checkpoint(components(told.select(key("url").alias("a"), key("target").alias("b"))))
+    key = lambda c: node_of(F.col(c))
+    groups = checkpoint(connected_components(told.select(key("url").alias("a"), key("target").alias("b")), "a", "b"))
     # Only urls on some edge have aliases; a group's word is a minimum over its members: allow before block.
     known = with_rules(ends.select(key("end").alias("node"), host_of(F.col("end")).alias("host"), path_of(F.col("end")).alias("path")), rules, ["node"])
     word = known.join(groups, "node").where("rule_verdict IS NOT NULL").groupBy("component").agg(F.min("rule_verdict").alias("group_verdict"))

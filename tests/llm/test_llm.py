@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from cairnlake.llm import (
-    boosting, chat_format, components, decontaminate, deep_shallow, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup,
+    boosting, chat_format, decontaminate, deep_shallow, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup,
     url_filter, windows,
 )
 
@@ -341,21 +341,67 @@ def test_url_filters(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
-def test_components(spark):
-    edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (5, 5), (None, 1), *((100, 200 + i) for i in range(300)), *((300 + i, 301 + i) for i in range(250))]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    parent = {}
+def test_url_targets(spark):
+    from urllib.parse import urljoin
+
+    base = ["http://h.net/a/p", "http://h.net", "http://h.net/a/b/?q=1", "http://h.net/a/b/c.html#top"]
+    refs = ["?x=1", "../c", "../../../c", "./d", "e/../f", "/g/./h", "//k.net/x", "http://m.net/", "..", ".", "", "#z", "mailto:a@b", "../", "k?y=/../z"]
+    pages = [(i, b, f'<link href="{r}" rel="nofollow Canonical">') for i, (b, r) in enumerate((b, r) for b in base for r in refs)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    plain = lambda u: u.split("#")[0].split("://", 1)[1]
+    want = {}
+    for b in base:
+        for r in refs:
+            if r and not r.startswith(("#", "mailto")):
+                node = plain(urljoin(b + ("/" if b.count("/") == 2 else ""), r))
+                want[(b, r)] = node if "/" in node else node + "/"
+    from pyspark.sql import functions as F
+
+    rows = url_filter.links(df).select("url", url_filter.node_of(F.col("target")).alias("node")).collect()
+    assert Counter((r.url, r.node) for r in rows) == Counter((b, n) for (b, _), n in want.items())
+
+
+def test_url_groups_against_union_find(spark):
+    """Chains, cycles, stars, targets that are no page, and groups with allowed and blocked members."""
+    rng = np.random.default_rng(3)
+    hosts = ["a.net", "b.net", "x.org", "www.example.org", "d.com"]
+    paths = ["/p{}", "/es/{}", "/en/1{}", "/fr/{}", "/de/{}", "/q?i={}"]
+    urls = [f"http://{hosts[rng.integers(5)]}{paths[rng.integers(6)].format(i)}" for i in range(400)]
+    edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + (i + 1) % 40) for i in range(40)] + [(200, 201 + i) for i in range(50)]
+    edges += [tuple(rng.integers(250, 400, 2).tolist()) for _ in range(60)]
+    html = defaultdict(str)
+    for a, b in edges:
+        html[a] += f'<link rel=canonical href="{urls[b]}">' if (a + b) % 2 else f'<meta http-equiv="refresh" content="1;url={urls[b]}">'
+    shown = [i for i in range(400) if i % 7]  # the others are only targets
+    df = spark.createDataFrame([(i, urls[i], html[i] or None) for i in shown], "page_id long, url string, html string")
+    parent = list(range(400))
 
     def find(x):
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             x = parent[x]
         return x
 
     for a, b in edges:
-        if a is not None and a != b:
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-    assert got == {x: find(x) for x in parent}
+        if a in set(shown):
+            parent[find(a)] = find(b)
+    last = {(h, p): v for v, h, p in url_filter.RULES}
+
+    def rule(url):
+        host, path = url.split("://")[1].split("/", 1)
+        path = "/" + path.split("?")[0]
+        fits = [(len(h + p), h + p, v) for (h, p), v in last.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    said = defaultdict(set)
+    for i in range(400):
+        said[find(i)].add(rule(urls[i])[1])
+    want = {}
+    for i in shown:
+        name, verdict = rule(urls[i])
+        group = said[find(i)]
+        want[i] = (name, verdict or ("allow" if "allow" in group else "block" if "block" in group else "allow"))
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df).collect()}
+    assert got == want and Counter(v for n, v in want.values() if n is None)["block"] >= 10
 
 
 def brute_join(texts):
@@ -397,6 +443,7 @@ def test_keep_one(spark, docs, texts):
     assert kept.columns == docs.columns
     classes = {c for c, _ in brute_join(texts).values()}
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(classes)
+    assert kept.where("doc_id IS NULL").count() == 1  # its text is a part of others, too short to be alike
     assert ngram_join.join(empty(spark)).count() == 0
 
 
@@ -410,6 +457,19 @@ def test_texts_under_one_doc_id(spark):
     assert got == Counter([(1, 1, 2, 2), (1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 2, 1), (3, 1, 1, 1), (4, 4, 1, 2), (5, 4, 1, 2), (5, 1, 2, 2), (6, 6, 0, 1), (6, 6, 0, 1), (7, 7, 0, 1)])
     kept = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect())
     assert kept == Counter([(1, a), (1, b), (4, c), (6, ""), (6, " "), (7, None)])
+    some = spark.createDataFrame([(None, a, 1), (None, near(a), 2), (None, b, 3), (3, near(b), 4), (None, None, 5)], DOCS + ", kept_id int")
+    kept = ngram_join.keep_one(some)
+    assert kept.columns == some.columns
+    rows = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert rows == Counter([(None, min(a, near(a), key=lambda t: hashlib.md5(t.encode()).hexdigest())), (3, near(b)), (None, None)])
+
+
+def test_sets_are_compared_by_their_bytes(spark):
+    x, y = alike_sums(2048)
+    head = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{head} {x}"), (2, f"{head} {y}"), (3, " ".join([x] * 6)), (4, " ".join([y] * 6)), (5, x), (6, y)], DOCS)
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.join(df).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 0, 1), 4: (4, 0, 1), 5: (5, 0, 1), 6: (6, 0, 1)}  # 1 and 2 share 8 of 10
 
 
 def test_bands():
