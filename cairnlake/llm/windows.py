@@ -198,6 +198,8 @@ def _repeated(most: int):
 
 
 PIECES = "id long, rid long, start long, bucket long, copies long, packed binary"
+#: Equal strings of one batch, with the least id, the copies and the places of all.
+GATHERED = "bucket long, packed binary, copies long, id long, rids array<long>, ids array<long>, starts array<long>"
 PLACES = "rid long, id long, start long, marks array<long>"
 
 
@@ -215,47 +217,82 @@ def _once(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
 def _pack(kind: Kind, hot: bool):
     """Runs with a repeated minimiser that is very frequent, or isn't, as packed strings."""
 
+    def pieces(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch, copies = _once(whole)
+        ids, rid = batch.column("id").to_numpy(), batch.column("rid").to_numpy()
+        codes, codes_off = flat(batch.column("wanted"))
+        for lo, hi, buf, off in ts.scan(batch.column("text")):
+            raw, symbols, sym_off, sym_start, sym_end = kind.symbols(buf, off)
+            grams, least, valid = minimisers(kind, symbols, sym_off)
+            start, length = runs(least, valid)
+            doc = np.searchsorted(sym_off, start, "right") - 1
+            # Each run's number among its text's minimisers by value, as _values() counts them.
+            order = np.lexsort((least[start], doc))
+            value, of = least[start][order], doc[order]
+            new = np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])] if len(of) else np.zeros(0, bool)
+            place = np.empty(len(start), np.int64)
+            place[order] = np.cumsum(new) - 1
+            told = np.zeros(int(new.sum()), np.int8)  # 1: repeated, 2: and very frequent
+            mine = codes[codes_off[lo] : codes_off[hi]].astype(np.int64)
+            slot = np.searchsorted(of[new], np.repeat(np.arange(hi - lo), np.diff(codes_off[lo : hi + 1]))) + mine // 2
+            known = slot < len(told)  # others belong to a row whose hash happens to be the same
+            told[slot[known]] = 1 + mine[known] % 2
+            at = np.flatnonzero(told[place] == 1 + hot)
+            bucket, start, length = least[start[at]], start[at], length[at]
+            if hot:
+                mask = np.zeros(len(least), bool)
+                mask[ts.ragged(start, length)] = True
+                most = ~sliding_min(~grams, kind.width - kind.gram + 1)
+                both = ts.mix(least + ts.mix(most))
+                start, length = runs(both, mask)
+                bucket = both[start]
+            doc = np.searchsorted(sym_off, start, "right") - 1
+            first = sym_start[start]
+            last = sym_end[start + length + kind.width - 2]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[lo + doc]), pa.array(rid[lo + doc]), pa.array(start - sym_off[doc]), pa.array(bucket.view(np.int64)), pa.array(copies[lo + doc]), ts.strings(raw, first, last - first)],
+                ["id", "rid", "start", "bucket", "copies", "packed"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            batch, copies = _once(whole)
-            ids, rid = batch.column("id").to_numpy(), batch.column("rid").to_numpy()
-            codes, codes_off = flat(batch.column("wanted"))
-            for lo, hi, buf, off in ts.scan(batch.column("text")):
-                raw, symbols, sym_off, sym_start, sym_end = kind.symbols(buf, off)
-                grams, least, valid = minimisers(kind, symbols, sym_off)
-                start, length = runs(least, valid)
-                doc = np.searchsorted(sym_off, start, "right") - 1
-                # Each run's number among its text's minimisers by value, as _values() counts them.
-                order = np.lexsort((least[start], doc))
-                value, of = least[start][order], doc[order]
-                new = np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])] if len(of) else np.zeros(0, bool)
-                place = np.empty(len(start), np.int64)
-                place[order] = np.cumsum(new) - 1
-                told = np.zeros(int(new.sum()), np.int8)  # 1: repeated, 2: and very frequent
-                mine = codes[codes_off[lo] : codes_off[hi]].astype(np.int64)
-                slot = np.searchsorted(of[new], np.repeat(np.arange(hi - lo), np.diff(codes_off[lo : hi + 1]))) + mine // 2
-                known = slot < len(told)  # others belong to a row whose hash happens to be the same
-                told[slot[known]] = 1 + mine[known] % 2
-                at = np.flatnonzero(told[place] == 1 + hot)
-                bucket, start, length = least[start[at]], start[at], length[at]
-                if hot:
-                    mask = np.zeros(len(least), bool)
-                    mask[ts.ragged(start, length)] = True
-                    most = ~sliding_min(~grams, kind.width - kind.gram + 1)
-                    both = ts.mix(least + ts.mix(most))
-                    start, length = runs(both, mask)
-                    bucket = both[start]
-                doc = np.searchsorted(sym_off, start, "right") - 1
-                first = sym_start[start]
-                last = sym_end[start + length + kind.width - 2]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo + doc]), pa.array(rid[lo + doc]), pa.array(start - sym_off[doc]), pa.array(bucket.view(np.int64)), pa.array(copies[lo + doc]), ts.strings(raw, first, last - first)],
-                    ["id", "rid", "start", "bucket", "copies", "packed"],
-                )
+        for batch in batches:
+            if hot:
+                yield _gather(list(pieces(batch)))
+            else:
+                yield from pieces(batch)
 
     return run
 
 
+def _gather(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Equal strings of a bucket as one row with all their places."""
+    names = [c.split()[0] for c in GATHERED.split(", ")]
+    if not sum(map(len, parts)):
+        empty = [pa.array([], t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)]
+        return pa.RecordBatch.from_arrays(empty, names)
+    table = pa.Table.from_batches(parts).combine_chunks()
+    strings = table["packed"].combine_chunks().dictionary_encode()
+    code, col = strings.indices.to_numpy(), {c: table[c].to_numpy() for c in ("bucket", "copies", "rid", "id", "start")}
+    order = np.lexsort((code, col["bucket"]))
+    col = {c: v[order] for c, v in col.items()}
+    new = np.flatnonzero(np.r_[True, (col["bucket"][1:] != col["bucket"][:-1]) | (code[order][1:] != code[order][:-1])])
+    ends = np.r_[new, len(order)]
+    columns = [pa.array(col["bucket"][new]), strings.dictionary.take(pa.array(code[order][new])), pa.array(np.add.reduceat(col["copies"], new)), pa.array(np.minimum.reduceat(col["id"], new))]
+    return pa.RecordBatch.from_arrays([*columns, *(ts.lists(col[c], ends) for c in ("rid", "id", "start"))], names)
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each place."""
+    for batch in batches:
+        (rid, off), (ids, _), (start, _), (marks, at) = (flat(batch.column(c)) for c in ("rids", "ids", "starts", "marks"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(off))
+        size = np.diff(at)[row]
+        for part in np.array_split(np.arange(len(row)), max(1, int(size.sum()) >> 20)):
+            r = row[part]
+            values = marks[ts.ragged(at[r], size[part])]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[part]), pa.array(ids[part]), pa.array(start[part]), ts.lists(values, np.r_[0, np.cumsum(size[part])], pa.int64())], ["rid", "id", "start", "marks"])
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of a column of lists of longs, and the rows' offsets in them; a null is an empty list."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -329,21 +366,23 @@ def occurrences(documents: DataFrame, kind: Kind, sorter: Sorter, within: bool)
     told = seen.repartition("place").sortWithinPartitions("place").mapInArrow(_repeated(kind.most), REPEATED)
     wanted = checkpoint(told.groupBy("rid").agg(F.collect_set("code").alias("wanted"), F.max(F.col("code") % 2).alias("hot"), F.min(F.col("code") % 2).alias("cold")))
 
-    def pieces(hot: bool) -> DataFrame:
+    def pieces(hot: bool, schema: str) -> DataFrame:
         named = wanted.where("hot = 1" if hot else "cold = 0").select("rid", "wanted")
         rows = docs.join(named.hint("merge"), "rid").select("id", "rid", "text", "wanted").sortWithinPartitions("rid")
-        return rows.mapInArrow(_pack(kind, hot), PIECES)
+        return rows.mapInArrow(_pack(kind, hot), schema)
 
     by_bucket = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
-    cold = by_bucket(pieces(False)).mapInArrow(_sort_buckets(sorter, ["rid", "id", "start"]), PLACES)
+    cold = by_bucket(pieces(False, PIECES)).mapInArrow(_sort_buckets(sorter, ["rid", "id", "start"]), PLACES)
     if wanted.where("hot = 1").isEmpty():
         return docs, cold
-    strings = pieces(True).groupBy("bucket", "packed").agg(F.sum("copies").alias("copies"), F.min("id").alias("id"))
+    gathered = pieces(True, GATHERED)
+    strings = gathered.groupBy("bucket", "packed").agg(F.sum("copies").alias("copies"), F.min("id").alias("id"))
     marks = by_bucket(strings).mapInArrow(_sort_buckets(sorter, ["bucket", "packed"]), "bucket long, packed binary, marks array<long>")
     # Adaptive execution splits the places of a string that very many texts have: both sides are plain shuffles.
     sid = F.sha2("packed", 256).alias("sid")
-    found = pieces(True).select("rid", "id", "start", "bucket", sid).join(marks.select("bucket", sid, "marks").hint("merge"), ["bucket", "sid"])
-    return docs, cold.unionByName(found.select("rid", "id", "start", "marks"))
+    found = gathered.select("rids", "ids", "starts", "bucket", sid).join(marks.select("bucket", sid, "marks").hint("merge"), ["bucket", "sid"])
+    alone = cold.select(F.array("rid").alias("rids"), F.array("id").alias("ids"), F.array("start").alias("starts"), "marks")
+    return docs, alone.unionByName(found.select("rids", "ids", "starts", "marks")).mapInArrow(_expand, PLACES)
 
 
 def places(found: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
