@@ -143,7 +143,9 @@ def trigram_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: s
         w = Window.partitionBy(f"{name}_key").orderBy("n", "g")
         return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select(f"{name}_key", f"{name}_block", "g")
 
-    candidates = prefix(a, "a").join(prefix(b, "b"), "g").where("a_block = b_block").select("a_key", "b_key").distinct()
+    # Block and trigram together are the key, which also splits a frequent trigram.
+    lefts, rights = prefix(a, "a").withColumnRenamed("a_block", "block"), prefix(b, "b").withColumnRenamed("b_block", "block")
+    candidates = lefts.join(rights, ["block", "g"]).select("a_key", "b_key").distinct()
     scored = candidates.join(a, "a_key").join(b, "b_key").withColumn("similarity", text.set_similarity(F.col("a_set"), F.col("b_set")))
     return scored.where(F.col("similarity") >= least).select("a_key", "b_key", "similarity")
 

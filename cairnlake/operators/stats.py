@@ -53,11 +53,13 @@ def theme_summary(df: DataFrame, key: str, text: str, ts: str, themes: Sequence[
 
     One flag per theme is summed, so that nothing but a row per key and theme is shuffled.
     """
-    held = df.where(F.trim(F.col(text)) != "")
+    flags = F.array(*(F.col(text).rlike(ascii_words(p)) for _, p in themes))
+    # As rows of a generator, so that each pattern runs once and not in each of its two aggregates.
+    held = df.where(F.trim(F.col(text)) != "").select(key, F.col(ts).alias("__ts"), F.explode(F.array(flags)).alias("__f"))
     counted = held.groupBy(key).agg(
         F.count("*").alias("__n"),
-        *(F.count_if(F.col(text).rlike(ascii_words(p))).alias(f"__c{i}") for i, (_, p) in enumerate(themes)),
-        *(F.max(F.when(F.col(text).rlike(ascii_words(p)), F.col(ts))).alias(f"__t{i}") for i, (_, p) in enumerate(themes)),
+        *(F.count_if(F.get("__f", F.lit(i))).alias(f"__c{i}") for i in range(len(themes))),
+        *(F.max(F.when(F.get("__f", F.lit(i)), F.col("__ts"))).alias(f"__t{i}") for i in range(len(themes))),
     )
     rows = F.array(*(F.struct(F.lit(phrase).alias("phrase"), F.col(f"__c{i}").alias("count"), F.col(f"__t{i}").alias("newest"), F.lit(i).alias("place")) for i, (phrase, _) in enumerate(themes)))
     least = F.greatest(F.lit(2), F.ceil(F.col("__n") * share))

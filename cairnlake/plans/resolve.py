@@ -14,13 +14,13 @@ FIELDS = ("name", "website_id", "phone", "address_id", "region", "lat", "lon", "
 
 def prepared(df: DataFrame) -> DataFrame:
     """Normal forms of a table with id, name, website, phone, address, city, region, country, lat, lon, and
-    verification, priority, sources, reports."""
+    verification, priority, sources, reports.  Stored, since pairs look at each record from several sides."""
     c = F.col
-    return df.select(
+    return checkpoint(df.select(
         "id", "name", text.website_identity(c("website")).alias("website_id"), text.phone(c("phone")).alias("phone"),
         text.normal_address(c("address"), c("city"), c("region"), c("country")).alias("address_id"), "region", "country", "lat", "lon",
         entity.record_quality(c("verification"), c("priority"), c("sources"), c("reports"), c("website"), c("address")).alias("quality"),
-    )
+    ))
 
 
 def duplicate_pairs(records: DataFrame, metres: float = 2000.0) -> DataFrame:

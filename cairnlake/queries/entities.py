@@ -61,15 +61,16 @@ def survivor_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.merge_plan(records, resolve.duplicate_pairs(records))
 
 
-_EDGES = "e AS (SELECT o_custkey AS a, o_custkey // 3 + 1 AS b FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1, 2)"
+_EDGES = "e AS (SELECT o_custkey AS a, xor(o_custkey, 1::BIGINT << CAST(o_orderkey % 5 AS INT)) AS b FROM orders GROUP BY 1, 2)"
 
 
 @query(f"""
-WITH RECURSIVE {_EDGES}, u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), w AS (SELECT a AS node, a AS seen FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.seen)
+WITH RECURSIVE {_EDGES}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS seen FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.seen)
 SELECT node, min(seen) AS component FROM w GROUP BY 1
 """)
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "orders").where("o_custkey % 4 <> 0").select(F.col("o_custkey").alias("a"), F.expr("o_custkey div 3 + 1").alias("b")).distinct()
+    """Components of a graph with an edge for each order, to the customer whose key differs in one bit."""
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.expr("o_custkey ^ shiftleft(1L, CAST(o_orderkey % 5 AS INT))").alias("b")).distinct()
     return graph.connected_components(edges, "a", "b")
 
 

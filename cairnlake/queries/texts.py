@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import entity, rules, stats
+from ..plans import serving
 from ..sources.feeds import table
 from .registry import query
 
@@ -16,41 +17,27 @@ def _java_to_re2(pattern: str) -> str:
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: (length(w) > 1 OR regexp_matches(w, '^[0-9]+$')) AND w NOT IN ('a', 'and', 'at', 'by', 'camp', 'of', 'park', 'the', 'rv'))) AS t FROM part WHERE p_partkey <= 200),
-j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS n, len(b.t) AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
-SELECT a, b, round(CASE WHEN i = 0 THEN 0 ELSE least(1, 0.85 * i / least(n, m) + 0.15 * i / (n + m - i)) END, 6) AS similarity FROM j
+WITH p AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: (length(w) > 1 OR regexp_matches(w, '^[0-9]+$')) AND w NOT IN ('a', 'and', 'at', 'by', 'camp', 'of', 'park', 'the', 'rv'))) AS t FROM part),
+j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS n, len(b.t) AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey),
+s AS (SELECT a, b, CASE WHEN i = 0 THEN 0 ELSE least(1, 0.85 * i / least(n, m) + 0.15 * i / (n + m - i)) END AS similarity FROM j)
+SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.78
 """)
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token similarity of part names within a brand, over the first two hundred keys as the compared set."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 200").select("p_partkey", "p_brand", text.name_tokens(F.col("p_name")).alias("t"))
-    a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", F.col("t").alias("s")), p.select(F.col("p_partkey").alias("b"), "p_brand", "t")
-    return a.join(b, "p_brand").where("a < b").select("a", "b", F.round(text.token_similarity(F.col("s"), F.col("t")), 6).alias("similarity"))
+    """Pairs of parts of a brand whose names have a token similarity that may make a pair nearby."""
+    pairs = entity.token_pairs_within(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_name", 0.78)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-_TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+_TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
 @query(f"""
-WITH p AS (SELECT p_partkey, p_brand, p_size, {_TRIGRAMS} AS t FROM part),
-j AS (SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS n, len(b.t) AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size <= 10 AND b.p_size > 40)
-SELECT a_key, b_key, round(i / (n + m - i)::DOUBLE, 6) AS similarity FROM j WHERE i / (n + m - i)::DOUBLE >= 0.5
+WITH p AS (SELECT p_partkey, p_brand, {_TRIGRAMS.format(c='p_name')} AS t FROM part),
+j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS n, len(b.t) AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
+SELECT a, b, round(i / (n + m - i)::DOUBLE, 6) AS similarity FROM j WHERE i / (n + m - i)::DOUBLE >= 0.5
 """)
 def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    pairs = entity.trigram_pairs(part.where("p_size <= 10"), part.where("p_size > 40"), "p_partkey", "p_partkey", "p_name", "p_name", 0.5, "p_brand")
-    return pairs.withColumn("similarity", F.round("similarity", 6))
-
-
-@query()
-def name_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token similarity of all part names within a brand, from the least that admits a pair nearby; name_similarity's SQL is of 200 keys only."""
-    pairs = entity.token_pairs_within(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_name", 0.78)
-    return pairs.withColumn("similarity", F.round("similarity", 6))
-
-
-@query()
-def trigram_similarity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trigram similarity of all part names within a brand, whatever their sizes; trigram_similarity's SQL is of two ranges of sizes only."""
+    """Pairs of parts of a brand whose names share half of their trigrams."""
     pairs = entity.trigram_pairs_within(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "p_name", 0.5)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
@@ -94,25 +81,51 @@ def theme_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "phrase", "count", F.col("rank").cast("long").alias("rank"))
 
 
+_FULL_WIDTH, _ASCII = (x.replace("'", "''") for x in (rules._WIDE, rules._PLAIN))
+
+
 @query(rf"""
-SELECT p_partkey, CASE WHEN regexp_matches(p_name, '{_java_to_re2(rules.CONFERENCE)}') THEN 'conference_or_retreat_centre' WHEN p_size < 5 THEN 'low_source_confidence'
- WHEN p_type <> 'ECONOMY' THEN 'alternate_category_only' ELSE 'kept' END AS reason FROM part
+WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(coalesce(text, ''), '{_FULL_WIDTH}', '{_ASCII}')), '[\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents),
+s AS (SELECT doc_id, t, CAST(regexp_matches(t, '{_java_to_re2(rules.PITCH_VISIBILITY)}') AS INT) + CAST(regexp_matches(t, '{_java_to_re2(rules.PITCH_SERVICE)}') AS INT)
+  + CAST({" + ".join(f"CAST(regexp_matches(t, '{chr(92)}b{a}{chr(92)}b') AS INT)" for a in rules.PITCH_ACRONYMS)} >= 2 AS INT) + CAST({" + ".join(f"CAST(contains(t, '{x}') AS INT)" for x in rules.PITCH_PLATFORMS)} >= 3 AS INT) AS pitch FROM d)
+SELECT doc_id, regexp_matches(t, '{_java_to_re2(rules.SPAM_URL)}') AS has_url, CAST(len(list_filter([{", ".join(f"'{p}'" for p in rules.SPAM_PHRASES)}], lambda p: contains(t, p))) AS BIGINT) AS phrases,
+ CAST(CASE WHEN pitch >= 2 THEN pitch ELSE 0 END AS BIGINT) AS solicitation FROM s
 """)
-def rule_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered rule list: the first that holds gives the reason."""
-    c = F.col
-    reason = rules.first_of((c("p_name").rlike(rules.CONFERENCE), "conference_or_retreat_centre"), (c("p_size") < 5, "low_source_confidence"), (c("p_type") != "ECONOMY", "alternate_category_only"), otherwise="kept")
-    return table(spark, sf_dir, "part").select("p_partkey", reason.alias("reason"))
+def spam_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.spam_reasons(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "r")
+    count = lambda start: F.size(F.filter("r", lambda x: F.startswith(x, F.lit(start)))).cast("long")
+    return found.select("doc_id", F.array_contains("r", "contains-url").alias("has_url"), count("restricted:").alias("phrases"), count("solicitation:").alias("solicitation"))
+
+
+_MESSAGES = (
+    "Our site is not showing in the search results", "We can provide SEO and AEO services", "We use Squarespace, Shopify and Wix here", "A quiet night by the lake",
+    "Visit ｗｗｗ.example.com now", "Cheap traffic and guest post offers", "seo geo and wordpress godaddy wix", "casino bonus at my-site [dot] xyz", "Ends here. In all, nothing",
+)
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two joined phrases for each part, so that every signal meets every other one."""
+    said = F.array(*map(F.lit, _MESSAGES))
+    pick = lambda k: F.element_at(said, (F.pmod(k, F.lit(len(_MESSAGES))) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" -- ", pick(F.col("p_partkey")), pick(F.floor(F.col("p_partkey") / len(_MESSAGES)))).alias("text"))
+
+
+_SAID = "[" + ", ".join(f"'{m}'" for m in _MESSAGES) + "]"
 
 
 @query(rf"""
-WITH d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS t FROM documents)
-SELECT doc_id, regexp_matches(t, '{_java_to_re2(rules.SPAM_URL)}') AS has_url, CAST(len(list_filter([{", ".join(f"'{p}'" for p in rules.SPAM_PHRASES)}], lambda p: contains(t, p))) AS BIGINT) AS phrases FROM d
+WITH m AS (SELECT p_partkey, {_SAID}[p_partkey % {len(_MESSAGES)} + 1] || ' -- ' || {_SAID}[p_partkey // {len(_MESSAGES)} % {len(_MESSAGES)} + 1] AS text FROM part),
+d AS (SELECT p_partkey, lower(translate(text, '{_FULL_WIDTH}', '{_ASCII}')) AS t FROM m),
+f AS (SELECT p_partkey, regexp_matches(t, '{_java_to_re2(rules.SPAM_URL)}') AS u, [p FOR p IN [{", ".join(f"'{p}'" for p in rules.SPAM_PHRASES)}] IF contains(t, p)] AS p,
+ regexp_matches(t, '{_java_to_re2(rules.PITCH_VISIBILITY)}') AS a, regexp_matches(t, '{_java_to_re2(rules.PITCH_SERVICE)}') AS b,
+ {" + ".join(f"CAST(regexp_matches(t, '{chr(92)}b{a}{chr(92)}b') AS INT)" for a in rules.PITCH_ACRONYMS)} >= 2 AS c, {" + ".join(f"CAST(contains(t, '{x}') AS INT)" for x in rules.PITCH_PLATFORMS)} >= 3 AS e FROM d)
+SELECT p_partkey, array_to_string(list_concat(CASE WHEN u THEN ['contains-url'] ELSE [] END, list_transform(p, lambda x: 'restricted:' || x), CASE WHEN CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) + CAST(e AS INT) < 2 THEN [] ELSE
+ list_filter([CASE WHEN a THEN 'solicitation:search-visibility-pitch' END, CASE WHEN b THEN 'solicitation:optimization-service' END, CASE WHEN c THEN 'solicitation:optimization-acronyms' END,
+ CASE WHEN e THEN 'solicitation:website-platform-list' END], lambda x: x IS NOT NULL) END), ' ') AS reasons FROM f
 """)
-def spam_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", rules.spam_reasons(F.col("text")).alias("r"))
-    phrases = F.size(F.filter("r", lambda x: F.startswith(x, F.lit("restricted:")))).cast("long")
-    return found.select("doc_id", F.array_contains("r", "contains-url").alias("has_url"), phrases.alias("phrases"))
+def spam_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reason codes of short messages, with every combination of signals."""
+    return rules.spam_reasons(messages(spark, sf_dir), "text", "r").select("p_partkey", F.array_join("r", " ").alias("reasons"))
 
 
 @query()
@@ -137,3 +150,12 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with a search text: those that begin with it first."""
     starts = F.when(F.col("n_name").ilike("u%"), 0).otherwise(1)
     return table(spark, sf_dir, "nation").where(F.col("n_name").ilike("%u%")).select("n_nationkey", "n_name", starts.alias("starts")).orderBy("starts", "n_name").limit(8)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_name, {_TRIGRAMS.format(c='p_name')} AS t, {_TRIGRAMS.format(c="'an'")} AS q FROM part WHERE p_name ILIKE '%an%')
+SELECT p_partkey, p_name, CASE WHEN p_name ILIKE 'an%' THEN 0 ELSE 1 END AS starts, round(len(list_intersect(t, q)) / (len(t) + len(q) - len(list_intersect(t, q)))::DOUBLE, 6) AS similarity FROM p ORDER BY starts, similarity DESC, p_name, p_partkey LIMIT 8
+""")
+def similar_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was typed: names that begin with it first, then the most alike."""
+    return serving.suggestions(table(spark, sf_dir, "part"), "p_partkey", "p_name", "an")
