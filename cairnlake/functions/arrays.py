@@ -49,3 +49,8 @@ def strongest(parts: list[tuple[Column, Column, str]], n: int, otherwise: str) -
     )
     texts = F.transform(F.slice(F.array_sort(held), 1, n), lambda x: x["t"])
     return F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit(otherwise)))
+
+
+def first_distinct(arr: Column, n: int) -> Column:
+    """The first n different values that aren't null, in order."""
+    return F.slice(F.array_distinct(F.array_compact(arr)), 1, n)

@@ -65,3 +65,14 @@ def compact_number(x: Column) -> Column:
         .when(x >= 1000, F.concat(F.format_number(x / 1000, 1), F.lit("k")))
         .otherwise(x.cast("string"))
     )
+
+
+def largest(*parts: Column) -> Column:
+    """The largest of measures that overlap, which must not be added; nulls are skipped, also a single part may be given."""
+    return F.greatest(*parts) if len(parts) > 1 else parts[0]
+
+
+def sum_of_known(*parts: Column) -> Column:
+    """The sum of measures that don't overlap; null if none is known."""
+    known = sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
+    return F.when(F.coalesce(*parts).isNotNull(), known)

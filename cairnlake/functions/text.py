@@ -172,3 +172,18 @@ def hmac_sha256(key: bytes):
 def plain_ip(ip: Column) -> Column:
     """An address without the prefix of an IPv4 address mapped into IPv6."""
     return F.regexp_replace(F.lower(F.trim(ip)), "^::ffff:", "")
+
+
+def variant(key: Column, n: int) -> Column:
+    """One of n variants for each key, always the same one and evenly spread."""
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+
+
+def colour_key(inner: Column, outer: Column) -> Column:
+    """A key of two colours, whatever their case and leading mark."""
+    plain = lambda c: F.upper(F.regexp_replace(c, "^#", ""))
+    return F.concat_ws("-", plain(inner), plain(outer))
+
+
+def without_near(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?i)^near\s+", "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,3 +89,30 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> t
 def minus_keys(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose keys the other table doesn't have."""
     return df.join(other.select(*on).distinct(), list(on), "left_anti")
+
+
+def sorted_by(choice: str, orders: Mapping[str, Sequence[Column]], tie: Sequence[Column]) -> list[Column]:
+    """The order that a parameter names, or else the first one, ended by the tie-break; only its columns are in the plan."""
+    return [*orders.get(choice, next(iter(orders.values()))), *tie]
+
+
+def natural_id(*columns: str) -> Column:
+    """An id from a row's natural key, so that rows written apart find each other without reading ids back."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def parents(df: DataFrame, key: str, parent: str, column: str, name: str) -> DataFrame:
+    """A column of each row's parent in the same table; null without one."""
+    above = df.select(F.col(key).alias("__parent"), F.col(column).alias(name))
+    return df.join(above, F.col(parent) == F.col("__parent"), "left").drop("__parent")
+
+
+def resume(df: DataFrame, order: Sequence[Column], done: int) -> DataFrame:
+    """What is left of an ordered input after so many items, when a run replays it from a checkpoint."""
+    return df.orderBy(*order).offset(max(0, done))
+
+
+def centroids(df: DataFrame, name: str, typed: str, n: int = 8, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Mean place and number of rows of each name that contains what was typed: names that begin with it first, then by number."""
+    found = df.where(F.col(name).ilike(f"%{typed}%")).groupBy(name).agg(F.avg(lat).alias(lat), F.avg(lon).alias(lon), F.count("*").alias("n"))
+    return found.orderBy(F.when(F.col(name).ilike(f"{typed}%"), 0).otherwise(1), F.desc("n"), name).limit(n)

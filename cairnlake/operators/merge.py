@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a column of an upsert may do: take the new value; keep the old one if the new one is null; join arrays.
@@ -123,3 +123,42 @@ def dependents(tables: Mapping[str, tuple[DataFrame, str]], ids: DataFrame, id_c
         n = df.join(keys, F.col(column) == F.col("__id"), "left_semi").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
         out = n if out is None else out.unionByName(n)
     return out
+
+
+def flip_active(versions: DataFrame, key: str, order: Sequence[Column], name: str = "active") -> DataFrame:
+    """One active version of each key, the first in this order."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
+    return versions.withColumn(name, first)
+
+
+def moderate(facts: DataFrame, removed: DataFrame, fact_key: str, owner: str, rollup: Callable[[DataFrame], DataFrame], rollups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, rollups): mark facts as removed without deleting them, and compute the rollups of their owners again
+    from what is left; an owner without facts loses its rollup, the others keep theirs."""
+    gone = removed.select(F.col(fact_key).alias("__gone")).distinct()
+    marked = facts.join(gone, F.col(fact_key) == F.col("__gone"), "left").withColumn("removed", F.col("removed") | F.col("__gone").isNotNull()).drop("__gone")
+    touched = facts.join(gone, F.col(fact_key) == F.col("__gone"), "left_semi").select(owner).distinct()
+    fresh = rollup(marked.where("NOT removed").join(touched, owner, "left_semi"))
+    return marked, rollups.join(touched, owner, "left_anti").unionByName(fresh)
+
+
+def refresh_slots(table: DataFrame, fresh: DataFrame, key: str, column: str) -> DataFrame:
+    """Every row takes its fresh value; one that has none any more is blanked, and new keys are added."""
+    new = fresh.select(F.col(key).alias("__key"), F.col(column).alias("__new"))
+    joined = table.select(key).join(new, F.col(key) == F.col("__key"), "full")
+    return joined.select(F.coalesce(key, "__key").alias(key), F.col("__new").alias(column))
+
+
+def extend_leases(leases: DataFrame, requests: DataFrame, key: str, as_of: str, minutes: int) -> DataFrame:
+    """A requested key holds its lease until so long after now, or longer if it does already."""
+    until = F.lit(as_of).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    asked = requests.select(F.col(key).alias("__key")).distinct()
+    joined = leases.join(asked, F.col(key) == F.col("__key"), "full")
+    return joined.select(F.coalesce(key, "__key").alias(key), F.when(F.col("__key").isNotNull(), F.greatest(F.coalesce("expires_at", until), until)).otherwise(F.col("expires_at")).alias("expires_at"))
+
+
+def merge_audit(plan: DataFrame, records: DataFrame, key: str, slug: str) -> tuple[DataFrame, DataFrame]:
+    """(aliases, audit) of a merge plan (node, survivor): the old slug of each merged record now leads to its
+    survivor, and one row tells how many records each survivor took in."""
+    merged = plan.where("node <> survivor")
+    aliases = records.select(F.col(key).alias("node"), F.col(slug).alias("slug")).join(merged.select("node", "survivor"), "node").select("slug", "survivor")
+    return aliases, merged.groupBy("survivor").agg(F.count("*").alias("merged"), F.min("node").alias("first_merged"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,14 +30,17 @@ def _neighbour_cells(df: DataFrame, lat: str, lon: str, size: float, reach_m: fl
     )
 
 
-def radius_join(left: DataFrame, right: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", cell: float | None = None) -> DataFrame:
-    """Pairs within a distance, with ``distance_m``.  The right side is copied to its neighbouring cells."""
+def radius_join(left: DataFrame, right: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", cell: float | None = None, same: Sequence[str] = ()) -> DataFrame:
+    """Pairs within a distance, with ``distance_m``.  The right side is copied to its neighbouring cells.
+
+    same: columns that both sides have and that must agree.
+    """
     size = cell or max(metres / METRES_PER_DEGREE, 1e-4)
     columns = math.ceil(360 / size)
     a = left.withColumn("__cy", geo.cell(F.col(lat), size, -90)).withColumn("__cx", F.pmod(geo.cell(F.col(lon), size, -180), F.lit(columns)))
     b = _neighbour_cells(right, right_lat, right_lon, size, metres)
     distance = geo.haversine(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))
-    return a.join(b, ["__cy", "__cx"]).drop("__cy", "__cx").withColumn("distance_m", distance).where(F.col("distance_m") <= metres)
+    return a.join(b, ["__cy", "__cx", *same]).drop("__cy", "__cx").withColumn("distance_m", distance).where(F.col("distance_m") <= metres)
 
 
 def nearest_in_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: str, metres: float, n: int = 25, **columns: str) -> DataFrame:
@@ -45,16 +48,16 @@ def nearest_in_radius(left: DataFrame, right: DataFrame, left_key: str, right_ke
     return radius_join(left, right, metres, **columns).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, first_m: float = 50_000, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon") -> DataFrame:
-    """The nearest right row of each left row: radius joins with a radius that grows fourfold for those left over.
+def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, first_m: float = 50_000, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", same: Sequence[str] = ()) -> DataFrame:
+    """The nearest right row (with the same values in some columns) of each left row: radius joins with a radius that grows fourfold for those left over.
 
     A radius that finds something finds the nearest, so this is exact.  When the circle covers the globe, all
-    rows have an answer, unless the right side is empty.
+    rows have an answer, unless no right row fits.
     """
     metres, todo, found = first_m, left, None
     while True:
         around = metres >= math.pi * geo.EARTH_M
-        pairs = radius_join(todo, right, min(metres, 2 * math.pi * geo.EARTH_M), lat, lon, right_lat, right_lon)
+        pairs = radius_join(todo, right, min(metres, 2 * math.pi * geo.EARTH_M), lat, lon, right_lat, right_lon, same=same)
         best = pairs.groupBy(left_key).agg(F.min_by(F.struct(right_key, "distance_m"), F.struct("distance_m", right_key)).alias("__b")).select(left_key, "__b.*")
         best = checkpoint(best)
         found = best if found is None else found.unionByName(best)
@@ -78,6 +81,13 @@ def grid_clusters(df: DataFrame, key: str, degrees: float, least: int = 4, lat:
     return clusters.unionByName(points)
 
 
+def consolidate(df: DataFrame, key: str, code: str, name: str, degrees: float = 1.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """One row for each place: points with the same code, or in the same grid cell where they have none, and the same name."""
+    snap = lambda c: F.floor(F.col(c) / degrees + 0.5).cast("long").cast("string")
+    place = F.concat(F.coalesce(code, F.concat(snap(lat), F.lit(":"), snap(lon))), F.lit("/"), F.col(name))
+    return df.groupBy(place.alias("place")).agg(F.avg(lat).alias(lat), F.avg(lon).alias(lon), F.count("*").alias("members"), F.min(key).alias("first"))
+
+
 def suppress(df: DataFrame, group: str, rank: str, key: str, metres: float = 30_000, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Greedy suppression: from the highest rank on, keep a row if no kept row of its group is within the distance.
 

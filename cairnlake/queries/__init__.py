@@ -1,4 +1,4 @@
 """Queries over the test tables, one or more for each operator."""
 
-from . import catalogue, entities, models, relational, series, spatial, streams, texts  # noqa: F401
+from . import catalogue, directory, entities, models, relational, series, spatial, streams, texts  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -107,3 +107,22 @@ def refresh_rollups(rollups_path: str, facts_path: str, key: str, rollup):
         fresh.write.mode("overwrite").parquet(f"{rollups_path}/version={batch_id}")
 
     return run
+
+
+def cache_state(df: DataFrame, as_of: str) -> DataFrame:
+    """Add state to cached rows (expires_at, lease_until, failed_at): fresh; leased, while one refresh is under way;
+    backing_off for two minutes after an error; due otherwise."""
+    now = F.lit(as_of).cast("timestamp")
+    holds = lambda c: F.coalesce(F.col(c) > now, F.lit(False))
+    failed = F.coalesce(F.col("failed_at") > now - F.expr("INTERVAL 2 MINUTES"), F.lit(False))
+    return df.withColumn("state", F.when(holds("expires_at"), "fresh").when(holds("lease_until"), "leased").when(failed, "backing_off").otherwise("due"))
+
+
+def by_observation(df: DataFrame, observed: str, submitted: str, as_of: str, earliest: str = "2000-01-01", days: int = 30) -> DataFrame:
+    """Facts that had arrived by a point in time, with whether they are recent; late ones are old by their observation, not lost.
+
+    What was observed before ``earliest`` or after its own arrival's day isn't legal.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    legal = (F.col(observed) >= F.lit(earliest).cast("date")) & (F.col(observed) <= F.col(submitted).cast("date"))
+    return df.where((F.col(submitted) <= now) & legal).withColumn("recent", F.col(observed) >= F.date_sub(now.cast("date"), days))
