@@ -66,3 +66,8 @@ def theme_summary(df: DataFrame, key: str, text: str, ts: str, themes: Sequence[
     kept = counted.select(key, "__n", F.explode(rows).alias("x")).where((F.col("x.count") >= least) & (F.col("__n") >= 2)).select(key, "x.*")
     w = Window.partitionBy(key).orderBy(F.desc("count"), F.desc_nulls_last("newest"), "place")
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def reasons(df: DataFrame, reason: str, **also: Column) -> DataFrame:
+    """Rows by reason, and how many of them each further test holds for; rows without a reason count as ``none``."""
+    return df.groupBy(F.coalesce(reason, F.lit("none")).alias("reason")).agg(F.count("*").alias("n"), *(F.count_if(test).alias(name) for name, test in also.items()))
