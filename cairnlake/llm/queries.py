@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_chat_formatting": chat_format.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
 }

@@ -107,3 +107,13 @@ def dedup(documents: DataFrame) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, k, array_to_string(w[k : k + {WIDTH - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS k FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY s HAVING count(*) > 1),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(k, k + {WIDTH})) AS j FROM x JOIN m USING (s) WHERE least < doc_id) GROUP BY doc_id),
+p AS (SELECT doc_id, len(w) AS n, len(coalesce(gone, [])) AS lost, list_filter(w, lambda v, i: NOT list_contains(coalesce(gone, []), i)) AS kept FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(lost AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM p
+"""
