@@ -24,8 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated chunks of lines; one that has nothing visible left goes."""
-    left = line_dedup.dedup_lines(docs).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^ \t\n\r]"))
-    return left.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    left = line_dedup.dedup_lines(whole).where((F.col("removed_chunks") == 0) | F.col("text").rlike(r"[^ \t\n\r]"))
+    n_chars = F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return left.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    ids = checkpoint(decontaminate.find(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that contain no benchmark item.
+
+    A row is known by its doc_id and text, so rows without doc_id, or that share one, are each judged by themselves.
+    """
+    key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
+    ids = checkpoint(decontaminate.find(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key == F.col("__key"), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
