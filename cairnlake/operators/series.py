@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import top_n_per_key
+
 
 def trailing_sums(df: DataFrame, keys: Sequence[str], order: str, value: str, spans: Mapping[str, tuple[int, int]]) -> DataFrame:
     """Sums over frames of rows relative to the current one, 0 where a frame is empty."""
@@ -41,8 +43,12 @@ def history(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[st
     return df.withColumn(name, F.collect_list(F.struct(order, *columns)).over(w))
 
 
-def gathered(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str = "history") -> DataFrame:
-    """All rows of each key in order, as an array; for keys whose rows are bounded, such as days of a season."""
+def gathered(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str = "history", last: int = 67) -> DataFrame:
+    """The last rows of each key in order, as an array.
+
+    Spark drops the older ones before the shuffle (a group limit), so a key with a long history is no burden.
+    """
+    df = top_n_per_key(df, keys, [F.desc_nulls_last(c) for c in order], last).drop("__rank")
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order)))).alias(name))
 
 

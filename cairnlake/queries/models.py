@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series
-from ..plans import daily, evidence, scheduling
+from ..plans import daily, evidence, features, scheduling
 from ..sources.feeds import table
 from .registry import query
 
@@ -189,9 +189,34 @@ def cadence_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.decide_cadence(rows).select("c_custkey", "cadence", F.col("priority_score").cast("long").alias("priority_score"))
 
 
-@query()
+_RING3 = _CLAMP.format(x=f"s * {evidence.RINGS['within250m']} + p * {evidence.RINGS['from250mTo1km']} + s * p * {evidence.RINGS['from1kmTo3km']}")
+_W = evidence.HABITAT
+_SITE = f"""
+x AS (SELECT p_partkey, p_size, {_S} AS s, {_P} AS p FROM part), y AS (SELECT *, {_RING3} AS ring FROM x),
+z AS (SELECT *, greatest(ring, s) AS wet, {_CLAMP.format(x=f"""(ring * {_W['wetlands'] + _W['marshes'] + _W['seasonalWater']} + {_CLAMP.format(x='s')} * {_W['smallWaterBodies'] + _W['stagnantWater'] + _W['slowRiver'] + _W['floodplain']}
+  + greatest({_CLAMP.format(x='s')} * 0.55, {_CLAMP.format(x='s * 6 / 8')}) * {_W['shorelineEdge']} + {_CLAMP.format(x='p')} * {0.25 * _W['fastRiver'] + 0.12 * _W['largeOpenWater']} + {_CLAMP.format(x='ring * 0.65 + s * 0.35')} * {_W['forestVegetation']}
+  + (1 - {_CLAMP.format(x='p')}) * {_W['poorDrainage']} + CASE WHEN p_size % 2 = 0 THEN 0.7 ELSE 0.42 END * {_W['landCover']}) / {sum(_W.values())}""")} AS habitat FROM y)"""
+_HOUR = "(12 + h * 0.5 - 5) / 19 * 0.7 * CASE WHEN h BETWEEN 5 AND 19 THEN 0.65 ELSE 1 END"
+
+
+@query(f"""
+WITH {_EVENT_DAYS}, {_SITE}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k FROM d),
+l AS (SELECT user_id, list({{'rain': rain, 'temp': temp}} ORDER BY day) AS days, coalesce(sum(rain) FILTER (WHERE k <= 3), 0) * 0.08 + coalesce(sum(rain) FILTER (WHERE k BETWEEN 4 AND 8), 0) * 0.22
+  + coalesce(sum(rain) FILTER (WHERE k BETWEEN 9 AND 15), 0) * 0.46 + coalesce(sum(rain) FILTER (WHERE k BETWEEN 16 AND 30), 0) * 0.24 AS lag, count(*) FILTER (WHERE k <= 30 AND rain >= 1) / 30.0::DOUBLE AS often, avg(rain / 100) FILTER (WHERE k <= 7) AS soil,
+  sum({_CLAMP.format(x='(temp - 10) / 15')} * CASE WHEN temp + 6 <= 35 THEN 1 ELSE {_CLAMP.format(x='1 - (temp + 6 - 35) / 10')} END * greatest(0, temp - 10)) FILTER (WHERE k <= 30) AS dd,
+  count(*) FILTER (WHERE k <= 30 AND temp - 5 <= 0) AS frozen, count(*) FILTER (WHERE k <= 30 AND temp - 5 < 6) AS cold, count(*) FILTER (WHERE k <= 30 AND temp + 6 > 35) AS hot FROM r WHERE k <= 60 GROUP BY 1),
+j AS (SELECT z.*, l.*, least({_CLAMP.format(x='0.35 + wet * 0.65')}, wet * 0.35) AS start FROM z LEFT JOIN l ON user_id = p_partkey % ((SELECT max(user_id) FROM events) + 1)),
+w AS (SELECT *, CASE WHEN days IS NULL THEN start ELSE list_reduce(list_transform(days, lambda e: e.rain * 0.025 - (0.01 + e.temp / 5 * 0.015 + p * 0.025 + p * 10 * 0.001) * (1 - wet * 0.55) - CASE WHEN e.rain >= 55 THEN 0.08 * (0.5 + p * 0.5) ELSE 0 END),
+  lambda a, e: greatest(0.0::DOUBLE, least({_CLAMP.format(x='0.35 + wet * 0.65')}, a + e)), start) END AS water FROM j),
+b AS (SELECT *, {_CLAMP.format(x=f"water * 0.55 + coalesce(often, 0) * 0.15 + {_CLAMP.format(x='(coalesce(soil, 0) - 0.07) / 0.29')} * 0.2 + {_CLAMP.format(x='coalesce(lag, 0) / 35')} * 0.1")} AS breeding,
+  {_CLAMP.format(x=f"{_CLAMP.format(x='coalesce(dd, 0) / 180')} * exp(-0.38 * coalesce(frozen, 0) - 0.035 * coalesce(cold, 0) - 0.05 * coalesce(hot, 0))")} AS population,
+  (SELECT avg({_HOUR}) FROM range(17, 24) t(h)) AS evening, (SELECT max({_HOUR}) FROM range(0, 24) t(h)) AS peak FROM w),
+e AS (SELECT *, greatest(0, least(100, (habitat * breeding * population * evening) ** 0.25 * 100)) AS environmental FROM b)
+SELECT p_partkey, round(habitat, 6) AS habitat, round(water, 6) AS water, round(breeding, 6) AS breeding, round(population, 6) AS population, round(evening, 6) AS evening, round(peak, 6) AS peak, round(environmental, 6) AS environmental,
+ CASE WHEN environmental <= 15 THEN 1 WHEN environmental <= 35 THEN 2 WHEN environmental <= 55 THEN 3 WHEN environmental <= 75 THEN 4 ELSE 5 END AS environmental_level FROM e
+""")
 def environmental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole evidence index for each part as a site with one user's weather; checked in the tests."""
+    """The whole evidence index for each part as a site with one user's weather."""
     hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.struct(
         F.format_string("2024-06-01T%02d:00", h).alias("time"), (12 + h * 0.5).alias("temperatureC"), F.lit(70.0).alias("relativeHumidity"), F.lit(0.0).alias("precipitationMm"),
         F.lit(5.0).alias("windSpeedKmh"), F.lit(10.0).alias("windGustKmh"), h.between(5, 19).alias("isDay")))
@@ -201,3 +226,66 @@ def environmental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sites.withColumn("history", F.coalesce("history", F.filter(F.array(*[F.lit(None).cast(history.schema["history"].dataType.elementType)]), lambda x: F.lit(False)))).withColumn("hourly", hours)
     rows = rows.withColumn("sunrise", F.lit("2024-06-01 05:00:00").cast("timestamp")).withColumn("sunset", F.lit("2024-06-01 20:00:00").cast("timestamp"))
     return evidence.score_environment(rows).select("p_partkey", *(F.round(c, 6).alias(c) for c in ("habitat", "water", "breeding", "population", "evening", "peak", "environmental")), "environmental_level")
+
+
+_BLENDED = """
+x AS (SELECT l_orderkey, l_linenumber, l_quantity * 2 AS env, CASE WHEN l_linenumber % 2 = 0 THEN l_tax * 1000 END AS rs, CASE WHEN l_linenumber % 2 = 0 THEN l_discount * 10 ELSE 0 END AS rc, l_discount * 900 AS hs, l_tax * 12 AS hc, CAST(l_quantity AS BIGINT) % 8 AS d,
+ l_linenumber % 4 AS n, l_tax * 10 AS agreed, l_discount * 11 AS sites FROM lineitem),
+w AS (SELECT *, CASE WHEN d <= 1 THEN 0.5 WHEN d <= 3 THEN 0.35 ELSE 0.2 END::DOUBLE * rc AS a, 0.25::DOUBLE * hc AS b, 1 - CASE WHEN d <= 1 THEN 0.25 WHEN d <= 3 THEN 0.4 ELSE 0.55 END::DOUBLE AS most FROM x),
+v AS (SELECT *, a * CASE WHEN a + b > most THEN most / (a + b) ELSE 1 END AS rw, b * CASE WHEN a + b > most THEN most / (a + b) ELSE 1 END AS hw FROM w)"""
+
+
+@query(f"""
+WITH {_BLENDED}, k AS (SELECT *, 1 - rw - hw AS ew, CASE WHEN rs IS NOT NULL AND rw > 0 THEN rw ELSE 0 END AS ww, CASE WHEN hw > 0 THEN hw ELSE 0 END AS yw FROM v),
+m AS (SELECT *, (env * ew + coalesce(rs, 0) * ww + hs * yw) / (ew + ww + yw) AS mean FROM k), q AS (SELECT *, (ew * (env - mean) ** 2 + ww * (coalesce(rs, 0) - mean) ** 2 + yw * (hs - mean) ** 2) / (ew + ww + yw) AS var FROM m),
+c AS (SELECT *, greatest(0, least(1, (hc * 0.35 + greatest(0, least(1, sites)) * 0.3 + greatest(0, least(1, 1 - sqrt(var) / 50)) * 0.35) * (1 - least(d, 7) * 0.045))) AS sure FROM q)
+SELECT l_orderkey, l_linenumber, round(sure, 6) AS confidence, CASE WHEN sure >= 0.72 THEN 'high' WHEN sure >= 0.45 THEN 'medium' ELSE 'low' END AS confidence_band,
+ array_to_string(list_filter([CASE WHEN n = 0 THEN 'Based mainly on weather and habitat; no recent reports.' WHEN agreed < 0.65 THEN 'Recent reports are inconsistent.'
+  ELSE 'Adjusted ' || CASE WHEN rs > env THEN 'upward' ELSE 'downward' END || ' using ' || n || ' consistent recent campground report' || CASE WHEN n = 1 THEN '' ELSE 's' END || '.' END,
+  CASE WHEN hc > 0 THEN 'Historical seasonal reports support the campground outlook.' END, CASE WHEN sites < 0.6 THEN 'Limited habitat information is available for this campground.' END,
+  CASE WHEN abs(rs - env) >= 15 THEN 'Recent reports indicate ' || CASE WHEN rs > env THEN 'higher' ELSE 'lower' END || ' activity than the weather estimate.' END], lambda r: r IS NOT NULL), ' ') AS reasons FROM c
+""")
+def final_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence, its band and its reasons for blended rows."""
+    c = F.col
+    even = c("l_linenumber") % 2 == 0
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (c("l_quantity") * 2).alias("environmental"), F.when(even, c("l_tax") * 1000).alias("recent_signal"), F.when(even, c("l_discount") * 10).otherwise(0.0).alias("recent_confidence"),
+        (c("l_discount") * 900).alias("historical_signal"), (c("l_tax") * 12).alias("historical_confidence"), (c("l_quantity").cast("long") % 8).alias("day_offset"), (c("l_tax") * 12).alias("completeness"),
+        (c("l_discount") * 11).alias("habitat_completeness"), (c("l_linenumber") % 4).alias("recent_reports"), (c("l_tax") * 10).alias("recent_agreement"),
+    )
+    out = evidence.final_confidence(evidence.blend(rows))
+    return out.select("l_orderkey", "l_linenumber", F.round("confidence", 6).alias("confidence"), "confidence_band", F.array_join("confidence_reasons", " ").alias("reasons"))
+
+
+_HOURS = "h AS (SELECT user_id, CAST(ts AS DATE) AS day, hour(ts) AS hour, value AS t, CASE WHEN event_id % 5 > 0 THEN value / 2 END AS u, CASE WHEN event_id % 7 > 0 THEN value / 10 END AS rain FROM events)"
+_DAYS = "d AS (SELECT user_id, day, avg(t) AS t, min(t) AS low, max(t) AS high, avg(u) AS u, coalesce(sum(rain), 0) AS rain, avg(u) FILTER (WHERE hour BETWEEN 18 AND 23) AS evening, count(DISTINCT hour) AS available FROM h GROUP BY 1, 2)"
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("user_id", F.col("ts").alias("at"), F.col("value").alias("temperature"), F.when(e % 5 > 0, F.col("value") / 2).alias("humidity"), F.when(e % 7 > 0, F.col("value") / 10).alias("rain"))
+
+
+@query(f"""
+WITH {_HOURS}, {_DAYS}, w AS (SELECT *, {", ".join(f"coalesce(sum(rain) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), 0) AS sum_{k}" for k in (1, 3, 7, 14))} FROM d),
+a AS (SELECT * FROM w WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-24')
+SELECT user_id, day, round(t, 6) AS temperature, round(low, 6) AS low, round(u, 6) AS humidity, round(evening, 6) AS evening, {", ".join(f"round(sum_{k}, 6) AS sum_{k}" for k in (1, 3, 7, 14))},
+ round(sum(available) OVER f / CAST(24 * count(*) OVER f AS DOUBLE), 6) AS completeness FROM a WINDOW f AS (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING)
+""")
+def weather_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifteen days of features from hourly values, with completeness that runs through the days."""
+    rows = features.daily_rows(features.by_day(hourly(spark, sf_dir), "user_id", "at"), "user_id", "2024-01-10")
+    return rows.select("user_id", "day", *(F.round(c, 6).alias(c) for c in ("temperature", "low", "humidity", "evening", "sum_1", "sum_3", "sum_7", "sum_14", "completeness")))
+
+
+@query(f"""
+WITH {_HOURS}, {_DAYS}, w AS (SELECT *, coalesce(sum(rain) OVER p, 0) AS past_rain, count(*) OVER p AS past_days, min(day) OVER p AS first_day FROM d WINDOW p AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS day_offset FROM w WHERE day >= DATE '2024-01-20')
+SELECT user_id, day, CAST(day_offset AS BIGINT) AS day_offset, past_days, first_day, round(past_rain, 6) AS past_rain FROM a WHERE day_offset < 8
+""")
+def evidence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight days, each with up to sixty days before it."""
+    rows = features.evidence_rows(features.by_day(hourly(spark, sf_dir), "user_id", "at"), "user_id", "2024-01-20")
+    rain = F.aggregate("history", F.lit(0.0), lambda a, d: a + d["rain"])
+    return rows.select("user_id", "day", F.col("day_offset").cast("long").alias("day_offset"), F.size("history").cast("long").alias("past_days"), F.get("history", F.lit(0))["day"].alias("first_day"), F.round(rain, 6).alias("past_rain"))
