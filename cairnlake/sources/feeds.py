@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from ..functions.geo import valid_point
+from ..operators import spatial
 from ..operators.rules import problems
 
 
@@ -98,41 +94,63 @@ def weather_payloads(spark: SparkSession, path: str, daily: list[str], hourly: l
     return long("daily", daily), long("hourly", hourly)
 
 
-class _Page(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+def paged_json(spark: SparkSession, manifest: str, rows: str, columns: list[str]) -> DataFrame:
+    """The rows of the landed pages of a paged API that a manifest {"pages": [paths]} lists, by Spark's own readers.
 
+    rows: where a page has its list, such as ``data.rows``.  Values come as text, nested ones as JSON; missing ones are
+    null.  Only the manifest's paths come to the driver, to be read like any list of files.
+    """
+    listed = spark.read.schema("pages array<string>").json(manifest, multiLine=True)
+    paths = [r.p for r in listed.select(F.explode("pages").alias("p")).collect()]
+    if not paths:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+    body = spark.read.text(paths, wholetext=True)
+    each = body.select(F.explode(F.from_json(F.get_json_object("value", f"$.{rows}" if rows else "$"), "array<string>")).alias("row"))
+    return each.select(*(F.get_json_object("row", f"$.{c}").alias(c) for c in columns))
 
-class _PagesReader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict) -> None:
-        self.schema, self.options = schema, options
 
-    def partitions(self) -> list[_Page]:
-        """One partition to a page, as the landing job's manifest lists them."""
-        with open(self.options["path"]) as f:
-            return [_Page(p) for p in json.load(f)["pages"]]
+def paged_with_counts(spark: SparkSession, path: str, rows: str, count: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, pages): the rows of a folder of landed pages, and for each file its number of rows and the page count it states."""
+    body = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    found = body.select("file", F.get_json_object("value", f"$.{count}").cast("int").alias("page_count"), F.from_json(F.get_json_object("value", f"$.{rows}"), "array<string>").alias("rows"))
+    each = found.select("file", F.explode("rows").alias("row")).select("file", *(F.get_json_object("row", f"$.{c}").alias(c) for c in columns))
+    return each, found.select("file", "page_count", F.coalesce(F.size("rows"), F.lit(0)).alias("n"))
 
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        with open(partition.path) as f:
-            body = json.load(f)
-        for step in filter(None, self.options.get("rows", "").split(".")):
-            body = body.get(step) or []
-        for row in body:
-            yield tuple(None if row.get(n) is None else str(row[n]) for n in self.schema.names)
 
+def bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A bulk file in place of an API: JSON by its ending, else CSV with a header; blank lines and byte-order marks go."""
+    if path.endswith((".json", ".jsonl")):
+        return spark.read.schema(schema).json(path, multiLine=path.endswith(".json"))
+    df = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    names = {c.lstrip("\ufeff").strip().lower(): c for c in df.columns}
+    wanted = spark.createDataFrame([], schema).schema
+    return df.select(*(F.col(f"`{names[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) if f.name.lower() in names else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
-class PagedJson(DataSource):
-    """Pages of a paged API: ``spark.read.format("paged_json").schema(...).option("rows", "data").load(manifest)``.
 
-    The manifest is a small document {"pages": [paths]} in a folder that all executors see.  Columns are strings.
-    """
+def near_gaps(found: DataFrame, gaps: DataFrame, metres: float) -> DataFrame:
+    """Rows that radius queries around gaps gave, each once, with the nearest gap within the radius; others go."""
+    once = found.dropDuplicates(["id"])
+    pairs = spatial.nearest_in_radius(once, gaps.select(F.col("gap_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), "id", "gap_id", metres, 1)
+    return pairs.select(*once.columns, "gap_id", "distance_m")
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged_json"
 
-    def schema(self) -> str:
-        return "id string"
+def archive_days(daily: DataFrame, hourly: DataFrame, columns: dict[str, str], means: dict[str, str]) -> DataFrame:
+    """One row for each entity and day from landed daily rows and the means of its hours; what is missing counts as 0.
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _PagesReader(schema, self.options)
+    columns, means: name in the result by name in the daily and in the hourly rows; both have entity and time.
+    """
+    by_day = hourly.groupBy("entity", F.to_date(F.substring("time", 1, 10)).alias("day")).agg(*(F.avg(c).alias(name) for c, name in means.items()))
+    days = daily.select("entity", F.to_date("time").alias("day"), *(F.col(c).alias(name) for c, name in columns.items()))
+    names = [*columns.values(), *means.values()]
+    return days.join(by_day, ["entity", "day"], "left").select("entity", "day", *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names))
+
+
+def load_profiles(rows: DataFrame, known: DataFrame, active: DataFrame, values: list[str], version: str) -> tuple[DataFrame, DataFrame]:
+    """(profiles, rejected) after a batch of profiles by slug: rows with a value that isn't a finite number or with an
+    unknown slug are rejected, the others become the active version of their entity (known: slug, id)."""
+    finite = F.forall(F.array(*(F.col(v).cast("double") for v in values)), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    told = rows.join(known, "slug", "left").withColumn("reason", F.when(F.col("id").isNull(), "unknown_slug").when(~F.coalesce(finite, F.lit(False)), "not_finite"))
+    fresh = told.where("reason IS NULL").select("id", F.lit(version).alias("version"), *values, F.lit(True).alias("active"))
+    old = active.join(fresh.select("id", "version"), ["id", "version"], "left_anti").join(fresh.select("id", F.lit(False).alias("__off")), "id", "left")
+    old = old.withColumn("active", F.coalesce("__off", "active")).select(*fresh.columns)
+    return old.unionByName(fresh), told.where("reason IS NOT NULL").select("slug", "reason")

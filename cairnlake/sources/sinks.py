@@ -32,3 +32,24 @@ def sitemap(df: DataFrame, url: str, changed: str) -> DataFrame:
     """One <url> element to a row."""
     day = F.date_format(changed, "yyyy-MM-dd")
     return df.select(F.concat(F.lit("<url><loc>"), xml_escape(F.col(url)), F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>")).alias("value"))
+
+
+def wrapped(df: DataFrame, path: str, before: str, after: str, between: str = "") -> None:
+    """One document of the column ``value``: opening, elements in order, close, as a folder of part files whose
+    concatenation is the document; each task writes its own part, and nothing is gathered."""
+    spark = df.sparkSession
+    stored = df.select("value").withColumn("__at", F.monotonically_increasing_id())
+    first = stored.agg(F.min("__at")).first()[0]
+    body = stored.sort("__at").select(F.when(F.col("__at") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(between), "value")).alias("value"))
+    edge = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    edge(before).union(body).union(edge(after)).write.mode("overwrite").text(path)
+
+
+def feature_collection(df: DataFrame, path: str, lon: str, lat: str, *properties: str) -> None:
+    """A GeoJSON FeatureCollection, in parts."""
+    wrapped(df.select(features(df, lon, lat, *properties).alias("value")), path, '{"type":"FeatureCollection","features":[', "]}", ",")
+
+
+def sitemap_document(df: DataFrame, path: str, url: str, changed: str) -> None:
+    """A sitemap with its envelope, in parts."""
+    wrapped(sitemap(df, url, changed), path, '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', "</urlset>")

@@ -6,9 +6,10 @@ for a table that is already there.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,26 +18,40 @@ DAY = 86_400
 
 
 def accepted_batch(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], seconds: int = DAY) -> DataFrame:
-    """Events that come more than ``seconds`` after the last accepted one of their key.
+    """Events that come more than ``seconds`` after the last accepted one of their key: the columns keys and order.
 
-    Each acceptance restarts the window, so this folds each key's sorted times.  Only times and the tie-break
-    are gathered; a key is one entity and identity, whose events a rate limit bounds.
+    Each acceptance restarts the window, so the events of a key are told one after the other.  They are dealt by
+    key, sorted, and walked as a stream that carries nothing but the key and its last accepted time, so a key with
+    very many events takes time but no memory.
     """
-    events = df.select("*", F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"))
-    gathered = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__us", *order))).alias("__all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.filter("__all", lambda e: F.lit(False)).alias("kept"))
+    rows = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("__us"), *order).where("__us IS NOT NULL")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "__us", *order)
 
-    def step(state: Column, e: Column) -> Column:
-        fresh = state["last"].isNull() | (e["__us"] - state["last"] > seconds * 1_000_000)
-        return F.struct(F.when(fresh, e["__us"]).otherwise(state["last"]).alias("last"), F.when(fresh, F.concat(state["kept"], F.array(e))).otherwise(state["kept"]).alias("kept"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            accepted = []
+            for key, at in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column("__us").to_pylist(), strict=True):
+                fresh = key != now or at - last > seconds * 1_000_000
+                if fresh:
+                    now, last = key, at
+                accepted.append(fresh)
+            yield batch.filter(pa.array(accepted, pa.bool_()))
 
-    return gathered.select(*keys, F.inline(F.aggregate("__all", start, step, lambda s: s["kept"]))).drop("__us")
+    return dealt.mapInArrow(run, dealt.schema).drop("__us")
 
 
 def rate_counts(df: DataFrame, key: str, ts: str, seconds: int, name: str = "before") -> DataFrame:
-    """Events of the same key in the seconds before each event (not the event's own instant)."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, -1)
-    return df.withColumn(name, F.count("*").over(w))
+    """Events of the same key in the seconds before each event (not the event's own instant).
+
+    Time is cut into slots of that length and each event also stands in the slot behind its own, so that a key with
+    very many events is as many tasks as it has slots.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    own = F.floor(us / (seconds * 1_000_000))
+    dealt = df.withColumn("__own", own).withColumn("__slot", F.explode(F.when(F.col("__own").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(own, own + 1))))
+    w = Window.partitionBy(key, "__slot").orderBy(us).rangeBetween(-seconds * 1_000_000, -1)
+    return dealt.withColumn(name, F.count("*").over(w)).where(F.col("__slot").eqNullSafe(F.col("__own"))).drop("__own", "__slot")
 
 
 def within_limits(df: DataFrame, limits: Sequence[tuple[str, str, int, int]]) -> DataFrame:
@@ -89,22 +104,24 @@ def accepted_stream(events: DataFrame, entity: str, identities: Sequence[str], t
     )
 
 
-def refresh_rollups(rollups_path: str, facts_path: str, key: str, rollup):
-    """A foreachBatch function: recompute the rollup of the keys that a micro-batch touches, and replace theirs.
+def refresh_rollups(rollups_path: str, facts_path: str, key: str, rollup: Callable[[DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: compute the rollups of the key buckets that a micro-batch touches again.
 
-    Facts and rollups are Parquet tables; the rollups of other keys are kept as they are.  Each batch writes a
-    new version of the table, so a failed batch can run again.
+    Facts and rollups are Parquet tables partitioned by ``bucket``, a hash of the key.  Only the touched buckets' facts
+    are read and only their rollups written, so a batch costs what it touches.  A batch replaces what it wrote before,
+    so a failed one can run again.  The bucket numbers that come to the driver are ``buckets`` at most.
     """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select(key).distinct()
-        batch.write.mode("overwrite").parquet(f"{facts_path}/batch={batch_id}")
-        fresh = rollup(spark.read.parquet(facts_path).join(touched, key, "left_semi"))
-        if batch_id:
-            old = spark.read.parquet(f"{rollups_path}/version={batch_id - 1}").join(touched, key, "left_anti")
-            fresh = old.unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{rollups_path}/version={batch_id}")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{facts_path}/batch={batch_id}")
+        new = spark.read.option("basePath", facts_path).parquet(f"{facts_path}/batch={batch_id}")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+        if touched:
+            facts = spark.read.parquet(facts_path).where(F.col("bucket").isin(touched)).drop("bucket", "batch")
+            fresh = rollup(facts).withColumn("bucket", bucket)
+            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(rollups_path)
 
     return run
 

@@ -286,12 +286,21 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r.row_number for r in errors.collect()] == [3] and "coordinates" in errors.first().message
     pages = []
     for i in range(3):
-        (tmp_path / f"p{i}.json").write_text(json.dumps({"data": {"rows": [{"id": f"{i}-{j}", "n": j} for j in range(2)]}}))
+        (tmp_path / f"p{i}.json").write_text(json.dumps({"data": {"rows": [{"id": f"{i}-{j}", "n": j, "more": {"a": ["x"]}} for j in range(2)]}}))
         pages.append(str(tmp_path / f"p{i}.json"))
     (tmp_path / "m.json").write_text(json.dumps({"pages": pages}))
-    spark.dataSource.register(feeds.PagedJson)
-    df = spark.read.format("paged_json").schema("id string, n string").option("rows", "data.rows").option("path", str(tmp_path / "m.json")).load()
+    df = feeds.paged_json(spark, str(tmp_path / "m.json"), "data.rows", ["id", "n", "more", "none"])
     assert sorted(r.id for r in df.collect()) == [f"{i}-{j}" for i in range(3) for j in range(2)]
+    assert {(r.n, r.more, r.none) for r in df.collect()} == {("0", '{"a":["x"]}', None), ("1", '{"a":["x"]}', None)}
+    (tmp_path / "counted").mkdir()
+    (tmp_path / "counted" / "a.json").write_text(json.dumps({"meta": {"pageCount": 2}, "data": [{"id": 1}, {"id": 2}]}))
+    (tmp_path / "counted" / "b.json").write_text(json.dumps({"meta": {"pageCount": 2}, "data": []}))
+    each, counted = feeds.paged_with_counts(spark, str(tmp_path / "counted"), "data", "meta.pageCount", ["id"])
+    assert sorted(r.id for r in each.collect()) == ["1", "2"] and sorted((r.page_count, r.n) for r in counted.collect()) == [(2, 0), (2, 2)]
+    (tmp_path / "bulk.csv").write_text("\ufeffId, Name\n1, A\n\nx,B\n")
+    (tmp_path / "bulk.json").write_text('[{"id": 3, "name": "C"}]')
+    assert sorted((r.id or 0, r.name) for r in feeds.bulk(spark, str(tmp_path / "bulk.csv"), "id int, name string").collect()) == [(0, "B"), (1, "A")]
+    assert [(r.id, r.name) for r in feeds.bulk(spark, str(tmp_path / "bulk.json"), "id int, name string").collect()] == [(3, "C")]
     rows = spark.createDataFrame([(1, 'say "x"', None, 1.5, 2.5)], "id int, t string, e string, lon double, lat double")
     sinks.quoted_csv(rows.select("id", "t"), str(tmp_path / "csv"))
     written = b"".join(p.read_bytes() for p in sorted((tmp_path / "csv").glob("part*")))
@@ -318,3 +327,46 @@ def test_stream_accepts_what_the_batch_accepts(spark, tmp_path):
     assert {(r.place, str(r.day)): r.n for r in spark.sql("SELECT * FROM counts").collect()} == {("a", "2023-11-15"): 3, ("a", "2023-11-16"): 2, ("b", "2023-11-15"): 1}
     kept = policies.within_limits(df, [("ip", "ts", 7200, 1)])
     assert sorted(r.event_id for r in kept.collect()) == [1, 3, 6]
+
+
+def test_landed_archives_profiles_and_gaps(spark, tmp_path):
+    daily = spark.createDataFrame([("a", "2024-01-01", 2.0), ("a", "2024-01-02", None)], "entity string, time string, rain double")
+    hourly = spark.createDataFrame([("a", "2024-01-01T00:00", 10.0), ("a", "2024-01-01T01:00", None), ("a", "2024-01-01T02:00", 20.0)], "entity string, time string, h double")
+    got = feeds.archive_days(daily, hourly, {"rain": "rain_mm"}, {"h": "humidity"}).orderBy("day").collect()
+    assert [(str(r.day), r.rain_mm, r.humidity) for r in got] == [("2024-01-01", 2.0, 15.0), ("2024-01-02", 0.0, 0.0)]
+    rows = spark.createDataFrame([("x", 1.0), ("y", float("nan")), ("z", 2.0), ("w", None)], "slug string, v double")
+    known = spark.createDataFrame([("x", 1), ("y", 2), ("w", 4)], "slug string, id int")
+    active = spark.createDataFrame([(1, "old", 0.5, True), (2, "old", 0.6, True)], "id int, version string, v double, active boolean")
+    profiles, rejected = feeds.load_profiles(rows, known, active, ["v"], "new")
+    assert sorted(tuple(r) for r in profiles.collect()) == [(1, "new", 1.0, True), (1, "old", 0.5, False), (2, "old", 0.6, True)]
+    assert sorted(tuple(r) for r in rejected.collect()) == [("w", "not_finite"), ("y", "not_finite"), ("z", "unknown_slug")]
+    found = spark.createDataFrame([(1, 10.0, 10.0), (1, 10.0, 10.0), (2, 10.2, 10.0), (3, 50.0, 50.0)], "id int, lat double, lon double")
+    gaps = spark.createDataFrame([(7, 10.0, 10.05), (8, 10.25, 10.0)], "gap_id int, lat double, lon double")
+    assert sorted((r.id, r.gap_id) for r in feeds.near_gaps(found, gaps, 30_000).collect()) == [(1, 7), (2, 8)]
+    points = spark.createDataFrame([(i, float(i), 1.0) for i in range(5)], "id int, lon double, lat double").repartition(3)
+    sinks.feature_collection(points, str(tmp_path / "fc"), "lon", "lat", "id")
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "fc").glob("part*")))
+    assert sorted(f["properties"]["id"] for f in json.loads(whole)["features"]) == [0, 1, 2, 3, 4]
+    sinks.sitemap_document(spark.createDataFrame([("https://x.org/?a=1&b", "2024-01-02")], "u string, d string").select("u", F.to_date("d").alias("d")), str(tmp_path / "sm"), "u", "d")
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "sm").glob("part*")))
+    assert whole.startswith("<?xml") and whole.rstrip().endswith("</url>\n</urlset>")
+
+
+def test_rollups_touch_only_their_buckets(spark, tmp_path):
+    rollup = lambda df: df.groupBy("k").agg(F.count("*").alias("n"))
+    run = policies.refresh_rollups(str(tmp_path / "r"), str(tmp_path / "f"), "k", rollup, 8)
+    first = spark.createDataFrame([(i % 20,) for i in range(100)], "k int")
+    more = spark.createDataFrame([(3,), (3,), (21,)], "k int")
+    run(first, 0), run(more, 1), run(more, 1)  # the second batch ran twice
+    got = {r.k: r.n for r in spark.read.parquet(str(tmp_path / "r")).collect()}
+    assert got == {**{i: 5 for i in range(20)}, 3: 7, 21: 1}
+
+
+def test_nearest_community(spark):
+    texts = {
+        "The nearest towns and cities are Hope and Yale, far off": "Hope", "Closest community is the town of St. Ives; bring food": "St. Ives", "It lies 12.5 km northeast of Fort St. John on a road": "Fort St. John",
+        "Camp outside of Lac La Hache village": "Lac La Hache", "near water": None, "": None, "Nearest city is Town.": None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "t string, want string")
+    got = {r.t: r.town for r in df.select("t", rules.nearest_community(F.col("t")).alias("town")).collect()}
+    assert got == texts
