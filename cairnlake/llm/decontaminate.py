@@ -3,13 +3,12 @@
 Containment MinHash: an item is much smaller than a document, so a symmetric sketch of both would hardly ever
 collide.  Instead each item's MinHash samples, which are uniform draws of its five-word shingles, are
 looked up among all shingles of each document; the share of samples found estimates the contained share.
-Items are partitioned by size: the partition sets how many samples an item has (small items: all shingles),
-and how many shingles a document must have at least to contain them.  Documents whose estimate comes near the
+Items are partitioned by size, which sets how many samples an item has (small items: all shingles).  Documents whose estimate comes near the
 threshold are read again, and the exact share of the item's shingles (as strings) that the document has decides.
 
 Nulls and edge cases: null and empty texts have no shingles; items under five words have none and are never
 found; a null doc_id or item_id is never part of a pair; rows with the same doc_id count as one document, with
-the shingles of all, and likewise items; extra columns are ignored.
+the shingles of all, and likewise items; doc_id may be of any type that can be a key; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +33,10 @@ def _words(text: Column) -> Column:
 
 
 def _hashed_shingles(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """(id, n_windows, shingle) for each window of n words, the shingle as a 64-bit hash."""
+    """(id, shingle) for each window of n words, the shingle as a 64-bit hash."""
     hashed = df.where(F.col(id_col).isNotNull() & F.col("text").isNotNull()).select(id_col, F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= n)
     windows = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(n))))
-    return hashed.select(id_col, (F.size("w") - n + 1).alias("n_windows"), F.explode(windows).alias("shingle"))
+    return hashed.select(id_col, F.explode(windows).alias("shingle"))
 
 
 def _string_shingles(df: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -53,7 +52,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def sketches(items: DataFrame, n: int = WORDS) -> DataFrame:
     """(item_id, shingle, weight, n_item, samples): the items' MinHash samples."""
-    shingles = _hashed_shingles(items, "item_id", n).select("item_id", "shingle").distinct()
+    shingles = _hashed_shingles(items, "item_id", n).distinct()
     sized = shingles.join(shingles.groupBy("item_id").agg(F.count("*").alias("n_item")), "item_id")
     out = None
     low = 0
@@ -75,7 +74,7 @@ def sketches(items: DataFrame, n: int = WORDS) -> DataFrame:
 def find(documents: DataFrame, items: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared): the pairs where n_shared / n_item is the threshold or more."""
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = documents.select("doc_id", F.col("text").cast("string"))
     sketch = checkpoint(sketches(items, n))
     seen = _hashed_shingles(docs, "doc_id", n).join(_small(sketch), "shingle")
     near = (

@@ -9,7 +9,8 @@ Nulls and edge cases: a null text has no lines and stays null; an empty text is
 a visible character or of one line are never removed; a row is known by its doc_id and a digest of its text, so
 repeated rows are treated alike, and different texts under one doc_id (or a null one) by themselves, in the order
 of their digests; a null doc_id comes before all others; chunks whose keys agree but whose bytes differ all stay;
-extra columns are carried through.
+extra columns are carried through, whatever their names, but for the four that the operator adds, which replace
+columns of the same name.
 """
 
 from __future__ import annotations
@@ -88,24 +89,30 @@ def repeated_chunks(documents: DataFrame, divisor: int = DIVISOR, least: int = L
     )
 
 
+#: The columns that dedup_lines() adds.
+COUNTS = ("n_lines", "n_chunks", "removed_chunks", "removed_lines")
+
+
 def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
     """The documents, with the text that is left, and n_lines, n_chunks, removed_chunks, removed_lines."""
     removed = repeated_chunks(documents, divisor, least).select(F.col("doc_id").alias("removed_id"), F.col("digest").alias("removed_digest"), "removed")
-    joined = documents.join(removed.hint("shuffle_hash"), _same_row("removed_id", "removed_digest"), "left").drop("removed_id", "removed_digest")
+    # The caller's columns travel as one, so that none can clash with the names used here.
+    others = [c for c in documents.columns if c not in ("text", *COUNTS)]
+    rows = documents.select("doc_id", "text", F.struct(*others).alias("row"))
+    joined = rows.join(removed.hint("shuffle_hash"), _same_row("removed_id", "removed_digest"), "left").select("row", "text", "removed")
     cut = _with_chunks(joined, divisor)
     numbers = F.sequence(F.lit(1), F.size("ends"))
     gone = F.col("removed").isNotNull()
-    kept = F.filter(numbers, lambda j: ~F.array_contains("removed", j))
+    kept = F.array_except(numbers, F.col("removed"))
     text = F.when(gone, F.array_join(F.transform(kept, lambda j: _chunk(j)[0]), "\n")).otherwise(F.col("text"))
     lost = F.aggregate("removed", F.lit(0), lambda total, j: total + _chunk(j)[1])
-    columns = (
-        *(F.col(c) for c in documents.columns if c != "text"),
-        text.alias("text"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size("ends")), F.lit(0)).cast("long").alias("n_chunks"),
-        F.when(gone, F.size("removed")).otherwise(0).cast("long").alias("removed_chunks"),
-        F.when(gone, lost).otherwise(0).cast("long").alias("removed_lines"),
+    counts = (
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size("ends")), F.lit(0)),
+        F.when(gone, F.size("removed")).otherwise(0),
+        F.when(gone, lost).otherwise(0),
     )
+    columns = (*(F.col("row")[c].alias(c) for c in others), text.alias("text"), *(n.cast("long").alias(c) for c, n in zip(COUNTS, counts, strict=True)))
     # As rows of a generator, so that a filter on the new text isn't pushed below it, where Catalyst would write
     # out the whole expression, and with it all hashes of the document, for each line.
     return cut.select(F.inline(F.array(F.struct(*columns))))

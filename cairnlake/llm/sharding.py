@@ -3,8 +3,9 @@
 Texts never move: only each document's size and checksums are sorted, by a range partitioning over the order
 columns.  Each partition's total gives its place in the whole, a running sum inside the partition gives each
 document's, and the shards are cut at equal targets.  Documents with equal texts are neighbours in the order.
-A group of equal texts that is small beside a shard is kept whole, where its first byte falls; a larger one
-is cut like anything else, since it may be larger than a shard.
+A group of equal texts up to ``WHOLE`` of a shard is kept whole, where its middle byte falls, so that a cut moves by
+half of that at most and all shards are near equal; a larger group is cut like anything else, since it may be larger
+than a shard.
 
 Nulls and edge cases: a null text has no bytes and the checksum 0, but still the overhead; an empty text is in
 the same group as null; null doc_ids come first; repeated rows are separate documents; no rows give no rows;
@@ -22,7 +23,7 @@ SHARDS = 24
 #: Bytes that a document takes besides its text.
 OVERHEAD = 8
 #: Groups up to this part of a shard's target are kept whole.
-WHOLE = 1 / 200
+WHOLE = 1 / 50
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, whole: float = WHOLE) -> DataFrame:
@@ -70,7 +71,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD,
         .join(F.broadcast(edge_starts), group, "left")
         .withColumn("group_start", F.coalesce("edge_start", "group_start"))
         .withColumn("group_bytes", F.coalesce("edge_bytes", "group_bytes"))
-        .withColumn("at", F.when(F.col("group_bytes") <= target * F.lit(whole), F.col("group_start")).otherwise(F.col("start")))
+        .withColumn("at", F.when(F.col("group_bytes") <= target * F.lit(whole), F.col("group_start") + F.col("group_bytes") / 2).otherwise(F.col("start")))
         .withColumn("shard", F.least(F.floor(F.col("at") / target), F.lit(shards - 1)).cast("int"))
     )
     firsts = cut.groupBy("shard").agg(F.min("row").alias("first_row"))

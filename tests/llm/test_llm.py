@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairnlake.llm import (
     boosting, chat_format, decontaminate, deep_shallow, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup,
@@ -64,6 +65,11 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     kept = line_dedup.dedup_lines(spark.createDataFrame([(1, "a", 7, 8)], DOCS + ", key int, lines_of int"))
     assert kept.columns[:4] == ["doc_id", "key", "lines_of", "text"]
+    names = ["lines", "hashes", "ends", "removed", "removed_id", "removed_digest", "row", "n_lines", "digest", "chunk", "k"]
+    clash = spark.createDataFrame([(i, block, *range(len(names))) for i in (1, 2)], DOCS + "".join(f", {n} int" for n in names))
+    rows = line_dedup.dedup_lines(clash).orderBy("doc_id").collect()
+    assert [r.n_lines for r in rows] == [40, 40] and rows[0].removed_lines == 0 and rows[1].removed_lines > 15
+    assert all(r[n] == i for r in rows for i, n in enumerate(names) if n != "n_lines")
 
 
 def test_line_dedup_tells_rows_apart(spark):
@@ -277,6 +283,33 @@ def test_repeated_rows_stay_linear(spark, monkeypatch, crowd):
     assert got == {(1, 0): 3000, (2, 0): 1, (3, 250): 1}
 
 
+def test_very_long_texts(spark):
+    """A text of 3 MB twice, but for one word, and a batch of more than 8 MB."""
+    words = prose(50, 500_000).split()
+    at = 250_000
+    near = [*words[:at], "different", *words[at + 1 :]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), *((10 + i, prose(60 + i, 150_000)) for i in range(8))]
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    got = {r.doc_id: r for r in substring_dedup.dedup(df).collect()}
+    assert {i: (r.n_words, r.n_removed) for i, r in got.items() if i < 10} == {1: (500_000, 0), 2: (500_000, 499_999)} and got[2].kept == "different"
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.find_repeats(df).collect()}
+    assert got[1] == (len(rows[0][1]) - len(words[at]), 2) and got[2] == (len(rows[1][1]) - len("different"), 2) and got[10] == (0, 0)
+    joined = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(df).collect()}
+    assert joined == {1: (1, 1), 2: (1, 1), **{10 + i: (10 + i, 0) for i in range(8)}}
+    trees = quality_rules.train(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert {r.doc_id: r.n_words for r in quality_rules.judge(df, trees).collect()}[2] == 500_000
+    item = spark.createDataFrame([(1, " ".join(near[at - 8 : at + 8])), (2, " ".join(words[:30]))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(df, item).collect()} == {(2, 1), (1, 2), (2, 2)}
+    lines = df.withColumn("text", F.regexp_replace("text", "((?:[^ ]+ ){10})", "$1\n"))
+    left = {r.doc_id: r for r in line_dedup.dedup_lines(lines).collect()}
+    assert left[1].removed_lines == 0 and left[2].removed_lines > 30_000
+    assert {r.doc_id: r.size for r in sharding.shard(df, 5).collect()}[1] == len(rows[0][1]) + 8
+    parts = packing.pack(packing.pieces(df, packing.tokenizer_path()))
+    assert parts.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty() and parts.where("doc_id = 1").count() > 200
+    chats = df.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text")
+    assert {r.conv_id: r.n_turns for r in chat_format.read_back(chat_format.format_chats(chats)).collect()}[1] == 1
+
+
 def test_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
@@ -355,8 +388,6 @@ def test_url_targets(spark):
             if r and not r.startswith(("#", "mailto")):
                 node = plain(urljoin(b + ("/" if b.count("/") == 2 else ""), r))
                 want[(b, r)] = node if "/" in node else node + "/"
-    from pyspark.sql import functions as F
-
     rows = url_filter.links(df).select("url", url_filter.node_of(F.col("target")).alias("node")).collect()
     assert Counter((r.url, r.node) for r in rows) == Counter((b, n) for (b, _), n in want.items())
 

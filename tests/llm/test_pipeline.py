@@ -30,3 +30,26 @@ def test_stages_keep_columns_and_take_effect(spark):
         assert not any(len(s & h) >= 0.8 * len(s) for h in held)
     packed = cp.packed(spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(before)
+
+
+def test_stages_on_odd_rows(spark):
+    """Rows without doc_id, repeated rows, null texts, clashing extra columns and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.orderBy("doc_id").where("length(text) > 500").first().text
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first().text
+    clean = " ".join(f"alone{i}" for i in range(90))
+    rows = [(None, clean), (None, f"{clean} {item}"), (None, clean), (7, None), (None, None), (8, text), (9, text), (8, f"other words {clean[::-1]}")]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 5, 6) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, removed_chunks int, row int")
+    for name, stage in cp.STAGES[1:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns, name
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert all(r.removed_chunks == 5 and r.row == 6 for r in out.collect()), name
+        if name == "benchmark_decontamination":
+            assert sorted(kept, key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+        if name == "ngram_jaccard_join":
+            assert kept.count((None, clean)) == 1 and (8, text) in kept and (9, text) not in kept and (7, None) in kept and (None, None) in kept
+        assert stage(spark, odd.limit(0), SF).count() == 0
+    first = cp.STAGES[0][1](spark, odd, SF)
+    assert first.columns == odd.columns and cp.STAGES[0][1](spark, odd.limit(0), SF).count() == 0
+    assert cp.packed(spark, odd, SF).where("piece = 0").count() == len(rows)
