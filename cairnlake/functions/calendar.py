@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import variant
+
 #: The season's peak day north and south of the equator, and the year's length.
 PEAK_NORTH, PEAK_SOUTH, YEAR_DAYS = 200, 18, 365.25
 
@@ -42,4 +44,4 @@ def valid_date(text: Column) -> Column:
 
 def stagger_minutes(key: Column, minutes: int = 10_080) -> Column:
     """A fixed minute of the week for each key, evenly spread."""
-    return F.pmod(F.xxhash64(key), F.lit(minutes))
+    return variant(key, minutes)

@@ -176,7 +176,7 @@ def plain_ip(ip: Column) -> Column:
 
 def variant(key: Column, n: int) -> Column:
     """One of n variants for each key, always the same one and evenly spread."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n))
 
 
 def colour_key(inner: Column, outer: Column) -> Column:
