@@ -15,6 +15,7 @@ Nulls and edge cases: a null or empty text is one separator; repeated rows are p
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,8 +35,8 @@ GROUP = 4096
 LOOSE = 1 / 128
 #: Groups that are merged for the next round, and rounds.
 MERGE, ROUNDS = 16, 3
-#: Word parts that a Python worker remembers the ids of, at most, with their text (some 150 bytes each).
-REMEMBER = 300_000
+#: Word parts that a Python worker remembers the ids of, at most, with their text (some 60 bytes each).
+REMEMBER = 1_500_000
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".,;:!?*#$%&()")] = True
@@ -59,8 +60,41 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[bytes, int] = {}  # a part's place in _begin and _size, which point into _pool
-        self._begin, self._size, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._keys, self._rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and the rows that they name
+        self._text = np.zeros(0, np.uint8)  # a row's part lies in _text, its ids in _pool
+        self._at, self._length, self._begin, self._size = (np.zeros(0, np.int64) for _ in range(4))
+        self._pool = np.zeros(0, np.uint32)
+
+    def _remembered(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The rows of different parts, after those not remembered yet have been tokenized."""
+        keys, length = ts.hashes(buf, start, end), end - start
+        place = np.searchsorted(self._keys, keys)
+        met = np.flatnonzero(self._keys[np.minimum(place, len(self._keys) - 1)] == keys if len(self._keys) else np.zeros(len(keys), bool))
+        row = np.full(len(keys), -1, np.int64)
+        row[met] = self._rows[place[met]]
+        # A hash is only a hint: the bytes decide.
+        fits = self._length[row[met]] == length[met]
+        met = met[fits]
+        same = ts.same_bytes(np.concatenate([self._text, buf]), self._at[row[met]], len(self._text) + start[met], length[met])
+        known = np.zeros(len(keys), bool)
+        known[met[same]] = True
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = buf.tobytes()
+            ids = [got.ids for got in self._tokenizer.encode_batch([raw[s:e].decode("utf-8", "replace") for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)], add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            free = new[row[new] < 0]  # a part whose hash another one has is tokenized anew each time
+            row[new] = len(self._at) + np.arange(len(new))
+            self._at = np.concatenate([self._at, len(self._text) + np.cumsum(length[new]) - length[new]])
+            self._length = np.concatenate([self._length, length[new]])
+            self._text = np.concatenate([self._text, buf[ts.ragged(start[new], length[new])]])
+            self._begin = np.concatenate([self._begin, len(self._pool) + np.cumsum(size) - size])
+            self._size = np.concatenate([self._size, size])
+            self._pool = np.concatenate([self._pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            free = free[np.unique(keys[free], return_index=True)[1]]
+            place = np.searchsorted(self._keys, keys[free])
+            self._keys, self._rows = np.insert(self._keys, place, keys[free]), np.insert(self._rows, place, row[free])
+        return row
 
     @staticmethod
     def parts(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,20 +119,10 @@ class WordTokenizer:
         if b"<|" not in buf.tobytes():  # special tokens are told apart by case
             buf = buf | _CAPITAL[buf]
         number, first = ts.identify(buf, start, end)
-        if len(self._known) > REMEMBER:
+        if len(self._at) > REMEMBER:
             self._forget()
-        raw = buf.tobytes()
-        parts = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        new = [part for part in parts if part not in self._known]
-        if new:
-            ids = [got.ids for got in self._tokenizer.encode_batch([part.decode("utf-8", "replace") for part in new], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for part in ids for i in part), np.uint32, int(size.sum()))
-            self._known.update(zip(new, range(len(self._size), len(self._size) + len(new)), strict=True))
-            self._begin = np.concatenate([self._begin, len(self._pool) + np.cumsum(size) - size])
-            self._size, self._pool = np.concatenate([self._size, size]), np.concatenate([self._pool, flat])
-        at = np.fromiter((self._known[part] for part in parts), np.int64, len(parts))[number] if parts else number
-        size, begin = self._size[at], self._begin[at]
+        row = self._remembered(buf, start[first], end[first])[number]
+        size, begin = self._size[row], self._begin[row]
         ids = self._pool[ts.ragged(begin, size)]
         ends = np.zeros(len(start) + 1, np.int64)
         np.cumsum(size, out=ends[1:])
