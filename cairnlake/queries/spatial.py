@@ -5,6 +5,8 @@ Customers and suppliers get coordinates from their keys.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +81,16 @@ def half_degree_cells_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(top, ["cx", "cy"])
 
 
-@query()
+_TO_KEPT = re.sub(r"\b(r_)?(lat|lon)\b", lambda m: f"o.{m[2]}" if m[1] else f"e.{m[2]}", _DISTANCE)
+
+
+@query(f"""
+WITH RECURSIVE {_sql('customer', 'c_custkey', 'c')}, o AS (SELECT id, lat, lon, c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, id) AS k FROM c JOIN customer ON c_custkey = id),
+r AS (SELECT g, k, [{{'id': id, 'lat': lat, 'lon': lon}}] AS kept FROM o WHERE k = 1
+ UNION ALL SELECT o.g, o.k, CASE WHEN len(list_filter(kept, lambda e: {_TO_KEPT} <= 900000)) = 0 THEN list_append(kept, {{'id': o.id, 'lat': o.lat, 'lon': o.lon}}) ELSE kept END FROM r JOIN o ON o.g = r.g AND o.k = r.k + 1),
+f AS (SELECT unnest(kept) AS e FROM (SELECT kept FROM r QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC) = 1))
+SELECT e.id AS id FROM f
+""")
 def greedy_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers by balance, kept if no kept one of their nation is within 900 km."""
     df = points(spark, sf_dir, "customer", "c_custkey").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", "c_acctbal"), "id")
