@@ -49,22 +49,38 @@ def nearest_in_radius(left: DataFrame, right: DataFrame, left_key: str, right_ke
 
 
 def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, first_m: float = 50_000, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", same: Sequence[str] = ()) -> DataFrame:
-    """The nearest right row (with the same values in some columns) of each left row: radius joins with a radius that grows fourfold for those left over.
+    """The nearest right row (with the same values in some columns) of each left row, whatever the distance; exact.
 
-    A radius that finds something finds the nearest, so this is exact.  When the circle covers the globe, all
-    rows have an answer, unless no right row fits.
+    Branch and bound over grid levels, from the globe as one cell down to cells of about ``first_m``: a pair of cells
+    goes on to the next level, as the pairs of its parts, only while the least distance in it isn't over the
+    greatest distance of some other pair of the same left cell.  So only rows of the few cells that may hold
+    the nearest one are compared, near or far, and rows without coordinates have no answer.
     """
-    metres, todo, found = first_m, left, None
-    while True:
-        around = metres >= math.pi * geo.EARTH_M
-        pairs = radius_join(todo, right, min(metres, 2 * math.pi * geo.EARTH_M), lat, lon, right_lat, right_lon, same=same)
-        best = pairs.groupBy(left_key).agg(F.min_by(F.struct(right_key, "distance_m"), F.struct("distance_m", right_key)).alias("__b")).select(left_key, "__b.*")
-        best = checkpoint(best)
-        found = best if found is None else found.unionByName(best)
-        todo = checkpoint(todo.join(best.select(left_key), left_key, "left_anti"))
-        if around or todo.isEmpty():
-            return found
-        metres *= 4
+    split = 8
+    levels = max(1, math.ceil(math.log(360 * METRES_PER_DEGREE / first_m, split)))
+
+    def celled(df: DataFrame, y: str, x: str, side: str, size: float) -> DataFrame:
+        return df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).withColumn(f"__{side}y", geo.cell(F.col(y), size, -90)).withColumn(f"__{side}x", geo.cell(F.col(x), size, -180))
+
+    def cells(df: DataFrame, y: str, x: str, side: str, size: float) -> DataFrame:
+        found = celled(df, y, x, side, size).select(f"__{side}y", f"__{side}x", *same).distinct()
+        return found.select("*", *(F.floor(F.col(f"__{side}{c}") / split).alias(f"__p{side}{c}") for c in "yx"))
+
+    middle = lambda side, size: ((F.col(f"__{side}y") + 0.5) * size - 90, (F.col(f"__{side}x") + 0.5) * size - 180)
+    start = left.select(*same).distinct() if same else left.sparkSession.range(1).select(F.lit(0).alias("__one"))
+    pairs = start.select(*same, *(F.lit(0).cast("long").alias(f"__{c}") for c in ("ly", "lx", "ry", "rx")))
+    for level in range(1, levels + 1):
+        size = 360 / split**level
+        parents = pairs.select(*same, *(F.col(f"__{c}").alias(f"__p{c}") for c in ("ly", "lx", "ry", "rx")))
+        tried = parents.join(cells(left, lat, lon, "l", size), ["__ply", "__plx", *same]).join(cells(right, right_lat, right_lon, "r", size), ["__pry", "__prx", *same])
+        apart = geo.haversine(*middle("l", size), *middle("r", size))
+        slack = 2 * size * METRES_PER_DEGREE + 1  # a cell's middle is within its size of any of its points
+        least = F.min(apart + slack).over(Window.partitionBy("__ly", "__lx", *same))
+        pairs = checkpoint(tried.withColumn("__far", least).where(apart - slack <= F.col("__far")).select(*same, "__ly", "__lx", "__ry", "__rx"))
+    rights = celled(right, right_lat, right_lon, "r", size).select(right_key, right_lat, right_lon, "__ry", "__rx", *same)
+    compared = celled(left, lat, lon, "l", size).join(pairs, ["__ly", "__lx", *same]).join(rights, ["__ry", "__rx", *same])
+    compared = compared.withColumn("distance_m", geo.haversine(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon)))
+    return compared.groupBy(left_key).agg(F.min_by(F.struct(right_key, "distance_m"), F.struct("distance_m", right_key)).alias("__b")).select(left_key, "__b.*")
 
 
 def grid_clusters(df: DataFrame, key: str, degrees: float, least: int = 4, lat: str = "lat", lon: str = "lon") -> DataFrame:
