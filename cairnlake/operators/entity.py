@@ -19,6 +19,12 @@ QUALIFIERS = (
     "service", "shelter", "station", "stock", "visitor", "youth",
 )
 OPPOSITES = (("upper", "lower"), ("east", "west"), ("north", "south"))
+# Of a pair: points of the name and of shared identities, of the distance up to so many metres, and of regions that differ.
+PAIR_POINTS = {"name": 0.55, "website": 0.45, "address": 0.35, "phone": 0.3, "region": -0.25}
+PAIR_METRES = ((75, 0.35), (350, 0.25), (1000, 0.14))
+PAIR_NEAR = 0.08
+# Of an incoming record and a canonical one: the same, the distance counting less up to 5 km.
+MATCH_POINTS = {"name": 0.45, "distance": 0.25, "website": 0.5, "phone": 0.5, "address": 0.15, "close": 0.25, "operator": 0.08, "parent": 0.08, "region": -0.25}
 SUBFACILITIES = ("cabin", "cabins", "campsite", "campsites", "group", "lot", "loop")
 
 
@@ -84,12 +90,12 @@ def score_pairs(pairs: DataFrame, near_m: float = 2000.0) -> DataFrame:
     evidence = c("website_match").cast("int") + c("phone_match").cast("int") + c("address_match").cast("int")
     region = lambda side: F.lower(F.trim(F.coalesce(c(f"{side}_region"), F.lit(""))))
     compatible = region("l").isin("", "unknown") | region("r").isin("", "unknown") | (region("l") == region("r"))
-    score = (
-        s * 0.55
-        + F.when(c("website_match"), 0.45).otherwise(0.0) + F.when(c("address_match"), 0.35).otherwise(0.0) + F.when(c("phone_match"), 0.3).otherwise(0.0)
-        + F.when(d <= 75, 0.35).when(d <= 350, 0.25).when(d <= 1000, 0.14).when(d <= near_m, 0.08).otherwise(0.0)
-        - F.when(~compatible & (evidence == 0), 0.25).otherwise(0.0)
-    )
+    points = PAIR_POINTS
+    closeness = F.when(d <= near_m, PAIR_NEAR).otherwise(0.0)
+    for metres, value in reversed(PAIR_METRES):
+        closeness = F.when(d <= metres, value).otherwise(closeness)
+    shared = sum((F.when(c(f"{name}_match"), points[name]).otherwise(0.0) for name in ("website", "address", "phone")), F.lit(0.0))
+    score = s * points["name"] + shared + closeness + F.when(~compatible & (evidence == 0), points["region"]).otherwise(0.0)
     scored = base.where(admitted).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).where(
         (F.col("score") >= 0.62) & ((F.col("score") >= 0.7) | (evidence > 0) | ((d <= 150) & (s >= 0.9)))
     )
@@ -109,13 +115,12 @@ def score_match(pairs: DataFrame) -> DataFrame:
     blank = lambda x: F.coalesce(x, F.lit("")) == ""
     identity = text.token_similarity(text.name_tokens(c("i_name")), text.name_tokens(c("c_name")))
     name = F.greatest(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c("name_similarity"))), identity)
-    points = lambda test, n: F.when(test, n).otherwise(0.0)
-    score = (
-        name * 0.45 + F.greatest(F.lit(0.0), 1 - c("distance_m") / 5000) * 0.25
-        + points(web, 0.5) + points(phone, 0.5) + points(address, 0.15) + points((name >= 0.9) & (c("distance_m") <= 350), 0.25)
-        + points(same("operator"), 0.08) + points(same("parent"), 0.08)
-        - points(~(blank(c("i_region")) | blank(c("c_region")) | same("region")), 0.25)
-    )
+    held = {
+        "website": web, "phone": phone, "address": address, "close": (name >= 0.9) & (c("distance_m") <= 350), "operator": same("operator"), "parent": same("parent"),
+        "region": ~(blank(c("i_region")) | blank(c("c_region")) | same("region")),
+    }
+    told = sum((F.when(test, MATCH_POINTS[signal]).otherwise(0.0) for signal, test in held.items()), F.lit(0.0))
+    score = name * MATCH_POINTS["name"] + F.greatest(F.lit(0.0), 1 - c("distance_m") / 5000) * MATCH_POINTS["distance"] + told
     total = F.when(c("i_country") != c("c_country"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
     return pairs.withColumn("score", total).withColumn("decision", F.when(c("score") >= AUTOMATIC, "automatic").when(c("score") >= REVIEW, "review").otherwise("new"))
 

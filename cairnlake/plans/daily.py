@@ -20,6 +20,29 @@ LEVELS = ((0.3, "Low"), (0.55, "Moderate"), (0.75, "High"))
 MONTHLY = {"habitat": 0.5, "season": 0.35, "rainfallClimate": 0.15}
 COVERS = (("wetland|marsh|swamp", 1.0), ("forest|wood|shrub", 0.72), ("grass|agricultur|cropland", 0.46), ("urban|developed|built", 0.18), ("barren|rock|snow|ice", 0.05))
 
+# What the explanations of a day and of a month say.
+DAY_TEXTS = {
+    "wet": "Nearby wetlands, marshes or seasonal water increase breeding habitat.",
+    "open_water": "Large open water has only a small influence without sheltered wet habitat.",
+    "forest": "Forest and dense vegetation provide sheltered resting habitat.",
+    "rainfall": "Rain over the past one to two weeks increases later breeding potential.",
+    "humid": "Humid, high-dewpoint conditions support mosquito activity.",
+    "wind": "Strong wind suppresses short-term flying activity.",
+    "cool_night": "A cool overnight low suppresses tonight's activity.",
+    "rain": "Active rain can temporarily reduce flying activity.",
+    "mixed": "Habitat and weather signals are mixed for this period.",
+}
+MONTH_TEXTS = {
+    "wet": "Wetlands, marshes or seasonal water raise the campground's monthly baseline.",
+    "forest": "Forest and vegetation provide sheltered mosquito habitat.",
+    "cool": "Cool seasonal temperatures strongly limit mosquito activity.",
+    "warmer": "Seasonal guidance is warmer than the long-term model climate.",
+    "cooler": "Seasonal guidance is cooler than the long-term model climate.",
+    "wetter": "Seasonal guidance is wetter than the long-term model climate.",
+    "drier": "Seasonal guidance is drier than the long-term model climate.",
+    "typical": "The habitat baseline and seasonal guidance are close to typical for this month.",
+}
+
 
 def ring_score(rings: Column, weights: dict[str, float] = RINGS) -> Column:
     return clamp(sum((rings[k] * w for k, w in weights.items()), F.lit(0.0)))
@@ -68,18 +91,18 @@ def score_daily(df: DataFrame) -> DataFrame:
     out = df.withColumn("habitat", weighted_index(h, HABITAT)).withColumn("weather", clamp(weighted_index(w, WEATHER) * wind * rain))
     wet = F.greatest(h["wetlands"], h["marshes"], h["seasonalWater"])
     reasons = [
-        (wet > 0.55, wet, "Nearby wetlands, marshes or seasonal water increase breeding habitat."),
-        ((h["largeOpenWater"] > 0.55) & (wet < h["largeOpenWater"]), F.lit(0.25), "Large open water has only a small influence without sheltered wet habitat."),
-        (h["forestVegetation"] > 0.6, h["forestVegetation"] * 0.65, "Forest and dense vegetation provide sheltered resting habitat."),
-        (w["rainfallLag"] > 0.55, w["rainfallLag"], "Rain over the past one to two weeks increases later breeding potential."),
-        (w["humidity"] > 0.65, w["humidity"] * 0.8, "Humid, high-dewpoint conditions support mosquito activity."),
-        (wind < 0.72, 1.5 - wind, "Strong wind suppresses short-term flying activity."),
-        (F.col("overnightLowC") < 8, F.lit(0.8), "A cool overnight low suppresses tonight's activity."),
-        (rain < 0.85, F.lit(0.62), "Active rain can temporarily reduce flying activity."),
+        (wet > 0.55, wet, DAY_TEXTS["wet"]),
+        ((h["largeOpenWater"] > 0.55) & (wet < h["largeOpenWater"]), F.lit(0.25), DAY_TEXTS["open_water"]),
+        (h["forestVegetation"] > 0.6, h["forestVegetation"] * 0.65, DAY_TEXTS["forest"]),
+        (w["rainfallLag"] > 0.55, w["rainfallLag"], DAY_TEXTS["rainfall"]),
+        (w["humidity"] > 0.65, w["humidity"] * 0.8, DAY_TEXTS["humid"]),
+        (wind < 0.72, 1.5 - wind, DAY_TEXTS["wind"]),
+        (F.col("overnightLowC") < 8, F.lit(0.8), DAY_TEXTS["cool_night"]),
+        (rain < 0.85, F.lit(0.62), DAY_TEXTS["rain"]),
     ]
     sure = clamp((F.col("profileConfidence") * 0.65 + 0.35) * (1 - F.least(F.col("dayOffset"), F.lit(7)) * 0.045))
     scored = out.withColumn("score", clamp(F.col("habitat") * COMPONENTS["habitat"] + F.col("weather") * COMPONENTS["weather"]))
-    return scored.withColumn("level", level(F.col("score"))).withColumn("confidence", sure).withColumn("factors", strongest(reasons, 4, "Habitat and weather signals are mixed for this period."))
+    return scored.withColumn("level", level(F.col("score"))).withColumn("confidence", sure).withColumn("factors", strongest(reasons, 4, DAY_TEXTS["mixed"]))
 
 
 def score_monthly(df: DataFrame) -> DataFrame:
@@ -93,14 +116,13 @@ def score_monthly(df: DataFrame) -> DataFrame:
     cool = c("temperatureMeanC") < 10
     wet = F.greatest(h["wetlands"], h["marshes"], h["seasonalWater"])
     reasons = [
-        (wet > 0.5, wet, "Wetlands, marshes or seasonal water raise the campground's monthly baseline."),
-        (h["forestVegetation"] > 0.6, h["forestVegetation"] * 0.7, "Forest and vegetation provide sheltered mosquito habitat."),
-        (cool, F.lit(0.9), "Cool seasonal temperatures strongly limit mosquito activity."),
-        (~cool & (t >= 0.75), F.least(F.lit(0.85), 0.45 + t / 8), "Seasonal guidance is warmer than the long-term model climate."),
-        (~cool & (t <= -0.75), F.least(F.lit(0.85), 0.45 - t / 8), "Seasonal guidance is cooler than the long-term model climate."),
-        (p >= 8, F.least(F.lit(0.85), 0.45 + p / 100), "Seasonal guidance is wetter than the long-term model climate."),
-        (p <= -8, F.least(F.lit(0.85), 0.45 - p / 100), "Seasonal guidance is drier than the long-term model climate."),
+        (wet > 0.5, wet, MONTH_TEXTS["wet"]),
+        (h["forestVegetation"] > 0.6, h["forestVegetation"] * 0.7, MONTH_TEXTS["forest"]),
+        (cool, F.lit(0.9), MONTH_TEXTS["cool"]),
+        (~cool & (t >= 0.75), F.least(F.lit(0.85), 0.45 + t / 8), MONTH_TEXTS["warmer"]),
+        (~cool & (t <= -0.75), F.least(F.lit(0.85), 0.45 - t / 8), MONTH_TEXTS["cooler"]),
+        (p >= 8, F.least(F.lit(0.85), 0.45 + p / 100), MONTH_TEXTS["wetter"]),
+        (p <= -8, F.least(F.lit(0.85), 0.45 - p / 100), MONTH_TEXTS["drier"]),
     ]
     sure = clamp((c("profileConfidence") * 0.7 + 0.3) * 0.78 * (1 - F.least(c("monthOffset"), F.lit(6)) * 0.055))
-    typical = "The habitat baseline and seasonal guidance are close to typical for this month."
-    return df.withColumn("score", score).withColumn("level", level(F.col("score"))).withColumn("confidence", sure).withColumn("factors", strongest(reasons, 4, typical))
+    return df.withColumn("score", score).withColumn("level", level(F.col("score"))).withColumn("confidence", sure).withColumn("factors", strongest(reasons, 4, MONTH_TEXTS["typical"]))

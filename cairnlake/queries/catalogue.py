@@ -171,3 +171,27 @@ def pair_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0.0).alias("l_lat"), F.lit(10.0).alias("l_lon"), F.lit(0.0).alias("r_lat"), (10 + k % 37 / 1000).alias("r_lon"),
     )
     return entity.score_pairs(rows).select("k", F.round("score", 6).alias("score"), "recommendation")
+
+
+@query(f"""
+WITH k AS (SELECT p_partkey AS k FROM part), p AS (SELECT k, {_LEFT} AS a, {_RIGHT} AS b, k % 21 / 20.0::DOUBLE AS given, k % 47 * 130.0::DOUBLE AS d FROM k),
+t AS (SELECT *, {_TOKENS.replace('{n}', 'a')} AS s, {_TOKENS.replace('{n}', 'b')} AS t FROM p), n AS (SELECT *, len(list_intersect(s, t)) AS i, least(len(s), len(t)) AS m, len(s) + len(t) AS z FROM t),
+q AS (SELECT *, greatest(given, CASE WHEN m = 0 OR i = 0 THEN 0 ELSE least(1, 0.85 * i / m + 0.15 * i / (z - i)) END) AS name FROM n),
+r AS (SELECT *, CASE WHEN k % 13 = 0 THEN 0 ELSE greatest(0, least(1, name * 0.45 + greatest(0, 1 - d / 5000) * 0.25 + CASE WHEN k % 4 IN (0, 2) THEN 0.5 ELSE 0 END + CASE WHEN k % 9 = 0 THEN 0.5 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 0.15 ELSE 0 END
+  + CASE WHEN name >= 0.9 AND d <= 350 THEN 0.25 ELSE 0 END + CASE WHEN k % 6 = 0 THEN 0.08 ELSE 0 END + CASE WHEN k % 7 = 0 THEN 0.08 ELSE 0 END - CASE WHEN k % 8 = 0 THEN 0.25 ELSE 0 END)) END AS score FROM q)
+SELECT k, round(score, 6) AS score, CASE WHEN score >= 0.9 THEN 'automatic' WHEN score >= 0.62 THEN 'review' ELSE 'new' END AS decision FROM r
+""")
+def match_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of incoming against canonical records with every mix of names, distances, sites, phones, addresses, regions and countries."""
+    n = len(_PAIR_NAMES)
+    name = lambda i: F.element_at(F.array(*map(F.lit, _PAIR_NAMES)), F.expr(f"CAST({i} % {n} + 1 AS INT)"))
+    k = F.col("k")
+    web = F.when(k % 4 == 0, "https://a.example/y").when(k % 4 == 1, "https://koa.com/two").when(k % 4 == 2, "http://koa.com/one/").otherwise("https://b.example")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(
+        "k", name("k").alias("i_name"), name(f"(k div {n})").alias("c_name"), (k % 21 / F.lit(20.0)).alias("name_similarity"), (k % 47 * 130.0).alias("distance_m"), web.alias("c_website"),
+        F.when(k % 4 == 0, "https://www.a.example/x").when(k % 4 == 3, "https://c.example").otherwise("https://www.koa.com/one").alias("i_website"), F.lit("(555) 123-4567").alias("i_phone"),
+        F.when(k % 9 == 0, "1-555-123-4567").otherwise("555 000 0000").alias("c_phone"), F.when(k % 5 == 0, "1 Long Road").when(k % 5 == 1, "Address not provided").otherwise("2 Road").alias("i_address"),
+        F.when(k % 5 == 1, "Address not provided").otherwise("1, long road").alias("c_address"), F.lit("Parks").alias("i_operator"), F.when(k % 6 == 0, "PARKS").alias("c_operator"), F.when(k % 7 == 0, "Forest").alias("i_parent"), F.lit("forest").alias("c_parent"),
+        F.when(k % 8 == 1, "").otherwise("WA").alias("i_region"), F.when(k % 8 == 0, "OR").otherwise("wa").alias("c_region"), F.lit("US").alias("i_country"), F.when(k % 13 == 0, "CA").otherwise("US").alias("c_country"),
+    )
+    return entity.score_match(rows).select("k", F.round("score", 6).alias("score"), "decision")
