@@ -97,6 +97,12 @@ def grid_clusters(df: DataFrame, key: str, degrees: float, least: int = 4, lat:
     return clusters.unionByName(points)
 
 
+def envelopes(df: DataFrame, keys: list[str], wider: float = 0.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """The box around the points of each key, wider by so many degrees on each side."""
+    low, high = (lambda c: F.min(c) - wider), (lambda c: F.max(c) + wider)
+    return df.groupBy(*keys).agg(low(lon).alias("west"), low(lat).alias("south"), high(lon).alias("east"), high(lat).alias("north"))
+
+
 def consolidate(df: DataFrame, key: str, code: str, name: str, degrees: float = 1.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """One row for each place: points with the same code, or in the same grid cell where they have none, and the same name."""
     snap = lambda c: F.floor(F.col(c) / degrees + 0.5).cast("long").cast("string")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, geo, numeric
-from ..operators import keys, spatial
+from ..functions import arrays, geo, numeric, text
+from ..operators import keys, rules, spatial
 from ..plans import serving
 from ..sources.feeds import table
 from .registry import query
@@ -154,3 +154,78 @@ def cached_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     cached = points(spark, sf_dir, "supplier", "s_suppkey", "r_").withColumn("completeness", F.col("r_id") % 11 / 10)
     found = serving.weather_fallback(points(spark, sf_dir, "customer", "c_custkey"), cached)
     return found.select("id", "r_id", F.round("completeness", 6).alias("completeness"))
+
+
+_CHECKS = {
+    "name must have 2 to 20 characters": "length(name) BETWEEN 2 AND 20", "slug may have lower-case letters, digits and hyphens": "regexp_like(slug, '^[a-z0-9]+(-[a-z0-9]+)*$')", "kind must be known": "kind IN ('tent', 'rv')",
+    "latitude must lie within -90 and 90": "lat BETWEEN -90 AND 90", "website must be a URL": "website IS NULL OR regexp_like(website, '^https?://[^ ]+$')", "visited must not be before 2000": "visited >= DATE '2000-01-01'",
+    "visited must not be after today": "visited <= DATE '2024-06-01'",
+}
+_ROWS = {
+    "name": "CASE WHEN p_size % 7 = 0 THEN 'x' ELSE p_name END", "slug": "CASE WHEN p_size % 5 = 0 THEN 'Bad Slug' ELSE 'part-' || p_partkey END", "kind": "CASE p_size % 4 WHEN 0 THEN 'tent' WHEN 1 THEN 'rv' WHEN 2 THEN NULL ELSE 'other' END",
+    "lat": "CAST(p_partkey % 200 - 100 AS DOUBLE)", "website": "CASE p_size % 3 WHEN 0 THEN 'ftp://x' WHEN 1 THEN 'https://x.example' END", "visited": "DATE '1999-12-01' + CAST(p_partkey % 900 * 11 AS INT)",
+}
+
+
+@query(f"""
+WITH r AS (SELECT p_partkey, {", ".join(f"{e} AS {c}" for c, e in _ROWS.items())} FROM part),
+p AS (SELECT p_partkey, list_filter([{", ".join(f"CASE WHEN NOT coalesce({test.replace('regexp_like', 'regexp_matches')}, false) THEN '{message}' END" for message, test in _CHECKS.items())}], lambda m: m IS NOT NULL) AS m FROM r)
+SELECT p_partkey, len(m) > 0 AS rejected, array_to_string(m, '; ') AS reason FROM p
+""")
+def validated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with everything that is wrong with them; a rejected one is a row too."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", *(F.expr(e).alias(c) for c, e in _ROWS.items()))
+    wrong = rules.problems(*((F.expr(test), message) for message, test in _CHECKS.items()))
+    return rows.select("p_partkey", wrong.alias("m")).select("p_partkey", (F.size("m") > 0).alias("rejected"), F.array_join("m", "; ").alias("reason"))
+
+
+@query("""
+WITH a AS (SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_size END AS was, CASE WHEN p_size % 3 > 0 THEN p_size - p_size % 2 END AS now FROM part)
+SELECT p_partkey, was IS DISTINCT FROM now AS differs FROM a
+""")
+def changed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that differ, where null is a value too."""
+    n = F.col("p_size")
+    a = table(spark, sf_dir, "part").select("p_partkey", F.when(n % 5 > 0, n).alias("was"), F.when(n % 3 > 0, n - n % 2).alias("now"))
+    return a.select("p_partkey", (~F.col("was").eqNullSafe(F.col("now"))).alias("differs"))
+
+
+_GRAMS = "list_distinct(flatten(list_transform(string_split(lower({n}), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"""
+WITH {_sql('customer', 'c_custkey', 'c')}, a AS (SELECT id, lat, lon, 'pine lake ' || id % 7 AS name FROM c), b AS (SELECT id AS r_id, lat + 0.001 AS r_lat, lon AS r_lon, CASE WHEN id % 3 = 0 THEN 'pine lake ' || id % 5 ELSE 'cedar grove' END AS r_name FROM c WHERE id % 2 = 0),
+d AS (SELECT a.id, {_GRAMS.format(n='name')} AS s, {_GRAMS.format(n='r_name')} AS t FROM a JOIN b ON abs(lat - r_lat) < 0.01 AND {_DISTANCE} <= 500)
+SELECT id, id IN (SELECT id FROM d WHERE len(list_intersect(s, t)) / (len(s) + len(t) - len(list_intersect(s, t)))::DOUBLE >= 0.75) AS taken FROM a
+""")
+def near_and_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a place within 500 m has nearly the same name."""
+    c = points(spark, sf_dir, "customer", "c_custkey")
+    a = c.withColumn("name", F.concat(F.lit("pine lake "), (F.col("id") % 7).cast("string")))
+    other = F.when(F.col("id") % 3 == 0, F.concat(F.lit("pine lake "), (F.col("id") % 5).cast("string"))).otherwise("cedar grove")
+    b = c.where("id % 2 = 0").select(F.col("id").alias("r_id"), (F.col("lat") + 0.001).alias("r_lat"), F.col("lon").alias("r_lon"), other.alias("r_name"))
+    alike = text.set_similarity(text.trigrams(F.col("name")), text.trigrams(F.col("r_name"))) >= 0.75
+    return keys.with_flag(a, spatial.radius_join(a, b, 500).where(alike).select("id"), "id", "taken").select("id", "taken")
+
+
+@query(f"""
+WITH {_sql('customer', 'c_custkey', 'c')}, e AS (SELECT c_nationkey, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM c JOIN customer ON c_custkey = id GROUP BY 1)
+SELECT c_nationkey, west - 0.5 AS west, south - 0.5 AS south, east + 0.5 AS east, north + 0.5 AS north, round((west + east) / 2, 6) AS x, round((south + north) / 2, 6) AS y FROM e
+""")
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box around each nation's places, half a degree wider, and its middle."""
+    c = points(spark, sf_dir, "customer", "c_custkey").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey"), "id")
+    boxes = spatial.envelopes(c, ["c_nationkey"], 0.5)
+    return boxes.select("c_nationkey", "west", "south", "east", "north", F.round((F.col("west") + F.col("east")) / 2, 6).alias("x"), F.round((F.col("south") + F.col("north")) / 2, 6).alias("y"))
+
+
+@query("""
+SELECT c_custkey, 'a' || c_custkey || '@example.org' || CASE WHEN c_custkey % 2 = 0 THEN ' b.c@mail.example.net' ELSE '' END AS emails, CASE WHEN c_custkey % 3 = 0 THEN 'https://x.example/' || c_custkey ELSE '' END AS urls FROM customer
+""")
+def payload_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and links anywhere in nested payloads."""
+    k = F.col("c_custkey").cast("string")
+    deep = F.array(F.struct(F.concat(F.lit("write to B.C@Mail.example.net, "), k).alias("note")))
+    payload = F.to_json(F.struct(F.struct(F.concat(F.lit("A"), k, F.lit("@Example.org")).alias("mail")).alias("owner"), F.when(F.col("c_custkey") % 2 == 0, deep).alias("notes"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("see https://x.example/"), k, F.lit(")."))).alias("link")))
+    found = table(spark, sf_dir, "customer").select("c_custkey", payload.alias("p"))
+    return found.select("c_custkey", F.array_join(text.emails(F.col("p")), " ").alias("emails"), F.array_join(text.urls(F.col("p")), " ").alias("urls"))
