@@ -48,6 +48,11 @@ class Template:
     )
     final: frozenset[str] = frozenset({"assistant"})
 
+    def __post_init__(self) -> None:
+        for mark in (self.open, self.close):
+            if not mark.startswith("<|"):
+                raise ValueError(f"a control string must begin with <|, or texts could hold it: {mark!r}")
+
 
 CHATML = Template()
 

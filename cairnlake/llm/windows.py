@@ -357,6 +357,8 @@ def _sort_buckets(sorter: Sorter, carry: list[str]):
 def occurrences(documents: DataFrame, kind: Kind, sorter: Sorter, within: bool) -> tuple[DataFrame, DataFrame]:
     """The documents as rows (id, rid, text), and (rid, id, start, marks) of each run of theirs with marks.
 
+    Documents are read several times, and which values count as crowded depends on how rows lie together; so they
+    should come from a stored table, whose rows lie the same way when a lost task is run again.
     within: whether places in one document count as repeated.
     """
     small_batches(documents.sparkSession)

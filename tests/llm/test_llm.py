@@ -102,6 +102,11 @@ def test_chat_round_trip(spark):
     assert chat_format.read_back(chat_format.format_chats(df.limit(0))).count() == 0
 
 
+def test_template_marks_are_control_strings():
+    with pytest.raises(ValueError):
+        chat_format.Template(open="[INST]")
+
+
 def brute_statistics(text):
     words = WORD.findall(text)
     at = defaultdict(list)
