@@ -198,7 +198,7 @@ def _repeated(most: int):
 
 
 PIECES = "id long, rid long, start long, bucket long, copies long, packed binary"
-#: Equal strings of one batch, with the least id, the copies and the places of all.
+#: Equal strings of one batch, or of as much of it as is gathered in one go, with the least id, the copies and the places of all.
 GATHERED = "bucket long, packed binary, copies long, id long, rids array<long>, ids array<long>, starts array<long>"
 PLACES = "rid long, id long, start long, marks array<long>"
 
@@ -256,10 +256,17 @@ def _pack(kind: Kind, hot: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if hot:
-                yield _gather(list(pieces(batch)))
-            else:
+            if not hot:
                 yield from pieces(batch)
+                continue
+            held, size = [], 0
+            for part in pieces(batch):
+                held.append(part)
+                size += part.nbytes
+                if size >= 2 * GO_BYTES:
+                    yield _gather(held)
+                    held, size = [], 0
+            yield _gather(held)
 
     return run
 
