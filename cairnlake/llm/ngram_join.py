@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from cairnlake.operators.graph import connected_components
 
 from . import textscan as ts
-from .shared import checkpoint, join_unique, read
+from .shared import checkpoint, join_unique, read, small_batches
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -41,9 +41,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
 #: Texts and n-grams in a chunk, about; a task holds two chunks.
-CHUNK_TEXTS, CHUNK_GRAMS = 1024, 1_000_000
+CHUNK_TEXTS, CHUNK_GRAMS = 1024, 400_000
 #: Units are compared together until there are so many texts or bytes.
-GO, GO_BYTES = 2048, 12 << 20
+GO, GO_BYTES = 2048, 4 << 20
 #: Units of more chunks than this are compared bucket by bucket; None: as many as there are bands.
 MOST_CHUNKS: int | None = None
 
@@ -266,6 +266,7 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float) -> D
 
     A node is a number given to each sequence of words, so that two never share one.
     """
+    small_batches(documents.sparkSession)
     bands, rows = bands_for(threshold, recall)
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_key().alias("text_key")).where("doc_id IS NOT NULL")
     signed = checkpoint(docs.mapInArrow(_signer(n, bands, rows), "doc_id long, text_key string, n_grams long, digest binary, bands array<long>"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .shared import checkpoint, read
+from .shared import checkpoint, read, small_batches
 
 LENGTH = 2048
 #: Pieces in a group, about; a group is packed by one task.
@@ -137,6 +137,7 @@ def _encoder(path: str) -> WordTokenizer:
 
 def pieces(documents: DataFrame, tokenizer: str, separator: int = 0, length: int = LENGTH) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32."""
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .boosting import Trees, fit
-from .shared import read
+from .shared import read, small_batches
 
 #: Labelled documents that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -125,6 +125,7 @@ def _base_failed(count: dict[str, np.ndarray]) -> np.ndarray:
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Fit the trees on at most so many labelled documents that pass the base rules."""
+    small_batches(documents.sparkSession)
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
@@ -149,6 +150,7 @@ def _constant(value: float) -> Trees:
 
 def judge(documents: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """Statistics and verdict of every document: doc_id, the counts, base_failed, score and kept."""
+    small_batches(documents.sparkSession)
     cut = documents.sparkSession.sparkContext.broadcast(model)  # a few thousand nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +173,7 @@ def judge(documents: DataFrame, model: Trees, threshold: float = THRESHOLD) -> D
 
 def keep_good(documents: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that judge() keeps, with all their columns and without a shuffle."""
+    small_batches(documents.sparkSession)
     cut = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
