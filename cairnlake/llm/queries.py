@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter
+from . import (
+    chat_format, decontaminate, fill_middle, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +17,8 @@ QUERIES = {
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op12_license_scans": license_scan.op12_license_scans,
+    "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -22,4 +26,6 @@ ORACLE_SQL = {
     "op2_chat_formatting": chat_format.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
+    "op12_license_scans": license_scan.ORACLE,
+    "op13_fill_in_middle": fill_middle.ORACLE,
 }
