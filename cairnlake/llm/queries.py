@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (
-    chat_format, decontaminate, fill_middle, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter,
+    chat_format, collocations, decontaminate, fill_middle, license_scan, line_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_ngram_jaccard_join": ngram_join.op10_ngram_jaccard_join,
+    "op11_phrase_collocation_mining": collocations.op11_phrase_collocation_mining,
     "op12_license_scans": license_scan.op12_license_scans,
     "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
@@ -26,6 +27,7 @@ ORACLE_SQL = {
     "op2_chat_formatting": chat_format.ORACLE,
     "op5_benchmark_decontamination": decontaminate.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
+    "op11_phrase_collocation_mining": collocations.ORACLE,
     "op12_license_scans": license_scan.ORACLE,
     "op13_fill_in_middle": fill_middle.ORACLE,
 }
