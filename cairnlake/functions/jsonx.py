@@ -34,7 +34,7 @@ def without_nulls(m: Column) -> Column:
 
 def put(m: Column, key: str, value: Column) -> Column:
     """Set one key; the session keeps the last of equal keys."""
-    return F.map_concat(m, F.create_map(F.lit(key), value))
+    return F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), value))
 
 
 def compact_provenance(m: Column) -> Column:

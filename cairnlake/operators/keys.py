@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .jobs import checkpoint
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in this order.
@@ -107,9 +109,24 @@ def parents(df: DataFrame, key: str, parent: str, column: str, name: str) -> Dat
     return df.join(above, F.col(parent) == F.col("__parent"), "left").drop("__parent")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "row_number") -> DataFrame:
+    """Rows with their number in an order, from 0, without bringing them together.
+
+    Rows are dealt by ranges of the order, and what the ranges before a partition hold is added to a row's number in its
+    own.  The dealt rows are stored, as the sampled bounds of ranges may differ when a plan runs again.  The order must
+    end in something unique.
+    """
+    dealt = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = dealt.withColumn("__part", F.shiftrightunsigned("__at", 33)).withColumn("__in", F.col("__at").bitwiseAND((1 << 33) - 1))
+    # A row for each partition, so what is broadcast and the window over it are bounded by the cluster, not the data.
+    totals = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = totals.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__at", "__part", "__in", "__before")
+
+
 def resume(df: DataFrame, order: Sequence[Column], done: int) -> DataFrame:
-    """What is left of an ordered input after so many items, when a run replays it from a checkpoint."""
-    return df.orderBy(*order).offset(max(0, done))
+    """What is left of an ordered input after so many items, when a run replays it from a checkpoint; in as many partitions as it takes."""
+    return numbered(df, order, "__row").where(F.col("__row") >= done).drop("__row")
 
 
 def centroids(df: DataFrame, name: str, typed: str, n: int = 8, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -43,12 +43,19 @@ def history(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[st
     return df.withColumn(name, F.collect_list(F.struct(order, *columns)).over(w))
 
 
-def gathered(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str = "history", last: int = 67) -> DataFrame:
-    """The last rows of each key in order, as an array.
+def gathered(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str = "history", last: int | None = None, first: Mapping[str, str] | None = None) -> DataFrame:
+    """The rows of each key in order, as an array; last: only so many of the latest, as what reads the array looks back no further.
 
-    Spark drops the older ones before the shuffle (a group limit), so a key with a long history is no burden.
+    With last, Spark drops the older ones before the shuffle (a group limit), so a key with a long history is no burden.
+    Without it an array has all rows of its key, which is for series with a row a day.
+    first: columns of the whole history's first row to keep beside the array, by their new names.
     """
-    df = top_n_per_key(df, keys, [F.desc_nulls_last(c) for c in order], last).drop("__rank")
+    if first:
+        at = F.struct(*order)
+        begun = df.groupBy(*keys).agg(*(F.min_by(F.struct(c), at)[c].alias(new) for c, new in first.items()))
+        return gathered(df, keys, order, columns, name, last).join(begun, list(keys))
+    if last is not None:
+        df = top_n_per_key(df, keys, [F.desc_nulls_last(c) for c in order], last).drop("__rank")
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order)))).alias(name))
 
 

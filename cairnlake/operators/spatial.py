@@ -54,17 +54,24 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, fi
     Branch and bound over grid levels, from the globe as one cell down to cells of about ``first_m``: a pair of cells
     goes on to the next level, as the pairs of its parts, only while the least distance in it isn't over the
     greatest distance of some other pair of the same left cell.  So only rows of the few cells that may hold
-    the nearest one are compared, near or far, and rows without coordinates have no answer.
+    the nearest one are compared, near or far, and rows without coordinates have no answer.  Longitudes are taken around
+    the globe, so 180 is -180.  Both tables are read once for their smallest cells; those of the levels above follow from them.
     """
     split = 8
     levels = max(1, math.ceil(math.log(360 * METRES_PER_DEGREE / first_m, split)))
 
-    def celled(df: DataFrame, y: str, x: str, side: str, size: float) -> DataFrame:
-        return df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).withColumn(f"__{side}y", geo.cell(F.col(y), size, -90)).withColumn(f"__{side}x", geo.cell(F.col(x), size, -180))
+    leaf = 360 / split**levels
 
-    def cells(df: DataFrame, y: str, x: str, side: str, size: float) -> DataFrame:
-        found = celled(df, y, x, side, size).select(f"__{side}y", f"__{side}x", *same).distinct()
-        return found.select("*", *(F.floor(F.col(f"__{side}{c}") / split).alias(f"__p{side}{c}") for c in "yx"))
+    def celled(df: DataFrame, y: str, x: str, side: str) -> DataFrame:
+        around = F.pmod(F.floor((F.col(x) + 180) / leaf), F.lit(split**levels))
+        return df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).withColumn(f"__{side}y", geo.cell(F.col(y), leaf, -90)).withColumn(f"__{side}x", around)
+
+    leaves = {side: checkpoint(celled(df, y, x, side).select(f"__{side}y", f"__{side}x", *same).distinct()) for side, df, y, x in (("l", left, lat, lon), ("r", right, right_lat, right_lon))}
+
+    def cells(side: str, level: int) -> DataFrame:
+        at = lambda c, up: F.floor(F.col(f"__{side}{c}") / split**up)
+        up = levels - level
+        return leaves[side].select(*same, *(at(c, up).alias(f"__{side}{c}") for c in "yx"), *(at(c, up + 1).alias(f"__p{side}{c}") for c in "yx")).distinct()
 
     middle = lambda side, size: ((F.col(f"__{side}y") + 0.5) * size - 90, (F.col(f"__{side}x") + 0.5) * size - 180)
     start = left.select(*same).distinct() if same else left.sparkSession.range(1).select(F.lit(0).alias("__one"))
@@ -72,13 +79,13 @@ def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, fi
     for level in range(1, levels + 1):
         size = 360 / split**level
         parents = pairs.select(*same, *(F.col(f"__{c}").alias(f"__p{c}") for c in ("ly", "lx", "ry", "rx")))
-        tried = parents.join(cells(left, lat, lon, "l", size), ["__ply", "__plx", *same]).join(cells(right, right_lat, right_lon, "r", size), ["__pry", "__prx", *same])
+        tried = parents.join(cells("l", level), ["__ply", "__plx", *same]).join(cells("r", level), ["__pry", "__prx", *same])
         apart = geo.haversine(*middle("l", size), *middle("r", size))
         slack = 2 * size * METRES_PER_DEGREE + 1  # a cell's middle is within its size of any of its points
         least = F.min(apart + slack).over(Window.partitionBy("__ly", "__lx", *same))
         pairs = checkpoint(tried.withColumn("__far", least).where(apart - slack <= F.col("__far")).select(*same, "__ly", "__lx", "__ry", "__rx"))
-    rights = celled(right, right_lat, right_lon, "r", size).select(right_key, right_lat, right_lon, "__ry", "__rx", *same)
-    compared = celled(left, lat, lon, "l", size).join(pairs, ["__ly", "__lx", *same]).join(rights, ["__ry", "__rx", *same])
+    rights = celled(right, right_lat, right_lon, "r").select(right_key, right_lat, right_lon, "__ry", "__rx", *same)
+    compared = celled(left, lat, lon, "l").join(pairs, ["__ly", "__lx", *same]).join(rights, ["__ry", "__rx", *same])
     compared = compared.withColumn("distance_m", geo.haversine(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon)))
     return compared.groupBy(left_key).agg(F.min_by(F.struct(right_key, "distance_m"), F.struct("distance_m", right_key)).alias("__b")).select(left_key, "__b.*")
 

@@ -45,10 +45,15 @@ def habitat() -> Column:
     return weighted_index(factors, HABITAT)
 
 
-def water_balance(history: Column, wet: Column, drainage: Column, slope: Column, fast_river: Column) -> Column:
+#: Days of history that the functions below look at, at most; beside the snow depth of the first day of all.
+LOOK_BACK = 67
+
+
+def water_balance(history: Column, wet: Column, drainage: Column, slope: Column, fast_river: Column, first_snow: Column | None = None) -> Column:
     """Water after the last 60 days: rain and snowmelt in, evaporation and drainage out, clamped each day.
 
-    The snow depth before the first of the 60 days is that of the whole history's first day.
+    The snow depth before the first of the 60 days is that of the whole history's first day: first_snow, if the array
+    holds only the last days of it.
     """
     capacity = clamp(F.lit(0.35) + wet * 0.65)
 
@@ -60,7 +65,7 @@ def water_balance(history: Column, wet: Column, drainage: Column, slope: Column,
         water = state["water"] + rain * 0.025 + melt * 0.03 - loss - flushed
         return F.struct(F.greatest(F.lit(0.0), F.least(capacity, water)).cast("double").alias("water"), day["snowDepthM"].cast("double").alias("snow"))
 
-    start = F.struct(F.least(capacity, wet * 0.35).cast("double").alias("water"), F.coalesce(F.get(history, 0)["snowDepthM"], F.lit(0.0)).cast("double").alias("snow"))
+    start = F.struct(F.least(capacity, wet * 0.35).cast("double").alias("water"), F.coalesce(F.get(history, 0)["snowDepthM"] if first_snow is None else first_snow, F.lit(0.0)).cast("double").alias("snow"))
     return F.aggregate(last_n(history, 60), start, step, lambda s: s["water"])
 
 
@@ -121,7 +126,7 @@ def score_environment(df: DataFrame) -> DataFrame:
     c = F.col
     wet = F.greatest(_ring("wetlandCoverage"), _ring("marshCoverage"), _ring("seasonalWaterCoverage"), c("stagnantWaterPotential"))
     out = df.withColumn("habitat", habitat()).withColumn("wet", wet)
-    out = out.withColumn("water", water_balance(c("history"), c("wet"), c("drainagePotential"), c("slopeDegrees"), c("fastRiverProximity")))
+    out = out.withColumn("water", water_balance(c("history"), c("wet"), c("drainagePotential"), c("slopeDegrees"), c("fastRiverProximity"), c("first_snow") if "first_snow" in out.columns else None))
     out = out.withColumn("breeding", breeding(c("history"), c("water"))).withColumn("population", population(c("history"), c("sunrise"), c("sunset")))
     out = out.withColumn("evening", evening_activity(c("hourly"))).withColumn("peak", peak_activity(c("hourly")))
     risk = clamp(geometric_mean(c("habitat"), c("breeding"), c("population"), c("evening")) * 100, 0.0, 100.0)

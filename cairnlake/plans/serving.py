@@ -81,12 +81,16 @@ def finish_run(runs: DataFrame, run_id: str, status: str) -> DataFrame:
 
 
 def manual_edit(df: DataFrame, edits: DataFrame, fields: list[str], priority: int = 100) -> DataFrame:
-    """Replace the fields that an edit (id and nullable fields) gives, lock them, and note their new priority."""
+    """Replace the fields that an edit (id and nullable fields) gives, lock them, and note their new priority.
+
+    A field's older priority goes; a null map is an empty one.
+    """
     given = lambda f: F.col(f"__{f}").isNotNull()
     out = df.join(edits.select("id", *(F.col(f).alias(f"__{f}") for f in fields)), "id", "left")
     new = F.array_compact(F.array(*(F.when(given(f), F.lit(f)) for f in fields)))
     locks = F.array_sort(F.array_union(F.coalesce("locks", F.array().cast("array<string>")), new))
-    noted = F.map_concat(F.col("priorities"), F.map_from_arrays(new, F.transform(new, lambda _: F.lit(priority))))
+    others = F.map_filter(F.coalesce("priorities", F.create_map().cast("map<string,int>")), lambda k, _: ~F.array_contains(new, k))
+    noted = F.map_concat(others, F.map_from_arrays(new, F.transform(new, lambda _: F.lit(priority))))
     out = out.withColumn("locks", locks).withColumn("priorities", noted)
     for f in fields:
         out = out.withColumn(f, F.when(given(f), F.col(f"__{f}")).otherwise(F.col(f)))

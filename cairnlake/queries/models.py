@@ -88,13 +88,17 @@ def weather_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEATHER_COLUMNS = ("precipitationMm", "temperatureMeanC", "temperatureMinC", "temperatureMaxC", "evapotranspirationMm", "soilMoisture", "snowDepthM")
 
 
+def weather_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.gathered(weather_days(spark, sf_dir), ["user_id"], ["day"], _WEATHER_COLUMNS, last=evidence.LOOK_BACK, first={"snowDepthM": "first_snow"})
+
+
 @query(f"""
 WITH {_EVENT_DAYS}, l AS (SELECT user_id, list(rain * 0.025 - (0.01 + temp / 5 * 0.015 + 0.3 * 0.025 + 2 * 0.001) * (1 - 0.5 * 0.55) - CASE WHEN rain >= 55 THEN 0.08 * 0.6 ELSE 0 END ORDER BY day) AS steps FROM d GROUP BY 1)
 SELECT user_id, round(list_reduce(list_slice(steps, greatest(1, len(steps) - 59), len(steps)), lambda a, x: greatest(0.0::DOUBLE, least(0.35 + 0.5 * 0.65, a + x)), (0.5 * 0.35)::DOUBLE), 6) AS water FROM l
 """)
 def water_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = series.gathered(weather_days(spark, sf_dir), ["user_id"], ["day"], _WEATHER_COLUMNS)
-    water = evidence.water_balance(F.col("history"), F.lit(0.5), F.lit(0.3), F.lit(2.0), F.lit(0.2))
+    history = weather_history(spark, sf_dir)
+    water = evidence.water_balance(F.col("history"), F.lit(0.5), F.lit(0.3), F.lit(2.0), F.lit(0.2), F.col("first_snow"))
     return history.select("user_id", F.round(water, 6).alias("water"))
 
 
@@ -105,7 +109,7 @@ s AS (SELECT user_id, coalesce(sum(rain) FILTER (WHERE k <= 3), 0) * 0.08 + coal
 SELECT user_id, round({_CLAMP.format(x=f"0.4 * 0.55 + often * 0.15 + {_CLAMP.format(x='(soil - 0.07) / 0.29')} * 0.2 + {_CLAMP.format(x='lag / 35')} * 0.1")}, 6) AS breeding FROM s
 """)
 def breeding_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = series.gathered(weather_days(spark, sf_dir), ["user_id"], ["day"], _WEATHER_COLUMNS)
+    history = weather_history(spark, sf_dir)
     return history.select("user_id", F.round(evidence.breeding(F.col("history"), F.lit(0.4)), 6).alias("breeding"))
 
 
@@ -116,7 +120,7 @@ s AS (SELECT user_id, sum({_CLAMP.format(x='(temp - 10) / 15')} * CASE WHEN temp
 SELECT user_id, round({_CLAMP.format(x=f"{_CLAMP.format(x='dd / 180')} * exp(-0.38 * frozen - 0.035 * cold - 0.05 * hot) * (0.68 + (6.0::DOUBLE / 7) * 0.32)")}, 6) AS population FROM s
 """)
 def population_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = series.gathered(weather_days(spark, sf_dir), ["user_id"], ["day"], _WEATHER_COLUMNS)
+    history = weather_history(spark, sf_dir)
     up, down = F.lit("2024-06-01 05:00:00").cast("timestamp"), F.lit("2024-06-01 19:00:00").cast("timestamp")
     return history.select("user_id", F.round(evidence.population(F.col("history"), up, down), 6).alias("population"))
 
@@ -220,7 +224,7 @@ def environmental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.struct(
         F.format_string("2024-06-01T%02d:00", h).alias("time"), (12 + h * 0.5).alias("temperatureC"), F.lit(70.0).alias("relativeHumidity"), F.lit(0.0).alias("precipitationMm"),
         F.lit(5.0).alias("windSpeedKmh"), F.lit(10.0).alias("windGustKmh"), h.between(5, 19).alias("isDay")))
-    history = series.gathered(weather_days(spark, sf_dir), ["user_id"], ["day"], _WEATHER_COLUMNS)
+    history = weather_history(spark, sf_dir)
     users = history.agg(F.max("user_id").alias("users"))
     sites = profiles(spark, sf_dir).crossJoin(F.broadcast(users)).withColumn("user_id", F.col("p_partkey") % (F.col("users") + 1)).join(history, "user_id", "left")
     rows = sites.withColumn("history", F.coalesce("history", F.filter(F.array(*[F.lit(None).cast(history.schema["history"].dataType.elementType)]), lambda x: F.lit(False)))).withColumn("hourly", hours)

@@ -430,5 +430,7 @@ def fallback_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_retailprice DESC, p_partkey) FILTER (WHERE k <= 3) AS top FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part) GROUP BY 1
 """)
 def top_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = arrays.last_n(F.array_sort(F.collect_list(F.struct(F.col("p_retailprice").alias("p"), (-F.col("p_partkey")).alias("k")))), 3)
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.array_join(F.transform(F.reverse(best), lambda x: (-x["k"]).cast("string")), ",").alias("top"))
+    part = table(spark, sf_dir, "part")
+    best = keys.top_n_per_key(part, ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")], 3, "k")
+    top = best.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("k", F.col("p_partkey").cast("string").alias("name")))).alias("top"))
+    return part.groupBy("p_brand").agg(F.count("*").alias("n")).join(top, "p_brand").select("p_brand", "n", F.array_join("top.name", ",").alias("top"))

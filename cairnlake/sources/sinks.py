@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
+from ..operators.jobs import checkpoint
 
 
 def quoted_csv(df: DataFrame, path: str) -> None:
@@ -38,7 +39,7 @@ def wrapped(df: DataFrame, path: str, before: str, after: str, between: str = ""
     """One document of the column ``value``: opening, elements in order, close, as a folder of part files whose
     concatenation is the document; each task writes its own part, and nothing is gathered."""
     spark = df.sparkSession
-    stored = df.select("value").withColumn("__at", F.monotonically_increasing_id())
+    stored = checkpoint(df.select("value").withColumn("__at", F.monotonically_increasing_id()))
     first = stored.agg(F.min("__at")).first()[0]
     body = stored.sort("__at").select(F.when(F.col("__at") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(between), "value")).alias("value"))
     edge = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
