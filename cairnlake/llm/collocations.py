@@ -23,7 +23,7 @@ of UTF-8 bytes; a lang without candidates has no rows; no rows give no rows; ext
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +55,15 @@ _BREAK[list(b" \t")] = True
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of integers as one compressed value."""
-    raw = b"".join(np.asarray(a, np.int64).tobytes() for a in arrays)
-    return np.array([len(raw), *map(len, arrays)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+    """Arrays of integers from -1 as one compressed value, with the bytes of equal weight side by side."""
+    flat = np.concatenate([np.asarray(a, np.int64) for a in arrays]) + 1
+    return np.array([len(flat), *map(len, arrays)], np.int64).tobytes() + pa.compress(flat.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
 
 def _unpacked(value: bytes, n: int) -> list[np.ndarray]:
     size, *lengths = np.frombuffer(value, np.int64, n + 1).tolist()
-    flat = np.frombuffer(pa.decompress(value[8 * (n + 1) :], size, "zstd", asbytes=True), np.int64)
+    planes = np.frombuffer(pa.decompress(value[8 * (n + 1) :], 8 * size, "zstd", asbytes=True), np.uint8)
+    flat = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).ravel() - 1
     return np.split(flat, np.cumsum(lengths)[:-1])
 
 
@@ -78,7 +79,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of chunks: their sequence of words, -1 between pieces, their words with counts, and all words by lang."""
+    """Rows of chunks: their sequence of words, -1 between pieces, their words with counts and langs, and all words by lang."""
     chunk, end = (TaskContext.get().partitionId() << CHUNK_BITS), (TaskContext.get().partitionId() + 1 << CHUNK_BITS)
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
@@ -98,15 +99,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lang = code[np.searchsorted(off, cuts[lo:hi], "right") - 1][piece]
             number, _ = ts.identify(text, start, stop)
             _, one, item, n = np.unique(number * len(langs.dictionary) + lang, return_index=True, return_inverse=True, return_counts=True)
+            # Frequent words get small numbers, which compress well.
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
             place = np.arange(len(item)) + piece - piece[0]
             sequence = np.full(place[-1] + 1, -1, np.int64)
-            sequence[place] = item
-            spelled = ts.strings(text, start[one], (stop - start)[one]).cast(pa.string())
-            items = pa.StructArray.from_arrays([langs.dictionary.take(pa.array(lang[one])), spelled, pa.array(n)], ["lang", "word", "n"])
+            sequence[place] = rank[item]
+            one, n = one[order], n[order]
+            spelled = text[ts.ragged(start[one], (stop - start)[one])].tobytes()
             per = np.bincount(lang, minlength=len(langs.dictionary))
             totals = pa.StructArray.from_arrays([langs.dictionary, pa.array(per)], ["lang", "n"])
-            columns = [pa.array([chunk]), pa.array([_packed(_squeezed(sequence))]), _listed(items), _listed(totals)]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "sequence", "items", "totals"])
+            columns = [
+                pa.array([chunk]), pa.array([_packed(_squeezed(sequence))]), pa.array([_packed((stop - start)[one], n, lang[one])]),
+                pa.array([pa.compress(spelled, "zstd", asbytes=True)]), _listed(totals),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "sequence", "items", "spelled", "totals"])
             chunk += 1
 
 
@@ -121,39 +129,66 @@ def _squeezed(sequence: np.ndarray) -> np.ndarray:
     return sequence[keep]
 
 
-def pairs(sequence: np.ndarray, numbers: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sequence of the pairs of named items beside each other, and first name, second name and count of each pair."""
+def pairs(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sequence of the numbers of pairs beside each other, and the first, the second and the count of each pair."""
+    at = np.flatnonzero((sequence[:-1] >= 0) & (sequence[1:] >= 0))
+    width = int(sequence.max(initial=0)) + 1
+    key, number, n = np.unique(sequence[at] * width + sequence[at + 1], return_inverse=True, return_counts=True)
+    out = np.full(len(sequence), -1, np.int64)
+    out[at] = number
+    return out, key // width, key % width, n
+
+
+def named(sequence: np.ndarray, numbers: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence of those items that have names, by the names' order, and the sorted names."""
     order = np.argsort(names)
     dense = np.full(max(int(sequence.max(initial=0)), int(numbers.max(initial=0))) + 2, -1, np.int64)  # the last one is for -1
     dense[numbers[order]] = np.arange(len(order))
-    named = dense[sequence]
-    at = np.flatnonzero((named[:-1] >= 0) & (named[1:] >= 0))
-    key, number, n = np.unique(named[at] * max(len(order), 1) + named[at + 1], return_inverse=True, return_counts=True)
-    out = np.full(len(sequence), -1, np.int64)
-    out[at] = number
-    sorted_names = names[order]
-    return _squeezed(out), sorted_names[key // max(len(order), 1)], sorted_names[key % max(len(order), 1)], n
+    return _squeezed(dense[sequence]), names[order]
 
 
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of phrases of one word more; the names of this length go along."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            (sequence,) = _unpacked(batch.column("sequence")[i].as_py(), 1)
-            given = batch.column("numbers")[i].values
-            longer, first, second, n = pairs(sequence, given.field("no").to_numpy().astype(np.int64), given.field("id").to_numpy())
-            columns = [batch.column("chunk").slice(i, 1), pa.array([_packed(longer)]), pa.array([_packed(first, second, n)]), batch.column("names").slice(i, 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "sequence", "pairs", "names"])
+def _longer(paired: bool) -> Callable:
+    """Chunks as sequences of the names of this length, which go along; paired: from sequences of the parts' names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sequence = _unpacked(batch.column("sequence")[i].as_py(), 2 if paired else 1)[0]
+                given = batch.column("numbers")[i].values
+                made = named(pairs(sequence)[0] if paired else sequence, given.field("no").to_numpy().astype(np.int64), given.field("id").to_numpy())
+                columns = [batch.column("chunk").slice(i, 1), pa.array([_packed(*made)]), batch.column("names").slice(i, 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "sequence", "names"])
+
+    return run
+
+
+#: Rows of a batch of items.
+ROWS = 1 << 16
 
 
 def _listed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk, value in zip(batch.column("chunk").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
-            first, second, n = _unpacked(value, 3)
-            for lo in range(0, len(n), 1 << 16):
-                part = slice(lo, lo + (1 << 16))
+        for chunk, value in zip(batch.column("chunk").to_pylist(), batch.column("sequence").to_pylist(), strict=True):
+            sequence, names = _unpacked(value, 2)
+            _, first, second, n = pairs(sequence)
+            for lo in range(0, len(n), ROWS):
+                part = slice(lo, lo + ROWS)
+                no = np.arange(lo, lo + len(n[part]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(no), chunk)), pa.array(no), pa.array(names[first[part]]), pa.array(names[second[part]]), pa.array(n[part])], ["chunk", "no", *_name(2), "n"])
+
+
+def _listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            length, n, lang = _unpacked(batch.column("items")[i].as_py(), 3)
+            raw = np.frombuffer(pa.decompress(batch.column("spelled")[i].as_py(), int(length.sum()), "zstd", asbytes=True), np.uint8)
+            langs, start = batch.column("totals")[i].values.field("lang"), np.cumsum(length) - length
+            for lo in range(0, len(n), ROWS):
+                part = slice(lo, lo + ROWS)
                 no = np.arange(lo, lo + len(n[part]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(no), chunk)), pa.array(no), *(pa.array(a[part]) for a in (first, second, n))], ["chunk", "no", "first", "second", "n"])
+                spelled = ts.strings(raw, start[part], length[part]).cast(pa.string())
+                chunk = pa.array(np.full(len(no), batch.column("chunk")[i].as_py()))
+                yield pa.RecordBatch.from_arrays([chunk, pa.array(no), langs.take(pa.array(lang[part])), spelled, pa.array(n[part])], ["chunk", "no", *_name(1), "n"])
 
 
 def _exact(c: Column | int) -> Column:
@@ -168,11 +203,9 @@ def names(documents: DataFrame, longest: int = LONGEST, least: int = LEAST) -> t
     """(lang, n) of all words, and for each length the names: id, f, and lang and word or the ids first and second."""
     small_batches(documents.sparkSession)
     rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
-    stored = checkpoint(
-        rows.mapInArrow(_chunks, "chunk long, sequence binary, items array<struct<lang: string, word: string, n: long>>, totals array<struct<lang: string, n: long>>")
-    )
+    stored = checkpoint(rows.mapInArrow(_chunks, "chunk long, sequence binary, items binary, spelled binary, totals array<struct<lang: string, n: long>>"))
     totals = stored.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n"))
-    items = stored.select("chunk", F.posexplode("items").alias("no", "item")).select("chunk", "no", "item.*")
+    items = stored.select("chunk", "items", "spelled", "totals").mapInArrow(_listed_words, "chunk long, no long, lang string, word string, n long")
     found = []
     for k in range(1, longest + 1):
         key = _name(k)
@@ -181,16 +214,16 @@ def names(documents: DataFrame, longest: int = LONGEST, least: int = LEAST) -> t
             found.append(placed.groupBy(*key).agg(F.sum("n").alias("f"), F.min("place").alias("id")).where(F.col("f") >= least))
             break
         everywhere = Window.partitionBy(*key)
-        named = placed.withColumn("f", F.sum("n").over(everywhere)).withColumn("id", F.min("place").over(everywhere)).where(F.col("f") >= least)
-        back = named.groupBy(F.shiftright("place", ITEM_BITS).alias("chunk")).agg(
+        frequent = placed.withColumn("f", F.sum("n").over(everywhere)).withColumn("id", F.min("place").over(everywhere)).where(F.col("f") >= least)
+        back = frequent.groupBy(F.shiftright("place", ITEM_BITS).alias("chunk")).agg(
             F.collect_list(F.struct(F.col("place").bitwiseAND((1 << ITEM_BITS) - 1).alias("no"), "id")).alias("numbers"),
             F.collect_list(F.when(F.col("place") == F.col("id"), F.struct("id", "f", *key))).alias("names"),
         )
         kinds = ", ".join(f"{c}: {'string' if k == 1 else 'long'}" for c in key)
-        schema = f"chunk long, sequence binary, pairs binary, names array<struct<id: long, f: long, {kinds}>>"
-        stored = checkpoint(stored.select("chunk", "sequence").join(back.hint("shuffle_hash"), "chunk").mapInArrow(_longer, schema))
+        schema = f"chunk long, sequence binary, names array<struct<id: long, f: long, {kinds}>>"
+        stored = checkpoint(stored.select("chunk", "sequence").join(back.hint("shuffle_hash"), "chunk").mapInArrow(_longer(k > 1), schema))
         found.append(stored.select(F.inline("names")))
-        items = stored.select("chunk", "pairs").mapInArrow(_listed_pairs, "chunk long, no long, first long, second long, n long")
+        items = stored.select("chunk", "sequence").mapInArrow(_listed_pairs, "chunk long, no long, first long, second long, n long")
     return totals, found
 
 

@@ -66,9 +66,8 @@ def test_against_brute_force(spark, rows, parameters):
 def test_chunks_of_any_size(spark, rows, monkeypatch):
     """Pieces of one text in many chunks, with the same result; workers take the size from the closure's module."""
     text = ". ".join(t for t, _ in rows if t)
-    whole = [r for batch in collocations_chunks(text, 1 << 20, monkeypatch) for r in batch]
-    split = [r for batch in collocations_chunks(text, 256, monkeypatch) for r in batch]
-    count = lambda found: sum((Counter({(i["lang"], i["word"]): i["n"] for i in items}) for items in found), Counter())
+    whole, split = collocations_chunks(text, 1 << 20, monkeypatch), collocations_chunks(text, 256, monkeypatch)
+    count = lambda batches: sum((Counter(dict(zip(zip(b["lang"], b["word"], strict=True), b["n"], strict=True))) for b in batches), Counter())
     assert len(whole) == 1 and len(split) > 10 and count(whole) == count(split)
 
 
@@ -87,7 +86,7 @@ def collocations_chunks(text, size, monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK_BYTES", size)
     monkeypatch.setattr(collocations, "TaskContext", Task)
     batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text]})
-    return [b.column("items").to_pylist() for b in collocations._chunks(iter([batch]))]
+    return [b.to_pydict() for b in collocations._listed_words(collocations._chunks(iter([batch])))]
 
 
 def test_exact_beyond_64_bits(spark):
