@@ -8,7 +8,7 @@ threshold are read again, and the exact share of the item's shingles (as strings
 
 Nulls and edge cases: null and empty texts have no shingles; items under five words have none and are never
 found; a null doc_id or item_id is never part of a pair; rows with the same doc_id count as one document, with
-the shingles of all, and likewise items; doc_id may be of any type that can be a key; extra columns are ignored.
+the shingles of all, and likewise items; doc_id and item_id may be of any type that can be a key; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def sketches(items: DataFrame, n: int = WORDS) -> DataFrame:
 
 def find(documents: DataFrame, items: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared): the pairs where n_shared / n_item is the threshold or more."""
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = items.select("item_id", F.col("text").cast("string"))
     docs = documents.select("doc_id", F.col("text").cast("string"))
     sketch = checkpoint(sketches(items, n))
     seen = _hashed_shingles(docs, "doc_id", n).join(_small(sketch), "shingle")

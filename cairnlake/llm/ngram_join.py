@@ -13,8 +13,8 @@
    stars are the classes.
 
 Nulls and edge cases: a text without words (or null) is in no pair and a class of its own; one of fewer than n
-words has all its words as its only n-gram; rows with null doc_id are left out of join(), and are texts like others,
-behind all with a doc_id, for keep_one(); rows that repeat a doc_id and text share that document's class and count as
+words has all its words as its only n-gram; rows with null doc_id are texts like others, behind all with a doc_id (the
+greatest long stands for it), and equal ones count as one document; a class of such rows only has the class_id null; rows that repeat a doc_id and text share that document's class and count as
 one in it; different texts under one doc_id are each in the class of their own words, and two classes with the same
 least doc_id have the same name, though they stay apart; extra columns are carried along by keep_one().
 """
@@ -251,6 +251,14 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[off[0] : off[-1]], off - off[0]
 
 
+#: Stands for a null doc_id, behind any other.
+NO_ID = (1 << 63) - 1
+
+
+def _own_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 def _text_key() -> Column:
     """What tells the texts of one doc_id apart; never null."""
     return F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
@@ -258,7 +266,9 @@ def _text_key() -> Column:
 
 def join(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links (other documents it is alike to), n_texts (other texts), n_copies (with its words)."""
-    return _classes(documents, n, threshold, recall).select("doc_id", "class_id", "n_links", "n_texts", "n_copies")
+    found = _classes(documents.select(_own_id().alias("doc_id"), "text"), n, threshold, recall)
+    real = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    return found.select(real("doc_id"), real("class_id"), "n_links", "n_texts", "n_copies")
 
 
 def _classes(documents: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
@@ -317,22 +327,18 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float) -> D
     return out.unionByName(alone)
 
 
-#: Stands for a null doc_id in keep_one(), behind any other.
-NO_ID = (1 << 63) - 1
-
-
 def keep_one(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """The text of each class with the least doc_id (and of its texts, digest), with all its columns.
 
     A row goes only if the class of its own text has another row that stays.
     """
-    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = _classes(documents.select(own_id.alias("doc_id"), "text"), n, threshold, RECALL)
+    rows = _classes(documents.select(_own_id().alias("doc_id"), "text"), n, threshold, RECALL)
     least = rows.where("class_node IS NOT NULL").groupBy("class_node").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select("kept.*")
-    kept = least.unionByName(rows.where("class_node IS NULL").select("doc_id", "text_key").distinct()).toDF("__kept_id", "__kept_key")
-    keyed = documents.withColumn("__own_id", own_id).withColumn("__text_key", _text_key())
-    named = keyed.join(kept.hint("shuffle_hash"), (F.col("__own_id") == F.col("__kept_id")) & (F.col("__text_key") == F.col("__kept_key")), "left_semi")
-    return named.dropDuplicates(["__own_id", "__text_key"]).drop("__own_id", "__text_key")
+    kept = least.unionByName(rows.where("class_node IS NULL").select("doc_id", "text_key").distinct()).toDF("kept_id", "kept_key")
+    # The caller's columns travel as one, so that none can clash with the names used here.
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), _own_id().alias("own_id"), _text_key().alias("text_key"))
+    one = keyed.join(kept.hint("shuffle_hash"), (F.col("own_id") == F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi").dropDuplicates(["own_id", "text_key"])
+    return one.select(*(F.col("row")[c].alias(c) for c in documents.columns))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,13 +145,14 @@ def links(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict of each page.
 
-    redirects: more edges (url, target), such as a crawler's log of HTTP redirects.
+    redirects: more edges (url, target), such as a crawler's log of HTTP redirects; those without ``://`` on either side
+    are left out, as such urls have no host.
     """
     url = F.col("url")
     judged = with_rules(pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path")), rules, ["page_id", "url"])
     told = links(pages)
     if redirects is not None:
-        told = told.unionByName(redirects.select("url", "target").where("url IS NOT NULL AND target IS NOT NULL"))
+        told = told.unionByName(redirects.select("url", "target").where("url LIKE '%://%' AND target LIKE '%://%'"))
     told = checkpoint(told.distinct())
     if told.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))

@@ -1,6 +1,7 @@
 """Small cases and brute force for the operators of cairnlake.llm."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -444,8 +445,7 @@ def brute_join(texts):
     sets = {}
     for i, t in texts:
         w = WORD.findall(t)
-        if i is not None:
-            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        sets[math.inf if i is None else i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
     parent = {i: i for i in sets}
 
     def find(x):
@@ -461,7 +461,8 @@ def brute_join(texts):
                 links[j] += 1
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    return {i: (find(i), links[i]) for i in sets}
+    real = lambda i: None if i == math.inf else i
+    return {real(i): (real(find(i)), links[i]) for i in sets}
 
 
 @pytest.mark.parametrize(("texts_in_chunk", "most"), [(1024, None), (8, None), (8, 2)])
@@ -471,18 +472,43 @@ def test_ngram_join(spark, docs, texts, monkeypatch, texts_in_chunk, most):
     monkeypatch.setattr(ngram_join, "MOST_CHUNKS", most)
     got = ngram_join.join(docs).collect()
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_join(texts)
-    assert len(got) == sum(i is not None for i, _ in texts)
+    assert len(got) == len(texts)
 
 
 def test_keep_one(spark, docs, texts):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    classes = {c for c, _ in brute_join(texts).values()}
+    classes = {c for c, _ in brute_join(texts).values()} - {None}
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(classes)
     assert kept.where("doc_id IS NULL").count() == 1  # its text is a part of others, too short to be alike
     assert ngram_join.join(empty(spark)).count() == 0
 
 
+def test_join_with_null_doc_ids(spark):
+    """Texts without doc_id are linked like others, equal ones count as one, and a class of them alone has no id."""
+    a, b = prose(41, 80), prose(42, 80)
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(None, a), (7, a), (None, near(a)), (None, b), (None, b), (None, near(b)), (8, prose(43, 80)), (None, None)]
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_texts, r.n_copies) for r in ngram_join.join(spark.createDataFrame(rows, DOCS)).collect())
+    want = [(None, 7, 2, 1, 2), (7, 7, 2, 1, 2), (None, 7, 2, 1, 1), (None, None, 1, 1, 1), (None, None, 1, 1, 1), (None, None, 1, 1, 1), (8, 8, 0, 0, 1), (None, None, 0, 0, 1)]
+    assert got == Counter(want)
+
+
+def test_redirects_without_scheme(spark):
+    """An edge whose url or target has no host ties nothing together."""
+    pages = [(1, None, None), (2, "no scheme", None), (3, "http://com/de/x", None), (4, "http://y.net/", None)]
+    edges = [("no scheme", "http://com/de/x"), ("http://y.net/", "other"), ("", "http://com/de/x"), ("http://y.net/", "http://com/de/x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(df, redirects=spark.createDataFrame(edges, "url string, target string")).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "block"}
+
+
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", prose(2, 60)), ("b", prose(3, 60))], "doc_id string, text string")
+    items = spark.createDataFrame([("x", prose(2, 30)), ("y", prose(4, 30))], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.find(docs, items).collect()] == [("a", "x", 26, 26)]
+
+
 def test_texts_under_one_doc_id(spark):
     """Each text is judged by its own set: unlike ones under one doc_id stay, and near copies of either are found."""
     a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
