@@ -42,8 +42,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A row is known by its doc_id and text, so rows without doc_id, or that share one, are each judged by themselves.
     """
     key = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
-    ids = checkpoint(decontaminate.find(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key == F.col("__key"), "left_anti")
+    ids = checkpoint(decontaminate.find(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found")).distinct())
+    # The columns travel as one, so that none can clash with the names used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    left = rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, F.col("key") == F.col("found"), "left_anti")
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
