@@ -1,4 +1,4 @@
 """Queries over the test tables, one or more for each operator."""
 
-from . import catalogue, directory, entities, models, profiles, relational, series, spatial, streams, texts, upkeep  # noqa: F401
+from . import catalogue, directory, entities, landing, models, profiles, relational, series, spatial, streams, texts, upkeep  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
