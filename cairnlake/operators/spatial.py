@@ -30,17 +30,69 @@ def _neighbour_cells(df: DataFrame, lat: str, lon: str, size: float, reach_m: fl
     )
 
 
-def radius_join(left: DataFrame, right: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", cell: float | None = None, same: Sequence[str] = ()) -> DataFrame:
+#: Candidate pairs of a piece of a cell, about.
+PIECE_PAIRS = 1 << 20
+#: A crowded cell is quartered so many times at most; rows that still stand together are dealt by a hash.
+DEPTH = 10
+
+
+def _pieces(a: DataFrame, b: DataFrame, crowded: DataFrame, on: list[str], size: float, metres: float, lat: str, lon: str, right_lat: str, right_lon: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns __py, __px and __salt, by which crowded cells are split before they are joined.
+
+    Left rows of a crowded cell go to quarters of quarters of it, as deep as its number of pairs asks for, and in a part that is
+    crowded even so, to salts.  Right rows are copied to those parts whose rows may be near enough, and to their salts.
+    """
+    told = crowded.withColumn("__depth", F.least(F.ceil(F.log2(F.col("__nl") * F.col("__nr") / PIECE_PAIRS) / 2), F.lit(DEPTH))).select(*on, "__nr", "__depth")
+    within = lambda x, origin: F.floor(((F.col(x) - origin) / size - F.floor((F.col(x) - origin) / size)) * F.pow(F.lit(2.0), F.col("__depth")))
+    left = a.join(told, on, "left").withColumn("__py", F.coalesce(within(lat, -90), F.lit(0))).withColumn("__px", F.coalesce(within(lon, -180), F.lit(0)))
+    part = [*on, "__py", "__px"]
+    bounds = [f(c).alias(f"__{name}_{c}") for c in (lat, lon) for name, f in (("low", F.min), ("high", F.max))]
+    parts = checkpoint(
+        left.where("__depth IS NOT NULL").groupBy(*part).agg(F.count("*").alias("__n"), F.first("__nr").alias("__nr"), *bounds)
+        .withColumn("__salts", F.greatest(F.lit(1), F.ceil(F.col("__n") * F.col("__nr") / PIECE_PAIRS)).cast("long"))
+    )
+    spread = F.xxhash64(*(c for c in a.columns if c not in on))
+    left = left.drop("__nr", "__depth").join(parts.select(*part, "__salts"), part, "left").withColumn("__salt", F.pmod(spread, F.coalesce("__salts", F.lit(1)))).drop("__salts")
+    low_lat, high_lat, low_lon, high_lon = (F.col(f"__{name}_{c}") for c in (lat, lon) for name in ("low", "high"))
+    y, x = F.col(right_lat), F.col(right_lon)
+    up = F.greatest(low_lat - y, y - high_lat, F.lit(0.0)) * METRES_PER_DEGREE
+    aside = F.when(x.between(low_lon, high_lon), 0.0).otherwise(F.least(F.pmod(low_lon - x, F.lit(360.0)), F.pmod(x - high_lon, F.lit(360.0))))
+    least_cos = F.cos(F.radians(F.greatest(F.abs(low_lat), F.abs(high_lat))))
+    # Half the chord between meridians is never longer than the way; a metre more for rounding.
+    reach = math.sin(min((metres + 1) / (2 * geo.EARTH_M), math.pi / 2)) ** 2
+    near = (up <= metres + 1) & (F.cos(F.radians(y)) * least_cos * F.pow(F.sin(F.radians(aside) / 2), 2) <= reach)
+    copied = b.join(parts.drop("__n", "__nr"), on).where(near).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1)))
+    whole = b.join(told.select(*on), on, "left_anti").withColumn("__py", F.lit(0).cast("long")).withColumn("__px", F.lit(0).cast("long")).withColumn("__salt", F.lit(0).cast("long"))
+    columns = [*b.columns, "__py", "__px", "__salt"]
+    return left, whole.select(*columns).unionByName(copied.select(*columns)), ["__py", "__px", "__salt"]
+
+
+def radius_join(
+    left: DataFrame, right: DataFrame, metres: float, lat: str = "lat", lon: str = "lon", right_lat: str = "r_lat", right_lon: str = "r_lon", cell: float | None = None, same: Sequence[str] = (),
+    ellipsoid: bool = False,
+) -> DataFrame:
     """Pairs within a distance, with ``distance_m``.  The right side is copied to its neighbouring cells.
 
-    same: columns that both sides have and that must agree.
+    Cells with more than PIECE_PAIRS pairs of rows are split first, so a place where a large part of all rows is doesn't
+    become one task.  same: columns that both sides have and that must agree.  ellipsoid: distances on WGS 84, where those on a
+    sphere, with room for their error, only choose the candidates.
     """
-    size = cell or max(metres / METRES_PER_DEGREE, 1e-4)
+    reach = metres * (1 + geo.SPHERE_ERROR) if ellipsoid else metres
+    size = cell or max(reach / METRES_PER_DEGREE, 1e-4)
     columns = math.ceil(360 / size)
     a = left.withColumn("__cy", geo.cell(F.col(lat), size, -90)).withColumn("__cx", F.pmod(geo.cell(F.col(lon), size, -180), F.lit(columns)))
-    b = _neighbour_cells(right, right_lat, right_lon, size, metres)
-    distance = geo.haversine(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))
-    return a.join(b, ["__cy", "__cx", *same]).drop("__cy", "__cx").withColumn("distance_m", distance).where(F.col("distance_m") <= metres)
+    b = _neighbour_cells(right, right_lat, right_lon, size, reach)
+    on = ["__cy", "__cx", *same]
+    counts = a.groupBy(*on).agg(F.count("*").alias("__nl")).join(b.groupBy(*on).agg(F.count("*").alias("__nr")), on)
+    crowded = checkpoint(counts.where(F.col("__nl").cast("double") * F.col("__nr") > PIECE_PAIRS))
+    split: list[str] = []
+    if not crowded.isEmpty():
+        a, b, split = _pieces(a, b, crowded, on, size, reach, lat, lon, right_lat, right_lon)
+    near = geo.haversine(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))
+    found = a.join(b, [*on, *split]).drop("__cy", "__cx", *split).withColumn("distance_m", near).where(F.col("distance_m") <= reach)
+    if ellipsoid:
+        found = found.withColumn("distance_m", geo.geodesic(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))).where(F.col("distance_m") <= metres)
+    return found
 
 
 def nearest_in_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: str, metres: float, n: int = 25, **columns: str) -> DataFrame:
