@@ -1,16 +1,20 @@
-"""Line dedup: content-defined chunks of lines, and the removal of chunks that repeat anywhere in the corpus.
-
-A rolling hash over the hashes of the last three lines ends a chunk wherever it is divisible by ``DIVISOR``,
-so an inserted or deleted line only moves the boundaries beside it.  Chunks of two lines or more are keyed by
-a digest; keys that occur more than once are looked up again, and the bytes of their chunks are compared by
-grouping on the text itself.  Of equal chunks the first by (doc_id, place in the document) stays.
-
-Nulls and edge cases: a null text has no lines and stays null; an empty text is one empty line; chunks without
-a visible character or of one line are never removed; a row is known by its doc_id and a digest of its text, so
-repeated rows are treated alike, and different texts under one doc_id (or a null one) by themselves, in the order
-of their digests; a null doc_id comes before all others; chunks whose keys agree but whose bytes differ all stay;
-extra columns are carried through, whatever their names, but for the four that the operator adds, which replace
-columns of the same name.
+"""Line dedup: chunks of lines that the corpus has already, with boundaries that the lines themselves choose.
+
+A rolling hash runs over the hashes of every ``least`` visible lines in a row.  Where its value occurs earlier in the corpus,
+the lines belong to a repeated chunk; the chunk goes on as long as that holds, and its boundaries are where it ends, so an
+inserted or deleted line only moves the boundaries beside it, and a passage of ``least`` lines between foreign ones is a chunk
+of its own.  The bytes of the lines of such windows are compared by grouping on the lines themselves.  Of equal windows the
+first by (doc_id, place in the document) stays; a line goes if any window over it isn't the first.
+
+Values are counted with a combine before the shuffle, and their places looked up by a join that salts frequent ones, so a
+passage that a third of all documents has is no burden.
+
+Nulls and edge cases: a null text has no lines and stays null; an empty text is one empty line; lines without a visible
+character belong to no window, and go only between two lines of a removed one; so a chunk of fewer than ``least`` visible lines
+is never removed; a row is known by its doc_id and a digest of its text, so repeated rows are treated alike, and different texts
+under one doc_id (or a null one) by themselves, in the order of their digests; a null doc_id comes before all others; windows
+with a line whose hash some other line shares all stay; extra columns are carried through, whatever their names, but for the
+four that the operator adds, which replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -18,16 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import join_unique, read
+from .shared import checkpoint, join_unique, read
 
-#: One line in so many ends a chunk.
-DIVISOR = 4
-#: A chunk of fewer lines is never removed.
+#: Visible lines in a row that the corpus must have already, at least, to be removed.
 LEAST_LINES = 2
 
 
 def _digest(text: Column) -> Column:
-    return F.md5(text.cast("binary"))
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _same_row(doc_id: str, digest: str) -> Column:
@@ -39,82 +41,70 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _with_chunks(docs: DataFrame, divisor: int) -> DataFrame:
-    """Add lines and ends, the 1-based number of the last line of each chunk."""
-    hashed = docs.withColumn("lines", _lines(F.col("text"))).withColumn(
-        "hashes", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
-    )
-    h = lambda i: F.get("hashes", i)  # noqa: E731  0-based, null outside
-    rolling = lambda i: h(i - 1) + 31 * F.coalesce(h(i - 2), F.lit(0)) + 961 * F.coalesce(h(i - 3), F.lit(0))
-    ends = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i == F.size("lines")) | (rolling(i) % divisor == 0))
-    return hashed.withColumn("ends", ends).drop("hashes")
-
-
-def _chunk(j: Column) -> tuple[Column, Column]:
-    """Text and number of lines of the j-th chunk (from 1)."""
-    before = F.coalesce(F.get("ends", j - 2), F.lit(0))
-    n = F.get("ends", j - 1) - before
-    return F.array_join(F.slice("lines", before + 1, n), "\n"), n
-
+def _visible(lines: Column) -> Column:
+    """Line and its number, from 0, of the lines with a visible character."""
+    return F.filter(F.transform(lines, lambda x, at: F.struct(x.alias("line"), at.alias("at"))), lambda x: x["line"].rlike("[^ \t\n\r]"))
 
-def _chunks(docs: DataFrame, divisor: int, least: int) -> DataFrame:
-    """(doc_id, digest, k, chunk) of the chunks that may be removed."""
-    def one(j: Column) -> Column:
-        chunk, n = _chunk(j)
-        return F.struct(j.alias("k"), F.when(n >= least, chunk).alias("chunk"))
 
-    listed = _with_chunks(docs.select("doc_id", "text", _digest(F.col("text")).alias("digest")).where("text IS NOT NULL"), divisor)
-    rows = listed.select("doc_id", "digest", F.inline(F.transform(F.sequence(F.lit(1), F.size("ends")), one)))
-    return rows.where(F.col("chunk").rlike("[^ \t\n\r]"))
+def windows(documents: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+    """(doc_id, digest, i, key): for each window its number among the document's and the hashes of its lines."""
+    hashed = documents.where("text IS NOT NULL").select("doc_id", _digest(F.col("text")).alias("digest"), F.transform(_visible(_lines(F.col("text"))), lambda x: F.xxhash64(x["line"])).alias("h"))
+    rolled = F.transform(F.sequence(F.lit(1), F.size("h") - least + 1), lambda i: F.slice("h", i, least))
+    return hashed.where(F.size("h") >= least).select("doc_id", "digest", F.posexplode(rolled).alias("i", "key"))
 
 
-def repeated_chunks(documents: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
-    """(doc_id, digest, removed): the numbers of the chunks, from 1, that repeat an earlier one."""
+def repeated(documents: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+    """(doc_id, digest, gone): the numbers of the windows, from 0, that repeat an earlier one."""
     docs = documents.select("doc_id", "text")
-    keys = _chunks(docs, divisor, least).select("doc_id", "digest", "k", F.md5(F.col("chunk").cast("binary")).alias("key"))
-    place = F.struct("doc_id", "digest", "k")
+    keys = windows(docs, least)
+    place = F.struct("doc_id", "digest", "i")
     twice = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    places = join_unique(keys, twice, "key", "n", "doc_id").distinct()
-    # The bytes: documents that hold such chunks are cut again, and equal texts meet in one group, which is
-    # combined before the shuffle.
-    held = places.groupBy("doc_id", "digest").agg(F.collect_set("k").alias("ks"))
-    held = held.select(F.col("doc_id").alias("held_id"), F.col("digest").alias("held_digest"), "ks")
-    again = docs.join(held.hint("shuffle_hash"), _same_row("held_id", "held_digest")).select("doc_id", F.when(F.size("ks") > 0, F.col("text")).alias("text"))
-    texts = _chunks(again, divisor, least).select(F.md5(F.col("chunk").cast("binary")).alias("key"), "chunk")
-    differing = texts.groupBy("key", "chunk").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    return (
-        places.where(~place.eqNullSafe(F.col("first")))
-        .join(differing, "key", "left_anti")
-        .groupBy("doc_id", "digest").agg(F.collect_set("k").alias("removed"))
-    )
+    found = join_unique(keys, twice, "key", "n", "doc_id", store=True)
+    places = checkpoint(found.select("doc_id", "digest", "i", "key", (~place.eqNullSafe(F.col("first"))).alias("again")))
+    # The bytes: lines of such windows meet in one group by hash and line, which is combined before the shuffle.
+    held = places.groupBy(F.col("doc_id").alias("held_id"), F.col("digest").alias("held_digest")).agg(F.collect_set("i").alias("held"))
+    both = docs.join(held.hint("shuffle_hash"), _same_row("held_id", "held_digest")).select(_visible(_lines(F.col("text"))).alias("v"), "held")
+    covered = F.array_distinct(F.flatten(F.transform("held", lambda i: F.sequence(i, i + least - 1))))
+    lines = both.select(F.explode(F.transform(covered, lambda j: F.get("v", j)["line"])).alias("line")).select(F.xxhash64("line").alias("h"), "line")
+    shared = checkpoint(lines.groupBy("h", "line").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"))
+    if not shared.isEmpty():
+        unsure = places.select("key").distinct().select("key", F.explode("key").alias("h")).join(shared, "h").select("key").distinct()
+        places = places.join(unsure, "key", "left_anti")
+    return places.where("again").groupBy("doc_id", "digest").agg(F.collect_set("i").alias("gone"))
 
 
 #: The columns that dedup_lines() adds.
 COUNTS = ("n_lines", "n_chunks", "removed_chunks", "removed_lines")
 
 
-def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
-    """The documents, with the text that is left, and n_lines, n_chunks, removed_chunks, removed_lines."""
-    removed = repeated_chunks(documents, divisor, least).select(F.col("doc_id").alias("removed_id"), F.col("digest").alias("removed_digest"), "removed")
+def dedup_lines(documents: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+    """The documents, with the text that is left, and n_lines, n_chunks (runs of lines that stay or go), removed_chunks, removed_lines."""
+    if least < 1:
+        raise ValueError("windows have lines")
+    removed = repeated(documents, least).select(F.col("doc_id").alias("removed_id"), F.col("digest").alias("removed_digest"), "gone")
     # The caller's columns travel as one, so that none can clash with the names used here.
     others = [c for c in documents.columns if c not in ("text", *COUNTS)]
     rows = documents.select("doc_id", "text", F.struct(*others).alias("row"))
-    joined = rows.join(removed.hint("shuffle_hash"), _same_row("removed_id", "removed_digest"), "left").select("row", "text", "removed")
-    cut = _with_chunks(joined, divisor)
-    numbers = F.sequence(F.lit(1), F.size("ends"))
-    gone = F.col("removed").isNotNull()
-    kept = F.array_except(numbers, F.col("removed"))
-    text = F.when(gone, F.array_join(F.transform(kept, lambda j: _chunk(j)[0]), "\n")).otherwise(F.col("text"))
-    lost = F.aggregate("removed", F.lit(0), lambda total, j: total + _chunk(j)[1])
+    joined = rows.join(removed.hint("shuffle_hash"), _same_row("removed_id", "removed_digest"), "left").select("row", "text", _lines(F.col("text")).alias("lines"), "gone")
+    some = F.col("gone").isNotNull()
+    v = joined.withColumn("at", F.when(some, F.transform(_visible(F.col("lines")), lambda x: x["at"])))
+    # From the first to the last line of each removed window, blank ones between included.
+    out = F.array_distinct(F.flatten(F.transform("gone", lambda i: F.sequence(F.get("at", i), F.get("at", i + least - 1)))))
+    cut = v.withColumn("out", F.array_sort(out))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("out"))
+    cut = cut.withColumn("left", F.when(some, left))
+    runs = lambda c: F.size(F.filter(F.col(c), lambda x, k: (k == 0) | (F.get(F.col(c), k - 1) != x - 1)))
+    text = F.when(some, F.array_join(F.transform("left", lambda j: F.get("lines", j)), "\n")).otherwise(F.col("text"))
+    there = F.col("text").isNotNull()
     counts = (
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size("ends")), F.lit(0)),
-        F.when(gone, F.size("removed")).otherwise(0),
-        F.when(gone, lost).otherwise(0),
+        F.when(there, F.size("lines")).otherwise(0),
+        F.when(some, runs("out") + runs("left")).otherwise(there.cast("int")),
+        F.when(some, runs("out")).otherwise(0),
+        F.when(some, F.size("out")).otherwise(0),
     )
     columns = (*(F.col("row")[c].alias(c) for c in others), text.alias("text"), *(n.cast("long").alias(c) for c, n in zip(COUNTS, counts, strict=True)))
     # As rows of a generator, so that a filter on the new text isn't pushed below it, where Catalyst would write
-    # out the whole expression, and with it all hashes of the document, for each line.
+    # out the whole expression again.
     return cut.select(F.inline(F.array(F.struct(*columns))))
 
 
@@ -125,19 +115,16 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-h AS (SELECT doc_id, text, l, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM l),
-e AS (SELECT doc_id, text, l, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR
-        (h[i] + 31 * CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END + 961 * CASE WHEN i > 2 THEN h[i - 2] ELSE 0 END) % {DIVISOR} = 0) AS e FROM h),
-c AS (SELECT doc_id, l, e, unnest(range(1, len(e) + 1)) AS k FROM e WHERE text IS NOT NULL),
-b AS (SELECT doc_id, k, e[k] - CASE WHEN k > 1 THEN e[k - 1] ELSE 0 END AS n,
-        array_to_string(l[CASE WHEN k > 1 THEN e[k - 1] ELSE 0 END + 1 : e[k]], chr(10)) AS chunk FROM c),
-f AS (SELECT doc_id, k, n, chunk, n >= {LEAST_LINES} AND regexp_matches(chunk, '[^ \\t\\n\\r]')
-        AND row_number() OVER (PARTITION BY chunk, n >= {LEAST_LINES} ORDER BY doc_id, k) > 1 AS gone FROM b),
-s AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS removed_chunks, coalesce(sum(n) FILTER (WHERE gone), 0) AS removed_lines,
-        coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS kept FROM f GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(len(l.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_chunks, 0) AS BIGINT) AS n_chunks,
+WITH l AS (SELECT doc_id, x AS line, no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL)),
+v AS (SELECT doc_id, no, line, lead(line, {LEAST_LINES - 1}) OVER w AS next, lead(no, {LEAST_LINES - 1}) OVER w AS upto FROM l WHERE regexp_matches(line, '[^ \\t\\n\\r]') WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+g AS (SELECT doc_id, no, upto FROM v WHERE next IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, next ORDER BY doc_id, no) > 1),
+o AS (SELECT DISTINCT doc_id, unnest(range(no, upto + 1)) AS no FROM g),
+m AS (SELECT l.doc_id, l.no, l.line, o.no IS NOT NULL AS gone FROM l LEFT JOIN o ON o.doc_id = l.doc_id AND o.no = l.no),
+r AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY no) <> gone, true) AS new FROM m),
+s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE new) AS n_chunks, count(*) FILTER (WHERE new AND gone) AS removed_chunks, count(*) FILTER (WHERE gone) AS removed_lines,
+        coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_chunks, 0) AS BIGINT) AS n_chunks,
   CAST(coalesce(removed_chunks, 0) AS BIGINT) AS removed_chunks, CAST(coalesce(removed_lines, 0) AS BIGINT) AS removed_lines,
   CAST(length(coalesce(kept, '')) AS BIGINT) AS kept_chars, md5(coalesce(kept, '')) AS kept_md5
-FROM documents d JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+FROM documents d LEFT JOIN s USING (doc_id)
 """

@@ -241,6 +241,7 @@ def _verifier(n: int, threshold: float):
                 last = tuple(keys[-1])
         if held:
             yield compare(held)
+        ts.give_back()
 
     return run
 

@@ -35,8 +35,8 @@ GROUP = 4096
 LOOSE = 1 / 128
 #: Groups that are merged for the next round, and rounds.
 MERGE, ROUNDS = 16, 3
-#: Word parts that a Python worker remembers the ids of, at most, with their text (some 60 bytes each).
-REMEMBER = 1_500_000
+#: Word parts that a Python worker remembers the ids of, at most, with their text (some 50 bytes each), and the bytes of those.
+REMEMBER, REMEMBERED_BYTES = 1_500_000, 1 << 26
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".,;:!?*#$%&()")] = True
@@ -60,9 +60,9 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self._keys, self._rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and the rows that they name
+        self._keys, self._rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and the rows that they name
         self._text = np.zeros(0, np.uint8)  # a row's part lies in _text, its ids in _pool
-        self._at, self._length, self._begin, self._size = (np.zeros(0, np.int64) for _ in range(4))
+        self._at, self._length, self._begin, self._size = (np.zeros(0, np.int32) for _ in range(4))
         self._pool = np.zeros(0, np.uint32)
 
     def _remembered(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ class WordTokenizer:
         # A hash is only a hint: the bytes decide.
         fits = self._length[row[met]] == length[met]
         met = met[fits]
-        same = ts.same_bytes(np.concatenate([self._text, buf]), self._at[row[met]], len(self._text) + start[met], length[met])
+        same = ts.same_bytes(np.concatenate([self._text, buf]), self._at[row[met]].astype(np.int64), len(self._text) + start[met], length[met])
         known = np.zeros(len(keys), bool)
         known[met[same]] = True
         new = np.flatnonzero(~known)
@@ -85,15 +85,15 @@ class WordTokenizer:
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             free = new[row[new] < 0]  # a part whose hash another one has is tokenized anew each time
             row[new] = len(self._at) + np.arange(len(new))
-            self._at = np.concatenate([self._at, len(self._text) + np.cumsum(length[new]) - length[new]])
-            self._length = np.concatenate([self._length, length[new]])
+            self._at = np.concatenate([self._at, (len(self._text) + np.cumsum(length[new]) - length[new]).astype(np.int32)])
+            self._length = np.concatenate([self._length, length[new].astype(np.int32)])
             self._text = np.concatenate([self._text, buf[ts.ragged(start[new], length[new])]])
-            self._begin = np.concatenate([self._begin, len(self._pool) + np.cumsum(size) - size])
-            self._size = np.concatenate([self._size, size])
+            self._begin = np.concatenate([self._begin, (len(self._pool) + np.cumsum(size) - size).astype(np.int32)])
+            self._size = np.concatenate([self._size, size.astype(np.int32)])
             self._pool = np.concatenate([self._pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
             free = free[np.unique(keys[free], return_index=True)[1]]
             place = np.searchsorted(self._keys, keys[free])
-            self._keys, self._rows = np.insert(self._keys, place, keys[free]), np.insert(self._rows, place, row[free])
+            self._keys, self._rows = np.insert(self._keys, place, keys[free]), np.insert(self._rows, place, row[free].astype(np.int32))
         return row
 
     @staticmethod
@@ -119,10 +119,10 @@ class WordTokenizer:
         if b"<|" not in buf.tobytes():  # special tokens are told apart by case
             buf = buf | _CAPITAL[buf]
         number, first = ts.identify(buf, start, end)
-        if len(self._at) > REMEMBER:
+        if len(self._at) > REMEMBER or len(self._text) + len(buf) > REMEMBERED_BYTES:
             self._forget()
         row = self._remembered(buf, start[first], end[first])[number]
-        size, begin = self._size[row], self._begin[row]
+        size, begin = self._size[row].astype(np.int64), self._begin[row].astype(np.int64)
         ids = self._pool[ts.ragged(begin, size)]
         ends = np.zeros(len(start) + 1, np.int64)
         np.cumsum(size, out=ends[1:])
@@ -143,7 +143,7 @@ def pieces(documents: DataFrame, tokenizer: str, separator: int = 0, length: int
         encoder = _encoder(tokenizer)
         for batch in batches:
             ids_of = batch.column("doc_id")
-            for lo, _, buf, off in ts.scan(batch.column("text"), 4 << 20):
+            for lo, _, buf, off in ts.scan(batch.column("text"), 2 << 20):
                 ids, at = encoder.encode(buf, off)
                 doc, piece, start, size, crc = [], [], [], [], []
                 for i in range(len(off) - 1):
@@ -155,6 +155,7 @@ def pieces(documents: DataFrame, tokenizer: str, separator: int = 0, length: int
                     [ids_of.take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, size, crc))],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        ts.give_back()
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

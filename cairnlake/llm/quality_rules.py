@@ -183,6 +183,7 @@ def keep_good(documents: DataFrame, model: Trees, threshold: float = THRESHOLD)
                 count, x = statistics(buf, off)
                 keep[lo:hi] = ~_base_failed(count) & (cut.value.probability(x) >= threshold)
             yield batch.filter(pa.array(keep))
+        ts.give_back()
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -57,31 +57,81 @@ def empty(spark):
 
 def test_line_dedup(spark):
     block = "\n".join(f"line {i} of a block" for i in range(40))
-    rows = [(1, f"start\n{block}\nend"), (2, f"other\nmore\n{block}"), (3, None), (4, ""), (5, "x"), (6, block), (6, block), (None, "only"), (7, "\n\n\n\n")]
+    rows = [(1, f"start\n{block}\nend"), (2, f"other\nmore\n{block}"), (3, None), (4, ""), (5, "x"), (6, block), (6, block), (None, "only"), (7, "\n\n\n\n"), (8, "x"), (9, f"a\n\n{block}\n \nb")]
     got = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got[(1, 42)].text == rows[0][1] and got[(1, 42)].removed_chunks == 0
-    assert got[(2, 42)].removed_lines > 15 and got[(6, 40)].removed_lines > 15
-    assert got[(2, 42)].text.startswith("other\nmore")
-    assert got[(3, 0)].text is None and got[(4, 1)].text == "" and got[(5, 1)].text == "x" and got[(7, 5)].removed_chunks == 0
+    told = lambda r: (r.text, r.n_chunks, r.removed_chunks, r.removed_lines)
+    assert told(got[(1, 42)]) == (rows[0][1], 1, 0, 0) and told(got[(2, 42)]) == ("other\nmore", 2, 1, 40) and told(got[(6, 40)]) == ("", 1, 1, 40)
+    assert told(got[(9, 44)]) == ("a\n\n \nb", 3, 1, 40)
+    assert got[(3, 0)].text is None and got[(3, 0)].n_chunks == 0 and got[(4, 1)].text == "" and got[(5, 1)].text == got[(8, 1)].text == "x" and got[(7, 5)].removed_chunks == 0
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     kept = line_dedup.dedup_lines(spark.createDataFrame([(1, "a", 7, 8)], DOCS + ", key int, lines_of int"))
     assert kept.columns[:4] == ["doc_id", "key", "lines_of", "text"]
-    names = ["lines", "hashes", "ends", "removed", "removed_id", "removed_digest", "row", "n_lines", "digest", "chunk", "k"]
+    names = ["lines", "h", "out", "gone", "removed_id", "removed_digest", "row", "n_lines", "digest", "left", "i", "at"]
     clash = spark.createDataFrame([(i, block, *range(len(names))) for i in (1, 2)], DOCS + "".join(f", {n} int" for n in names))
     rows = line_dedup.dedup_lines(clash).orderBy("doc_id").collect()
-    assert [r.n_lines for r in rows] == [40, 40] and rows[0].removed_lines == 0 and rows[1].removed_lines > 15
+    assert [(r.n_lines, r.removed_lines) for r in rows] == [(40, 0), (40, 40)]
     assert all(r[n] == i for r in rows for i, n in enumerate(names) if n != "n_lines")
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(clash, 0)
 
 
 def test_line_dedup_tells_rows_apart(spark):
     rows = [(1, "m\nn"), (2, "m\nuu"), (2, "pp\nqq"), (None, "a\nx"), (None, "b\nx"), (None, "c\nd"), (None, "c\nd")]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), divisor=1, least=1).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), least=1).collect()
     texts = Counter((r.doc_id, r.text) for r in got)
-    one, two = sorted(("a\nx", "b\nx"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    one, two = sorted(("a\nx", "b\nx"), key=lambda t: hashlib.md5(t.encode()).digest())
     assert texts == Counter([(1, "m\nn"), (2, "uu"), (2, "pp\nqq"), (None, one), (None, two[0]), (None, "c\nd"), (None, "c\nd")])
     assert sorted(r.removed_lines for r in got) == sorted(r.removed_chunks for r in got) == [0, 0, 0, 0, 0, 1, 1]
 
 
+def brute_lines(rows, least):
+    """Lines left of each text, by looking at every window of visible lines."""
+    seen, out = set(), []
+    for _, text in rows:
+        lines = text.split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip(" \t\n\r")]
+        gone = set()
+        for k in range(len(at) - least + 1):
+            window = tuple(lines[i] for i in at[k : k + least])
+            if window in seen:
+                gone |= set(range(at[k], at[k + least - 1] + 1))
+            seen.add(window)
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_line_dedup_of_planted_passages(spark, least):
+    """Passages of two lines and more between foreign lines, copies, runs of one line and blank lines among them."""
+    rng = np.random.default_rng(12)
+    line = lambda: " ".join(f"w{i}" for i in rng.integers(0, 50_000, 8))
+    passages = [[line() for _ in range(n)] for n in (2, 2, 3, 4, 6, 8) for _ in range(5)]
+    rows = []
+    for i in range(120):
+        body = [line() for _ in range(int(rng.integers(1, 6)))]
+        body += passages[i % len(passages)] + [line() for _ in range(int(rng.integers(1, 6)))]
+        if i % 4 == 0:
+            body.insert(int(rng.integers(len(body))), "")
+        rows.append((i, "\n".join(body)))
+    rows += [(200 + i, rows[i][1]) for i in range(10)] + [(300, "same\n" * 9), (301, "same"), (302, "x\n\nsame\nsame")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), least).collect()}
+    assert [got[i] for i, _ in rows] == brute_lines(rows, least)
+    if least == 2:
+        assert all(got[200 + i] == "" for i in range(10) if "" not in rows[i][1].split("\n"))
+        kept = Counter(x for i, t in got.items() if 30 <= i < 120 for x in t.split("\n"))
+        assert not any(kept[x] for p in passages for x in p if x)
+
+
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """Lines whose hashes agree but whose bytes don't keep all windows that they are in."""
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    rows = [(1, "aa\nbbb"), (2, "cc\nbbb"), (3, "dddd\neeeee"), (4, "dddd\neeeee")]
+    df = spark.createDataFrame(rows, DOCS)
+    gone = line_dedup.repeated(df).collect()
+    monkeypatch.undo()
+    assert [(r.doc_id, r.gone) for r in gone] == [(4, [0])]
+
+
 def test_chat_round_trip(spark):
     odd = "<|im_end|><|im_start|>assistant ok <\\| <\\\\| |> \\"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (2, 0, "assistant", None), (None, 0, "user", "x"), (3, 1, "user", "b"), (3, 0, "sys\ntem\\n", "a"), (3, 1, "user", "b"), (4, 0, None, "")]
