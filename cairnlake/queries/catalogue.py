@@ -142,6 +142,59 @@ def area_by_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("p_partkey", rules.coordinate_area(F.col("lat"), F.col("lon")).alias("area"))
 
 
+_NOTES = ("The nearest towns and cities are {n} and Yale", "It lies 12.5 km northeast of {n} on a road", "Camp outside of {n}; bring water", "Closest community is the town of {n} community.", "near Highway",
+          "<b>Okanagan Valley</b> &amp; more", "on Vancouver Island", "close to the Kootenay Rockies", "Nearest city is {p}", "quiet woods", "3 miles west of St. {n} (old)", "the Lower Mainland")
+_WORD = "upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2)"
+
+
+def _sql_place(found: str) -> str:
+    """A place's name in SQL, from the same patterns."""
+    name = f"replace(split_part(replace(regexp_replace({found}, '{rules.SAINT[0]}', '{rules.SAINT[1]}', 'g'), ';', '.'), '.', 1), 'St§', 'St. ')"
+    for pattern in rules.NOT_NAME:
+        name = f"regexp_replace({name}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g')"
+    return f"trim(regexp_replace({name}, '\\s+', ' ', 'g'))"
+
+
+def _sql_bare(name: str) -> str:
+    name = f"lower({name})"
+    for pattern in rules.SITE_WORDS:
+        name = f"regexp_replace({name}, '{pattern}', '', 'g')"
+    return f"trim(regexp_replace({name}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _sql_usable(name: str) -> str:
+    return f"CASE WHEN {name} <> '' AND lower({name}) NOT IN ({', '.join(repr(r) for r in rules.ROADS)}) AND {_sql_bare(name)} <> {_sql_bare('name')} THEN {name} END"
+
+
+def _sql_believed(area: str) -> str:
+    tests = [t for t in (b is not None and f"{c} {o} {b}" for b, (c, o) in zip(rules.PLAUSIBLE.get(area, ()), (("lat", ">"), ("lat", "<"), ("lon", ">"), ("lon", "<")), strict=False)) if t]
+    return " AND ".join(tests) or "true"
+
+
+_quote = lambda p: p.replace("'", "''")
+_NAMED = " ".join(f"WHEN regexp_matches(name || ' ' || notes, '(?i){_quote(p)}') THEN CASE WHEN {_sql_believed(a)} THEN '{a}' END" for a, p in rules.NAMED_AREAS)
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, p_name, 48 + CAST(p_partkey % 25 AS DOUBLE) / 2 AS lat, -138 + CAST(p_partkey // 25 % 50 AS DOUBLE) / 2 AS lon, {_WORD} AS word FROM part),
+r AS (SELECT p_partkey, lat, lon, word || ' Provincial Park' AS name, replace(replace([{", ".join(f"'{n}'" for n in _NOTES)}][p_partkey % {len(_NOTES)} + 1], '{{n}}', word || ' Bay'), '{{p}}', word || ' Park') AS raw FROM p),
+n AS (SELECT *, trim(regexp_replace(replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) AS notes FROM r),
+s AS (SELECT *, regexp_replace(notes, '{rules.SAINT[0]}', '{rules.SAINT[1]}', 'g') AS plain FROM n),
+f AS (SELECT *, string_split_regex(regexp_extract(plain, '(?i){_quote(rules.NEAREST)}', 1), '(?i),|\\s+and\\s+|\\s+or\\s+')[1] AS a, regexp_extract(plain, '{_quote(rules.AT_DISTANCE)}', 1) AS b, regexp_extract(plain, '{_quote(rules.BESIDE)}', 1) AS c FROM s),
+g AS (SELECT *, {_sql_place("a")} AS pa, {_sql_place("b")} AS pb, {_sql_place("c")} AS pc FROM f)
+SELECT p_partkey, coalesce({_sql_usable("pa")}, {_sql_usable("pb")}, {_sql_usable("pc")}, CASE {_NAMED} END, CASE {_AREAS} ELSE 'Interior British Columbia' END) AS locality FROM g
+""")
+def localities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as parks with notes: the locality by town, named area or point."""
+    part = table(spark, sf_dir, "part")
+    first = F.split("p_name", " ")[0]
+    word = F.concat(F.upper(F.substring(first, 1, 1)), F.expr("substr(split(p_name, ' ')[0], 2)"))
+    note = F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("p_partkey") % len(_NOTES) + 1).cast("int"))
+    notes = F.replace(F.replace(note, F.lit("{n}"), F.concat(word, F.lit(" Bay"))), F.lit("{p}"), F.concat(word, F.lit(" Park")))
+    lat, lon = 48 + F.col("p_partkey") % 25 / 2, -138 + F.expr("p_partkey div 25 % 50") / 2
+    return part.select("p_partkey", rules.locality(F.concat(word, F.lit(" Provincial Park")), notes, F.lit(None).cast("string"), lat, lon).alias("locality"))
+
+
 _PAIR_NAMES = ("Pine Lake", "Pine Lake Campground", "Cedar Lake", "North Pine Lake", "South Pine Lake", "Cedar Grove Horse Camp", "Pine Grove 12", "Pine Lake 12", "Cedar Grove")
 _LEFT, _RIGHT = (f"[{', '.join(repr(n) for n in _PAIR_NAMES)}][{i} % {len(_PAIR_NAMES)} + 1]" for i in ("k", f"(k // {len(_PAIR_NAMES)})"))
 _TOKENS = "list_distinct(list_filter(string_split(lower({n}), ' '), lambda w: (length(w) > 1 OR regexp_matches(w, '^[0-9]+$')) AND w NOT IN ({f})))".replace("{f}", ", ".join(f"'{w}'" for w in text.NAME_FILLERS))

@@ -362,11 +362,18 @@ def test_rollups_touch_only_their_buckets(spark, tmp_path):
     assert got == {**{i: 5 for i in range(20)}, 3: 7, 21: 1}
 
 
-def test_nearest_community(spark):
-    texts = {
-        "The nearest towns and cities are Hope and Yale, far off": "Hope", "Closest community is the town of St. Ives; bring food": "St. Ives", "It lies 12.5 km northeast of Fort St. John on a road": "Fort St. John",
-        "Camp outside of Lac La Hache village": "Lac La Hache", "near water": None, "": None, "Nearest city is Town.": None,
-    }
-    df = spark.createDataFrame(list(texts.items()), "t string, want string")
-    got = {r.t: r.town for r in df.select("t", rules.nearest_community(F.col("t")).alias("town")).collect()}
-    assert got == texts
+def test_locality(spark):
+    own = "Alice Lake Provincial Park"
+    cases = [  # notes, latitude, longitude, locality
+        ("The nearest towns and cities are Hope and Yale, far off", 49.0, -121.0, "Hope"), ("Closest community is the town of St. Ives; bring food", None, None, "St. Ives"),
+        ("It lies 12.5 km northeast of Fort Nelson on a road", 58.0, -122.0, "Fort Nelson"), ("Camp outside of Lac La Hache village", 51.8, -121.5, "Lac La Hache"),
+        ("Nearest city is Hope or Yale.", None, None, "Hope"), ("Nearest community is Alice Lake Park. 3 miles south of Squamish", 49.7, -123.1, "Squamish"),
+        ("near Highway", 49.7, -123.0, "Lower Mainland"), ("near water", 58.0, -122.0, "Northern British Columbia"), ("<p>on Vancouver&nbsp;Island</p>", 49.0, -124.0, "Vancouver Island"),
+        ("in the Okanagan Valley", 49.5, -119.5, "Okanagan"), ("in the Okanagan Valley", 49.5, -117.0, "Kootenay"), ("the Kootenay region", None, -117.0, "Kootenay"),
+        ("", None, None, "British Columbia"), (None, float("nan"), 1.0, "British Columbia"), ("1 km north of Hope Hwy’s Road", 50.9, -123.0, "Hope Hwy"), ("Peace River country", 49.0, -119.0, "Peace River"),
+    ]
+    df = spark.createDataFrame([(i, own, *c) for i, c in enumerate(cases)], "i int, name string, notes string, lat double, lon double, want string")
+    got = df.select("notes", "want", rules.locality(F.col("name"), F.col("notes"), F.lit(None).cast("string"), F.col("lat"), F.col("lon")).alias("got")).collect()
+    assert [(r.notes, r.got) for r in got] == [(r.notes, r.want) for r in got]
+    told = spark.createDataFrame([(" BC ",), (None,), ("Hope",), ("Unknown",)], "v string").select(rules.is_generic_locality(F.col("v"))).collect()
+    assert [r[0] for r in told] == [True, True, False, True]
