@@ -5,13 +5,14 @@ Customers and suppliers get coordinates from their keys.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import keys, spatial
+from ..operators import keys, raster, spatial
 from ..sources.feeds import table
 from .registry import query
 
@@ -110,3 +111,49 @@ def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rings = spatial.ring_fractions(pixels.withColumn("d", d).withColumn("positive", F.col("v") > 0), ["label"], "d", ["positive"], [("inner", 0, 2), ("middle", 2, 4), ("outer", 4, 9)])
     middle = pixels.groupBy("label").agg(F.round(F.median("v"), 6).alias("middle"))
     return rings.select("label", *(F.round(c, 6).alias(c) for c in ("positive_inner", "positive_middle", "positive_outer"))).join(middle, "label")
+
+
+_HORN = {(-1, -1): "a", (-1, 0): "b", (-1, 1): "c", (0, -1): "d", (0, 1): "f", (1, -1): "g", (1, 0): "h", (1, 1): "i"}
+_NEIGHBOURS = ", ".join(f"max(CASE WHEN dy = {y} AND dx = {x} THEN coalesce(n.v, o.v) END) AS {c}" for (y, x), c in _HORN.items())
+
+
+@query(f"""
+WITH p AS (SELECT vec_id // 10 AS ty, vec_id % 10 AS tx, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(0, len(embedding))) AS i FROM embeddings WHERE len(embedding) = 64),
+c AS MATERIALIZED (SELECT ty, tx, ty * 8 + i // 8 AS gy, tx * 8 + i % 8 AS gx, i, v FROM p),
+k AS (SELECT c.*, dy, dx FROM c, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx) WHERE dy <> 0 OR dx <> 0),
+w AS (SELECT k.gy, k.gx, k.i, k.v, {_NEIGHBOURS} FROM k LEFT JOIN c n ON n.gy = k.gy + dy AND n.gx = k.gx + dx
+      JOIN c o ON o.gy = greatest(least(k.gy + dy, k.ty * 8 + 7), k.ty * 8) AND o.gx = greatest(least(k.gx + dx, k.tx * 8 + 7), k.tx * 8) GROUP BY 1, 2, 3, 4),
+s AS (SELECT i, v, degrees(atan(sqrt((((c + 2 * f + i_) - (a + 2 * d + g)) / 8) ** 2 + (((g + 2 * h + i_) - (a + 2 * b + c)) / 8) ** 2))) AS slope FROM (SELECT * RENAME (i_1 AS i_) FROM w)),
+r AS (SELECT *, sqrt((i % 8 - 3.5) ** 2 + (i // 8 - 3.5) ** 2) AS away FROM s)
+SELECT CASE WHEN away < 2 THEN 'inner' WHEN away < 4 THEN 'middle' ELSE 'outer' END AS ring, count(*) AS cells, round(median(slope), 6) AS slope, round(median(v), 6) AS elevation FROM r GROUP BY 1
+""".replace(" AS i FROM k LEFT", " AS i_1 FROM k LEFT"))
+def slope_by_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as 8 by 8 tiles of one grid: median slope and elevation by ring around the middles of the tiles."""
+    tiles = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select(F.floor(F.col("vec_id") / 10).alias("ty"), (F.col("vec_id") % 10).alias("tx"), F.col("embedding").alias("values"))
+    cells = raster.slopes(tiles, [], 8, 1.0)
+    away = F.sqrt(F.pow(F.col("gx") % 8 - 3.5, 2) + F.pow(F.col("gy") % 8 - 3.5, 2))
+    ring = F.when(away < 2, "inner").when(away < 4, "middle").otherwise("outer")
+    return cells.groupBy(ring.alias("ring")).agg(F.count("*").alias("cells"), F.round(F.median("slope"), 6).alias("slope"), F.round(F.median("elevation"), 6).alias("elevation"))
+
+
+_STAR = "list_transform(range(0, 5 + p_partkey % 4), lambda j: [(3 + (p_partkey * 7 + j * 13) % 5) * cos(2 * pi() * j / (5 + p_partkey % 4)), (3 + (p_partkey * 7 + j * 13) % 5) * sin(2 * pi() * j / (5 + p_partkey % 4))])"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {_STAR} AS star FROM part),
+r AS (SELECT p_partkey, star AS ring FROM p UNION ALL SELECT p_partkey, [[-0.8, -0.8], [0.8, -0.8], [0.8, 0.8], [-0.8, 0.8]] FROM p WHERE p_partkey % 3 = 0),
+e AS (SELECT p_partkey, ring[j][1] AS x1, ring[j][2] AS y1, ring[j % len(ring) + 1][1] AS x2, ring[j % len(ring) + 1][2] AS y2 FROM (SELECT *, unnest(range(1, len(ring) + 1)) AS j FROM r)),
+g AS (SELECT row, col, (row + 0.5) * 0.5 AS y, (col + 0.5) * 0.5 AS x FROM (SELECT unnest(range(-16, 16)) AS row), (SELECT unnest(range(-16, 16)) AS col)),
+m AS MATERIALIZED (SELECT p_partkey, row, col FROM e JOIN g ON (y1 <= y) <> (y2 <= y) AND x1 + (y - y1) / (y2 - y1) * (x2 - x1) <= x GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
+o AS (SELECT m.p_partkey, count(*) AS open FROM m CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS d(dy, dx) ANTI JOIN m n ON n.p_partkey = m.p_partkey AND n.row = m.row + dy AND n.col = m.col + dx GROUP BY 1)
+SELECT p_partkey, count(*) AS cells, count(*) * 0.25::DOUBLE AS area, any_value(open) * 0.5::DOUBLE AS shore FROM m JOIN o USING (p_partkey) GROUP BY 1
+""")
+def shape_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stars from keys of parts, some with a hole: area and length of shore of their cells."""
+    k = F.col("p_partkey")
+    n = 5 + k % 4
+    radius = lambda j: 3 + (k * 7 + j * 13) % 5
+    star = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: F.array(radius(j) * F.cos(2 * math.pi * j / n), radius(j) * F.sin(2 * math.pi * j / n)))
+    hole = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((-0.8, -0.8), (0.8, -0.8), (0.8, 0.8), (-0.8, 0.8))))
+    shapes = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 3 == 0, F.array(star, hole)).otherwise(F.array(star)).alias("rings"))
+    return raster.areas(raster.spans(shapes, "p_partkey", "rings", 0.5), "p_partkey", 0.5)
