@@ -1,4 +1,4 @@
-"""Json payloads as maps and variants."""
+"""Json payloads as text and maps."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ def without_nulls(m: Column) -> Column:
 
 
 def put(m: Column, key: str, value: Column) -> Column:
-    """Set one key; the session keeps the last of equal keys."""
+    """Set one key, in place of the value that it has."""
     return F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), value))
 
 

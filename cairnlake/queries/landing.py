@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsonx, variants
 from ..operators import keys
 from ..operators.jobs import scratch
-from ..sources import paged, versioned
+from ..sources import feeds, paged, sinks, versioned
 from ..sources.feeds import table
 from ..streaming import runs
 from .registry import query
@@ -76,3 +77,130 @@ def triggered_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     runs.run_due(stream, publish, f"{home}/checkpoint", runs.Lease(spark, f"{home}/lease"), "run")
     return made.read().select("user_id", "ts", "event_type")
+
+
+@query("""
+WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE WHEN event_id % 7 NOT IN (1, 2, 3, 4) THEN k END AS k, CASE WHEN event_id % 7 <> 1 THEN CAST(k AS DOUBLE) / 4 END AS x, CASE event_id % 7 WHEN 1 THEN NULL WHEN 2 THEN 'missing' WHEN 3 THEN 'null' WHEN 4 THEN 'string' ELSE 'number' END AS kind,
+ CASE WHEN event_id % 7 = 4 THEN 'k' WHEN event_id % 7 = 1 THEN NULL ELSE '' END AS wrong FROM e
+""")
+def typed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of payloads as variants: right, missing, null, of a wrong type, and of what isn't JSON."""
+    k, which = F.get_json_object("props", "$.k"), F.col("event_id") % 7
+    deep = F.concat(F.lit('"deep": {"x": '), (k.cast("double") / 4).cast("string"), F.lit("}}"))
+    member = F.when(which == 2, "").when(which == 3, '"k": null, ').when(which == 4, F.concat(F.lit('"k": "'), k, F.lit('", '))).otherwise(F.concat(F.lit('"k": '), k, F.lit(", ")))
+    payload = F.when(which == 1, '{"k": ').otherwise(F.concat(F.lit("{"), member, deep))
+    v = variants.parsed(F.col("payload"))
+    columns, wrong = variants.members(F.col("v"), {"k": ("$.k", "long"), "x": ("$.deep.x", "double")})
+    rows = table(spark, sf_dir, "events").select("event_id", payload.alias("payload")).select("event_id", v.alias("v"))
+    return rows.select("event_id", *(c.alias(name) for name, c in columns.items()), variants.kind(F.col("v"), "$.k").alias("kind"), F.when(F.col("v").isNotNull(), F.array_join(wrong, ",")).alias("wrong"))
+
+
+@query("""
+WITH m AS (SELECT s_suppkey AS s, m, s_suppkey % 11 = 3 AND m = 2 AS lacks FROM supplier, (SELECT unnest(range(0, 7)) AS m) WHERE s_suppkey % 13 <> 5)
+SELECT CAST(s AS VARCHAR) AS entity, '2026-' || lpad(CAST(m + 1 AS VARCHAR), 2, '0') AS target_month, CASE WHEN NOT lacks THEN CAST(m AS INT) END AS month_offset, CASE WHEN NOT lacks THEN CAST(s % 30 + m AS DOUBLE) END AS temperature,
+ CASE WHEN NOT lacks THEN CAST(s % 7 AS DOUBLE) * 2 END AS precipitation, CASE WHEN lacks THEN 'missing precipitation_mean' END AS reason FROM m
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), NULL, NULL, NULL, NULL, 'no months' FROM supplier WHERE s_suppkey % 13 = 5
+""")
+def seasonal_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasonal responses landed for suppliers and read again; months with a value missing and entities without months are rejected."""
+    folder = scratch(spark)
+    s = F.col("s_suppkey")
+    months = F.sequence(F.lit(0), F.lit(6))
+    value = lambda f: F.transform(months, f)
+    monthly = F.struct(
+        F.when(s % 13 != 5, value(lambda m: F.format_string("2026-%02d", m + 1))).alias("time"), value(lambda m: (s % 30 + m).cast("double")).alias("temperature_2m_mean"), value(lambda m: F.lit(0.5)).alias("temperature_2m_anomaly"),
+        value(lambda m: F.when((s % 11 != 3) | (m != 2), (s % 7) * 2.0)).alias("precipitation_mean"), value(lambda m: F.lit(-1.0)).alias("precipitation_anomaly"),
+    )
+    sinks.json_export(table(spark, sf_dir, "supplier").select(s.cast("string").alias("entity"), F.lit(10.0).alias("elevation"), monthly.alias("monthly")), folder)
+    good, rejected = feeds.seasonal_payloads(spark, folder)
+    return good.select("entity", "target_month", "month_offset", "temperature", "precipitation", F.lit(None).cast("string").alias("reason")).unionByName(rejected, allowMissingColumns=True)
+
+
+_DAYS = ", ".join(f"({i}, {d}, {str(m in feeds.WARM).lower()})" for i, (m, d) in enumerate(feeds.MONTH_DAYS.items()))
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, round_even((14 + CAST(c_custkey * 7919 % 7000 AS DOUBLE) / 100) / 0.5, 0) AS gy, round_even((-180 + CAST(c_custkey * 104729 % 12800 AS DOUBLE) / 100) / 0.625, 0) AS gx FROM customer),
+s AS (SELECT DISTINCT gy, gx, CAST(abs(CAST(gy * 3 + gx AS BIGINT)) % 9 AS DOUBLE) AS v FROM c WHERE CAST(abs(gy + gx) AS BIGINT) % 10 <> 0),
+t AS (SELECT gy, gx, sum((v + i) * d) AS annual, sum((v + i) * d) FILTER (WHERE warm) AS warm FROM s, (VALUES {_DAYS}) AS m(i, d, warm) GROUP BY 1, 2)
+SELECT c_custkey, c.gy * 0.5::DOUBLE AS grid_lat, c.gx * 0.625::DOUBLE AS grid_lon, round(annual, 6) AS annual_mm, round(warm, 6) AS warm_mm FROM c LEFT JOIN t ON t.gy = c.gy AND t.gx = c.gx
+""")
+def climate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rain of a year and of the warm months at the grid point of each customer."""
+    k = F.col("c_custkey")
+    at = table(spark, sf_dir, "customer").select(k, (14 + (k * 7919 % 7000).cast("double") / 100).alias("lat"), (-180 + (k * 104729 % 12800).cast("double") / 100).alias("lon"))
+    gy, gx = feeds.grid_point(F.col("lat"), F.col("lon"))
+    cells = at.select(gy.alias("gy"), gx.alias("gx")).distinct().where(F.abs(F.col("gy") + F.col("gx")) % 10 != 0)
+    v = (F.abs(F.col("gy") * 3 + F.col("gx")) % 9).cast("double")
+    daily = F.create_map(*(c for i, m in enumerate(feeds.MONTH_DAYS) for c in (F.lit(m), v + i)))
+    points = cells.select((F.col("gy") * feeds.GRID[0]).alias("lat"), (F.col("gx") * feeds.GRID[1]).alias("lon"), daily.alias("daily"))
+    return feeds.climate_normals(at, points, "c_custkey").select("c_custkey", "grid_lat", "grid_lon", F.round("annual_mm", 6).alias("annual_mm"), F.round("warm_mm", 6).alias("warm_mm"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CAST(s_suppkey % 90 AS DOUBLE) AS lat, CAST(s_suppkey % 180 AS DOUBLE) / 4 AS lon, false AS rejected FROM supplier")
+def features_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as GeoJSON features and read as a text sequence."""
+    folder = scratch(spark)
+    s = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(s.cast("string").alias("id"), F.col("s_name").alias("name"), (s % 90).cast("double").alias("lat"), ((s % 180).cast("double") / 4).alias("lon"))
+    sinks.geojson(rows, folder, "lon", "lat", "id", "name")
+    at = F.from_json("geometry.coordinates", "array<double>")
+    return feeds.geojson_lines(spark, folder).select(F.col("properties")["id"].alias("id"), F.col("properties")["name"].alias("name"), at[1].alias("lat"), at[0].alias("lon"), "rejected")
+
+
+_UPLOAD = "SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN 'x' ELSE c_name || ', \"the\" ' || c_custkey END AS name, 'place-' || c_custkey AS slug, CAST(c_custkey % 200 - 100 AS DOUBLE) AS lat, CAST(c_custkey % 300 - 140 AS DOUBLE) AS lon FROM customer"
+
+
+@query(f"""
+SELECT slug, name, lat, lon FROM ({_UPLOAD.replace(chr(92), '')}) WHERE length(name) >= 2 AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)
+""")
+def uploaded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as quoted CSV with other names for columns, and the valid rows of the upload."""
+    folder = scratch(spark)
+    k = F.col("c_custkey")
+    name = F.when(k % 17 == 0, "x").otherwise(F.concat("c_name", F.lit(', "the" '), k.cast("string")))
+    rows = table(spark, sf_dir, "customer").select(
+        name.alias("name"), F.concat(F.lit("place-"), k.cast("string")).alias("slug"), F.lit(None).cast("string").alias("address"), F.lit("Hope").alias("city"), F.lit("BC").alias("province"), F.lit("CA").alias("country"),
+        F.lit("V0X").alias("postal_code"), (k % 200 - 100).cast("double").alias("latitude"), (k % 300 - 140).cast("double").alias("longitude"),
+    )
+    sinks.quoted_csv(rows, folder)
+    valid, _ = feeds.csv_upload(spark, folder)
+    return valid.select("slug", "name", "lat", "lon")
+
+
+@query("""
+SELECT 'p' || p_partkey AS id, p_name AS name, 'campground' AS primary_category, CAST(p_size AS DOUBLE) / 50 AS confidence, 'http://x.test/' || p_partkey AS website, CASE WHEN p_partkey % 4 = 1 THEN 'US' ELSE 'CA' END AS country, CAST(p_size AS DOUBLE) AS lat
+FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 <> 2
+UNION ALL SELECT 'p' || p_partkey, p_name, 'park', CAST(p_size AS DOUBLE) / 50, 'http://x.test/' || p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'US' ELSE 'CA' END, CAST(p_size AS DOUBLE) FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 6 = 0 AND p_partkey % 4 <> 2
+""")
+def released_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a release of places with nested columns: those of a category, or with it as an alternative, in some countries."""
+    folder = scratch(spark)
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    address = lambda country: F.struct(F.lit(country).alias("country"), F.lit("BC").alias("region"), F.lit("Hope").alias("locality"), F.lit("1 Road").alias("freeform"))
+    foreign = F.array(address("FR"))
+    home = F.when(k % 4 == 1, F.concat(foreign, F.array(address("US")))).when(k % 4 == 2, foreign).otherwise(F.array(address("CA")))
+    alternate = F.when(k % 6 == 0, F.array(F.lit("campground"))).otherwise(F.lit(None).cast("array<string>"))
+    table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), k.cast("string")).alias("id"), F.struct(F.col("p_name").alias("primary")).alias("names"),
+        F.struct(F.when(k % 3 == 0, "park").otherwise("campground").alias("primary"), alternate.alias("alternate")).alias("categories"), (size / 50).alias("confidence"),
+        F.array(F.concat(F.lit("http://x.test/"), k.cast("string"))).alias("websites"), home.alias("addresses"), F.struct(F.lit(1.0).alias("xmin"), size.alias("ymin")).alias("bbox"),
+    ).write.parquet(folder)
+    found = feeds.places_release(spark, folder, ["campground"], ["US", "CA"])
+    return found.select("id", "name", "primary_category", "confidence", "website", "country", "lat")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS name, CASE p_partkey % 2 WHEN 0 THEN 'a' ELSE 'b' END AS city, 'b' AS phone FROM part)
+SELECT p_partkey, CASE WHEN name = city THEN name ELSE 'b' END AS usual,
+ CASE WHEN name = city AND name = 'b' THEN '' WHEN name = city THEN 'phone=b' ELSE concat_ws(';', CASE WHEN city <> 'b' THEN 'city=' || city END, CASE WHEN name <> 'b' THEN 'name=' || name END) END AS exceptions FROM p WHERE name = city OR city = 'b' OR name = 'b'
+""")
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of fields as the usual one and the exceptions, where two of three fields agree."""
+    name = F.element_at(F.array(*map(F.lit, "abc")), (F.col("p_size") % 3 + 1).cast("int"))
+    city = F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b")
+    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), city.alias("city")).where("name = city OR city = 'b' OR name = 'b'")
+    packed = rows.select("p_partkey", jsonx.compact_provenance(F.create_map(F.lit("name"), F.col("name"), F.lit("city"), F.col("city"), F.lit("phone"), F.lit("b"))).alias("m"))
+    odd = F.array_sort(F.transform(F.map_entries(F.map_filter("m", lambda k, _: k != "_")), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return packed.select("p_partkey", F.col("m")["_"].alias("usual"), F.array_join(odd, ";").alias("exceptions"))

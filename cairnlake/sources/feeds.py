@@ -31,10 +31,10 @@ def json_document(spark: SparkSession, path: str, schema: str, rows: str) -> Dat
 def csv_upload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Valid rows and errors of an uploaded table of places, each with its row number in the file (from 2).
 
-    The header may name region, province or state, and postalCode or postal_code.  An upload is one small file,
+    The header may name region, province or state, and postalCode or postal_code; quotes in cells are doubled.  An upload is one small file,
     read as one partition, so that running numbers are the file's.
     """
-    raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE").coalesce(1)
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE").coalesce(1)
     raw = raw.toDF(*(c.lstrip("﻿").strip() for c in raw.columns))
     get = lambda *names: F.coalesce(*(F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")) for n in names if n in raw.columns), F.lit(None).cast("string"))
     lat, lon = get("latitude").try_cast("double"), get("longitude").try_cast("double")
@@ -96,6 +96,50 @@ def weather_payloads(spark: SparkSession, path: str, daily: list[str], hourly: l
     return long("daily", daily), long("hourly", hourly)
 
 
+# The monthly values of a seasonal feed, by their names in the result.
+SEASONAL = {"temperature_2m_mean": "temperature", "temperature_2m_anomaly": "temperature_anomaly", "precipitation_mean": "precipitation", "precipitation_anomaly": "precipitation_anomaly"}
+
+
+def seasonal_payloads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(months, rejected) of landed seasonal responses, one JSON document to a line: a row for each entity and month ahead.
+
+    A month must have all its values, and an entity a month; others are rejected with the reason.
+    """
+    arrays = ", ".join(["time: array<string>", *(f"{n}: array<double>" for n in SEASONAL)])
+    df = spark.read.schema(f"entity string, elevation double, monthly struct<{arrays}>").json(path)
+    at = lambda c: F.get(F.col(f"monthly.{c}"), F.col("month_offset"))
+    months = df.select("entity", "elevation", "monthly", F.posexplode("monthly.time").alias("month_offset", "target_month"))
+    told = months.select("entity", "elevation", "target_month", "month_offset", *(at(c).alias(name) for c, name in SEASONAL.items()))
+    missing = F.array_compact(F.array(*(F.when(F.col(name).isNull(), F.lit(c)) for c, name in SEASONAL.items())))
+    none = df.where(F.coalesce(F.size("monthly.time"), F.lit(0)) <= 0).select("entity", F.lit(None).cast("string").alias("target_month"), F.lit("no months").alias("reason"))
+    lacking = told.where(F.size(missing) > 0).select("entity", "target_month", F.concat(F.lit("missing "), F.array_join(missing, ", ")).alias("reason"))
+    return told.where(F.size(missing) == 0), none.unionByName(lacking)
+
+
+# The months of a climatology and their days, and its grid in degrees of latitude and longitude.
+MONTH_DAYS = {"JAN": 31, "FEB": 28, "MAR": 31, "APR": 30, "MAY": 31, "JUN": 30, "JUL": 31, "AUG": 31, "SEP": 30, "OCT": 31, "NOV": 30, "DEC": 31}
+WARM = ("MAY", "JUN", "JUL", "AUG", "SEP")
+GRID = (0.5, 0.625)
+
+
+def grid_point(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Row and column of the climatology's grid point that a place is snapped to."""
+    return F.bround(lat / GRID[0]).cast("long"), F.bround(lon / GRID[1]).cast("long")
+
+
+def climate_normals(entities: DataFrame, points: DataFrame, key: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """key, grid_lat, grid_lon, annual_mm and warm_mm of each entity, from points (lat, lon and a map of millimetres a day by month).
+
+    Entities that share a grid point share its row; one without a point or with a month missing has nulls.
+    """
+    gy, gx = grid_point(F.col("lat"), F.col("lon"))
+    total = lambda names: sum((F.try_element_at("daily", F.lit(m)) * MONTH_DAYS[m] for m in names), F.lit(0.0))
+    known = points.select(gy.alias("gy"), gx.alias("gx"), "daily").dropDuplicates(["gy", "gx"]).select("gy", "gx", total(MONTH_DAYS).alias("annual_mm"), total(WARM).alias("warm_mm"))
+    ey, ex = grid_point(F.col(lat), F.col(lon))
+    placed = entities.select(key, ey.alias("gy"), ex.alias("gx"))
+    return placed.join(known, ["gy", "gx"], "left").select(key, (F.col("gy") * GRID[0]).alias("grid_lat"), (F.col("gx") * GRID[1]).alias("grid_lon"), "annual_mm", "warm_mm")
+
+
 def paged_json(spark: SparkSession, manifest: str, rows: str, columns: list[str]) -> DataFrame:
     """The rows of the landed pages of a paged API that a manifest {"pages": [paths]} lists, by Spark's own readers.
 
@@ -123,7 +167,7 @@ def bulk(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A bulk file in place of an API: JSON by its ending, else CSV with a header; blank lines and byte-order marks go."""
     if path.endswith((".json", ".jsonl")):
         return spark.read.schema(schema).json(path, multiLine=path.endswith(".json"))
-    df = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    df = spark.read.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     names = {c.lstrip("\ufeff").strip().lower(): c for c in df.columns}
     wanted = spark.createDataFrame([], schema).schema
     return df.select(*(F.col(f"`{names[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) if f.name.lower() in names else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
