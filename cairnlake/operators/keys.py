@@ -33,11 +33,10 @@ def best_value(value: str | Column, *order: Column) -> Column:
     return F.min_by(value, F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))))
 
 
-def unique_match(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows of keys that have exactly one row."""
-    w = Window.partitionBy(*keys)
-    counted = df.withColumn("__n", F.count("*").over(w)).withColumn("__rank", F.row_number().over(w.orderBy(*order)))
-    return counted.where("__rank = 1 AND __n = 1").drop("__n", "__rank")
+def unique_match(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of keys that have exactly one row, by counts that combine before the shuffle."""
+    one = df.groupBy(*keys).agg(F.count("*").alias("__n"), F.first(F.struct(*df.columns)).alias("__row"))
+    return one.where("__n = 1").select("__row.*")
 
 
 def complete_in_all(df: DataFrame, entity: str, group: str, least_rows: int) -> DataFrame:

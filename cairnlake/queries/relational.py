@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays, numeric
+from ..functions import numeric
 from ..functions.calendar import on_day
 from ..operators import keys, merge, stats
 from ..sources.feeds import table
@@ -80,7 +80,7 @@ def top_n_per_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand, p_type, p_size, p_partkey FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, p_type, p_size) AS n FROM part) WHERE n = 1
 """)
 def unique_match_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.unique_match(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"], [F.asc("p_partkey")]).select("p_brand", "p_type", "p_size", "p_partkey")
+    return keys.unique_match(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"]).select("p_brand", "p_type", "p_size", "p_partkey")
 
 
 @query("""

@@ -1,18 +1,15 @@
-"""Duplicate windows, rate limits and counters over a stream of reports.
+"""Duplicate windows and rate counts over a table of reports, counters and rollups over a stream.
 
-State is kept by key with a timer, so it doesn't grow with the stream.  The same rules exist as batch operators
-for a table that is already there.
+Duplicates by any of several identities, and several limits at once, as a table and as a stream, are in admission.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DAY = 86_400
 
@@ -68,42 +65,6 @@ def daily_counts(df: DataFrame, key: str, ts: str, late: str | None = None) -> D
     return df.groupBy(key, F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").cast("date").alias("day"), "n")
 
 
-def accepted_stream(events: DataFrame, entity: str, identities: Sequence[str], ts: str, event_id: str, seconds: int = DAY) -> DataFrame:
-    """Accepted events of a stream.  An event is a duplicate if the same entity got an accepted one with any of
-    the same identities within the window; state is one time for each identity, dropped when the window is over.
-    """
-    schema = f"{entity} string, event_id long, ts timestamp, accepted boolean"
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last: dict[str, int] = dict(zip(*state.get, strict=True)) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for row in rows.itertuples(index=False):
-            at = int(row.ts.timestamp() * 1_000_000)
-            names = [f"{i}:{getattr(row, i)}" for i in identities if getattr(row, i) is not None and not pd.isna(getattr(row, i))]
-            fresh = all(at - last[n] > seconds * 1_000_000 for n in names if n in last)
-            if fresh:
-                last.update(dict.fromkeys(names, at))
-            out.append((key[0], row.event_id, row.ts, fresh))
-        newest = max(last.values(), default=0)
-        last = {n: t for n, t in last.items() if newest - t <= seconds * 1_000_000}
-        state.update((list(last), list(last.values())))
-        state.setTimeoutTimestamp(max(newest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[entity, "event_id", "ts", "accepted"])
-
-    rows = events.select(F.col(entity).cast("string").alias(entity), *(F.col(i).cast("string").alias(i) for i in identities), F.col(ts).cast("timestamp").alias("ts"), F.col(event_id).cast("long").alias("event_id"))
-    return (
-        rows.withWatermark("ts", f"{seconds} seconds")
-        .groupBy(entity)
-        .applyInPandasWithState(run, schema, "names array<string>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-        .where("accepted")
-        .drop("accepted")
-    )
-
-
 def refresh_rollups(rollups_path: str, facts_path: str, key: str, rollup: Callable[[DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: compute the rollups of the key buckets that a micro-batch touches again.
 
