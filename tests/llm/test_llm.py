@@ -587,3 +587,35 @@ def test_sets_are_compared_by_their_bytes(spark):
 def test_bands():
     bands, rows = ngram_join.bands_for(0.8, 0.9999)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
+
+
+def test_quality_verdicts_of_documents_that_were_not_labelled(spark):
+    """Fitted on seven tenths of the labels, the trees tell the rest."""
+    sf = "/root/testdata/sf0.01"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(10)) < 3
+    told = quality_rules.judge(documents, quality_rules.train(documents, labels.where(~held))).where("NOT base_failed").join(labels.where(held), "doc_id")
+    right = Counter((r.quality, r.kept) for r in told.select("quality", "kept").collect())
+    assert sum(right.values()) > 50 and right[1, True] + right[0, False] >= 0.95 * sum(right.values())
+    assert right[1, True] >= 0.95 * (right[1, True] + right[1, False])
+
+
+def test_shards_of_uneven_texts(spark):
+    """Sizes near equal with a group of a third of all rows, groups whole up to a fiftieth of a shard, large ones as neighbours."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "hot " * 30) for i in range(700)] + [(1000 + i, prose(i, int(rng.integers(1, 200)))) for i in range(1300)]
+    rows += [(5000 + 4 * i + k, prose(9000 + i, 8)) for i in range(60) for k in range(4)]
+    out = sharding.shard(spark.createDataFrame(rows, DOCS).repartition(5), 6).collect()
+    bytes_of, shards, slots = Counter(), defaultdict(set), defaultdict(list)
+    texts = dict(rows)
+    for r in out:
+        bytes_of[r.shard] += r.size
+        shards[texts[r.doc_id]].add(r.shard)
+        slots[r.shard].append(r.slot)
+    target = sum(bytes_of.values()) / 6
+    assert len(bytes_of) == 6 and max(abs(b - target) for b in bytes_of.values()) < 0.05 * target
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    small = [t for t, n in Counter(texts.values()).items() if n > 1 and n * (len(t) + 8) <= target * sharding.WHOLE]
+    assert len(small) >= 50 and all(len(shards[t]) == 1 for t in small)
+    hot = sorted(shards["hot " * 30])
+    assert hot == list(range(hot[0], hot[-1] + 1)) and len(hot) > 1
