@@ -46,11 +46,16 @@ _CAPITAL = np.zeros(256, np.uint8)
 _CAPITAL[65:91] = 0x20
 
 
+#: A text that comes out otherwise by parts, unless a tokenizer is of the kind that WordTokenizer looks up.
+PROBE = "Plain Words, AND more (x*y)  of #One; n\u00e9.\u00c9t\u00e9! na\u00efve\n\tEnd. don't stop... A-b c_d &c? Yes: 100% sure$"
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that lower-cases, never joins across white space, and splits letters from punctuation.
+    """Ids of whole texts, most quickly by a tokenizer that lower-cases, never joins across white space, and splits letters from punctuation.
 
     Such a tokenizer gives a text the ids of its parts in order, if it is cut at white space and between a
     Latin letter and a common punctuation mark; so each different part is tokenized once and then looked up.
+    Whether the given one is of that kind is seen by PROBE; any other one gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,6 +63,17 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._forget()
+        buf = np.frombuffer(PROBE.encode(), np.uint8)
+        off = np.array([0, len(buf)])
+        self.by_parts = True
+        self.by_parts = self.encode(buf, off)[0].tolist() == self._whole(buf, off)[0].tolist()
+        self._forget()
+
+    def _whole(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = buf.tobytes()
+        got = self._tokenizer.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)
+        ids = [np.array(g.ids, np.uint32) for g in got]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
 
     def _forget(self) -> None:
         self._keys, self._rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and the rows that they name
@@ -115,6 +131,8 @@ class WordTokenizer:
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the documents' offsets in them."""
+        if not self.by_parts:
+            return self._whole(buf, off)
         start, end, part_off = self.parts(buf, off)
         if b"<|" not in buf.tobytes():  # special tokens are told apart by case
             buf = buf | _CAPITAL[buf]

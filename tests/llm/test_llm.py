@@ -393,6 +393,20 @@ def test_packing(spark, docs, texts):
     assert packing.pack(packing.pieces(empty(spark), path)).count() == 0
 
 
+def test_packing_by_any_tokenizer(spark):
+    """A tokenizer that tells cases apart and joins punctuation gets whole texts."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path().replace("word_bpe_49k", "byte_bpe_50k")
+    text = "Some Words, SOME words  (and)\n\n more... n\u00e9!"
+    rows = packing.pieces(spark.createDataFrame([(1, text), (2, None), (3, "x")], DOCS), path, length=1024).collect()
+    tokenizer = Tokenizer.from_file(path)
+    for i, t in ((1, text), (2, ""), (3, "x")):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert [(r.length, r.ids_crc32) for r in rows if r.doc_id == i] == [(len(ids), zlib.crc32(ids.tobytes()))]
+    assert not packing.WordTokenizer(path).by_parts and packing.WordTokenizer(packing.tokenizer_path()).by_parts
+
+
 def test_word_parts_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
