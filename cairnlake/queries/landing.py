@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import jsonx, variants
+from ..functions import arrays, jsonx, text, variants
 from ..operators import keys
 from ..operators.jobs import scratch
 from ..sources import feeds, paged, sinks, versioned
@@ -204,3 +204,39 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = rows.select("p_partkey", jsonx.compact_provenance(F.create_map(F.lit("name"), F.col("name"), F.lit("city"), F.col("city"), F.lit("phone"), F.lit("b"))).alias("m"))
     odd = F.array_sort(F.transform(F.map_entries(F.map_filter("m", lambda k, _: k != "_")), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return packed.select("p_partkey", F.col("m")["_"].alias("usual"), F.array_join(odd, ";").alias("exceptions"))
+
+
+@query("""
+SELECT p_partkey, p_size, (SELECT count(*) FROM part) AS rows, (SELECT count(*) FROM part WHERE p_size > 25) AS large, (SELECT count(*) FROM part WHERE CASE WHEN p_size % 5 <> 0 THEN p_size < 10 END) AS small FROM part
+""")
+def counted_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written and counted in one pass, and read back beside the counts."""
+    folder = scratch(spark)
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    counts = sinks.counted(part, folder, large=F.col("p_size") > 25, small=F.when(F.col("p_size") % 5 != 0, F.col("p_size") < 10))
+    return spark.read.parquet(folder).select("p_partkey", "p_size", *(F.lit(counts[c]).cast("long").alias(c) for c in ("rows", "large", "small")))
+
+
+_KEY = b"not a secret"
+_INNER, _OUTER = ("".join(f"\\x{b ^ pad:02X}" for b in _KEY.ljust(64, bytes(1))) for pad in (0x36, 0x5C))
+
+
+@query(f"""
+SELECT s_suppkey, rtrim(replace(replace(base64(unhex(sha256('{_OUTER}'::BLOB || unhex(sha256('{_INNER}'::BLOB || encode(s_name)))))), '+', '-'), '/', '_'), '=') AS signed FROM supplier
+""")
+def signed_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as keyed identifiers."""
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.hmac_sha256(_KEY)(F.col("s_name")).alias("signed"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey, [x.t FOR x IN list_sort(list_filter([
+ {'s': -CAST(p_size AS DOUBLE), 'i': 0, 't': CASE WHEN p_size > 10 THEN 'size' END}, {'s': -CAST(p_partkey % 40 AS DOUBLE), 'i': 1, 't': CASE WHEN p_partkey % 2 = 0 THEN 'key' END}, {'s': -20.0::DOUBLE, 'i': 2, 't': CASE WHEN p_brand < 'Brand#3' THEN 'brand' END},
+ {'s': -CAST(p_size % 7 AS DOUBLE), 'i': 3, 't': CASE WHEN p_size % 7 > 3 THEN 'week' END}], lambda x: x.t IS NOT NULL))][1:2] AS t FROM part)
+SELECT p_partkey, CASE WHEN len(t) = 0 THEN 'nothing special' ELSE array_to_string(t, ', ') END AS factors FROM f
+""")
+def strongest_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two strongest explanations of each part, ties in their given order."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    parts = [(size > 10, size, "size"), (key % 2 == 0, key % 40, "key"), (F.col("p_brand") < "Brand#3", F.lit(20), "brand"), (size % 7 > 3, size % 7, "week")]
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(arrays.strongest(parts, 2, "nothing special"), ", ").alias("factors"))

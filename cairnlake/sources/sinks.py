@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
@@ -18,6 +18,17 @@ def json_export(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def counted(df: DataFrame, path: str, **tests: Column) -> dict[str, int]:
+    """Write a table and count its rows, and those for which each test holds, in the same pass; the counts.
+
+    A test that is null for a row doesn't hold.  Counts are of the run that wrote; retried tasks don't count twice.
+    """
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(F.coalesce(test, F.lit(False))).alias(name) for name, test in tests.items()))
+    watched.write.mode("overwrite").parquet(path)
+    return dict(seen.get)
+
+
 def features(df: DataFrame, lon: str, lat: str, *properties: str) -> Column:
     """A GeoJSON feature as text."""
     point = F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
