@@ -10,7 +10,7 @@ from ..operators import keys
 from ..operators.jobs import scratch
 from ..sources import feeds, paged, sinks, versioned
 from ..sources.feeds import table
-from ..streaming import runs
+from ..streaming import policies, runs
 from .registry import query
 
 
@@ -240,3 +240,83 @@ def strongest_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey")
     parts = [(size > 10, size, "size"), (key % 2 == 0, key % 40, "key"), (F.col("p_brand") < "Brand#3", F.lit(20), "brand"), (size % 7 > 3, size % 7, "week")]
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(arrays.strongest(parts, 2, "nothing special"), ", ").alias("factors"))
+
+
+@query("SELECT 'place ' || c_custkey AS name, CASE WHEN c_custkey % 3 = 0 THEN 'CA' ELSE 'US' END AS country, CAST(c_custkey * 10 AS BIGINT) AS population, CAST(c_custkey % 80 AS DOUBLE) / 4 AS latitude FROM customer WHERE c_custkey % 4 <> 1 AND c_custkey * 10 >= 300")
+def gazetteer_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as lines of a gazetteer without header: places of some countries with enough people."""
+    folder = scratch(spark)
+    k = F.col("c_custkey")
+    country = F.when(k % 4 == 1, "MX").when(k % 3 == 0, "CA").otherwise("US")
+    line = F.concat_ws("\t", F.concat(F.lit("place "), k.cast("string")), country, (k * 10).cast("string"), ((k % 80).cast("double") / 4).cast("string"), F.lit('1"'))
+    table(spark, sf_dir, "customer").select(line.alias("value")).write.text(folder)
+    return feeds.gazetteer(spark, folder, ["name", "country", "population", "latitude", "longitude"], ["CA", "US"], 300).select("name", "country", "population", "latitude")
+
+
+@query("SELECT 'https://x.test/' || p_partkey || '?a=1&b' AS url, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(p_size AS INTEGER)) AS DATE) AS changed, true AS whole FROM part")
+def sitemap_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of parts written as a sitemap and read from it, with whether the document is opened and closed once."""
+    folder = scratch(spark)
+    pages = table(spark, sf_dir, "part").select(F.concat(F.lit("https://x.test/"), F.col("p_partkey").cast("string"), F.lit("?a=1&b")).alias("url"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")).alias("changed"))
+    sinks.sitemap_document(pages, folder, "url", "changed")
+    lines = spark.read.text(folder)
+    edges = lines.agg((F.count_if(F.col("value").contains("<urlset")) + 10 * F.count_if(F.col("value") == "</urlset>")).alias("edges"))
+    found = lines.where("value LIKE '<url>%'").select(
+        F.replace(F.regexp_extract("value", "<loc>(.*)</loc>", 1), F.lit("&amp;"), F.lit("&")).alias("url"), F.regexp_extract("value", "<lastmod>(.*)</lastmod>", 1).cast("date").alias("changed")
+    )
+    return found.crossJoin(F.broadcast(edges)).select("url", "changed", (F.col("edges") == 11).alias("whole"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance, CAST(NULL AS VARCHAR) AS note FROM supplier")
+def bulk_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as a CSV file with other names and read as a bulk file by a schema, what it lacks null."""
+    folder = f"{scratch(spark)}.csv"
+    table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias(" Balance"), F.col("s_name").alias("NAME"), F.col("s_suppkey").alias("Id")).write.csv(folder, header=True)
+    return feeds.bulk(spark, folder, "id long, name string, balance double, note string")
+
+
+@query("""
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS total FROM events WHERE event_id % 5 <> 0 GROUP BY 1, 2), h AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS mean FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT CAST(d.user_id AS VARCHAR) AS entity, d.day, round(CASE WHEN d.user_id % 3 = 0 THEN 0 ELSE total END, 6) AS rain, round(coalesce(mean, 0), 6) AS humidity FROM d LEFT JOIN h ON h.user_id = d.user_id AND h.day = d.day
+""")
+def archive_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a landed archive, read from its payloads, with the means of their hours; what is missing counts as 0."""
+    folder = scratch(spark)
+    events = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    days = events.where("event_id % 5 <> 0").groupBy("user_id", F.date_format("at", "yyyy-MM-dd").alias("time")).agg(F.sum("value").alias("v"))
+    daily = days.groupBy("user_id").agg(F.collect_list(F.struct("time", F.when(F.col("user_id") % 3 != 0, F.col("v")).alias("rain"))).alias("d"))
+    hours = events.where("event_type = 'view'").groupBy("user_id").agg(F.collect_list(F.struct(F.date_format("at", "yyyy-MM-dd'T'HH:mm").alias("time"), F.col("value").alias("humid"))).alias("h"))
+    body = daily.join(hours, "user_id", "left").select(
+        F.col("user_id").cast("string").alias("entity"), F.struct(F.col("d.time").alias("time"), F.col("d.rain").alias("rain")).alias("daily"), F.struct(F.col("h.time").alias("time"), F.col("h.humid").alias("humid")).alias("hourly")
+    )
+    sinks.json_export(body, folder)
+    read_days, read_hours = feeds.weather_payloads(spark, folder, ["rain"], ["humid"])
+    filled = feeds.archive_days(read_days, read_hours, {"rain": "rain"}, {"humid": "humidity"})
+    return filled.select("entity", "day", F.round("rain", 6).alias("rain"), F.round("humidity", 6).alias("humidity"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_partkey % 500 AS slug, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS wet FROM part WHERE p_partkey BETWEEN 1 AND 450),
+k AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 9 <> 0), g AS (SELECT p_partkey AS id, wet FROM r WHERE wet IS NOT NULL AND p_partkey IN (SELECT id FROM k))
+SELECT id, 'v2' AS version, wet, true AS active FROM g UNION ALL SELECT p_partkey, 'v1', 1.0::DOUBLE, p_partkey NOT IN (SELECT id FROM g) FROM part WHERE p_partkey % 2 = 0
+""")
+def loaded_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of profiles by slug over active ones: good rows become the active version of their entity."""
+    part = table(spark, sf_dir, "part")
+    slug = F.concat(F.lit("s"), F.col("p_partkey").cast("string"))
+    rows = part.where("p_partkey BETWEEN 1 AND 450").select(slug.alias("slug"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_size").cast("double")).otherwise(float("nan")).alias("wet"))
+    known = part.where("p_partkey % 9 <> 0").select(slug.alias("slug"), F.col("p_partkey").alias("id"))
+    active = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.lit("v1").alias("version"), F.lit(1.0).alias("wet"), F.lit(True).alias("active"))
+    return feeds.load_profiles(rows, known, active, ["wet"], "v2")[0]
+
+
+@query("SELECT user_id, count(*) AS n, max(ts) AS newest, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def refreshed_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollups of users after four batches, the second of which came twice; each batch computes the touched buckets anew."""
+    home = scratch(spark)
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    rollup = lambda facts: facts.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("newest"), F.sum("value").alias("total"))
+    run = policies.refresh_rollups(f"{home}/rollups", f"{home}/facts", "user_id", rollup, 8)
+    for batch in (0, 1, 1, 2, 3):
+        run(events.where(F.col("event_id") % 4 == batch), batch)
+    return spark.read.parquet(f"{home}/rollups").select("user_id", "n", "newest", F.round("total", 2).alias("total"))
