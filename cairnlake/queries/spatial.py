@@ -157,3 +157,32 @@ def shape_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     hole = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in ((-0.8, -0.8), (0.8, -0.8), (0.8, 0.8), (-0.8, 0.8))))
     shapes = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 3 == 0, F.array(star, hole)).otherwise(F.array(star)).alias("rings"))
     return raster.areas(raster.spans(shapes, "p_partkey", "rings", 0.5), "p_partkey", 0.5)
+
+
+_ARC = "sqrt((c2 * sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * cos(lam)) ** 2) AS sn, s1 * s2 + c1 * c2 * cos(lam) AS cs"
+_AZIMUTH = "CASE WHEN sn = 0 THEN 0 ELSE c1 * c2 * sin(lam) / sn END AS az, atan2(sn, cs) AS arc"
+_MIDDLE = "CASE WHEN az * az >= 1 THEN 0 ELSE cs - 2 * s1 * s2 / (1 - az * az) END AS md, 1 - az * az AS rest"
+_F, _MINOR = repr(geo.FLATTENING), repr(geo.AXIS_M * (1 - geo.FLATTENING))
+_SQUARED = f"rest * {(geo.AXIS_M**2 - (geo.AXIS_M * (1 - geo.FLATTENING)) ** 2) / (geo.AXIS_M * (1 - geo.FLATTENING)) ** 2!r}"
+
+
+def _arcs(source: str) -> str:
+    """Each row of a source with the angles of its great circle on the auxiliary sphere."""
+    return f"(SELECT *, {_MIDDLE} FROM (SELECT *, {_AZIMUTH} FROM (SELECT *, {_ARC} FROM {source})))"
+
+
+@query(f"""
+WITH RECURSIVE {_sql('customer', 'c_custkey', 'c')}, {_sql('supplier', 's_suppkey', 's', 'r_')},
+near AS (SELECT c.id, r_id, radians(r_lon - lon) AS turn, atan((1 - {_F}) * tan(radians(lat))) AS u1, atan((1 - {_F}) * tan(radians(r_lat))) AS u2 FROM c CROSS JOIN s WHERE {_DISTANCE} <= 152000),
+e AS (SELECT id, r_id, turn, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2 FROM near),
+w AS (SELECT id, r_id, turn, s1, c1, s2, c2, turn AS lam, 0 AS k FROM e UNION ALL
+ SELECT id, r_id, turn, s1, c1, s2, c2, turn + (1 - f) * {_F} * az * (arc + f * sn * (md + f * cs * (2 * md * md - 1))), k + 1 FROM (SELECT *, {_F} / 16 * rest * (4 + {_F} * (4 - 3 * rest)) AS f FROM {_arcs('w')}) WHERE k < 12),
+p AS (SELECT id, r_id, sn, cs, md, arc, {_SQUARED} AS q FROM {_arcs('w')} WHERE k = 12),
+l AS (SELECT *, 1 + q / 16384 * (4096 + q * (q * (320 - 175 * q) - 768)) AS a, q / 1024 * (256 + q * (q * (74 - 47 * q) - 128)) AS b FROM p),
+m AS (SELECT id, r_id, {_MINOR} * a * (arc - b * sn * (md + b / 4 * (cs * (2 * md * md - 1) - b / 6 * md * (4 * sn * sn - 3) * (4 * md * md - 3)))) AS m FROM l)
+SELECT id, r_id, round(m, 2) AS distance_m FROM m WHERE m <= 150000
+""")
+def radius_join_ellipsoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers within 150 km on the ellipsoid."""
+    pairs = spatial.radius_join(points(spark, sf_dir, "customer", "c_custkey"), points(spark, sf_dir, "supplier", "s_suppkey", "r_"), 150_000, ellipsoid=True)
+    return pairs.select("id", "r_id", F.round("distance_m", 2).alias("distance_m"))
