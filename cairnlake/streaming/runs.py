@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 from collections.abc import Callable
 
@@ -30,7 +31,8 @@ class Lease:
     def end(self, owner: str) -> None:
         number, held = self.log.last()
         if held.get("owner") == owner:
-            self.log.append(number + 1, {"owner": owner, "until": self.clock()})
+            with contextlib.suppress(AlreadyCommitted):  # another one has it by now
+                self.log.append(number + 1, {"owner": owner, "until": self.clock()})
 
 
 class LeaseLost(RuntimeError):
