@@ -59,10 +59,11 @@ def first_nonzero(*parts: Column) -> Column:
 
 
 def compact_number(x: Column) -> Column:
-    """1234 as 1.2k, 2500000 as 2.5m."""
+    """1234 as 1.2k, 2500000 as 2.5m, 1200000000 as 1200.0m."""
+    plain = lambda y: F.replace(F.format_number(y, 1), F.lit(","), F.lit(""))
     return (
-        F.when(x >= 1_000_000, F.concat(F.format_number(x / 1_000_000, 1), F.lit("m")))
-        .when(x >= 1000, F.concat(F.format_number(x / 1000, 1), F.lit("k")))
+        F.when(x >= 1_000_000, F.concat(plain(x / 1_000_000), F.lit("m")))
+        .when(x >= 1000, F.concat(plain(x / 1000), F.lit("k")))
         .otherwise(x.cast("string"))
     )
 

@@ -29,6 +29,7 @@ def test_numbers(spark):
     assert value(spark, numeric.band(F.lit(2.0), ((2, "a"), (3, "b")), "c")) == "a"
     assert value(spark, numeric.band(F.lit(2.0), ((2, "a"), (3, "b")), "c", inclusive=False)) == "b"
     assert value(spark, numeric.compact_number(F.lit(1234))) == "1.2k"
+    assert value(spark, numeric.compact_number(F.lit(1_234_560_000))) == "1234.6m"
     assert value(spark, calendar.valid_date(F.lit("2024-02-30"))) is None
     assert value(spark, calendar.hours_between(F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp"))) == 12
 
