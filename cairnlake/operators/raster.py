@@ -122,33 +122,59 @@ def _rings(value: list | None) -> list[np.ndarray]:
 def spans(shapes: DataFrame, key: str, rings: str, size: float, west: float = 0.0, south: float = 0.0) -> DataFrame:
     """key, row, low and high: the runs of cells, both ends included, whose middles lie in a shape, by scan lines.
 
-    rings: an array of rings of [x, y], holes among them, by the even-odd rule.  A shape is worked off alone; what comes out is as
-    many rows as its outline crosses scan lines.
+    rings: an array of rings of [x, y], holes among them, by the even-odd rule.  Shapes are dealt evenly first, since a small file
+    of them makes many cells, and the edges of some hundreds are worked off together; what comes out is as many rows as the
+    outlines cross scan lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, value in zip(batch.column(key), batch.column(rings).to_pylist(), strict=True):
-                shape = _rings(value)
-                if not shape:
-                    continue
-                ys = np.concatenate([p[:, 1] for p in shape])
-                out = []
-                for row in range(math.ceil((ys.min() - south) / size - 0.5), math.floor((ys.max() - south) / size - 0.5) + 1):
-                    xs = crossings(shape, south + (row + 0.5) * size)
-                    # A middle on a crossing belongs to what is east of it.
-                    first = np.ceil((xs - west) / size - 0.5).astype(np.int64)
-                    for a, b in zip(first[::2].tolist(), first[1::2].tolist(), strict=True):
-                        if a < b and out and out[-1][0] == row and out[-1][2] == a - 1:
-                            out[-1] = (row, out[-1][1], b - 1)  # runs that meet are one
-                        elif a < b:
-                            out.append((row, a, b - 1))
-                if out:
-                    columns = np.array(out, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(out), batch.schema.field(key).type), *(pa.array(columns[:, i]) for i in range(3))], [key, "row", "low", "high"])
+            edges = [_edges(value) for value in batch.column(rings).to_pylist()]
+            lines = np.array([2 + (np.abs(e[:, 3] - e[:, 1]).sum() / size if len(e) else 0) for e in edges]).cumsum()
+            for part in np.split(np.arange(len(edges)), np.flatnonzero(np.diff(lines // SCANNED)) + 1):
+                if len(part) and sum(len(edges[i]) for i in part):
+                    which, row, low, high = _runs([edges[i] for i in part], size, west, south)
+                    for first in range(0, len(which), SCANNED):
+                        cut = slice(first, first + SCANNED)
+                        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(part[which[cut]])), *(pa.array(x[cut]) for x in (row, low, high))], [key, "row", "low", "high"])
 
     schema = T.StructType([shapes.schema[key]]).add("row", "long").add("low", "long").add("high", "long")
-    return shapes.select(key, rings).mapInArrow(run, schema)
+    dealt = shapes.select(key, rings).repartition(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, schema)
+
+
+#: Crossings that are sorted together, about.
+SCANNED = 1 << 18
+
+
+def _edges(value: list | None) -> np.ndarray:
+    """x and y of both ends of each edge of a shape."""
+    shape = _rings(value)
+    return np.concatenate([np.hstack([p, np.roll(p, -1, 0)]) for p in shape]) if shape else np.zeros((0, 4))
+
+
+def _runs(edges: list[np.ndarray], size: float, west: float, south: float) -> tuple[np.ndarray, ...]:
+    """Place of the shape, row, low and high of the runs of cells of some shapes, by their edges."""
+    which = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+    x1, y1, x2, y2 = np.concatenate(edges).T
+    # A row more on either side, for rounding; the crossing itself is tested below.
+    first = np.ceil((np.minimum(y1, y2) - south) / size - 0.5).astype(np.int64) - 1
+    number = np.floor((np.maximum(y1, y2) - south) / size - 0.5).astype(np.int64) + 2 - first
+    edge = np.repeat(np.arange(len(number)), number)
+    row = first[edge] + np.arange(len(edge)) - np.repeat(number.cumsum() - number, number)
+    y = south + (row + 0.5) * size
+    over = (y1[edge] <= y) != (y2[edge] <= y)
+    edge, row, y = edge[over], row[over], y[over]
+    xs = x1[edge] + (y - y1[edge]) / (y2[edge] - y1[edge]) * (x2[edge] - x1[edge])
+    order = np.lexsort((xs, row, which[edge]))
+    # A middle on a crossing belongs to what is east of it.  A ring crosses a line an even number of times.
+    starts = np.ceil((xs[order] - west) / size - 0.5).astype(np.int64)
+    which, row, low, high = which[edge[order]][::2], row[order][::2], starts[::2], starts[1::2]
+    some = low < high
+    which, row, low, high = which[some], row[some], low[some], high[some]
+    begins = np.ones(len(low), bool)
+    begins[1:] = (which[1:] != which[:-1]) | (row[1:] != row[:-1]) | (low[1:] != high[:-1])  # runs that meet are one
+    return which[begins], row[begins], low[begins], high[np.roll(begins, -1)] - 1
 
 
 def areas(found: DataFrame, key: str, size: float) -> DataFrame:
@@ -156,6 +182,7 @@ def areas(found: DataFrame, key: str, size: float) -> DataFrame:
 
     The shore is both ends of each span, and what the spans of the rows above and below leave open of it.
     """
+    found = checkpoint(found)  # three times read
     cells = F.col("high") - F.col("low") + 1
     one = found.groupBy(key).agg(F.sum(cells).alias("cells"), F.count("*").alias("n"))
     touching = _overlaps(found, key).groupBy(key).agg(F.sum("shared").alias("shared"))
@@ -166,18 +193,23 @@ def areas(found: DataFrame, key: str, size: float) -> DataFrame:
 
 #: Columns of a block, by which spans of neighbouring rows are brought together.
 BLOCK = 256
+#: Spans of a task, about.
+SPANS = 1 << 20
 
 
 def _overlaps(found: DataFrame, key: str) -> DataFrame:
     """Pairs of spans of a shape in neighbouring rows that share columns, with how many; each pair once.
 
-    Spans meet by shape, row and block of columns, so a row of very many spans isn't compared with the whole next one.
+    found is stored.  Spans meet by shape, row and block of columns, so a row of very many spans isn't compared with the whole next one.
     """
     blocks = F.explode(F.sequence(F.floor(F.col("low") / BLOCK), F.floor(F.col("high") / BLOCK)))
     a = found.select(key, "row", "low", "high").withColumn("block", blocks)
     b = a.select(key, (F.col("row") - 1).alias("row"), F.col("low").alias("low2"), F.col("high").alias("high2"), "block")
     first = F.greatest("low", "low2")
-    met = a.join(b, [key, "row", "block"]).where((first <= F.least("high", "high2")) & (F.floor(first / BLOCK) == F.col("block")))
+    # Spans are a few bytes once packed, so Spark would leave very many of them to a task.
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(found.count() / SPANS))
+    a, b = (side.repartition(tasks, key, "row", "block") for side in (a, b))
+    met = a.hint("merge").join(b, [key, "row", "block"]).where((first <= F.least("high", "high2")) & (F.floor(first / BLOCK) == F.col("block")))
     return met.select(key, "row", "low", "high", "low2", "high2", (F.least("high", "high2") - first + 1).alias("shared"))
 
 
