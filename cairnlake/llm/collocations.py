@@ -3,8 +3,9 @@
 1. Texts are lower-cased and cut into pieces and words, chunk by chunk of about CHUNK_BYTES.  A chunk is a row from here
    on: the sequence of its items (words, with a break between pieces) as numbers, and its different items with their counts.
    So however frequent an item is, a chunk sends it once.
-2. Items of all chunks meet by a shuffle on their key, the word with its language or a pair of names; those with enough
-   occurrences get a global name: the least place (chunk and number) that has it.
+2. A chunk deals its items to groups by a hash of their key, the word with its language or a pair of names, and sends one
+   compressed block to each group.  There the items of all chunks meet; those with enough occurrences get a global name:
+   the least place (chunk and number) that has it.
 3. Names go back to their chunks.  There the sequence of words, or of phrases of k words, becomes one of pairs of names that
    stand beside each other, which are phrases of k + 1 words: a phrase is only counted if both its parts are frequent.
    Steps 2 and 3 repeat up to the longest phrase.
@@ -12,7 +13,8 @@
    give the counts of both parts of every cut, and the most frequent longer phrase around each: one of one word more is
    enough, as no longer one is more frequent.
 
-Nothing grows in a task but with a chunk: a name's group has a row a chunk at most and is summed by a window that spills.
+Nothing grows in a task but with a chunk: there are as many groups as it takes to give each GROUP_ITEMS items, and as a chunk
+sends each different item once, no item makes its group large.
 Products are made as decimals, so they are exact beyond 64 bits.
 
 Nulls and edge cases: a null text is empty and a null lang is ``und``, as is the lang of that name; a word has any
@@ -23,6 +25,7 @@ of UTF-8 bytes; a lang without candidates has no rows; no rows give no rows; ext
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ NO_LANG = "und"
 
 #: Bytes of text in a chunk, about; a longer piece stands alone.
 CHUNK_BYTES = 8 << 20
+#: Items of a group of keys, at most about: they are counted in one task.
+GROUP_ITEMS = 4 << 20
 #: A place is made of a task's partition, its chunk there, and the number of an item in the chunk.
 CHUNK_BITS, ITEM_BITS = 16, 27
 
@@ -147,17 +152,41 @@ def named(sequence: np.ndarray, numbers: np.ndarray, names: np.ndarray) -> tuple
     return _squeezed(dense[sequence]), names[order]
 
 
-def _longer(paired: bool) -> Callable:
-    """Chunks as sequences of the names of this length, which go along; paired: from sequences of the parts' names."""
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, the first one from 0, as numbers from 0: 2 x or, if negative, -2 x - 1."""
+    d = np.diff(values, prepend=0)
+    return (d << 1) ^ (d >> 63)
+
+
+def _walked(steps: np.ndarray) -> np.ndarray:
+    """The values that have these steps."""
+    return np.cumsum((steps >> 1) ^ -(steps & 1))
+
+
+def dealt(first: np.ndarray, second: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which pairs of names go to their groups, and where each group begins and ends in it."""
+    group = (ts.mix(ts.mix(first.astype(np.uint64)) + second.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    return np.argsort(group, kind="stable"), np.searchsorted(np.sort(group), np.arange(groups + 1))
+
+
+def _longer(paired: bool, groups: int) -> Callable:
+    """Chunks as sequences of the names of this length; paired: from sequences of the parts' names, dealt to so many groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                sequence = _unpacked(batch.column("sequence")[i].as_py(), 2 if paired else 1)[0]
-                given = batch.column("numbers")[i].values
-                made = named(pairs(sequence)[0] if paired else sequence, given.field("no").to_numpy().astype(np.int64), given.field("id").to_numpy())
-                columns = [batch.column("chunk").slice(i, 1), pa.array([_packed(*made)]), batch.column("names").slice(i, 1)]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "sequence", "names"])
+                if paired:
+                    sequence, parts = _unpacked(batch.column("sequence")[i].as_py(), 2)
+                    sequence, first, second, _ = pairs(sequence)
+                    order, _ = dealt(parts[first], parts[second], groups)
+                    number = np.empty(len(order) + 1, np.int64)
+                    number[order], number[-1] = np.arange(len(order)), -1
+                    sequence = number[sequence]
+                else:
+                    sequence = _unpacked(batch.column("sequence")[i].as_py(), 1)[0]
+                found = [_unpacked(block, 2) for block in batch.column("blocks")[i].as_py()]
+                made = named(sequence, np.concatenate([_walked(no) for no, _ in found]), np.concatenate([_walked(name) for _, name in found]))
+                yield pa.RecordBatch.from_arrays([batch.column("chunk").slice(i, 1), pa.array([_packed(*made)]), pa.array([len(made[0])])], ["chunk", "sequence", "places"])
 
     return run
 
@@ -166,15 +195,101 @@ def _longer(paired: bool) -> Callable:
 ROWS = 1 << 16
 
 
-def _listed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk, value in zip(batch.column("chunk").to_pylist(), batch.column("sequence").to_pylist(), strict=True):
-            sequence, names = _unpacked(value, 2)
-            _, first, second, n = pairs(sequence)
-            for lo in range(0, len(n), ROWS):
-                part = slice(lo, lo + ROWS)
-                no = np.arange(lo, lo + len(n[part]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(no), chunk)), pa.array(no), pa.array(names[first[part]]), pa.array(names[second[part]]), pa.array(n[part])], ["chunk", "no", *_name(2), "n"])
+#: A block: its group and chunk, the packed numbers of its items, and for words their bytes and langs.
+BLOCK = "group int, chunk long, items binary, spelled binary, langs array<string>"
+
+
+def _block(group: int, chunk: int, items: bytes, spelled: bytes | None = None, langs: list | None = None) -> pa.RecordBatch:
+    columns = [pa.array([group], pa.int32()), pa.array([chunk]), pa.array([items], pa.binary()), pa.array([spelled], pa.binary()), pa.array([langs], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, ["group", "chunk", "items", "spelled", "langs"])
+
+
+def _dealt_pairs(groups: int) -> Callable:
+    """A chunk's pairs in blocks: steps of the numbers that they have in this order and of their first names, second names, counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, value in zip(batch.column("chunk").to_pylist(), batch.column("sequence").to_pylist(), strict=True):
+                sequence, parts = _unpacked(value, 2)
+                _, first, second, n = pairs(sequence)
+                first, second = parts[first], parts[second]
+                order, bound = dealt(first, second, groups)
+                for group in np.flatnonzero(np.diff(bound)).tolist():
+                    at = np.arange(bound[group], bound[group + 1])
+                    some = order[at]
+                    yield _block(group, chunk, _packed(_steps(at), _steps(first[some]), second[some], n[some]))
+
+    return run
+
+
+def _dealt_words(groups: int) -> Callable:
+    """A chunk's words in blocks: steps of their numbers, lengths, counts and langs, and their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                length, n, lang = _unpacked(batch.column("items")[i].as_py(), 3)
+                raw = np.frombuffer(pa.decompress(batch.column("spelled")[i].as_py(), int(length.sum()), "zstd", asbytes=True), np.uint8)
+                langs, start = batch.column("totals")[i].values.field("lang").to_pylist(), np.cumsum(length) - length
+                group = (ts.hashes(raw, start, start + length) % np.uint64(groups)).astype(np.int64)
+                order, bound = np.argsort(group, kind="stable"), np.searchsorted(np.sort(group), np.arange(groups + 1))
+                for g in np.flatnonzero(np.diff(bound)).tolist():
+                    some = order[bound[g] : bound[g + 1]]
+                    spelled = pa.compress(raw[ts.ragged(start[some], length[some])].tobytes(), "zstd", asbytes=True)
+                    yield _block(g, batch.column("chunk")[i].as_py(), _packed(_steps(some), length[some], n[some], lang[some]), spelled, langs)
+
+    return run
+
+
+def _counted(k: int, least: int, back: bool) -> Callable:
+    """The names of a group's frequent items, and back: for each chunk, steps of the numbers that have a name and of their names."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk").to_numpy()
+        blocks = [_unpacked(v.as_py(), 4) for v in table.column("items")]
+        # In the order of chunks, so that the first of equal items has the least place.
+        blocks = [(chunk[i], i, *blocks[i]) for i in np.argsort(chunk, kind="stable").tolist()]
+        sizes = [len(b[2]) for b in blocks]
+        no = np.concatenate([_walked(b[2]) for b in blocks])
+        if k == 1:
+            length, n, lang = (np.concatenate([b[j] for b in blocks]) for j in (3, 4, 5))
+            spelled = b"".join(pa.decompress(table.column("spelled")[i].as_py(), int(own.sum()), "zstd", asbytes=True) for _, i, _, own, _, _ in blocks)
+            raw, start = np.frombuffer(spelled, np.uint8), np.cumsum(length) - length
+            known: dict[str, int] = {}
+            codes = [np.array([known.setdefault(x, len(known)) for x in table.column("langs")[i].as_py()], np.int64) for _, i, *_ in blocks]
+            lang = np.concatenate([own[b[5]] for own, b in zip(codes, blocks, strict=True)])
+            key = ts.identify(raw, start, start + length)[0] * len(known) + lang
+        else:
+            first, second, n = np.concatenate([_walked(b[3]) for b in blocks]), *(np.concatenate([b[j] for b in blocks]) for j in (4, 5))
+            two, at = np.unique(second, return_inverse=True)
+            key = np.unique(first, return_inverse=True)[1] * len(two) + at
+        place = np.repeat([b[0] for b in blocks], sizes) << ITEM_BITS | no
+        order = np.argsort(key, kind="stable")
+        begin = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        f = np.add.reduceat(n[order], begin)
+        kept, one = f >= least, order[begin]
+        name = np.empty(len(key), np.int64)
+        name[order] = np.repeat(np.where(kept, place[one], -1), np.diff(np.r_[begin, len(key)]))
+        one, f = one[kept], f[kept]
+        if k == 1:
+            langs = pa.array(list(known), pa.string()).take(pa.array(lang[one]))
+            own = [langs, ts.strings(raw, start[one], length[one]).cast(pa.string())]
+        else:
+            own = [pa.array(first[one]), pa.array(second[one])]
+        struct = pa.StructArray.from_arrays([pa.array(place[one]), pa.array(f), *own], ["id", "f", *_name(k)])
+        named_rows = [(None, None, struct.slice(lo, ROWS)) for lo in range(0, len(struct), ROWS)]
+        sent = []
+        if back:
+            for (of, *_), lo, hi in zip(blocks, np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
+                got = lo + np.flatnonzero(name[lo:hi] >= 0)
+                got = got[np.argsort(name[got])]
+                if len(got):
+                    sent.append((of, _packed(_steps(no[got]), _steps(name[got])), struct[:0]))
+        rows = [*named_rows, *sent]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]), pa.int32()), pa.concat_arrays([struct[:0], *(r[2] for r in rows)]))
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), lists], ["chunk", "block", "names"])
+
+    return run
 
 
 def _listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,25 +320,18 @@ def names(documents: DataFrame, longest: int = LONGEST, least: int = LEAST) -> t
     rows = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
     stored = checkpoint(rows.mapInArrow(_chunks, "chunk long, sequence binary, items binary, spelled binary, totals array<struct<lang: string, n: long>>"))
     totals = stored.select(F.inline("totals")).groupBy("lang").agg(F.sum("n").alias("n"))
-    items = stored.select("chunk", "items", "spelled", "totals").mapInArrow(_listed_words, "chunk long, no long, lang string, word string, n long")
+    places = totals.agg(F.sum("n")).first()[0] or 0
     found = []
     for k in range(1, longest + 1):
-        key = _name(k)
-        placed = items.select(*key, "n", (F.shiftleft("chunk", ITEM_BITS) + F.col("no")).alias("place"))
-        if k == longest:
-            found.append(placed.groupBy(*key).agg(F.sum("n").alias("f"), F.min("place").alias("id")).where(F.col("f") >= least))
-            break
-        everywhere = Window.partitionBy(*key)
-        frequent = placed.withColumn("f", F.sum("n").over(everywhere)).withColumn("id", F.min("place").over(everywhere)).where(F.col("f") >= least)
-        back = frequent.groupBy(F.shiftright("place", ITEM_BITS).alias("chunk")).agg(
-            F.collect_list(F.struct(F.col("place").bitwiseAND((1 << ITEM_BITS) - 1).alias("no"), "id")).alias("numbers"),
-            F.collect_list(F.when(F.col("place") == F.col("id"), F.struct("id", "f", *key))).alias("names"),
-        )
-        kinds = ", ".join(f"{c}: {'string' if k == 1 else 'long'}" for c in key)
-        schema = f"chunk long, sequence binary, names array<struct<id: long, f: long, {kinds}>>"
-        stored = checkpoint(stored.select("chunk", "sequence").join(back.hint("shuffle_hash"), "chunk").mapInArrow(_longer(k > 1), schema))
-        found.append(stored.select(F.inline("names")))
-        items = stored.select("chunk", "sequence").mapInArrow(_listed_pairs, "chunk long, no long, first long, second long, n long")
+        groups = max(1, math.ceil(places / GROUP_ITEMS))  # a number a length comes to the driver
+        blocks = stored.select("chunk", "items", "spelled", "totals").mapInArrow(_dealt_words(groups), BLOCK) if k == 1 else stored.select("chunk", "sequence").mapInArrow(_dealt_pairs(groups), BLOCK)
+        kinds = ", ".join(f"{c}: {'string' if k == 1 else 'long'}" for c in _name(k))
+        counted = checkpoint(blocks.groupBy("group").applyInArrow(_counted(k, least, k < longest), f"chunk long, block binary, names array<struct<id: long, f: long, {kinds}>>"))
+        found.append(counted.select(F.inline("names")))
+        if k < longest:
+            back = counted.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list("block").alias("blocks"))
+            stored = checkpoint(stored.select("chunk", "sequence").join(back.hint("shuffle_hash"), "chunk").mapInArrow(_longer(k > 1, groups), "chunk long, sequence binary, places long"))
+            places = stored.agg(F.sum("places")).first()[0] or 0
     return totals, found
 
 

@@ -105,3 +105,27 @@ def test_empty_and_extra(spark):
     assert (row.phrase, row.a, row.l, row.r, row.n, row.score) == ("a b", 3, 3, 3, 6, 1_000_000)
     with pytest.raises(ValueError):
         collocations.collocations(docs, 1)
+
+
+@pytest.mark.parametrize("size", [7, 60])
+def test_many_groups(spark, rows, monkeypatch, size):
+    """Items dealt to hundreds of groups, of which each chunk fills some; the driver says how many there are."""
+    monkeypatch.setattr(collocations, "GROUP_ITEMS", size)
+    want = sorted(brute(rows, 4, 5, 2000, 80))
+    assert want and made(spark, rows, 4, 5, 2000, 80) == want
+
+
+def test_blocks_are_small():
+    """What a chunk sends for a pair that occurs once: a few bytes and no row of its own."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sequence = np.minimum(rng.zipf(1.2, 400_000), 60_000).astype(np.int64) - 1
+    ids = np.sort(rng.choice(1 << 30, 60_000, replace=False)).astype(np.int64)
+    pairs = len(collocations.pairs(sequence)[3])
+    batch = pa.RecordBatch.from_pydict({"chunk": [5], "sequence": [collocations._packed(sequence, ids)]})
+    blocks = list(collocations._dealt_pairs(8)(iter([batch])))
+    assert len(blocks) == 8 and sum(b.nbytes for b in blocks) < 6 * pairs
+    got = [collocations._unpacked(b.column("items")[0].as_py(), 4) for b in blocks]
+    assert sorted(collocations._walked(np.concatenate([g[0][:1] for g in got])[:1]).tolist()) == [0] and sum(len(g[0]) for g in got) == pairs
+    assert sum(int(g[3].sum()) for g in got) == len(sequence) - 1
