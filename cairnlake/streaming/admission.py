@@ -8,8 +8,9 @@ by any chain of shared identities, and the events of a chain have to be told one
    island: events of different islands are too far apart to matter to each other.
 2. Events tie the islands of their identities; the connected components of these ties are the chains.  What is tied are
    islands, of which an identity that has a third of all events has few, not events.
-3. The events of a chain are dealt to one task, sorted by time, and walked as a stream that keeps nothing but the times that
-   its limits still count.
+3. Events are sorted by chain and time in ranges, so that a long chain is many tasks, and packed into compressed blocks of a
+   batch.  The blocks of a chain are dealt to one task, which walks them in order and keeps nothing but the times that its
+   limits still count.  What that task sorts are blocks, a row for some thousand events.
 
 On a stream, each micro-batch is admitted beside the accepted events of the longest limit before it, which are kept in a table.
 """
@@ -20,7 +21,9 @@ from collections import defaultdict, deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +109,42 @@ def _walk(limits: Sequence[tuple[int, int, int]]) -> Callable:
     return run
 
 
+#: What the walk needs of an event.
+_WALKED = ["row", "__seed", "__us", "__names", "__chain"]
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted events as blocks, each of one bucket, numbered in their order."""
+    at = TaskContext.get().partitionId() << 32
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        bucket = batch.column("__bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            piece = batch.select(_WALKED).slice(lo, hi - lo)
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, piece.schema, options=options) as writer:
+                writer.write_batch(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[lo : lo + 1]), pa.array([at]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["__bucket", "__at", "__block"])
+            at += 1
+
+
+def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The events of blocks, a block at a time."""
+    for batch in batches:
+        for block in batch.column("__block"):
+            yield from pa.ipc.open_stream(block.as_buffer())
+
+
+def _blocks(chained: DataFrame, event_id: str, buckets: int) -> DataFrame:
+    """Events in blocks that are in order within their bucket, which has whole chains.  Stored, as ranges are sampled."""
+    order = [F.col("__bucket"), F.col("__chain"), F.col("__us"), F.desc("__seed"), F.col(f"row.{event_id}")]
+    ranged = chained.select(*_WALKED).withColumn("__bucket", F.pmod(F.xxhash64("__chain"), F.lit(buckets))).repartitionByRange(*order).sortWithinPartitions(*order)
+    return checkpoint(ranged.mapInArrow(_packed, "__bucket long, __at long, __block binary"))
+
+
 def admitted(events: DataFrame, limits: Sequence[Limit], ts: str, event_id: str, before: DataFrame | None = None) -> DataFrame:
     """The accepted events, in order of time and, for equal ones, of event_id, which must be unique.
 
@@ -123,8 +162,10 @@ def admitted(events: DataFrame, limits: Sequence[Limit], ts: str, event_id: str,
         rows = rows.unionByName(before.select(F.struct(*events.columns).alias("row"), *(F.col(c) for c in dict.fromkeys(c for k in kinds for c in k)), F.col(ts).alias("__ts"), F.lit(True).alias("__seed")))
     named = rows.select("row", "__seed", F.unix_micros(F.col("__ts").cast("timestamp")).alias("__us"), names.alias("__names")).where("__us IS NOT NULL")
     chained = _chains(named, len(kinds), longest)
-    dealt = chained.repartition("__chain").sortWithinPartitions("__chain", "__us", F.desc("__seed"), F.col(f"row.{event_id}"))
-    walked = dealt.mapInArrow(_walk([(kinds.index(limit.columns), limit.seconds * 1_000_000, limit.most) for limit in limits]), dealt.schema)
+    buckets = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _blocks(chained, event_id, buckets).repartition(buckets, "__bucket").sortWithinPartitions("__bucket", "__at")
+    walk = _walk([(kinds.index(limit.columns), limit.seconds * 1_000_000, limit.most) for limit in limits])
+    walked = dealt.mapInArrow(lambda batches: (b.select(["row"]) for b in walk(_events(batches))), chained.select("row").schema)
     free = named.where((F.size(F.array_compact("__names")) == 0) & ~F.col("__seed"))
     return walked.select("row").unionByName(free.select("row")).select(*(F.col("row")[c].alias(c) for c in events.columns))
 

@@ -95,3 +95,23 @@ def test_a_hot_identity_is_cut_where_nothing_reaches(spark):
     names = admission.F.array(admission._value(("ip",), 0))
     named = df.select("event_id", admission.F.unix_micros("ts").alias("__us"), names.alias("__names"))
     assert admission._chains(named, 1, DAY).select("__chain").distinct().count() == 12
+
+
+def test_a_long_chain_is_dealt_as_blocks(spark):
+    """The task that walks a chain gets a row for each batch of its events, in order; ties of time go by event_id."""
+    df = spark.createDataFrame([(i, START + dt.timedelta(minutes=i // 3), "p", None, None, "hot") for i in range(30_000)], SCHEMA)
+    rows = df.select(admission.F.struct("*").alias("row"), admission.F.unix_micros("ts").alias("__us"), admission.F.array("ip").alias("__names"), admission.F.lit(False).alias("__seed"), admission.F.lit("c").alias("__chain"))
+    blocks = admission._blocks(rows.repartition(5), "event_id", 4)
+    assert blocks.count() <= 20 and blocks.select("__bucket").distinct().count() == 1
+    table = blocks.coalesce(1).sortWithinPartitions("__at").toArrow()
+    events = [x for batch in admission._events(iter(table.to_batches())) for x in batch.column("row").to_pylist()]
+    assert [x["event_id"] for x in events] == list(range(30_000))
+    assert admission.admitted(df, LIMITS["one"], "ts", "event_id").count() == len(brute_one(range(30_000)))
+
+
+def brute_one(ids):
+    taken = []
+    for i in ids:
+        if sum(60 * (i // 3 - t // 3) <= DAY for t in taken[-2:]) < 2:
+            taken.append(i)
+    return taken
