@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import entity, rules
+from ..operators.jobs import spread
 from ..sources.feeds import table
 from .registry import query
 
@@ -186,7 +187,7 @@ SELECT p_partkey, coalesce({_sql_usable("pa")}, {_sql_usable("pb")}, {_sql_usabl
 """)
 def localities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as parks with notes: the locality by town, named area or point."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
     first = F.split("p_name", " ")[0]
     word = F.concat(F.upper(F.substring(first, 1, 1)), F.expr("substr(split(p_name, ' ')[0], 2)"))
     note = F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("p_partkey") % len(_NOTES) + 1).cast("int"))
