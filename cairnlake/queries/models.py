@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series
+from ..operators.jobs import spread
 from ..plans import daily, evidence, features, scheduling
 from ..sources.feeds import table
 from .registry import query
@@ -226,7 +227,7 @@ def environmental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(5.0).alias("windSpeedKmh"), F.lit(10.0).alias("windGustKmh"), h.between(5, 19).alias("isDay")))
     history = weather_history(spark, sf_dir)
     users = history.agg(F.max("user_id").alias("users"))
-    sites = profiles(spark, sf_dir).crossJoin(F.broadcast(users)).withColumn("user_id", F.col("p_partkey") % (F.col("users") + 1)).join(history, "user_id", "left")
+    sites = spread(profiles(spark, sf_dir).crossJoin(F.broadcast(users)).withColumn("user_id", F.col("p_partkey") % (F.col("users") + 1)), "user_id").join(spread(history, "user_id"), "user_id", "left")
     rows = sites.withColumn("history", F.coalesce("history", F.filter(F.array(*[F.lit(None).cast(history.schema["history"].dataType.elementType)]), lambda x: F.lit(False)))).withColumn("hourly", hours)
     rows = rows.withColumn("sunrise", F.lit("2024-06-01 05:00:00").cast("timestamp")).withColumn("sunset", F.lit("2024-06-01 20:00:00").cast("timestamp"))
     return evidence.score_environment(rows).select("p_partkey", *(F.round(c, 6).alias(c) for c in ("habitat", "water", "breeding", "population", "evening", "peak", "environmental")), "environmental_level")

@@ -12,6 +12,6 @@ def tasks(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@pytest.mark.parametrize("name", ["localities"])
+@pytest.mark.parametrize("name", ["localities", "environmental_index"])
 def test_small_tables_are_many_tasks(spark, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() == tasks(spark) > 1
