@@ -1,8 +1,11 @@
 """Queries whose rows take long to work on are dealt by rows, not by their few bytes."""
 
+import json
+
 import pytest
 
 from cairnlake.queries import QUERIES
+from cairnlake.sources import paged
 
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +18,23 @@ def tasks(spark):
 @pytest.mark.parametrize("name", ["localities", "environmental_index"])
 def test_small_tables_are_many_tasks(spark, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() == tasks(spark) > 1
+
+
+def test_pages_are_read_several_to_a_task(spark, tmp_path):
+    folder = tmp_path / "page=0"
+    folder.mkdir()
+    (folder / "x").write_text(json.dumps({"data": {"rows": [], "total": 72_000 * 100 - 3}}))
+    df = paged.pages(spark, str(tmp_path), "id long", 100)
+    runs = paged.PagedReader(df.schema, {"path": str(tmp_path), "limit": "100"}).partitions()
+    assert len(runs) <= paged.PARTITIONS
+    assert [n for run in runs for n in range(run.first, run.end)] == list(range(72_000))
+
+
+def test_pages_are_written_by_many_tasks(spark, tmp_path):
+    """Each task names the files that it writes, and commits them itself."""
+    df = spark.range(400).repartition(1)
+    paged.land(df, str(tmp_path / "p"), [df["id"].asc()], 5)
+    wrote = {f.name.split("-")[1] for f in (tmp_path / "p").rglob("part-*")}
+    assert len(wrote) == tasks(spark)
+    got = paged.pages(spark, str(tmp_path / "p"), "id long", 5)
+    assert sorted(r.id for r in got.collect()) == list(range(400))
