@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from cairnlake.queries import QUERIES
+from cairnlake.plans import resolve
+from cairnlake.queries import QUERIES, entities
 from cairnlake.sources import paged
 
 
@@ -38,3 +39,15 @@ def test_pages_are_written_by_many_tasks(spark, tmp_path):
     assert len(wrote) == tasks(spark)
     got = paged.pages(spark, str(tmp_path / "p"), "id long", 5)
     assert sorted(r.id for r in got.collect()) == list(range(400))
+
+
+def test_records_are_prepared_once_and_in_many_tasks(spark):
+    """Words and tokens of names are columns of the records, and no pair makes them again."""
+    records = resolve.prepared(entities.places(spark, SF))
+    assert records.rdd.getNumPartitions() == tasks(spark)
+    scored = resolve.duplicate_pairs(records)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and {"words", "tokens"} <= set(records.columns)
+    without = resolve.duplicate_pairs(records.drop("words", "tokens"))
+    cols = ["left_id", "right_id", "score", "recommendation"]
+    assert sorted(map(tuple, scored.select(cols).collect())) == sorted(map(tuple, without.select(cols).collect()))
