@@ -297,11 +297,13 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float) -> D
     most = bands if MOST_CHUNKS is None else MOST_CHUNKS
     whole = placed.where(F.col("chunks") <= most).select("node", "doc_id", "text_key", "copies", "bands", F.col("component").alias("unit"), F.lit(-1).alias("band"), "chunks")
     # Units of more chunks than there are bands are cheaper bucket by bucket.
-    vast = placed.where(F.col("chunks") > most)
-    in_bucket = vast.select("node", "doc_id", "text_key", "copies", "bands", "n_grams", F.posexplode("bands").alias("band", "hash")).withColumn("unit", F.xxhash64("band", "hash"))
-    per_bucket = in_bucket.groupBy("unit").agg(chunk_count, F.count("*").alias("n")).where("n > 1")
-    split = join_unique(in_bucket, per_bucket, "unit", "n", "node", store=True).select("node", "doc_id", "text_key", "copies", "bands", "unit", "band", "chunks")
-    tasks = whole.unionByName(split).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+    if (placed.agg(F.max("chunks")).first()[0] or 0) > most:
+        vast = placed.where(F.col("chunks") > most)
+        in_bucket = vast.select("node", "doc_id", "text_key", "copies", "bands", "n_grams", F.posexplode("bands").alias("band", "hash")).withColumn("unit", F.xxhash64("band", "hash"))
+        per_bucket = in_bucket.groupBy("unit").agg(chunk_count, F.count("*").alias("n")).where("n > 1")
+        split = join_unique(in_bucket, per_bucket, "unit", "n", "node", store=True).select("node", "doc_id", "text_key", "copies", "bands", "unit", "band", "chunks")
+        whole = whole.unionByName(split)
+    tasks = whole.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
 
     wanted = docs.join(tasks.hint("shuffle_hash"), ["doc_id", "text_key"])
     shipped = wanted.select(
@@ -333,7 +335,8 @@ def keep_one(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD)
 
     A row goes only if the class of its own text has another row that stays.
     """
-    rows = _classes(documents.select(_own_id().alias("doc_id"), "text"), n, threshold, RECALL)
+    # Read three times below: stored, so that neither the work nor the plan is made three times.
+    rows = checkpoint(_classes(documents.select(_own_id().alias("doc_id"), "text"), n, threshold, RECALL).select("doc_id", "text_key", "class_node"))
     least = rows.where("class_node IS NOT NULL").groupBy("class_node").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select("kept.*")
     kept = least.unionByName(rows.where("class_node IS NULL").select("doc_id", "text_key").distinct()).toDF("kept_id", "kept_key")
     # The caller's columns travel as one, so that none can clash with the names used here.

@@ -23,17 +23,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def _settled(edges: DataFrame) -> bool:
-    """Whether every node has one edge at most to a smaller node, which has none itself."""
-    if not edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return False
-    return edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+    """Whether every node has one edge at most to a smaller node, which has none itself.
+
+    One count by node of the edges down and up, combined before the shuffle, in a single job.
+    """
+    one, none = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("a").alias("node"), one.alias("down"), none.alias("up")).unionByName(edges.select(F.col("b").alias("node"), none.alias("down"), one.alias("up")))
+    by = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not by.agg(F.bool_or((F.col("down") > 1) | (F.col("down") > 0) & (F.col("up") > 0))).first()[0]
 
 
 def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """node and component, the least node, of all nodes that a pair ties to another one.
 
     Nodes are numbers or strings.  Each step is a minimum by node, combined before the shuffle, and a join of the
-    edges with those minima; only two counts come to the driver.  Every step that isn't the last moves some edge to
+    edges with those minima; only one truth value comes to the driver.  Every step that isn't the last moves some edge to
     a smaller node, so the steps end; they grow with the logarithm of the longest path.
     """
     real = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))

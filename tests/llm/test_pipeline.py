@@ -53,3 +53,27 @@ def test_stages_on_odd_rows(spark):
     first = cp.STAGES[0][1](spark, odd, SF)
     assert first.columns == odd.columns and cp.STAGES[0][1](spark, odd.limit(0), SF).count() == 0
     assert cp.packed(spark, odd, SF).where("piece = 0").count() == len(rows)
+
+
+def test_keep_one_reads_the_classes_from_storage(spark):
+    """What tells the classes is made once: the plan of the kept rows has no join or shuffle of the classes' own, three times over."""
+    from cairnlake.llm import ngram_join
+
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n"), (None, None)], "doc_id long, text string")
+    kept = ngram_join.keep_one(docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ExistingRDD") <= 3 and plan.count("Join") == 1
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (True, None)]
+
+
+def test_settled_edges_in_one_count(spark):
+    """A graph is told to be settled by one count by node; jobs of the adaptive plan are its two shuffles and the result."""
+    from cairnlake.operators import graph
+
+    sc = spark.sparkContext
+    for k, (edges, want) in enumerate([([], True), ([(2, 1), (3, 1), (9, 8)], True), ([(3, 1), (3, 2)], False), ([(3, 2), (2, 1)], False), ([("c", "b"), ("b", "a")], False)]):
+        df = spark.createDataFrame(edges, "a string, b string" if want is False and isinstance(edges[0][0], str) else "a long, b long")
+        sc.setJobGroup(f"settled-{k}", "")
+        assert graph._settled(df) is want
+        assert len(sc.statusTracker().getJobIdsForGroup(f"settled-{k}")) <= 3
+    sc.setJobGroup("", "")
