@@ -5,24 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlake.operators.jobs import checkpoint
+from cairnlake.operators.jobs import checkpoint, small_batches
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bytes of an Arrow batch that a Python worker gets, at most, unless the session already asks for less.
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keep the memory of Python workers and of their buffers low for long texts."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) in ("67108864b", "64MB", "64m", "67108864"):  # the default
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import entity, rules, stats
+from ..operators.jobs import checkpoint, small_batches
 from ..plans import serving
 from ..sources.feeds import table
 from .registry import query
@@ -131,7 +132,9 @@ def spam_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose fingerprint is within 16 bits of one of the 100 before them by the same role."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", rules.fingerprint("text").alias("f")).where("f IS NOT NULL")
+    small_batches(spark)
+    # Stored, as the filter and the sample for the ranges would each make the fingerprints again, in workers of their own.
+    turns = checkpoint(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", rules.fingerprint("text").alias("f"))).where("f IS NOT NULL")
     near = rules.near_before(turns, "role", ["conv_id", "turn"], "f")
     return near.select("conv_id", "turn", "f")
 

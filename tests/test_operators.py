@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from cairnlake.functions import arrays, calendar, geo, jsonx, numeric, text
 from cairnlake.operators import entity, graph, keys, merge, rules, series, spatial, stats
@@ -155,6 +156,17 @@ def test_near_copies_across_conversations(spark):
     assert {tuple(r) for r in QUERIES["simhash_near_dup"](spark, sf).collect()} == want
 
 
+def test_fingerprints_are_made_once(spark):
+    """One Python step over the messages, of Arrow values, not one more for the filter and one more for the ranges' sample."""
+    from cairnlake.queries import QUERIES
+
+    plan = QUERIES["simhash_near_dup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "fingerprint" not in plan
+    seen = spark.createDataFrame([("a " * 3,), (None,)], "t string").select(rules.fingerprint("t").alias("f"))
+    assert [r.f for r in seen.collect()] == [None, None]
+    assert "ArrowEvalPython" in seen._jdf.queryExecution().executedPlan().toString() and rules.fingerprint.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+
+
 def test_theme_order(spark):
     rows = [("a", "Worse at dusk near the lake", 1), ("a", "dusk by the river", 2), ("a", "rain and water", 3), ("b", "dusk", 1), ("a", " ", 9)]
     got = stats.theme_summary(spark.createDataFrame(rows, "k string, t string, ts int"), "k", "t", "ts", rules.THEMES).orderBy("k", "rank").collect()
